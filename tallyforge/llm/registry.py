@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from . import media, mixing, tokenids, warc
+from . import media, mixing, pii, quality, simhash, substrings, suffixes, tokenids, warc
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
+    "op2_suffix_dedup": suffixes.op2_suffix_dedup,
+    "op4_quality": quality.op4_quality,
+    "op5_substrings": substrings.op5_substrings,
+    "op6_pii": pii.op6_pii,
     "op7_warc": warc.op7_warc,
     "op8_mixing": mixing.op8_mixing,
     "op9_token_ids": tokenids.op9_token_ids,
