@@ -18,7 +18,7 @@ files. Readers map the files into memory where the file system is local.
 Encoding: a byte-level BPE with this kind of split pattern never joins a
 non-space character and a following single space. So texts are cut before
 single spaces between other characters, and each distinct cut is encoded once
-by the library; a bounded cache keeps the ids as bytes.
+by the library, many to a call; a bounded cache keeps the ids as bytes.
 
 Defined cases: null or empty text is the end id alone; a null id sorts first;
 rows that repeat an id are written each, ordered by a hash of their text; an
@@ -28,21 +28,27 @@ empty table gives files without documents; extra columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, partitions, small_batches, stored, table
+from .common import fresh_path, larger, partitions, small_batches, stored, table
 
 MAGIC = b"TFIDS1"
 END_ID = 2
-CACHE = 200_000  # cuts kept by a worker
+CACHE = 500_000  # words kept by a worker
+HELD_MB = 24  # text encoded at once
+MARKS = ".,;:!?*$%&#|"
+LETTER_LAST = "[A-Za-zÀ-ÖØ-öø-ɏ]$"
+WHITE = re.compile(r"[^\S \n]")  # white space beside spaces and line ends
 COLUMNS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -56,35 +62,71 @@ class CutEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.kind = f"<u{self.width}"
         self.known: dict[str, bytes] = {}
+        (self.tab,) = self.tokenizer.encode("\t", add_special_tokens=False).ids
 
     @staticmethod
-    def cuts(text: str) -> list[str]:
-        parts = text.split(" ")
-        if len(parts) == 1:
-            return parts
-        out, held = [], parts[0]
-        for p in parts[1:]:
-            if held and p and not held[-1].isspace() and not p[0].isspace():
-                out.append(held)
-                held = " " + p
-            else:
-                held = f"{held} {p}"
-        out.append(held)
+    def plain(text: str) -> bool:
+        """Whether every space of a text is the place of a cut."""
+        return text[:1] != " " and text[-1:] != " " and "  " not in text and "\n " not in text and " \n" not in text and not WHITE.search(text)
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for k in range(0, len(texts), 4096):
+            out += [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts[k : k + 4096], add_special_tokens=False)]
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _learn(self, words: list[str]) -> None:
+        """Add the ids of words after a space. Between such words a tab is a piece of its own."""
+        single = [w for w in words if w[-1].isspace() or w[0].isspace()]
+        self.known.update(zip(single, self._each([" " + w for w in single]), strict=True))
+        if single:
+            words = [w for w in words if w not in self.known]
+        groups = [words[k : k + 512] for k in range(0, len(words), 512)]
+        for k in range(0, len(groups), 8):
+            part = groups[k : k + 8]
+            for group, e in zip(part, self.tokenizer.encode_batch_fast([" " + "\t ".join(g) for g in part], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, self.kind)
+                data, ends = ids.tobytes(), (np.flatnonzero(ids == self.tab) * self.width).tolist()
+                if len(ends) != len(group) - 1:
+                    raise ValueError("the vocabulary joins a tab with other characters")
+                self.known.update((w, data[a:z]) for w, a, z in zip(group, [0, *(x + self.width for x in ends)], [*ends, len(data)], strict=True))
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where each text's begin, with the end."""
         if len(self.known) > CACHE:
             self.known.clear()
-        cut = [self.cuts(x) if x else [] for x in texts]
-        new = list({c for x in cut for c in x if c not in self.known})
-        kind = f"<u{self.width}"
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, kind).tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, x)) for x in cut]
+        texts = [x or "" for x in texts]
+        cut = [self.plain(x) for x in texts]
+        lists = pc.split_pattern(pa.array([x if p else "" for x, p in zip(texts, cut, strict=True)], pa.large_string()), " ")
+        words, first = lists.values.dictionary_encode(), lists.offsets.to_numpy()[:-1]
+        index = words.indices.to_numpy()
+        # marks after a Latin letter are a piece of their own, so the part before is encoded once
+        core = pc.utf8_rtrim(words.dictionary, MARKS)
+        core = pc.if_else(pc.match_substring_regex(core, LETTER_LAST), core, words.dictionary).dictionary_encode()
+        cores = core.dictionary.to_pylist()
+        size = pc.utf8_length(core.dictionary).to_numpy(zero_copy_only=False)[core.indices.to_numpy()]
+        tails = pa.array([w[n:] for w, n in zip(words.dictionary.to_pylist(), size.tolist(), strict=True)], pa.large_string()).dictionary_encode()
+        self._learn([c for c in cores if c and c not in self.known])
+        # the first word of a text has no space before it; a text with other cuts is encoded whole
+        lead = [self.known[c] if c else b"" for c in cores]
+        rest = self._each(tails.dictionary.to_pylist())
+        data = [lead[a] + rest[z] for a, z in zip(core.indices.to_pylist(), tails.indices.to_pylist(), strict=True)]
+        known = len(data)
+        data += self._each([x.split(" ", 1)[0] if p else x for x, p in zip(texts, cut, strict=True)])
+        index = index.astype(np.int32)
+        index[first] = known + np.arange(len(texts), dtype=np.int32)
+        flat = np.frombuffer(b"".join(data), self.kind)
+        many = np.array([len(x) for x in data], np.int32) // self.width
+        start, many = (np.cumsum(many, dtype=np.int32) - many)[index], many[index]
+        ends = np.cumsum(many, dtype=np.int32)
+        start -= ends
+        start += many
+        total = int(ends[-1]) if len(ends) else 0
+        take = np.repeat(start, many)
+        take += np.arange(total, dtype=np.int32)
+        return flat[take], np.append((ends - many)[first], total).astype(np.int64)
 
 
 _encoders: dict[str, CutEncoder] = {}
@@ -101,20 +143,20 @@ def _writer(base: str, vocabulary: str, end_id: int):
         fs, root = pafs.FileSystem.from_uri(base)
         part, own = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         enc = encoder(vocabulary)
-        end = np.array([end_id], f"<u{enc.width}").tobytes()
         name, temp = f"{root}/part-{part:05d}", f"{root}/.part-{part:05d}-{own}"
         lengths, ids, nulls = [], [], []
         fs.create_dir(root, recursive=True)
         with fs.open_output_stream(f"{temp}.bin") as out:
-            for b in batches:
-                for data in enc.encode(b.column("text").to_pylist()):
-                    out.write(data)
-                    out.write(end)
-                    lengths.append(len(data) // enc.width + 1)
+            for b in larger(batches, HELD_MB << 20):
+                ids_of, cut = enc.encode(b.column("text").to_pylist())
+                whole = np.insert(ids_of, cut[1:], end_id)
+                out.write(whole.tobytes())
+                lengths.append(np.diff(cut) + 1)
                 got = b.column("doc_id").cast(pa.int64())
                 nulls.append(np.asarray(got.is_null()))
                 ids.append(np.asarray(got.fill_null(0)))
-        offsets = np.concatenate([[0], np.cumsum(np.array(lengths, np.int64))]).astype("<u8")
+        lengths = np.concatenate([np.zeros(0, np.int64), *lengths])
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype("<u8")
         with fs.open_output_stream(f"{temp}.idx") as out:
             out.write(MAGIC + bytes([enc.width, 0]) + np.array([len(lengths)], "<u8").tobytes() + offsets.tobytes())
             out.write(np.concatenate([np.zeros(0, np.int64), *ids]).astype("<i8").tobytes())
