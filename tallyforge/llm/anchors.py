@@ -17,6 +17,7 @@ Token positions are bytes or words, as the caller says.
 from __future__ import annotations
 
 import gc
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -140,18 +141,33 @@ def word_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return rolling.Hashes(rolling.byte_values(buf))(start, end), np.searchsorted(start, docs)
 
 
-def _scan(tokens: Tokens, n: int, k: int, buckets: int, within: bool):
-    def send(held: list[np.ndarray]) -> pa.RecordBatch:
-        runs, repeat = settle(np.concatenate(held), within)
-        known = merged(runs[repeat])
-        runs = runs[~repeat]
-        runs = runs[np.lexsort((runs["lo"], runs["doc"], runs["bucket"]))]  # near alike: it packs better
-        cuts = np.append(np.flatnonzero(np.diff(runs["bucket"], prepend=-1)), len(runs))
-        rows = [_pack(int(runs["bucket"][a]), runs[a:z]) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
-        for at in range(0, len(known), 100_000):
-            rows.append(_pack(-1 - (int(known["doc"][at]) + at) % buckets, known[at : at + 100_000]))
-        return _batch(rows)
+def packed(held: list[np.ndarray], within: bool, buckets: int, known: np.ndarray | None = None) -> pa.RecordBatch:
+    """Rows of ``PACKED``: runs by bucket, after the repeats among them are settled; ``known`` are repeats already."""
+    runs, repeat = settle(np.concatenate(held), within)
+    known = merged(runs[repeat] if known is None else np.concatenate([runs[repeat], known]))
+    runs = runs[~repeat]
+    runs = runs[np.lexsort((runs["lo"], runs["doc"], runs["bucket"]))]  # near alike: it packs better
+    cuts = np.append(np.flatnonzero(np.diff(runs["bucket"], prepend=-1)), len(runs))
+    rows = [_pack(int(runs["bucket"][a]), runs[a:z]) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+    for at in range(0, len(known), 100_000):
+        rows.append(_pack(-1 - (int(known["doc"][at]) + at) % buckets, known[at : at + 100_000]))
+    return _batch(rows)
+
+
+def window_runs(parts: list[tuple[int, int, list[bytes]]], buckets: int) -> np.ndarray:
+    """Single windows as runs of one, by a digest of their text. parts: (document, first start, texts)."""
+    out = np.zeros(sum(len(x) for _, _, x in parts), RUN)
+    digest = b"".join(hashlib.blake2b(w, digest_size=16).digest() for _, _, x in parts for w in x)
+    halves = np.frombuffer(digest, "<u8").reshape(-1, 2)
+    out["bucket"] = (halves[:, 0] >> np.uint64(33)).astype(np.int64) % buckets
+    out["g"], out["c"] = halves[:, 0] & np.uint64(0xFFFFFFFF), halves[:, 1]
+    out["doc"] = np.repeat([d for d, _, _ in parts], [len(x) for _, _, x in parts])
+    out["lo"] = [lo + k for _, lo, x in parts for k in range(len(x))]
+    out["len"] = 1
+    return out
+
 
+def _scan(tokens: Tokens, n: int, k: int, buckets: int, within: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [np.zeros(0, RUN)], 0
         for b in batches:
@@ -161,10 +177,10 @@ def _scan(tokens: Tokens, n: int, k: int, buckets: int, within: bool):
                 held.append(runs_of(values, docs, ids[at:to], n, k, buckets))
                 count += len(held[-1])
                 if count >= HELD:
-                    yield send(held)
+                    yield packed(held, within, buckets)
                     held, count = [held[0]], 0
         if count:
-            yield send(held)
+            yield packed(held, within, buckets)
 
     return run
 
@@ -216,6 +232,11 @@ def as_repeats(runs: np.ndarray) -> np.ndarray:
     return np.stack([runs["doc"], runs["lo"].astype(np.int64), runs["len"].astype(np.int64)])
 
 
+def matched(rows: DataFrame, within: bool) -> DataFrame:
+    """Rows of ``FOUND`` from packed rows: the repeats of each bucket and the runs to compare."""
+    return rows.groupBy("bucket").applyInArrow(match_bucket(within), FOUND)
+
+
 def match_bucket(within: bool):
     """For groupBy("bucket").applyInArrow: the repeats of a bucket and the runs to compare."""
 

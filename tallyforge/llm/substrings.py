@@ -39,7 +39,7 @@ from . import anchors
 from .common import fresh_path, partitions, small_batches, stored, table, utf8
 
 WORDS = 13
-GRAM = 5
+GRAM = 6
 BATCHES = 4
 FANIN = 3
 COLUMNS = "doc_id long, n_words long, n_removed long, kept_sha256 string, text string"
@@ -161,28 +161,32 @@ def _cut(text: bytes, ranges: list[tuple[int, int]]) -> list[bytes]:
     return [b" ".join(words[a:z]) for a, z in ranges]
 
 
-def _windows(n: int):
-    """(key, doc, lo) per window to verify; the key is a hash of its words."""
+def _windows(n: int, buckets: int):
+    """The windows to verify, each by a digest of its words, packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [np.zeros(0, anchors.RUN)], 0
         for b in batches:
-            keys, docs, places = [], [], []
-            for doc, lo, count, text in zip(*(b.column(c).to_pylist() for c in ("doc", "lo", "len", "text")), strict=True):
+            parts = []
+            for doc, lo, many, text in zip(*(b.column(c).to_pylist() for c in ("doc", "lo", "len", "text")), strict=True):
                 words = text.split(b" ")
-                keys += [hashlib.blake2b(b" ".join(words[k : k + n]), digest_size=16).digest() for k in range(count)]
-                docs += [doc] * count
-                places += range(lo, lo + count)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(docs, pa.int64()), pa.array(places, pa.int64())], names=["key", "doc", "lo"])
+                parts.append((doc, lo, [b" ".join(words[k : k + n]) for k in range(many)]))
+            held.append(anchors.window_runs(parts, buckets))
+            count += len(held[-1])
+            if count >= anchors.HELD:
+                yield anchors.packed(held, False, buckets)
+                held, count = [held[0]], 0
+        if count:
+            yield anchors.packed(held, False, buckets)
 
     return run
 
 
 def verified(documents: DataFrame, compare: DataFrame, n: int = WORDS) -> DataFrame:
-    """(doc, lo, len): the windows of compared runs whose words occur in an earlier document."""
-    windows = stored(anchors.snippets(documents, compare, _cut, n).mapInArrow(_windows(n), "key binary, doc long, lo long"), "word-windows")
-    # one row per distinct sequence, whatever number of documents has it
-    first = windows.groupBy("key").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return windows.join(first, "key").where("doc > first").select("doc", "lo", F.lit(1).cast("long").alias("len"))
+    """Rows of ``anchors.FOUND``: the windows of compared runs whose words occur in an earlier document."""
+    buckets = partitions(documents.sparkSession)
+    windows = anchors.snippets(documents, compare, _cut, n).mapInArrow(_windows(n, buckets), anchors.PACKED)
+    return anchors.matched(windows, False)
 
 
 def cuts_of(documents: DataFrame, batches: int) -> list[tuple[int | None, int | None]]:
@@ -210,7 +214,7 @@ def repeats(documents: DataFrame, n: int = WORDS, k: int = GRAM, batches: int =
         found = found.unionAll(p)
     more = stored(verified(documents, found.where("kind = 1"), n), "word-verified")
     anchors.release(spark)
-    return found.where("kind = 0").select("doc", "lo", "len").unionAll(more)
+    return found.unionAll(more).where("kind = 0").select("doc", "lo", "len")
 
 
 def _apply(n: int, texts: bool):

@@ -148,30 +148,49 @@ def _halves(n: int, k: int):
     return run
 
 
-def _compare(n: int):
-    """Over partitions that hold whole keys in order: suffix arrays of some keys at a time."""
+def _compare(n: int, buckets: int):
+    """Over partitions that hold whole keys in order: suffix arrays of some keys at a time.
 
-    def answer(rows: list[tuple]) -> pa.RecordBatch:
-        hit = repeated_windows([r[4] for r in rows], [r[3] for r in rows], [(r[1], r[2]) for r in rows], n)
-        hit = np.array(sorted(set(hit)), np.int64).reshape(-1, 2)
-        new = np.ones(len(hit), bool)
-        new[1:] = (hit[1:, 0] != hit[:-1, 0]) | (hit[1:, 1] != hit[:-1, 1] + 1)
-        at = np.flatnonzero(new)
-        return pa.RecordBatch.from_arrays([pa.array(hit[at, 0]), pa.array(hit[at, 1]), pa.array(np.diff(np.append(at, len(hit))))], names=["doc", "lo", "len"])
+    A key with a single run has no partner. One with over ``SORTED`` bytes is
+    not held: its windows go on one by one, by digest, to be matched in buckets.
+    """
+
+    def answer(rows: list[tuple]) -> np.ndarray:
+        hit = np.array(repeated_windows([r[4] for r in rows], [r[3] for r in rows], [(r[1], r[2]) for r in rows], n), np.int64).reshape(-1, 2)
+        out = np.zeros(len(hit), anchors.RUN)
+        out["doc"], out["lo"], out["len"] = hit[:, 0], hit[:, 1], 1
+        return out
+
+    def singles(rows: list[tuple]) -> np.ndarray:
+        return anchors.window_runs([(r[1], r[2], [r[4][k : k + n] for k in range(r[3])]) for r in rows], buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size = 0
+        group: list[tuple] = []
+        size, own, hot = 0, 0, False
         for b in batches:
             for row in zip(*(b.column(c).to_pylist() for c in ("key", "doc", "lo", "len", "text")), strict=True):
-                if held and row[0] != held[-1][0]:
+                if group and row[0] != group[-1][0]:
+                    if hot:
+                        yield anchors.packed([singles(group)], True, buckets)
+                    elif len(group) > 1:
+                        held += group
+                        size += own
+                    group, own, hot = [], 0, False
                     if size >= SORTED:
-                        yield answer(held)
+                        yield anchors.packed([np.zeros(0, anchors.RUN)], True, buckets, answer(held))
                         held, size = [], 0
-                held.append(row)
-                size += len(row[4])
+                group.append(row)
+                own += len(row[4])
+                if own >= SORTED:
+                    yield anchors.packed([singles(group)], True, buckets)
+                    group, own, hot = [group[-1][:3] + (0, b"")], 0, True
+        if hot:
+            yield anchors.packed([singles(group)], True, buckets)
+        elif len(group) > 1:
+            held += group
         if held:
-            yield answer(held)
+            yield anchors.packed([np.zeros(0, anchors.RUN)], True, buckets, answer(held))
 
     return run
 
@@ -182,13 +201,13 @@ def repeats(rows: DataFrame, documents: DataFrame, n: int = LENGTH, k: int = GRA
     small_batches(spark)
     buckets = partitions(spark)
     packed = anchors.scan(documents, anchors.byte_tokens, n, k, buckets, True)
-    found = stored(packed.groupBy("bucket").applyInArrow(anchors.match_bucket(True), anchors.FOUND), "byte-runs")
+    found = stored(anchors.matched(packed, True), "byte-runs")
     anchors.release(spark)
     compare = anchors.snippets(documents, found.where("kind = 1"), _cut, n).mapInArrow(_halves(n, k), "key long, doc long, lo long, len long, text binary")
     dealt = compare.repartition(buckets, "key").sortWithinPartitions("key")
-    more = stored(dealt.mapInArrow(_compare(n), "doc long, lo long, len long"), "byte-windows")
+    more = stored(anchors.matched(dealt.mapInArrow(_compare(n, buckets), anchors.PACKED), True), "byte-windows")
     anchors.release(spark)
-    return found.where("kind = 0").select("doc", "lo", "len").unionAll(more)
+    return found.unionAll(more).where("kind = 0").select("doc", "lo", "len")
 
 
 def _apply(n: int, texts: bool):
