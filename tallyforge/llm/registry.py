@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import media, mixing, pii, quality, simhash, substrings, suffixes, tokenids, warc
+import corpus_pipeline
+
+from . import media, mixing, pieces, pii, quality, simhash, substrings, suffixes, tokenids, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_suffix_dedup": suffixes.op2_suffix_dedup,
+    "op3_pieces": pieces.op3_pieces,
     "op4_quality": quality.op4_quality,
     "op5_substrings": substrings.op5_substrings,
     "op6_pii": pii.op6_pii,
@@ -14,5 +17,6 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_token_ids": tokenids.op9_token_ids,
     "op10_media": media.op10_media,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {"op7_warc": warc.ORACLE_SQL}

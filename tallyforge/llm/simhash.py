@@ -187,6 +187,18 @@ def classes(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     return prints.join(named, prints.fp == named.named).select("doc_id", "fp", "component_id")
 
 
+def deduplicate(docs: DataFrame, words: int = 5, max_bits: int = 3) -> DataFrame:
+    """The rows of ``docs`` that stay: of each class the one with the smallest id, columns as they are.
+
+    Rows without an id stay, as do all but copies of rows that repeat an id:
+    of rows that share the smallest id of a class, one stays.
+    """
+    prints = stored(fingerprints(docs, words), "simhash-prints")
+    gone = classes(prints.where("doc_id is not null"), max_bits).where("doc_id > component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    with_ids = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").dropDuplicates(["doc_id"])
+    return with_ids.unionByName(docs.where("doc_id is null"))
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = stored(fingerprints(table(spark, sf_dir, "documents")), "simhash-prints")
     return classes(prints).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
