@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from . import rolling
 from .common import utf8
 
-CHUNK = 1 << 21  # bytes of text hashed at once
-HELD = 1_000_000  # runs held by a task before they are sent
+CHUNK = (1 << 19) - 1024  # bytes of text hashed at once
+HELD = 400_000  # runs held by a task before they are sent
 PACKED = "bucket long, n long, g binary, c binary, doc binary, lo binary, len binary, off binary"
 FIELDS = {"g": "<u4", "c": "<u8", "doc": "<i8", "lo": "<u4", "len": "<u2", "off": "<u2"}
 RUN = np.dtype([("bucket", "<i8"), *FIELDS.items()])

@@ -37,7 +37,7 @@ from .common import partitions, small_batches, stored, table, utf8
 
 LENGTH = 100
 GRAM = 36
-SORTED = 1 << 20  # bytes of text in one suffix array
+SORTED = 1 << 19  # bytes of text in one suffix array
 COLUMNS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text binary"
 
 
