@@ -47,6 +47,7 @@ SAMPLES = 2
 SEED = 11
 CHUNK = 6 << 20  # bytes of text whose lattices are held at once
 SLOT_BITS = 18
+FINE = 2.0**32  # log probabilities are summed in this fraction
 MARKS = ".,;:!?*$%&#|"
 LETTERS = "^[A-Za-zÀ-ÖØ-öø-ɏ]+$"
 UNITS = re.compile(r"[^\W\d_]+|[\W\d_]+")
@@ -194,9 +195,10 @@ class Lattices:
             self.log_q[lo:hi] = value - spread
         if best:  # the first of the best edges of each node is certain
             self.log_q = np.where(self.log_q == 0, 0.0, -np.inf)
-        q = np.exp(self.log_q)
+        # sums of whole numbers, so that they don't hang on what else is in the batch
+        q = np.round(np.exp(self.log_q) * 2.0**52).astype(np.uint64)
         total = np.cumsum(q)
-        self.upto = total - np.repeat((total - q)[lead], many)
+        self.upto = (total - np.repeat((total - q)[lead], many)) * 2.0**-52
         self.upto[np.append(lead[1:], len(at)) - 1 if len(lead) else nil] = np.inf
 
     def walk(self, start: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -342,15 +344,15 @@ def sample(corpus: Corpus, seeds: np.ndarray, k: int) -> list[list[tuple[int, np
         path = paths[r]
         many = np.diff(path.cuts)
         lq = lat.log_q[path.edges]
-        run = np.concatenate([[0.0], np.cumsum(lq)])
-        log_prob = run[path.cuts[1:]] - run[path.cuts[:-1]]
+        run = np.concatenate([[0], np.cumsum(np.round(lq * FINE).astype(np.int64))])
+        log_prob = (run[path.cuts[1:]] - run[path.cuts[:-1]]) / FINE
         doc = np.repeat(np.arange(n), many)
         with np.errstate(divide="ignore"):
             mass = np.log(-np.expm1(lq))
             turn = fresh_at[live & (many > 0)]
             special = ~np.isnan(fresh_mass[doc[turn]])
             mass[turn[special]] = np.log(fresh_mass[doc[turn[special]]])
-        location = run[:-1] - run[path.cuts[:-1]][doc] + mass
+        location = (run[:-1] - run[path.cuts[:-1]][doc]) / FINE + mass
         position = np.arange(len(lq)) - path.cuts[:-1][doc]
         noise = gumbel(rolling.mix(seeds[doc] ^ np.uint64(7 * (r + 1))), position.astype(np.uint64))
         open_ = np.isfinite(location) & (np.arange(len(lq)) >= fresh_at[doc])
