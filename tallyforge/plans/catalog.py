@@ -286,10 +286,12 @@ ORACLE_SQL = {
     "name_similarity": f"WITH {view.SQL}, {view.NAMES_SQL} SELECT a, b, similarity FROM sim WHERE a <= b",
     "currency_documents": "SELECT doc_id, CASE WHEN contains(text, '$') OR contains(text, 'USD') THEN 'USD' WHEN contains(text, '€') OR contains(text, 'EUR') THEN 'EUR' WHEN contains(text, '£') OR contains(text, 'GBP') THEN 'GBP' END AS currency FROM documents",
     "first_line_documents": "SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '\\r\\n|[\\n\\x0b\\x0c\\r\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]'), lambda x: regexp_replace(x, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')), lambda x: length(x) >= 3 AND NOT starts_with(lower(x), 'invoice') AND NOT starts_with(lower(x), 'bill') AND regexp_matches(x, '\\p{L}'))[1] AS first_line FROM documents",
-    "extract_fields": f"""WITH {view.SQL} SELECT invoice_id, coalesce(vendor_name, nullif(coalesce(vendor_address, 'Tax ID: ' || coalesce(vendor_tax_id, '-')), '')) AS vendor_name,
+    "extract_fields": f"""WITH {view.SQL}, txt AS (SELECT *, 'ID: ' || coalesce(vendor_tax_id, '-') || chr(10) || 'Invoice #: N-' || seq || coalesce(chr(10) || 'Invoice Date: ' || strftime(invoice_date, '%Y-%m-%d'), '')
+          || coalesce(chr(10) || 'Subtotal: $' || printf('%.2f', total) || chr(10) || 'Total: $' || printf('%.2f', total), '') AS after_tax FROM inv)
+        SELECT invoice_id, coalesce(vendor_name, nullif(coalesce(vendor_address, 'Tax ID: ' || coalesce(vendor_tax_id, '-')), '')) AS vendor_name,
         CASE WHEN regexp_matches(vendor_address, '(?i)\\d+\\s+[A-Z][a-z]+\\s+(?:St|Ave|Rd|Blvd|Dr|Lane|Ln|Way|Pl|Pkwy)') THEN vendor_address || ' · Tax ID: ' || coalesce(vendor_tax_id, '-') || ' · Invoice #: N-' || seq END AS vendor_address,
         nullif(regexp_extract(coalesce(vendor_tax_id, '-'), '(?i)^([A-Z0-9-]{{6,20}})', 1), '') AS vendor_tax_id, 'N-' || seq AS invoice_number, invoice_date, invoice_date AS due_date,
-        total AS subtotal, CAST(NULL AS DOUBLE) AS tax, total, CASE WHEN total IS NOT NULL THEN 'USD' END AS currency FROM inv""",
+        total AS subtotal, TRY_CAST(nullif(regexp_extract(substr(' ' || after_tax, 1, 40), '\\$?\\s?([0-9]{{1,3}}(?:,[0-9]{{3}})*\\.[0-9]{{2}})', 1), '') AS DOUBLE) AS tax, total, CASE WHEN total IS NOT NULL THEN 'USD' END AS currency FROM txt""",
     "vision_findings": """SELECT event_id, CAST(0 AS BIGINT) AS pos, (['FONT_INCONSISTENCY', 'LOGO_QUALITY', 'PIXEL_ARTIFACTS', 'ALIGNMENT_SHIFT', 'WHITESPACE_REDACTION', 'OTHER'])[event_id % 6 + 1] AS code,
         round((event_id % 101) / 100.0::DOUBLE, 6) AS confidence, round(([0.85::DOUBLE, 0.45, 0.65, 0.55, 0.70])[event_id % 6 + 1] * ((event_id % 101) / 100.0::DOUBLE), 6) AS score FROM events WHERE event_id % 7 <> 0 AND event_id % 6 < 5""",
     "pixel_stats": "SELECT l_orderkey, max(v) AS max_intensity, round(avg(v), 6) AS mean_intensity, round(avg(CASE WHEN v >= 25 THEN 1.0::DOUBLE ELSE 0 END), 6) AS high_intensity_fraction FROM (SELECT l_orderkey, CAST(greatest(l_partkey % 256, l_suppkey % 256, l_linenumber * 20) AS INTEGER) AS v FROM lineitem) GROUP BY 1",
