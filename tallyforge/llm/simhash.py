@@ -42,6 +42,45 @@ CAP = 1024
 PAIRWISE = 256  # members up to which pairs are tallied at once
 
 
+def votes(hashes: np.ndarray, counts: np.ndarray, block: int = 6) -> np.ndarray:
+    """How often each bit is set, per document. hashes: (n, w) words of 64 bits; counts: rows per document.
+
+    Rows are added in blocks of 2^block as bit planes: each plane holds one
+    binary digit of 64 counters, and a pair of rows is added plane by plane.
+    """
+    size = -(-counts >> block) << block
+    start = np.cumsum(size) - size
+    rows = np.zeros((int(size.sum()), hashes.shape[1]), np.uint64)
+    rows[np.arange(len(hashes)) + np.repeat(start - np.cumsum(counts) + counts, counts)] = hashes
+    planes = [rows]
+    for _ in range(block):
+        carry, out = np.uint64(0), []
+        for p in planes:
+            a, b = p[::2], p[1::2]
+            differ = a ^ b
+            out.append(differ ^ carry)
+            carry = (a & b) | (differ & carry)
+        planes = [*out, carry]
+    total = np.zeros((len(rows) >> block, 64 * hashes.shape[1]), np.int32)
+    for k, p in enumerate(planes):
+        total += np.unpackbits(np.ascontiguousarray(p).astype(">u8").view(np.uint8).reshape(len(total), -1), axis=1).astype(np.int32) << k
+    return np.add.reduceat(total, start >> block, axis=0)
+
+
+def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Fingerprints as big-endian bytes; a bit is 1 if set in over half the rows. Documents without rows have zero."""
+    out = np.zeros((len(counts), 8 * hashes.shape[1]), np.uint8)
+    some = np.flatnonzero(counts)
+    edges = np.concatenate([[0], np.cumsum(counts[some])])
+    at = 0
+    while at < len(some):  # so many documents that their counters fit in some MB
+        to = max(at + 1, int(np.searchsorted(edges, edges[at] + 100_000, "right")) - 1)
+        n = counts[some[at:to]]
+        out[some[at:to]] = np.packbits(2 * votes(hashes[edges[at] : edges[to]], n) > n[:, None], axis=1)
+        at = to
+    return out
+
+
 def fingerprint_batch(texts: list[bytes], words: int) -> np.ndarray:
     """Fingerprints of texts; a bit is 1 if set in over half the shingle hashes."""
     digest, hashes, counts = xxhash.xxh64_intdigest, [], []
@@ -62,23 +101,8 @@ def fingerprint_batch(texts: list[bytes], words: int) -> np.ndarray:
             hashes += [digest(flat[a : z - 1], SEED) for a, z in zip(starts, ends, strict=False)]
             hashes.append(digest(flat[starts[-words] :], SEED))
             counts.append(len(parts) - words + 1)
-    out = np.zeros(len(texts), np.uint64)
-    n = np.array(counts, np.int64)
-    some = np.flatnonzero(n)
-    if not len(some):
-        return out
-    flat_hashes = np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8)
-    edges = np.concatenate([[0], np.cumsum(n[some])])
-    votes = np.zeros((len(some), 64), np.int64)
-    at = 0
-    while at < len(some):  # so many documents that their bits fit in some MB
-        to = max(at + 1, int(np.searchsorted(edges, edges[at] + 100_000, "right")) - 1)
-        bits = np.unpackbits(flat_hashes[edges[at] : edges[to]], axis=1)
-        votes[at:to] = np.add.reduceat(bits, edges[at:to] - edges[at], axis=0, dtype=np.int64)
-        at = to
-    bits = 2 * votes > n[some][:, None]
-    out[some] = np.packbits(bits, axis=1).view(">u8")[:, 0]
-    return out
+    got = majority(np.array(hashes, np.uint64).reshape(-1, 1), np.array(counts, np.int64))
+    return got.view(">u8")[:, 0].astype(np.uint64)
 
 
 def _fingerprints(words: int):
@@ -187,18 +211,6 @@ def classes(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     return prints.join(named, prints.fp == named.named).select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, words: int = 5, max_bits: int = 3) -> DataFrame:
-    """The rows of ``docs`` that stay: of each class the one with the smallest id, columns as they are.
-
-    Rows without an id stay, as do all but copies of rows that repeat an id:
-    of rows that share the smallest id of a class, one stays.
-    """
-    prints = stored(fingerprints(docs, words), "simhash-prints")
-    gone = classes(prints.where("doc_id is not null"), max_bits).where("doc_id > component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    with_ids = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").dropDuplicates(["doc_id"])
-    return with_ids.unionByName(docs.where("doc_id is null"))
-
-
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = stored(fingerprints(table(spark, sf_dir, "documents")), "simhash-prints")
     return classes(prints).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
