@@ -47,6 +47,7 @@ END_ID = 2
 CACHE = 500_000  # words kept by a worker
 HELD_MB = 24  # text encoded at once
 MARKS = ".,;:!?*$%&#|"
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
 LETTER_LAST = "[A-Za-zÀ-ÖØ-öø-ɏ]$"
 WHITE = re.compile(r"[^\S \n]")  # white space beside spaces and line ends
 COLUMNS = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -57,14 +58,25 @@ class CutEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.known: dict[str, bytes] = {}
-        (self.tab,) = self.tokenizer.encode("\t", add_special_tokens=False).ids
+        # a byte-level model names bytes by printable characters: its own where it has one, else the next free
+        names = [b if 33 <= b <= 126 or 161 <= b <= 255 and b != 173 else None for b in range(256)]
+        spare = iter(range(256, 512))
+        self.alphabet = {b: next(spare) if n is None else n for b, n in enumerate(names)}
+        space = chr(self.alphabet[32])
+        del self.alphabet[9]
+        self.after_space = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.after_space[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.startswith(space)]] = True
+        self.direct = None
+        if self.tokenizer.normalizer is None and isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel):
+            self.direct = Tokenizer(self.tokenizer.model)
+            self.direct.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\t")
 
     @staticmethod
     def plain(text: str) -> bool:
@@ -78,20 +90,29 @@ class CutEncoder:
         return out
 
     def _learn(self, words: list[str]) -> None:
-        """Add the ids of words after a space. Between such words a tab is a piece of its own."""
-        single = [w for w in words if w[-1].isspace() or w[0].isspace()]
-        self.known.update(zip(single, self._each([" " + w for w in single]), strict=True))
-        if single:
+        """Add the ids of words after a space."""
+        letters = [w for w in words if LETTERS.fullmatch(w)] if self.direct else []
+        for k in range(0, len(letters), 1 << 16):
+            self._learn_letters(letters[k : k + (1 << 16)])
+        if letters:
             words = [w for w in words if w not in self.known]
-        groups = [words[k : k + 512] for k in range(0, len(words), 512)]
-        for k in range(0, len(groups), 8):
-            part = groups[k : k + 8]
-            for group, e in zip(part, self.tokenizer.encode_batch_fast([" " + "\t ".join(g) for g in part], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, self.kind)
-                data, ends = ids.tobytes(), (np.flatnonzero(ids == self.tab) * self.width).tolist()
-                if len(ends) != len(group) - 1:
-                    raise ValueError("the vocabulary joins a tab with other characters")
-                self.known.update((w, data[a:z]) for w, a, z in zip(group, [0, *(x + self.width for x in ends)], [*ends, len(data)], strict=True))
+        self.known.update(zip(words, self._each([" " + w for w in words]), strict=True))
+
+    def _learn_letters(self, words: list[str]) -> None:
+        """Words of letters are a piece each: the model gets them as such, between tabs."""
+        mapped = (" " + "\t ".join(words)).encode().decode("latin-1").translate(self.alphabet)
+        parts, at = [], 0
+        while at < len(mapped):
+            end = mapped.find("\t", at + (1 << 13))
+            end = len(mapped) if end < 0 else end
+            parts.append(mapped[at:end])
+            at = end + 1
+        ids = np.concatenate([np.array(e.ids, self.kind) for e in self.direct.encode_batch_fast(parts, add_special_tokens=False)])
+        first = np.flatnonzero(self.after_space[ids])
+        if len(first) != len(words):
+            raise ValueError("the vocabulary has pieces with a space inside")
+        data, cuts = ids.tobytes(), [*(first * self.width).tolist(), len(ids) * self.width]
+        self.known.update((w, data[a:z]) for w, a, z in zip(words, cuts[:-1], cuts[1:], strict=True))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin, with the end."""
