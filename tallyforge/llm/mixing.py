@@ -18,7 +18,7 @@ range per source in which the threshold falls is ordered exactly.
 Defined cases: null text has size 0 and takes no words; a null source is a
 source of its own, ordered last; a null id hashes like a fixed value; repeated
 rows are taken or left together; an empty table gives an empty result; extra
-columns of ``docs`` are passed on, internal names start with ``__mix_``.
+columns of ``docs`` are passed on by ``mix``, whatever their names.
 """
 
 from __future__ import annotations
@@ -118,9 +118,9 @@ def assign(docs: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """The mixture itself: every document as often as it is taken, columns of ``docs``."""
-    out = assign(docs, source_plan(docs, weights, share, max_epochs, seed), seed)
-    out = out.where("__mix_copies > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select("doc_id", "text", "source", F.struct("*").alias("__mix_row"))
+    out = assign(rows, source_plan(rows, weights, share, max_epochs, seed), seed).where("__mix_copies > 0")
+    return out.select("__mix_row", F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))).alias("__mix_copy")).select("__mix_row.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -215,6 +215,7 @@ def test_mixing(spark, docs, empty, odd):
     assert len(rows) == len(documents()) and all(abs(taken[s] - target[s]) <= longest for s in order)
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in rows)
+    assert {r["__mix_size"] for r in mixed.collect()} == {"clash"}
     assert mixing.mix(empty).count() == 0 and mixing.mix(odd).count() > 0
 
 
