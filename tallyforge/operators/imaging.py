@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from ..functions.text import base64_flat
 from ..schema import no_signals, signal
 
 # The quantisation tables of the JPEG standard, Annex K.
@@ -46,23 +47,39 @@ def _cosines() -> np.ndarray:
 COSINES = _cosines()
 
 
-def _plane(plane: np.ndarray, steps: np.ndarray) -> np.ndarray:
+def coefficients(plane: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Quantised cosine coefficients of a plane's tiles (rows, columns, 8, 8); the edge fills partial tiles."""
     h, w = plane.shape
     full = np.pad(plane, ((0, -h % 8), (0, -w % 8)), mode="edge") - 128
     tiles = full.reshape(full.shape[0] // 8, 8, full.shape[1] // 8, 8).swapaxes(1, 2)
-    kept = np.round(COSINES @ tiles @ COSINES.T / steps) * steps
-    return (COSINES.T @ kept @ COSINES).swapaxes(1, 2).reshape(full.shape)[:h, :w] + 128
+    return np.round(COSINES @ tiles @ COSINES.T / steps)
 
 
-def jpeg_round_trip(rgb: np.ndarray, quality: int) -> np.ndarray:
-    """An image (height, width, 3) as it is after saving with this quality."""
+def _plane(plane: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    h, w = plane.shape
+    kept = coefficients(plane, steps) * steps
+    rows, columns = kept.shape[:2]
+    return (COSINES.T @ kept @ COSINES).swapaxes(1, 2).reshape(8 * rows, 8 * columns)[:h, :w] + 128
+
+
+def luma_and_chroma(rgb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Brightness, and blue and red differences at half the size."""
     h, w, _ = rgb.shape
     r, g, b = (rgb[..., k].astype(float) for k in range(3))
     y = 0.299 * r + 0.587 * g + 0.114 * b
-    planes = [np.clip(np.round(_plane(y, quantisers(LUMINANCE, quality))), 0, 255)]
+    small = []
     for chroma in (128 + (b - y) * 0.564, 128 + (r - y) * 0.713):
         even = np.pad(chroma, ((0, h % 2), (0, w % 2)), mode="edge")
-        small = even.reshape(even.shape[0] // 2, 2, even.shape[1] // 2, 2).mean((1, 3))
+        small.append(even.reshape(even.shape[0] // 2, 2, even.shape[1] // 2, 2).mean((1, 3)))
+    return y, *small
+
+
+def jpeg_round_trip(rgb: np.ndarray, quality: int) -> np.ndarray:
+    """An image (height, width, 3) as it is after saving with this quality."""
+    h, w, _ = rgb.shape
+    y, *chroma = luma_and_chroma(rgb)
+    planes = [np.clip(np.round(_plane(y, quantisers(LUMINANCE, quality))), 0, 255)]
+    for small in chroma:
         small = np.clip(np.round(_plane(small, quantisers(CHROMINANCE, quality))), 0, 255)
         planes.append(small.repeat(2, 0).repeat(2, 1)[:h, :w] - 128)
     y, cb, cr = planes
@@ -123,3 +140,38 @@ def shrunk(width: int, height: int, most: int = 1600) -> tuple[int, int]:
     """The size of an image brought down to ``most`` pixels at its longer side."""
     longest = max(width, height)
     return (width, height) if longest <= most else (int(width * most / longest), int(height * most / longest))
+
+
+def resized(rgb: np.ndarray, width: int, height: int) -> np.ndarray:
+    """The image at another size, by Lanczos weights of three lobes along each axis."""
+
+    def weights(old: int, new: int) -> np.ndarray:
+        scale = max(1.0, old / new)
+        centre = (np.arange(new) + 0.5) * old / new - 0.5
+        x = (np.arange(old)[None, :] - centre[:, None]) / scale
+        out = np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0.0)
+        return out / out.sum(1, keepdims=True)
+
+    h, w, _ = rgb.shape
+    across = np.einsum("nw,hwc->hnc", weights(w, width), rgb.astype(float))
+    return np.clip(np.round(np.einsum("mh,hnc->mnc", weights(h, height), across)), 0, 255).astype(np.uint8)
+
+
+def data_urls(df: DataFrame, pixels: str = "pixels", height: str = "height", width: str = "width", out: str = "data_url", most: int = 1600, quality: int = 85) -> DataFrame:
+    """``df`` with each image as a JPEG data URL, its longer side at most ``most`` pixels; null where the size doesn't fit."""
+    from .jpeg import encode
+
+    def run(frames: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for data, heights, widths in frames:
+            made = []
+            for d, h, w in zip(data, heights, widths, strict=True):
+                if d is None or not h or not w or len(d) != 3 * h * w:
+                    made.append(None)
+                    continue
+                image = np.frombuffer(d, np.uint8).reshape(int(h), int(w), 3)
+                size = shrunk(int(w), int(h), most)
+                made.append(encode(image if size == (w, h) else resized(image, *size), quality))
+            yield pd.Series(made, dtype="object")
+
+    jpeg = F.pandas_udf(run, "binary")(F.col(pixels), F.col(height).cast("int"), F.col(width).cast("int"))
+    return df.withColumn(out, jpeg).withColumn(out, F.concat(F.lit("data:image/jpeg;base64,"), base64_flat(F.col(out))))

@@ -91,3 +91,13 @@ def with_pages(df: DataFrame, decoder: Callable[[bytes, str], tuple[int, int, by
             yield pd.DataFrame(rows, columns=[p.split()[0] for p in PAGES.split(", ")])
 
     return df.withColumn(out, read("content", "path"))
+
+
+def with_ids(df: DataFrame, seq: str = "seq") -> DataFrame:
+    """``df`` (content_hash, seq) with a short id that a rerun gives again: eight digits of the hash, and the row's number."""
+    return df.withColumn("invoice_id", F.concat(F.substring("content_hash", 1, 8), F.lit("-"), F.col(seq).cast("string")))
+
+
+def with_fallback(df: DataFrame, text: str, other: str) -> DataFrame:
+    """``df`` where an empty or missing text is replaced by that of another provider."""
+    return df.withColumn(text, F.coalesce(F.nullif(F.col(text), F.lit("")), F.col(other), F.lit("")))

@@ -59,3 +59,9 @@ def test_stream_sees_history_and_its_own_batch(spark, tmp_path):
 def test_images_come_as_rgb(spark):
     df = spark.createDataFrame([(1, 1, 3, bytes([1, 2, 3])), (1, 1, 1, b"\x07")], "height int, width int, channels int, data binary")
     assert [bytes(r.pixels) for r in files.as_rgb(df).collect()] == [bytes([3, 2, 1]), b"\x07\x07\x07"]
+
+
+def test_ids_and_fallback_text(spark):
+    df = spark.createDataFrame([(3, "abcdef0123", "", "t"), (4, "abcdef0123", None, None), (5, "ff", "own", "t")], "seq long, content_hash string, raw_text string, other string")
+    assert [r.invoice_id for r in files.with_ids(df).collect()] == ["abcdef01-3", "abcdef01-4", "ff-5"]
+    assert [r.raw_text for r in files.with_fallback(df, "raw_text", "other").collect()] == ["t", "", "own"]

@@ -59,3 +59,49 @@ def test_relational_pixels(spark):
 
 def test_shrunk():
     assert shrunk(3200, 801) == (1600, 400) and shrunk(100, 90) == (100, 90)
+
+
+def test_jpeg_files_are_read_by_the_image_source(spark, tmp_path):
+    """What the JVM's decoder makes of our files is what the array round trip says."""
+    from tallyforge.operators.jpeg import encode
+    from tallyforge.sources.files import scan_images
+
+    y, x = np.mgrid[:70, :45]
+    ramp = np.stack([x * 5 % 256, y * 3, (x + y) * 2], -1).astype(np.uint8)
+    noise = np.random.default_rng(3).integers(0, 256, (33, 40, 1)).astype(np.uint8).repeat(3, -1)  # grey: decoders differ in how they widen colour
+    for name, image in (("ramp", ramp), ("noise", noise), ("page", _page()), ("dot", ramp[:1, :1])):
+        (tmp_path / f"{name}.jpg").write_bytes(encode(image, 90))
+        row = scan_images(spark, str(tmp_path / f"{name}.jpg")).first()
+        got = np.frombuffer(bytes(row.pixels), np.uint8).reshape(row.height, row.width, 3)
+        assert got.shape == image.shape
+        assert np.abs(got.astype(int) - jpeg_round_trip(image, 90)).mean() < 4
+    (tmp_path / "x.jpg").write_bytes(b"no image")
+    assert scan_images(spark, str(tmp_path / "x.jpg")).count() == 0
+
+
+def test_code_lengths_stay_within_sixteen_bits():
+    from collections import Counter
+
+    from tallyforge.operators.jpeg import canonical, code_lengths
+
+    a, b, counts = 1, 1, Counter()
+    for s in range(40):
+        counts[s], a, b = a, b, a + b
+    size = code_lengths(counts)
+    assert max(size.values()) <= 16 and sum(2.0**-n for n in size.values()) < 1
+    codes = canonical(size)
+    assert len({format(c, f"0{n}b") for c, n in codes.values()}) == 40 and all(c != (1 << n) - 1 for c, n in codes.values())
+    assert code_lengths(Counter({7: 3})) == {7: 1}
+
+
+def test_data_urls(spark):
+    import base64
+
+    from tallyforge.operators.imaging import data_urls, resized
+
+    page = _page()
+    df = spark.createDataFrame([(80, 64, page.tobytes()), (1, 1, b"")], "height int, width int, pixels binary")
+    one, none = (r.data_url for r in data_urls(df, most=40).collect())
+    data = base64.b64decode(one.removeprefix("data:image/jpeg;base64,"))
+    assert data[:2] == b"\xff\xd8" and b"\x00\x28\x00\x20" in data and none is None
+    assert (resized(np.full((9, 7, 3), 80, np.uint8), 3, 4) == 80).all()
