@@ -19,13 +19,16 @@ PAGES = "height int, width int, pixels binary, error string"
 
 
 def scan_files(spark: SparkSession, path: str, glob: str | None = None, config: Config = DEFAULT) -> DataFrame:
-    """path, content, length, content_hash and status of files; those over the size limit have no content."""
+    """path, content, length, content_hash and status of files; those over the size limit have no content.
+
+    The source doesn't list files of zero bytes.
+    """
     reader = spark.read.format("binaryFile")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     df = reader.load(path)
     large = F.col("length") > config.max_bytes
-    status = F.when(large, "too large").when(F.col("length") == 0, "empty").otherwise("ok")
+    status = F.when(large, "too large").otherwise("ok")
     content = F.when(~large, F.col("content"))
     return df.select("path", content.alias("content"), "length", F.sha2(content, 256).alias("content_hash"), status.alias("status"))
 

@@ -17,7 +17,7 @@ def test_file_scan_limits_and_errors(spark, tmp_path):
     (tmp_path / "c.bin").write_bytes(b"")
     df = files.scan_files(spark, str(tmp_path), "*.bin", Config(max_bytes=10))
     good, bad = sinks.split_errors(df)
-    assert {r.error for r in bad.collect()} == {"too large", "empty"} and good.count() == 1
+    assert {r.error for r in bad.collect()} == {"too large"} and good.count() == 1
 
     def provider(content, path):
         if content == b"abc":
