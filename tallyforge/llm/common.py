@@ -27,8 +27,28 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
+    _made.append(f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}")
+    return _made[-1]
+
+
+def purge(spark: SparkSession) -> None:
+    """Delete what this process has put into the shared folder, once its results are written elsewhere."""
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def publish(fs, temp: str, name: str) -> None:
+    """Give a whole file its name; a retried task replaces what an earlier try has left."""
+    from pyarrow.fs import FileType
+
+    if fs.get_file_info(name).type != FileType.NotFound:
+        fs.delete_file(name)
+    fs.move(temp, name)
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:

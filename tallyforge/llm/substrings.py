@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import fresh_path, partitions, small_batches, stored, table, utf8
+from .common import fresh_path, partitions, publish, small_batches, stored, table, utf8
 
 WORDS = 13
 GRAM = 6
@@ -54,7 +54,7 @@ def write_run(fs, path: str, runs: np.ndarray) -> None:
         for k, kind in anchors.FIELDS.items():
             data = packer.compress(runs[k].astype(kind).tobytes())
             out.write(np.array([len(data)], "<u8").tobytes() + data)
-    fs.move(temp, path)
+    publish(fs, temp, path)
 
 
 def read_run(fs, path: str, bucket: int) -> np.ndarray:

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, larger, partitions, small_batches, stored, table
+from .common import fresh_path, larger, partitions, publish, small_batches, stored, table
 
 MAGIC = b"TFIDS1"
 END_ID = 2
@@ -183,7 +183,7 @@ def _writer(base: str, vocabulary: str, end_id: int):
             out.write(np.concatenate([np.zeros(0, np.int64), *ids]).astype("<i8").tobytes())
             out.write(np.concatenate([np.zeros(0, bool), *nulls]).astype("u1").tobytes())
         for end_of in (".bin", ".idx"):
-            fs.move(f"{temp}{end_of}", f"{name}{end_of}")
+            publish(fs, f"{temp}{end_of}", f"{name}{end_of}")
         yield pa.RecordBatch.from_pydict({"part": [part], "n_docs": [len(lengths)], "n_tokens": [int(offsets[-1])]})
 
     return write

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, partitions, small_batches, stored, table
+from .common import fresh_path, partitions, publish, small_batches, stored, table
 
 MIN_REVISIT = 1000
 TRAIN_MB = 4
@@ -163,7 +163,7 @@ def _writer(base: str):
                     archive.add(record(*row))
                     n += 1
             archive.close()
-        fs.move(temp, name)
+        publish(fs, temp, name)
         yield pa.RecordBatch.from_pydict({"path": [name], "n": [n]})
 
     return write

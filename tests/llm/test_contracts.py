@@ -256,3 +256,20 @@ def test_media(spark, docs, empty, odd):
     assert media.from_media(media.to_media(odd)).count() == len(odd_documents())
     long = b"q" * (192 * 16385)
     assert webp.decode(media.image_of(long)).tobytes()[: len(long)] == long
+
+
+def test_files_are_published_again_and_purged(spark, tmp_path):
+    import pyarrow.fs as pafs
+
+    from tallyforge.llm import common
+
+    fs = pafs.LocalFileSystem()
+    for text in ("first", "second"):
+        (tmp_path / "temp").write_text(text)
+        common.publish(fs, str(tmp_path / "temp"), str(tmp_path / "name"))
+        assert (tmp_path / "name").read_text() == text
+    df = common.stored(spark.range(3), "purge-test")
+    path = common._made[-1].removeprefix("file://")
+    assert df.count() == 3 and fs.get_file_info(path).type == pafs.FileType.Directory
+    common.purge(spark)
+    assert fs.get_file_info(path).type == pafs.FileType.NotFound and not common._made
