@@ -240,12 +240,28 @@ def history_match(spark, sf_dir):
     return duplicates.exact_in_history(new, old).select("invoice_id", "exact_match")
 
 
+def stream_history(spark, sf_dir):
+    """The invoices as a stream of three files, in the order of ``seq``; each batch is matched with all before it."""
+    from ..sources.sinks import shared_folder
+    from ..streaming.ingest import ingest
+
+    folder = shared_folder(spark, "stream")
+    df = view.invoices(spark, sf_dir)
+    third = [int(x) for x in df.agg(F.percentile("seq", [1 / 3, 2 / 3])).first()[0]]
+    for part in (df.where(F.col("seq") <= third[0]), df.where((F.col("seq") > third[0]) & (F.col("seq") <= third[1])), df.where(F.col("seq") > third[1])):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(df.schema).parquet(f"{folder}/in")
+        ingest(stream, f"{folder}/history", f"{folder}/reports", f"{folder}/offsets").awaitTermination()
+    found = spark.read.parquet(f"{folder}/reports").select("invoice_id", F.explode("signals").alias("s")).where("s.source = 'duplicate'")
+    return found.select("invoice_id", "s.code", F.col("s.evidence.matched_invoice_id").alias("matched_invoice_id"), F.round("s.score", 6).alias("score"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         vendor_signals, vendor_signal_counts, ein_validity, address_class, directory_anti_join, directory_mismatch, signal_scores, risk_scores, risk_level_counts, signal_ranking,
         dup_exact_orders, dup_exact_documents, dup_fuzzy_pairs, dup_fuzzy_best, duplicate_signals, full_risk, date_proximity, name_similarity, currency_documents, first_line_documents,
-        extract_fields, extract_documents, vision_findings, ela_stats, pixel_stats, confusion_by_label, confusion_overall, precision_recall_f1, label_distribution, scenario_quality, report_json, history_match,
+        extract_fields, extract_documents, vision_findings, ela_stats, pixel_stats, confusion_by_label, confusion_overall, precision_recall_f1, label_distribution, scenario_quality, report_json, history_match, stream_history,
     )
 }
 
@@ -281,6 +297,7 @@ ORACLE_SQL = {
     "dup_fuzzy_pairs": f"WITH {view.SQL}, {view.NAMES_SQL}, {_PAIRS} SELECT similarity, date_match, count(*) AS n FROM pairs GROUP BY ALL",
     "dup_fuzzy_best": f"WITH {view.SQL}, {view.NAMES_SQL}, {_PAIRS}, {_BEST} SELECT * FROM best",
     "duplicate_signals": f"WITH {view.SQL}, {view.NAMES_SQL}, {_PAIRS}, {_BEST}, {_EXACT}, {_DUP} SELECT invoice_id, code, matched_invoice_id, round(weight * confidence, 6) AS score FROM dup",
+    "stream_history": f"WITH {view.SQL}, {view.NAMES_SQL}, {_PAIRS}, {_BEST}, {_EXACT}, {_DUP} SELECT invoice_id, code, matched_invoice_id, round(weight * confidence, 6) AS score FROM dup",
     "full_risk": f"WITH {view.SQL}, {view.SIGNALS_SQL}, {view.NAMES_SQL}, {_PAIRS}, {_BEST}, {_EXACT}, {_DUP}, every AS (SELECT invoice_id, weight, confidence FROM sig UNION ALL SELECT invoice_id, weight, confidence FROM dup), risk AS (SELECT inv.invoice_id, count(e.weight) AS n_signals, coalesce(1 - product(1 - e.weight * e.confidence), 0) AS risk_score FROM inv LEFT JOIN every e USING (invoice_id) GROUP BY ALL) SELECT invoice_id, n_signals, round(risk_score, 12) AS risk_score, {_LEVEL} AS risk_level FROM risk",
     "date_proximity": f"WITH {view.SQL}, {_EXACT} SELECT e.invoice_id, {_CLOSE.format(a='p.invoice_date', b='e.invoice_date')} AS date_match FROM exact e JOIN inv p ON p.invoice_id = e.first_id WHERE e.nth > 1",
     "name_similarity": f"WITH {view.SQL}, {view.NAMES_SQL} SELECT a, b, similarity FROM sim WHERE a <= b",

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HISTORY = ("seq", "invoice_id", "content_hash", "vendor_name", "total", "invoice_date")
 
 
+def shared_folder(spark: SparkSession, tag: str) -> str:
+    """A new folder under the one that the cluster shares; under /tmp where none is named."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/tallyforge"
+    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
+
+
 def write_reports(reports: DataFrame, path: str, mode: str = "append") -> None:
     """Reports as JSON lines; null fields are kept as keys."""
     reports.write.mode(mode).option("ignoreNullFields", "false").json(path)
