@@ -10,9 +10,11 @@ Segmentations are drawn without replacement by Gumbel top-k: each has its log
 probability plus a Gumbel noise, and the k largest are wanted. A* search finds
 them exactly without listing the lattice: a region (the segmentations that agree
 up to a step and differ there) has the log of its mass as location of its own
-largest value, truncated at that of the region it came from. The region with the
-largest value is taken next; its sample is drawn step by step, and the rest of
-the region is divided by where segmentations leave the sample. The largest
+largest value, truncated at that of the region it came from. The regions that
+branch off one sample are held together: their joint mass gives their largest
+value, their shares the region that has it. The region with the largest value
+is taken next; its sample is drawn step by step, and the rest of the region is
+divided by where segmentations leave the sample. The largest
 value left after k samples is the threshold of the inclusion scores
 1 - exp(-exp(log p - threshold)).
 
@@ -45,11 +47,12 @@ from .common import small_batches, table
 SHIFT = 50.0
 SAMPLES = 2
 SEED = 11
-CHUNK = 6 << 20  # bytes of text whose lattices are held at once
+CHUNK = 1 << 20  # bytes of text whose lattices are held at once
 SLOT_BITS = 18
 FINE = 2.0**32  # log probabilities are summed in this fraction
 MARKS = ".,;:!?*$%&#|"
 LETTERS = "^[A-Za-zÀ-ÖØ-öø-ɏ]+$"
+LAST_MARKS = "(?s)(?P<marks>[.,;:!?*$%&#|]*)$"
 UNITS = re.compile(r"[^\W\d_]+|[\W\d_]+")
 IDS = "doc_id long, sample int, ids array<int>, log_prob double, perturbed double, inclusion double"
 DIGEST = "doc_id long, sample int, n_pieces long, ids_crc32 long, log_prob double, perturbed double, inclusion double, round_trip boolean"
@@ -92,8 +95,8 @@ class Vocabulary:
         self.fullest = int(np.diff(self.slots).max())
         raw = [bytes([int(p[3:5], 16)]) if byte[i] else b"" if special[i] else plain[i].encode() for i, p in enumerate(names)]
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
-        self.raw_size = np.array([len(x) for x in raw], np.int64)
-        self.raw_start = np.cumsum(self.raw_size) - self.raw_size
+        self.raw_size = np.array([len(x) for x in raw], np.int32)
+        self.raw_start = (np.cumsum(self.raw_size) - self.raw_size).astype(np.int32)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Ids of pieces by hash, -1 where there is none."""
@@ -115,10 +118,8 @@ class Vocabulary:
     def decode_many(self, ids: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of id sequences, each with a space before it, and where each begins, with the end."""
         size = self.raw_size[ids]
-        end = np.cumsum(size)
-        total = int(end[-1]) if len(end) else 0
-        take = np.repeat(self.raw_start[ids] - end + size, size) + np.arange(total)
-        return self.raw[take], np.concatenate([[0], end])[cuts]
+        take = _ragged(self.raw_start[ids], size)
+        return self.raw[take], np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[cuts]
 
     def decode(self, ids) -> str:
         """The text of a sequence of ids."""
@@ -139,67 +140,77 @@ class Lattices:
     """Lattices of distinct units, as arrays of nodes and of edges in the order of their nodes."""
 
     def __init__(self, voc: Vocabulary, units: list[str], best: bool = False):
-        values = _values("".join(units))
-        size = np.array([len(u) for u in units], np.int64)
+        text = "".join(units)
+        size = np.array(list(map(len, units)), np.int64)
         end = np.cumsum(size)
-        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-        unit = np.repeat(np.arange(len(units)), size)
-        left = end[unit] - np.arange(len(unit))
-        self.start = end - size + np.arange(len(units))  # a unit's first node; its last one is its end
-        hashes = rolling.Hashes(values)
-        at, length, piece = [], [], []
-        for n in range(min(voc.longest, int(size.max()) if len(size) else 0), 0, -1):
-            pos = np.flatnonzero(left >= n)
-            ids = voc.find(hashes(pos, pos + n))
-            hit = np.flatnonzero(ids >= 0)
-            if n == 1:  # characters without a piece of their own are written in bytes
-                bare = np.flatnonzero(ids < 0)
-                at.append(pos[bare])
-                length.append(np.ones(len(bare), np.int32))
-                piece.append((voc.size + codes[pos[bare]]).astype(np.int32))
-            at.append(pos[hit])
-            length.append(np.full(len(hit), n, np.int32))
-            piece.append(ids[hit])
-        nil = np.zeros(0, np.int64)
-        at, length, piece = (np.concatenate([nil.astype(t), *x]) for x, t in ((at, np.int64), (length, np.int32), (piece, np.int32)))
-        order = np.argsort((left[at] << 40) | (at << 5) | (31 - np.minimum(length, 31)))  # longer pieces first
-        at, length, self.piece = at[order], length[order], piece[order]
-        self.node = at + unit[at]
-        self.target = self.node + length
-        is_byte = self.piece >= voc.size
-        weight = voc.log_prob[np.where(is_byte, 0, self.piece)]
-        code = self.piece[is_byte] - voc.size
-        self.n_bytes = np.ones(len(self.piece), np.int8)
+        unit = np.repeat(np.arange(len(units), dtype=np.int32), size)
+        left = (end[unit] - np.arange(len(unit))).astype(np.int32)
+        self.start = (end - size + np.arange(len(units))).astype(np.int32)  # a unit's first node; its last one is its end
+        at, length, piece = self._edges(voc, text, left)
+        self.piece = piece
+        self.target = at + unit[at]
+        self.node = self.target.copy()
+        self.target += length
+        is_byte = np.flatnonzero(piece >= voc.size)
+        weight = voc.log_prob.take(piece, mode="clip")
+        code = piece[is_byte] - voc.size
+        self.n_bytes = np.ones(len(piece), np.int8)
         self.n_bytes[is_byte] = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
         weight[is_byte] = voc.byte_log_prob * self.n_bytes[is_byte]
         nodes = len(unit) + len(units)
         beta = np.zeros(nodes)
-        self.first = np.zeros(nodes, np.int64)
-        self.count = np.zeros(nodes, np.int32)
-        self.log_q = np.empty(len(at))
-        lead = np.flatnonzero(np.diff(self.node, prepend=-1))
-        many = np.diff(np.append(lead, len(at)))
+        self.first, self.count = np.zeros(nodes, np.int32), np.zeros(nodes, np.int32)
+        lead = np.flatnonzero(np.diff(self.node, prepend=-1)).astype(np.int32)
+        many = np.diff(np.append(lead, len(at))).astype(np.int32)
         self.first[self.node[lead]], self.count[self.node[lead]] = lead, many
         level = left[at[lead]]
+        del at, length, unit, left
         steps = np.searchsorted(level, np.arange(1, (int(level[-1]) if len(level) else 0) + 2))
         for a, z in zip(steps[:-1], steps[1:], strict=True):
             if a == z:
                 continue
-            lo, hi = lead[a], lead[z] if z < len(lead) else len(at)
+            lo, hi = lead[a], lead[z] if z < len(lead) else len(weight)
             value = weight[lo:hi] + beta[self.target[lo:hi]]
-            own = np.maximum.reduceat(value, lead[a:z] - lo)
-            spread = np.repeat(own, many[a:z])
+            cut = lead[a:z] - lo
+            total = np.maximum.reduceat(value, cut)
+            spread = np.repeat(total, many[a:z])
             if not best:
-                spread = np.repeat(own + np.log(np.add.reduceat(np.exp(value - spread), lead[a:z] - lo)), many[a:z])
-            beta[self.node[lo:hi]] = spread
-            self.log_q[lo:hi] = value - spread
+                total = total + np.log(np.add.reduceat(np.exp(value - spread), cut))
+                spread = np.repeat(total, many[a:z])
+            beta[self.node[lead[a:z]]] = total
+            weight[lo:hi] = value - spread
+        self.log_q = weight
         if best:  # the first of the best edges of each node is certain
-            self.log_q = np.where(self.log_q == 0, 0.0, -np.inf)
+            self.log_q = np.where(weight == 0, 0.0, -np.inf)
         # sums of whole numbers, so that they don't hang on what else is in the batch
         q = np.round(np.exp(self.log_q) * 2.0**52).astype(np.uint64)
         total = np.cumsum(q)
-        self.upto = (total - np.repeat((total - q)[lead], many)) * 2.0**-52
-        self.upto[np.append(lead[1:], len(at)) - 1 if len(lead) else nil] = np.inf
+        total -= np.repeat((total - q)[lead], many)
+        self.upto = total * 2.0**-52
+        if len(lead):
+            self.upto[np.append(lead[1:], len(q)) - 1] = np.inf
+
+    @staticmethod
+    def _edges(voc: Vocabulary, text: str, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position, length, piece) of all edges, by what is left of the unit, then position, longer pieces first."""
+        hashes = rolling.Hashes(_values(text))
+        at, length, piece = [], [], []
+        for n in range(min(voc.longest, int(left.max()) if len(left) else 0), 0, -1):
+            pos = np.flatnonzero(left >= n).astype(np.int32)
+            ids = voc.find(hashes(pos, pos + n))
+            if n == 1:  # characters without a piece of their own are written in bytes
+                bare = np.flatnonzero(ids < 0)
+                codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<i4")
+                ids[bare] = voc.size + codes[pos[bare]]
+            hit = np.flatnonzero(ids >= 0)
+            at.append(pos[hit])
+            length.append(np.full(len(hit), n, np.int8))
+            piece.append(ids[hit])
+        if not at:
+            return np.zeros(0, np.int32), np.zeros(0, np.int8), np.zeros(0, np.int32)
+        at, length, piece = np.concatenate(at), np.concatenate(length), np.concatenate(piece)
+        order = np.argsort((left[at].astype(np.int64) << 40) | (at.astype(np.int64) << 5) | (31 - length))
+        return at[order], length[order], piece[order]
 
     def walk(self, start: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Draw an edge path from each node to its unit's end: (edges in the order of items, number per item)."""
@@ -218,7 +229,7 @@ class Lattices:
             node[live] = to
             live = live[self.count[to] > 0]
         begin = np.cumsum(count) - count
-        out = np.empty(int(count.sum()), np.int64)
+        out = np.empty(int(count.sum()), np.int32)
         for k, (items, e) in enumerate(steps):
             out[begin[items] + k] = e
         return out, count
@@ -241,8 +252,12 @@ def truncated(location: np.ndarray, noise: np.ndarray, bound: np.ndarray) -> np.
 
 def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... size[0] of them, then start[1] and so on."""
-    end = np.cumsum(size)
-    return np.repeat(start - end + size, size) + np.arange(end[-1] if len(end) else 0)
+    end = np.cumsum(size, dtype=np.int64)
+    total = int(end[-1]) if len(end) else 0
+    kind = np.int32 if total < 2**31 else np.int64
+    out = np.repeat((start - end + size).astype(kind), size)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 class Corpus:
@@ -252,33 +267,34 @@ class Corpus:
         self.voc, self.texts = voc, texts
         lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         words = lists.values.dictionary_encode()
-        known: dict[str, int] = {}
         # most words are letters and marks after them: two links at most, found over arrays
         core = pc.utf8_rtrim(words.dictionary, MARKS)
-        plain = pc.match_substring_regex(core, LETTERS).to_numpy(zero_copy_only=False)
-        core = pc.if_else(pa.array(plain), core, "").dictionary_encode()
-        names = core.dictionary.to_pylist()
-        lead = np.array([known.setdefault(" " + c, len(known)) for c in names], np.int64)[core.indices.to_numpy()]
-        size = pc.utf8_length(core.dictionary).to_numpy(zero_copy_only=False)[core.indices.to_numpy()]
-        tails, links = [], []
-        for w, n, p in zip(words.dictionary.to_pylist(), size.tolist(), plain.tolist(), strict=True):
-            if p:
-                tails.append(known.setdefault(w[n:], len(known)) if len(w) > n else -1)
-            else:
-                parts = UNITS.findall(w) or [""]
-                parts[0] = " " + parts[0]
-                links.append([known.setdefault(u, len(known)) for u in parts])
-                tails.append(-1)
-        tail = np.array(tails, np.int64)
-        many = 1 + (tail >= 0)
+        plain = pc.match_substring_regex(core, LETTERS)
+        core = pc.if_else(plain, core, "").dictionary_encode()
+        tail = pc.if_else(plain, pc.struct_field(pc.extract_regex(words.dictionary, LAST_MARKS), 0), "").dictionary_encode()
+        chain = [" " + c for c in core.dictionary.to_pylist()]
+        first_tail = len(chain)
+        marks = tail.dictionary.to_pylist()
+        chain += [m or " " for m in marks]
+        plain = plain.to_numpy(zero_copy_only=False)
+        last = tail.indices.to_numpy()
+        marked = np.array([bool(m) for m in marks], bool)[last] if marks else np.zeros(0, bool)
+        many = 1 + marked.astype(np.int64)
         odd = np.flatnonzero(~plain)
+        known: dict[str, int] = {}
+        links = []
+        for w in words.dictionary.take(pa.array(odd)).to_pylist():
+            parts = UNITS.findall(w) or [""]
+            parts[0] = " " + parts[0]
+            links.append([known.setdefault(u, len(known)) for u in parts])
         many[odd] = [len(x) for x in links]
         cuts = np.concatenate([[0], np.cumsum(many)])
-        flat = np.empty(cuts[-1], np.int64)
-        flat[cuts[:-1]] = lead
-        flat[cuts[:-1][tail >= 0] + 1] = tail[tail >= 0]
+        flat = np.empty(cuts[-1], np.int32)
+        flat[cuts[:-1]] = core.indices.to_numpy()
+        flat[cuts[:-1][marked] + 1] = first_tail + last[marked]
         if len(odd):
-            flat[_ragged(cuts[:-1][odd], many[odd])] = [u for x in links for u in x]
+            flat[_ragged(cuts[:-1][odd], many[odd])] = [len(chain) + u for x in links for u in x]
+        chain += known
         index = words.indices.to_numpy()
         size = np.diff(cuts)[index]
         units = flat[_ragged(cuts[:-1][index], size)]
@@ -291,7 +307,7 @@ class Corpus:
             units = units[keep]
             place = place - np.concatenate([[0], np.cumsum(empty)])
         self.units, self.place = units, place
-        self.lattices = Lattices(voc, list(known), best)
+        self.lattices = Lattices(voc, chain, best)
         self.node = self.lattices.start[units]
 
     def ids(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -308,116 +324,127 @@ class Corpus:
 
 
 class Path:
-    """One sample per document: its edges, the units they belong to, and where it left its region's other samples."""
+    """One sample per document: its edges, the units they belong to, and the regions that branch off.
+
+    ``location`` is the log mass of the region at each edge, -inf once it is
+    taken; ``start_at`` is where the path left its own region's other samples;
+    ``value`` is the largest value of all its open regions, per document.
+    """
 
     def __init__(self, edges: np.ndarray, unit: np.ndarray, cuts: np.ndarray, start_at: np.ndarray | None = None):
         self.edges, self.unit, self.cuts = edges, unit, cuts
         self.start_at = np.full(len(cuts) - 1, -1, np.int64) if start_at is None else start_at
-        self.value = np.zeros(0)  # of the regions that branch off at each edge
+        self.doc = np.repeat(np.arange(len(cuts) - 1, dtype=np.int32), np.diff(cuts))
+        self.location = self.value = np.zeros(0)
+
+    def masses(self) -> tuple[np.ndarray, np.ndarray]:
+        """The log mass of the open regions per document, and each region's share in whole numbers."""
+        n, some = len(self.cuts) - 1, np.flatnonzero(np.diff(self.cuts))
+        top, total = np.full(n, -np.inf), np.zeros(n, np.uint64)
+        if len(some):
+            top[some] = np.maximum.reduceat(self.location, self.cuts[some])
+        safe = np.where(np.isfinite(top), top, 0.0)
+        share = np.round(np.exp(self.location - safe[self.doc]) * 2.0**40).astype(np.uint64)
+        if len(some):
+            total[some] = np.add.reduceat(share, self.cuts[some])
+        with np.errstate(divide="ignore"):
+            return top + np.log(total * 2.0**-40), share
 
+    def offer(self, bound: np.ndarray, noise: np.ndarray) -> None:
+        """Draw the largest value of the open regions, under ``bound``."""
+        log_mass, self.share = self.masses()
+        self.value = np.where(np.isfinite(log_mass), truncated(np.where(np.isfinite(log_mass), log_mass, 0.0), noise, bound), -np.inf)
 
-def _largest(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """Per document the largest value, -inf where it has none."""
-    out = np.full(len(cuts) - 1, -np.inf)
-    some = np.flatnonzero(cuts[1:] > cuts[:-1])
-    if len(some):
-        out[some] = np.maximum.reduceat(values, cuts[some])
-    return out
+    def choose(self, docs: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The region that has the largest value, for each of some documents, by its share; it is taken."""
+        upto = np.cumsum(self.share)
+        before = np.where(self.cuts[docs] > 0, upto[np.maximum(self.cuts[docs], 1) - 1], np.uint64(0))
+        whole = upto[self.cuts[docs + 1] - 1] - before
+        at = np.searchsorted(upto, before + np.minimum((u * whole).astype(np.uint64), whole - np.uint64(1)), "right")
+        self.location[at] = -np.inf
+        return at
 
 
 def sample(corpus: Corpus, seeds: np.ndarray, k: int) -> list[list[tuple[int, np.ndarray, float, float, float]]]:
     """Per document up to k samples (rank, ids, log probability, perturbed, inclusion), largest first."""
     lat, n = corpus.lattices, len(seeds)
     place, units = corpus.place, np.diff(corpus.place)
-    doc_of_unit = np.repeat(np.arange(n), units)
-    unit_seed = rolling.mix(seeds[doc_of_unit] ^ rolling.mix(_ragged(np.zeros(n, np.int64), units).astype(np.uint64)))
+    unit_seed = rolling.mix(np.repeat(seeds, units) ^ rolling.mix(_ragged(np.zeros(n, np.int64), units).astype(np.uint64)))
     edges, count = lat.walk(corpus.node, unit_seed)
-    unit = np.repeat(np.arange(len(corpus.node)), count)
-    paths = [Path(edges, unit, np.concatenate([[0], np.cumsum(count)])[place])]
+    paths = [Path(edges, np.repeat(np.arange(len(corpus.node), dtype=np.int32), count), np.concatenate([[0], np.cumsum(count)])[place])]
     value = gumbel(seeds, 1 << 40)  # the lattice's whole mass is 1
     live = np.ones(n, bool)
     out: list[list] = [[] for _ in range(n)]
-    fresh_at = paths[0].cuts[:-1].copy()  # where regions of the newest path begin
-    fresh_mass = np.full(n, np.nan)  # mass at that place, if it isn't all but the own edge
+    rest_at, rest = paths[0].cuts[:-1], np.full(n, np.nan)  # where the newest path left its region, and the mass left there
     barred: dict[tuple[int, int], list[int]] = {}
     for r in range(k):
         path = paths[r]
-        many = np.diff(path.cuts)
         lq = lat.log_q[path.edges]
         run = np.concatenate([[0], np.cumsum(np.round(lq * FINE).astype(np.int64))])
-        log_prob = (run[path.cuts[1:]] - run[path.cuts[:-1]]) / FINE
-        doc = np.repeat(np.arange(n), many)
+        begin = run[path.cuts[:-1]]
+        log_prob = (run[path.cuts[1:]] - begin) / FINE
         with np.errstate(divide="ignore"):
-            mass = np.log(-np.expm1(lq))
-            turn = fresh_at[live & (many > 0)]
-            special = ~np.isnan(fresh_mass[doc[turn]])
-            mass[turn[special]] = np.log(fresh_mass[doc[turn[special]]])
-        location = (run[:-1] - run[path.cuts[:-1]][doc]) / FINE + mass
-        position = np.arange(len(lq)) - path.cuts[:-1][doc]
-        noise = gumbel(rolling.mix(seeds[doc] ^ np.uint64(7 * (r + 1))), position.astype(np.uint64))
-        open_ = np.isfinite(location) & (np.arange(len(lq)) >= fresh_at[doc])
-        path.value = np.full(len(lq), -np.inf)
-        path.value[open_] = truncated(location[open_], noise[open_], value[doc[open_]])
+            path.location = np.log(-np.expm1(lq))
+            mended = np.flatnonzero(~np.isnan(rest))
+            path.location[rest_at[mended]] = np.log(rest[mended])
+        path.location += (run[:-1] - begin[path.doc]) / FINE
+        path.location[np.arange(len(lq)) < rest_at[path.doc]] = -np.inf
+        path.offer(value, gumbel(seeds, (1 << 42) + r))
         ids, size = corpus.ids(path.edges)
         id_cuts = np.concatenate([[0], np.cumsum(size)])[path.cuts]
         for d in np.flatnonzero(live).tolist():
             out[d].append([r + 1, ids[id_cuts[d] : id_cuts[d + 1]], float(log_prob[d]), float(value[d])])
         # the region with the largest value is searched next
-        tops = np.stack([_largest(p.value, p.cuts) for p in paths])
+        tops = np.stack([p.value for p in paths])
         value, origin = tops.max(0), tops.argmax(0)
         live = np.isfinite(value)
         if r + 1 == k or not live.any():
             break
-        turn = np.full(n, -1, np.int64)
+        turn, at_unit = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+        choice = uniform(seeds, (1 << 41) + 2 * r), uniform(seeds, (1 << 41) + 2 * r + 1)
         for j, p in enumerate(paths):
-            mine = live & (origin == j)
-            hit = np.flatnonzero((p.value == np.repeat(np.where(mine, value, np.nan), np.diff(p.cuts))))
-            first = hit[np.unique(np.repeat(np.arange(n), np.diff(p.cuts))[hit], return_index=True)[1]]
-            owner = np.searchsorted(p.cuts, first, "right") - 1
-            turn[owner] = first
-            p.value[first] = -np.inf
-        choice = uniform(seeds, (1 << 41) + r)
+            mine = np.flatnonzero(live & (origin == j))
+            if len(mine):
+                turn[mine] = p.choose(mine, choice[0][mine])
+                at_unit[mine] = p.unit[turn[mine]]
+                bound = p.value.copy()
+                p.offer(np.where(np.isfinite(bound), bound, 0.0), gumbel(seeds, (1 << 43) + r * k + j))
+                keep = np.ones(n, bool)
+                keep[mine] = False
+                p.value[keep] = bound[keep]
         chosen = np.flatnonzero(live)
-        other, fresh_mass = np.zeros(n, np.int64), np.full(n, np.nan)
+        other, rest = np.zeros(n, np.int64), np.full(n, np.nan)
         for d in chosen.tolist():
             p = paths[origin[d]]
             own = int(p.edges[turn[d]])
             bar = [*barred.get((int(origin[d]), d), []), own] if turn[d] == p.start_at[d] else [own]
             node = lat.node[own]
-            all_edges = np.arange(lat.first[node], lat.first[node] + lat.count[node])
-            free = all_edges[~np.isin(all_edges, bar)]
+            free = [e for e in range(lat.first[node], lat.first[node] + lat.count[node]) if e not in bar]
             q = np.exp(lat.log_q[free])
-            pick = int(np.searchsorted(np.cumsum(q), choice[d] * q.sum(), "right"))
-            pick = min(pick, len(free) - 1)
+            pick = min(int(np.searchsorted(np.cumsum(q), choice[1][d] * q.sum(), "right")), len(free) - 1)
             other[d] = free[pick]
-            rest = float(q.sum() - q[pick]) if len(free) > 1 else 0.0
-            fresh_mass[d] = max(0.0, rest)
+            rest[d] = float(np.delete(q, pick).sum())
             barred[(r + 1, d)] = bar
         # the rest of each sample: from the other edge to its unit's end, then all later units
-        at_unit = np.zeros(n, np.int64)
-        for j in np.unique(origin[chosen]).tolist():
-            mine = chosen[origin[chosen] == j]
-            at_unit[mine] = paths[j].unit[turn[mine]]
         later = np.where(live, place[1:] - at_unit, 0)
         item_unit = _ragged(np.where(live, at_unit, 0), later)
         start = corpus.node[item_unit]
-        heads = (np.cumsum(later) - later)[chosen]
-        start[heads] = lat.target[other[chosen]]
+        start[(np.cumsum(later) - later)[chosen]] = lat.target[other[chosen]]
         more, count = lat.walk(start, rolling.mix(unit_seed[item_unit] ^ np.uint64(1000003 * (r + 1))))
         more_unit = np.repeat(item_unit, count)
         more_cuts = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(later)])]
-        parts, owners, cuts, fresh_at = [], [], [0], np.zeros(n, np.int64)
+        parts, owners, cuts, rest_at = [more[:0]], [more_unit[:0]], [0], np.zeros(n, np.int64)
         for d in range(n):
             if live[d]:
                 p = paths[origin[d]]
                 a, t = p.cuts[d], turn[d]
-                fresh_at[d] = cuts[-1] + t - a
+                rest_at[d] = cuts[-1] + t - a
                 parts += [p.edges[a:t], other[d : d + 1], more[more_cuts[d] : more_cuts[d + 1]]]
                 owners += [p.unit[a:t], at_unit[d : d + 1], more_unit[more_cuts[d] : more_cuts[d + 1]]]
                 cuts.append(cuts[-1] + t - a + 1 + more_cuts[d + 1] - more_cuts[d])
             else:
                 cuts.append(cuts[-1])
-        paths.append(Path(np.concatenate(parts), np.concatenate(owners), np.array(cuts), fresh_at))
+        paths.append(Path(np.concatenate(parts).astype(np.int32), np.concatenate(owners).astype(np.int32), np.array(cuts), rest_at))
     for d, found in enumerate(out):
         for s in found:
             s.append(float(-np.expm1(-np.exp(s[2] - value[d]))) if np.isfinite(value[d]) else 1.0)
