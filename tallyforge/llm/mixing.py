@@ -3,10 +3,8 @@
 Every source asks for a share of the word budget in proportion to its weight.
 No source may be read more than ``max_epochs`` times; what a clamped source
 cannot take goes to the others in proportion to their weights until all fit.
-The level has a closed form: with sources in order of cap / weight, the
-clamped ones are a prefix, and the first source that stays below its cap
-fixes the level for the rest. So one ordered window over the sources (one row
-each) replaces the rounds of clamping.
+A round needs two sums over the sources, so there may be any number of them;
+only the sums come to the driver.
 
 A source's target becomes whole repetitions of all its documents and a seeded
 fractional one. The fractional one takes documents in the order of a hash of
@@ -23,10 +21,15 @@ columns of ``docs`` are passed on by ``mix``, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, stored, table
+from .common import n_words, partitions, stored, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -45,27 +48,45 @@ def _keyed(docs: DataFrame, seed: int) -> DataFrame:
     ).withColumn("__mix_bin", F.shiftright("__mix_u", 64 - BINS.bit_length() + 1))
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the number of their partition and their place in it."""
+    part, at = TaskContext.get().partitionId(), 0
+    for b in batches:
+        place = np.arange(at, at + b.num_rows)
+        at += b.num_rows
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part)), pa.array(place)], names=[*b.schema.names, "part", "place"])
+
+
+def ranked(sizes: DataFrame) -> DataFrame:
+    """sizes (source, source_size) with rank: the place of each source by code point from 0, null last.
+
+    Ranges of sources are numbered apart; the ranges' counts, one row each, give where each begins.
+    """
+    order = F.col("source").asc_nulls_last()
+    dealt = sizes.select("source", "source_size").repartitionByRange(partitions(sizes.sparkSession), order).sortWithinPartitions(order)
+    rows = stored(dealt.mapInArrow(_numbered, "source string, source_size long, part long, place long"), "mix-ranks")
+    before = Window.partitionBy(F.lit(1)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    begin = rows.groupBy("part").agg(F.count("*").alias("n")).select(F.col("part").alias("__part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+    return rows.join(begin, F.col("part") == F.col("__part")).select("source", "source_size", (F.col("begin") + F.col("place")).alias("rank"))
+
+
 def water_fill(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
-    """Targets of sources. sizes: (source, source_size), one row per source."""
-    one = F.lit(1)
-    ranked = sizes.withColumn("rank", F.row_number().over(Window.partitionBy(one).orderBy(F.col("source").asc_nulls_last())))
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
-    level = Window.partitionBy(one).orderBy("ratio", "rank")
-    everything = Window.partitionBy(one)
-    return (
-        ranked.withColumn("weight", weight)
-        .withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
-        .withColumn("ratio", F.col("cap") / F.col("weight"))
-        .withColumn("budget", F.sum("source_size").over(everything) * F.lit(float(share)))
-        .withColumn("left", F.col("budget") - F.coalesce(F.sum("cap").over(level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("level", F.col("left") / F.sum("weight").over(level.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("free", F.col("ratio") > F.col("level"))
-        .withColumn("level", F.min(F.when(F.col("free"), F.struct("ratio", "rank", "level"))).over(everything)["level"])
-        .select(
-            "source", "source_size", "weight",
-            F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight"))).alias("target"),
-        )
-    )
+    """Targets of sources. sizes: (source, source_size), one row per source.
+
+    Each round is one sum over the sources that are under the level, and clamps
+    those that the new level would lift over their caps; clamped ones stay so.
+    """
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    rows = stored(ranked(sizes).select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(max_epochs))).alias("cap")), "mix-weights")
+    level, seen = None, -1
+    while True:
+        free = F.lit(True) if level is None else F.col("cap") / F.col("weight") > F.lit(level)
+        words, held, heavy, clamped = rows.agg(F.sum("source_size"), F.sum(F.when(~free, F.col("cap"))), F.sum(F.when(free, F.col("weight"))), F.count_if(~free)).first()
+        if clamped == seen or not heavy:
+            break
+        seen, level = clamped, (words * float(share) - (held or 0.0)) / heavy
+    lifted = F.col("cap") if not heavy else F.least("cap", F.col("weight") * F.lit(level))
+    return rows.select("source", "source_size", "weight", lifted.alias("target"))
 
 
 def source_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
