@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import level
 from ..functions.similarity import token_similarity
-from ..functions.text import lines, present, strip
+from ..functions.text import lines, present
 from ..operators import duplicates, evaluate, extract, imaging, risk, vendor, vision
 from ..sources.directory import directory_of
 from ..sources.scenarios import KNOWN, scenarios

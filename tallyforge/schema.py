@@ -23,7 +23,6 @@ def struct_type(ddl: str) -> str:
 
 EVIDENCE_TYPE = struct_type(EVIDENCE)
 SIGNAL_TYPE = struct_type(f"source string, code string, description string, weight double, confidence double, score double, evidence {EVIDENCE_TYPE}, ord int")
-FIELDS_TYPE = struct_type(FIELDS)
 DIRECTORY = "vendor_name string, tax_id string, ord int"
 
 # Weight and confidence of each code; None where the detector sets the confidence.
