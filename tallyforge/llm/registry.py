@@ -19,4 +19,4 @@ QUERIES = {
     "op10_media": media.op10_media,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL = {"op7_warc": warc.ORACLE_SQL}
+ORACLE_SQL = {"op2_suffix_dedup": suffixes.ORACLE_SQL, "op5_substrings": substrings.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL}

@@ -246,3 +246,17 @@ def deduplicate(docs: DataFrame, n: int = WORDS, k: int = GRAM, batches: int = B
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(table(spark, sf_dir, "documents"), texts=False).drop("text")
+
+
+ORACLE_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+ win AS (SELECT doc_id, unnest(range(1, len(words) - 11)) AS i, words FROM w),
+ keyed AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS k FROM win),
+ firsts AS (SELECT k, min(doc_id) AS low FROM keyed GROUP BY k),
+ hit AS (SELECT doc_id, i FROM keyed JOIN firsts USING (k) WHERE doc_id > low),
+ gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM hit),
+ each AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM w),
+ kept AS (SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.p) AS text, count(*) AS n FROM each e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.p = g.p GROUP BY e.doc_id)
+SELECT w.doc_id, len(words) AS n_words, len(words) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""

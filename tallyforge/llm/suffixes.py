@@ -236,3 +236,19 @@ def deduplicate(docs: DataFrame, n: int = LENGTH, k: int = GRAM, texts: bool = T
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(table(spark, sf_dir, "documents"), texts=False).drop("text")
+
+
+ORACLE_SQL = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+ win AS (SELECT doc_id, unnest(range(0, length(x) // 2 - 99)) AS i, unnest(list_transform(range(0, length(x) // 2 - 99), lambda i: md5_number(substr(x, 2 * i + 1, 200)))) AS k FROM t),
+ nth AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM win),
+ hit AS (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 < i, true) AS fresh FROM nth WHERE n > 1),
+ island AS (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM hit),
+ span AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM island GROUP BY doc_id, g),
+ gap AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS z FROM span
+         UNION ALL SELECT t.doc_id, coalesce(max(s.z), 0), any_value(length(x) // 2) FROM t LEFT JOIN span s ON t.doc_id = s.doc_id GROUP BY t.doc_id),
+ kept AS (SELECT g.doc_id, string_agg(substr(x, 2 * a + 1, 2 * (z - a)), '' ORDER BY a) AS x FROM gap g JOIN t ON t.doc_id = g.doc_id GROUP BY g.doc_id),
+ spans AS (SELECT doc_id, count(*) AS n FROM span GROUP BY doc_id)
+SELECT t.doc_id, length(t.x) // 2 AS n_bytes, (length(t.x) - length(kept.x)) // 2 AS n_removed, coalesce(spans.n, 0) AS n_spans, sha256(unhex(kept.x)) AS kept_sha256
+FROM t JOIN kept ON t.doc_id = kept.doc_id LEFT JOIN spans ON t.doc_id = spans.doc_id
+"""
