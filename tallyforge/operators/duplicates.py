@@ -58,9 +58,15 @@ def band_join(probes: DataFrame, history: DataFrame, config: Config = DEFAULT) -
 
 
 def fuzzy_pairs(probes: DataFrame, history: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Every pair of a row and an earlier one that match."""
-    columns = ("seq", "invoice_id", "vendor_name", "total", "invoice_date")
-    return band_join(usable(probes).select(*columns), usable(history).select(*columns), config).where("prior_seq < seq")
+    """Every pair of a row and an earlier one that match; names and amounts are compared once per distinct pair."""
+    columns, kind = ("seq", "invoice_id", "vendor_name", "total", "invoice_date"), ("vendor_name", "total")
+    own, past = usable(probes).select(*columns), usable(history).select(*columns)
+    near = band_join(own.select(*kind).distinct(), past.select(*kind).distinct(), config)
+    near = near.select(F.col("vendor_name").alias("__name"), F.col("total").alias("__total"), F.col("prior_vendor_name").alias("__prior_name"), F.col("prior_total").alias("__prior_total"), "similarity")
+    past = past.select(*[F.col(c).alias(f"prior_{c}") for c in columns])
+    met = own.join(near, (F.col("vendor_name") == F.col("__name")) & (F.col("total") == F.col("__total")))
+    met = met.join(past, (F.col("prior_vendor_name") == F.col("__prior_name")) & (F.col("prior_total") == F.col("__prior_total")))
+    return met.where("prior_seq < seq").drop("__name", "__total", "__prior_name", "__prior_total")
 
 
 def fuzzy_matches(probes: DataFrame, history: DataFrame, config: Config = DEFAULT) -> DataFrame:
