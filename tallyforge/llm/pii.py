@@ -73,6 +73,7 @@ SECRET = re.compile(r"(?i:token|secret|passw(?:or)?d|passphrase|api[_-]?key|acce
 PERSON = re.compile(r"(?:(?P<title>%s)\.? )?(?P<first>(?:%s) )?(?P<last>[^\W\d_][^\W\d_]+(?:-[^\W\d_]+)?)" % ("|".join(sorted(TITLES, key=len, reverse=True)), "|".join(sorted(_FIRST, key=len, reverse=True))))
 LEAD = re.compile("(?:%s)" % "|".join([*(f"{t}\\.? " for t in sorted(TITLES, key=len, reverse=True)), *(f"{n} " for n in sorted(_FIRST, key=len, reverse=True))]))
 DIGIT = re.compile("[0-9]")
+MAPPABLE = "[0-9%s]" % "".join(a + a.upper() for a in LETTERS)  # strings without such a character stay as they are
 
 
 def _number(data: bytes, key: bytes, tweak: str) -> int:
@@ -178,7 +179,9 @@ def surrogate(kind: str, text: str, key: bytes = KEY) -> str:
         local, _, domain = text.partition("@")
         name, _, top = domain.rpartition(".")
         low = name.lower()
-        return _shift(local, _classes(local), key, f"local@{domain.lower()}") + "@" + _shift(low, _classes(low), key, f"domain.{top.lower()}") + "." + top
+        new = _shift(low, _classes(low), key, f"domain.{top.lower()}")
+        new = "".join(c.upper() if o.isupper() else c for c, o in zip(new, name, strict=True))  # case variants stay apart
+        return _shift(local, _classes(local), key, f"local@{domain.lower()}") + "@" + new + "." + top
     if kind == "phone":
         code = re.match(r"\+[0-9]{1,3}", text)
         keep = code.end() if code else 0
@@ -257,8 +260,8 @@ def entity_table(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
 
 def collisions(found: DataFrame) -> DataFrame:
-    """Surrogates that two different entities of a kind share, or that equal their entity."""
-    shared = found.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.max(F.col("entity") == F.col("surrogate")).alias("same"))
+    """Surrogates that two different entities of a kind share, or that equal their entity though it has another string of its format."""
+    shared = found.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.max((F.col("entity") == F.col("surrogate")) & F.col("entity").rlike(MAPPABLE)).alias("same"))
     return shared.where("n > 1 or same").select("kind", "surrogate", "n")
 
 

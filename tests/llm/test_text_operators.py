@@ -218,3 +218,15 @@ def test_pipeline_of_nothing(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         now = stage(spark, now, sf_dir)
     assert now.count() == 0
+
+
+def test_pii_collisions_that_no_key_mends(spark):
+    texts = ["bob@Example.com and bob@example.com", "bob@example.COM", "Password: ____________", "secret = ============"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert pii.checked_key(df) == pii.KEY
+    got = [r.text for r in pii.replace_pii(df, pii.KEY).orderBy("doc_id").collect()]
+    a, b = got[0].split(" and ")
+    assert a != b and a.lower() == b == b.lower() and "example" not in b and got[1].lower() == b and got[1].endswith(".COM")
+    assert got[2:] == texts[2:]
+    same = spark.createDataFrame([("secret", "abc123abc123", "abc123abc123"), ("secret", "____________", "____________")], "kind string, entity string, surrogate string")
+    assert [r.surrogate for r in pii.collisions(same).collect()] == ["abc123abc123"]
