@@ -61,6 +61,7 @@ PATTERN = re.compile(
     (?P<email>(?<![\w.%+-])[\w%+-][\w.%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}(?![\w-]))
     |(?P<mac>(?<![\w:-])[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}(?![\w:-]))
     |(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?|[0-9]{1,4}[ .-])(?:[0-9]{2,4}[ .-]?){1,3}[0-9]{2,4}(?![0-9])
+        |(?<![\w+])\+[0-9]{8,15}(?![0-9])
         |(?<![\w(])\([0-9]{3}\)[ ]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![\w.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-]))
     |(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
     |(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9])(?!\.[0-9]))
@@ -69,15 +70,18 @@ PATTERN = re.compile(
     """,
     re.X,
 )
-SECRET = re.compile(r"(?i:token|secret|passw(?:or)?d|passphrase|api[_-]?key|access[_-]?key)[ \t]*[=:][ \t]*([\"']?)(?P<secret>[\w+/=.~-]{12,512})\1")
+SECRET = re.compile(r"(?i:token|secret|passw(?:or)?d|passphrase|api[_-]?key|access[_-]?key)[ \t]*[=:][ \t]*([\"']?)(?P<secret>[\w+/=.~-]{12,}+)\1")
 PERSON = re.compile(r"(?:(?P<title>%s)\.? )?(?P<first>(?:%s) )?(?P<last>[^\W\d_][^\W\d_]+(?:-[^\W\d_]+)?)" % ("|".join(sorted(TITLES, key=len, reverse=True)), "|".join(sorted(_FIRST, key=len, reverse=True))))
 LEAD = re.compile("(?:%s)" % "|".join([*(f"{t}\\.? " for t in sorted(TITLES, key=len, reverse=True)), *(f"{n} " for n in sorted(_FIRST, key=len, reverse=True))]))
 DIGIT = re.compile("[0-9]")
+BLOCK = 512  # characters that are mapped as one number
 MAPPABLE = "[0-9%s]" % "".join(a + a.upper() for a in LETTERS)  # strings without such a character stay as they are
 
 
-def _number(data: bytes, key: bytes, tweak: str) -> int:
-    return int.from_bytes(hashlib.blake2b(data, key=key[:64], digest_size=64, salt=hashlib.blake2b(tweak.encode(), digest_size=16).digest()).digest(), "big")
+def _number(data: bytes, key: bytes, tweak: str, width: int) -> int:
+    """At least ``width`` keyed bytes as a number."""
+    salt = hashlib.blake2b(tweak.encode(), digest_size=16).digest()
+    return int.from_bytes(b"".join(hashlib.blake2b(data, key=key[:64], digest_size=64, salt=salt, person=k.to_bytes(16, "big")).digest() for k in range((width + 63) // 64)), "big")
 
 
 def _permute(n: int, size: int, key: bytes, tweak: str, back: bool = False) -> int:
@@ -88,9 +92,9 @@ def _permute(n: int, size: int, key: bytes, tweak: str, back: bool = False) -> i
         left, right = n >> half, n & low
         for k in (range(7, -1, -1) if back else range(8)):
             if back:
-                left, right = right ^ (_number(bytes([k]) + left.to_bytes(width, "big"), key, tweak) & low), left
+                left, right = right ^ (_number(bytes([k]) + left.to_bytes(width, "big"), key, tweak, width) & low), left
             else:
-                left, right = right, left ^ (_number(bytes([k]) + right.to_bytes(width, "big"), key, tweak) & low)
+                left, right = right, left ^ (_number(bytes([k]) + right.to_bytes(width, "big"), key, tweak, width) & low)
         n = left << half | right
         if n < size:
             return n
@@ -105,6 +109,13 @@ def _cycle(n: int, size: int, key: bytes, tweak: str) -> int:
 
 def _shift(text: str, alphabets: list[str | None], key: bytes, tweak: str) -> str:
     """Another string with the same alphabet at each place; None: the character stays."""
+    if len(text) > BLOCK:  # block by block; each hangs on all before it
+        seen, out = hashlib.blake2b(digest_size=16), []
+        for at in range(0, len(text), BLOCK):
+            part = text[at : at + BLOCK]
+            out.append(_shift(part, alphabets[at : at + BLOCK], key, f"{tweak}|{at}|{seen.hexdigest()}"))
+            seen.update(part.encode())
+        return "".join(out)
     n, size = 0, 1
     for c, a in zip(text, alphabets, strict=True):
         if a:

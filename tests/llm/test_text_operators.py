@@ -230,3 +230,22 @@ def test_pii_collisions_that_no_key_mends(spark):
     assert got[2:] == texts[2:]
     same = spark.createDataFrame([("secret", "abc123abc123", "abc123abc123"), ("secret", "____________", "____________")], "kind string, entity string, surrogate string")
     assert [r.surrogate for r in pii.collisions(same).collect()] == ["abc123abc123"]
+
+
+def test_pii_long_secrets_and_plain_phones():
+    import random
+
+    rng = random.Random(4)
+    for n in (500, 800, 5000):
+        value = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+        for text in (f"token={value}", f"token: '{value}' end"):
+            out, used = pii.redact(text)
+            assert [(k, o) for k, o, _ in used] == [("secret", value)] and len(out) == len(text)
+            assert not any(value[k : k + 12] in out for k in range(n - 11))
+            assert sum(a == b for a, b in zip(value, used[0][2], strict=True)) < 0.2 * n
+    last = value[:-1] + ("1" if value[-1] != "1" else "2")
+    assert pii.surrogate("secret", last) != pii.surrogate("secret", value)
+    for phone in ("+14155552671", "+4930123456", "+12345678"):
+        out, used = pii.redact(f"call {phone}, now")
+        assert [(k, o) for k, o, _ in used] == [("phone", phone)] and phone not in out and len(out) == len(phone) + 10
+    assert pii.redact("a+14155552671 +1234567 +1234567890123456")[1] == []
