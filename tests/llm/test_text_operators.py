@@ -249,3 +249,13 @@ def test_pii_long_secrets_and_plain_phones():
         out, used = pii.redact(f"call {phone}, now")
         assert [(k, o) for k, o, _ in used] == [("phone", phone)] and phone not in out and len(out) == len(phone) + 10
     assert pii.redact("a+14155552671 +1234567 +1234567890123456")[1] == []
+
+
+def test_pipeline_samples_as_the_operator_does(spark, sf_dir):
+    import corpus_pipeline
+
+    df = spark.createDataFrame([(1, "several words because of their many segmentations"), (2, "")], "doc_id long, text string")
+    got = collections.defaultdict(set)
+    for r in dict(corpus_pipeline.STAGES)["pieces"](spark, df, sf_dir).collect():
+        got[r.doc_id].add(tuple(r.ids))
+    assert len(got[1]) == pieces.SAMPLES > 1 and len(got[2]) == 1
