@@ -7,7 +7,7 @@ be read alone given the dictionary. A payload of at least ``MIN_REVISIT``
 bytes is stored once, as the response with the largest page id; the others
 with the same payload digest are revisit records that name it.
 
-The html travels once, by page id, to the archive that takes it. Which record
+The html travels once, by page id and payload, to the archive that takes it. Which record
 a page revisits is worked out beforehand on digests alone, aggregated per
 digest before any join, so a payload with very many copies is one row there.
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, partitions, publish, small_batches, stored, table
@@ -136,16 +136,20 @@ def read_archive(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def with_references(pages: DataFrame) -> DataFrame:
-    """``page_id, url, html, revisit, refers_to``, partitioned by page id."""
+    """``page_id, url, html, revisit, refers_to``, partitioned by page id and payload."""
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", body.alias("html"))
-    light = keyed.select("page_id", F.sha1("html").alias("digest"), F.length("html").alias("n")).where(F.col("n") >= MIN_REVISIT)
+    keyed = keyed.withColumn("digest", F.sha1("html"))
+    light = keyed.select("page_id", "digest", F.length("html").alias("n")).where(F.col("n") >= MIN_REVISIT)
     light = stored(light, "warc-digests")
     # one response per digest, whatever number of rows has it
     first = light.groupBy("digest").agg(F.max("page_id").alias("holder"), F.count("*").alias("copies")).where("copies > 1")
-    refers = light.join(first, "digest").groupBy("page_id").agg(F.max("holder").alias("holder"), F.max("digest").alias("shared"))
-    by_id = keyed.join(refers.withColumnRenamed("page_id", "__ref"), F.col("page_id").eqNullSafe(F.col("__ref")), "left")
-    revisits = F.coalesce(~F.col("page_id").eqNullSafe(F.col("holder")) & F.col("holder").isNotNull(), F.lit(False))
+    own = F.concat_ws(":", F.col("page_id").cast("string"), "digest")  # a null id is left out
+    refers = light.join(first, "digest").groupBy(own.alias("__ref")).agg(F.max("holder").alias("holder"))
+    by_id = keyed.withColumn("__own", own).join(refers, F.col("__own") == F.col("__ref"), "left")
+    # of rows with the holder's id and payload one is the response
+    by_id = by_id.withColumn("__nth", F.row_number().over(Window.partitionBy("__own").orderBy("url")))
+    revisits = F.coalesce((~F.col("page_id").eqNullSafe(F.col("holder")) | (F.col("__nth") > 1)) & F.col("holder").isNotNull(), F.lit(False))
     return by_id.select("page_id", "url", "html", revisits.alias("revisit"), F.when(revisits, F.col("holder")).alias("refers_to"))
 
 

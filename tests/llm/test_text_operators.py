@@ -259,3 +259,14 @@ def test_pipeline_samples_as_the_operator_does(spark, sf_dir):
     for r in dict(corpus_pipeline.STAGES)["pieces"](spark, df, sf_dir).collect():
         got[r.doc_id].add(tuple(r.ids))
     assert len(got[1]) == pieces.SAMPLES > 1 and len(got[2]) == 1
+
+
+def test_warc_repeated_ids(spark, tmp_path):
+    x, y = "x" * 1500, "y" * 1500
+    rows = [(5, "a", x, None), (9, "b", x, None), (5, "c", y, None), (5, "d", "short", None), (9, "e", x, None), (None, "f", x, None), (7, "g", y + "z", None)]
+    base = f"file://{tmp_path}/repeated"
+    got = warc.read_warc(warc.write_warc(spark.createDataFrame(rows, PAGES).repartition(3), base), base).collect()
+    sha = {hashlib.sha1(t.encode()).hexdigest(): t for _, _, t, _ in rows}
+    found = sorted(((r.page_id, sha[r.payload_digest], r.record_type, r.refers_to) for r in got), key=repr)
+    want = [(5, x, "revisit", 9), (9, x, "response", None), (9, x, "revisit", 9), (5, y, "response", None), (5, "short", "response", None), (None, x, "revisit", 9), (7, y + "z", "response", None)]
+    assert found == sorted(want, key=repr)
