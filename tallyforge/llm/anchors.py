@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import utf8
+from .common import ranked, utf8
 
 CHUNK = (1 << 19) - 1024  # bytes of text hashed at once
 HELD = 400_000  # runs held by a task before they are sent
@@ -249,28 +249,31 @@ def match_bucket(within: bool):
     return run
 
 
-def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, documents): rows (doc_id, key, text), and the same once per key.
+KEY = "__doc_key"
+
+
+def named(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``docs`` with a column ``KEY``, and whether rows may share a key.
 
     The key is the id where ids are unique. Else rows with equal id and text
     share a key, and those with equal id are told apart by a hash of the text;
-    a null id comes before all others.
+    a null id comes before all others. The key is then the place in that order.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    odd = rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1)
-    if odd.isEmpty():
-        rows = rows.withColumn("key", F.col("doc_id"))
-        return rows, rows
-    rows = rows.withColumns({"__h": F.xxhash64("text"), "__n": F.length("text")})
-    names = rows.select("doc_id", "__h", "__n").distinct()
-    from pyspark.sql import Window
-
-    names = names.withColumn("__rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("__h", "__n")))
-    low, most = names.agg(F.min("doc_id"), F.max("__rank")).first()
-    base = F.coalesce(F.col("doc_id") - F.lit((low or 0) - 1), F.lit(0))
-    names = names.select(F.col("doc_id").alias("__id"), F.col("__h").alias("__hh"), F.col("__n").alias("__nn"), (base * F.lit(most or 1) + F.col("__rank")).alias("key"))
-    rows = rows.join(names, rows.doc_id.eqNullSafe(names["__id"]) & (F.col("__h") == F.col("__hh")) & (F.col("__n") == F.col("__nn"))).select("doc_id", "key", "text")
-    return rows, rows.dropDuplicates(["key"])
+    number = F.col("doc_id").cast("long")
+    if docs.groupBy(number.alias("id")).count().where("count > 1 or id is null").limit(1).isEmpty():
+        return docs.withColumn(KEY, number), False
+    own = [number, F.xxhash64(F.coalesce("text", F.lit(""))), F.length(F.coalesce("text", F.lit("")))]
+    names = ["__key_id", "__key_hash", "__key_size"]
+    places = ranked(docs.select(*[c.alias(n) for c, n in zip(own, names, strict=True)]).distinct(), names, KEY, "names")
+    same = [c.eqNullSafe(F.col(n)) for c, n in zip(own, names, strict=True)]
+    return docs.join(places, same[0] & same[1] & same[2]).drop(*names), True
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, documents): rows (doc_id, key, text), and the same once per key, as ``named`` gives it."""
+    rows, shared = named(docs.select("doc_id", "text"))
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(KEY).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows, rows.dropDuplicates(["key"]) if shared else rows
 
 
 def snippets(documents: DataFrame, compare: DataFrame, cut: Callable[[bytes, list[tuple[int, int]]], list[bytes]], n: int) -> DataFrame:

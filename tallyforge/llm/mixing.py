@@ -10,10 +10,12 @@ A source's target becomes whole repetitions of all its documents and a seeded
 fractional one. The fractional one takes documents in the order of a hash of
 their id until the words that remain are reached. To find that threshold
 without ordering a source (one may hold a third of all rows), word counts are
-first summed over ``BINS`` ranges of the hash, map side first; only the one
-range per source in which the threshold falls is ordered exactly.
+first summed over 1024 ranges of the hash, map side first; the one range per
+source in which the threshold falls is summed over 1024 finer ones, and only
+the finer one with the threshold, a millionth of the source, is ordered.
 
-Defined cases: null text has size 0 and takes no words; a null source is a
+Defined cases: null text has size 0 and takes no words; a document without
+words is taken ``max_epochs`` times at most, like any other; a null source is a
 source of its own, ordered last; a null id hashes like a fixed value; repeated
 rows are taken or left together; an empty table gives an empty result; extra
 columns of ``docs`` are passed on by ``mix``, whatever their names.
@@ -21,21 +23,16 @@ columns of ``docs`` are passed on by ``mix``, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, partitions, stored, table
+from .common import n_words, ranked, stored, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MAX_EPOCHS = 2.0
 SEED = 20240607
-BINS = 1024  # a power of two
+BITS = 10  # of the hash, for each of the two levels of ranges
 
 
 def _keyed(docs: DataFrame, seed: int) -> DataFrame:
@@ -45,29 +42,7 @@ def _keyed(docs: DataFrame, seed: int) -> DataFrame:
             "__mix_u": F.xxhash64(F.lit(seed), F.col("doc_id")),
             "__mix_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")),
         }
-    ).withColumn("__mix_bin", F.shiftright("__mix_u", 64 - BINS.bit_length() + 1))
-
-
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with the number of their partition and their place in it."""
-    part, at = TaskContext.get().partitionId(), 0
-    for b in batches:
-        place = np.arange(at, at + b.num_rows)
-        at += b.num_rows
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part)), pa.array(place)], names=[*b.schema.names, "part", "place"])
-
-
-def ranked(sizes: DataFrame) -> DataFrame:
-    """sizes (source, source_size) with rank: the place of each source by code point from 0, null last.
-
-    Ranges of sources are numbered apart; the ranges' counts, one row each, give where each begins.
-    """
-    order = F.col("source").asc_nulls_last()
-    dealt = sizes.select("source", "source_size").repartitionByRange(partitions(sizes.sparkSession), order).sortWithinPartitions(order)
-    rows = stored(dealt.mapInArrow(_numbered, "source string, source_size long, part long, place long"), "mix-ranks")
-    before = Window.partitionBy(F.lit(1)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    begin = rows.groupBy("part").agg(F.count("*").alias("n")).select(F.col("part").alias("__part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
-    return rows.join(begin, F.col("part") == F.col("__part")).select("source", "source_size", (F.col("begin") + F.col("place")).alias("rank"))
+    ).withColumn("__mix_bin", F.shiftright("__mix_u", 64 - 2 * BITS))
 
 
 def water_fill(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
@@ -77,7 +52,8 @@ def water_fill(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epoc
     those that the new level would lift over their caps; clamped ones stay so.
     """
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
-    rows = stored(ranked(sizes).select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(max_epochs))).alias("cap")), "mix-weights")
+    order = [F.col("source").asc_nulls_last()]
+    rows = stored(ranked(sizes.select("source", "source_size"), order, "rank", "mix-ranks").select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(max_epochs))).alias("cap")), "mix-weights")
     level, seen = None, -1
     while True:
         free = F.lit(True) if level is None else F.col("cap") / F.col("weight") > F.lit(level)
@@ -89,29 +65,41 @@ def water_fill(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epoc
     return rows.select("source", "source_size", "weight", lifted.alias("target"))
 
 
+def _edges(bins: DataFrame, rooms: DataFrame) -> DataFrame:
+    """(source, edge, room): the bin in which a source's words reach its room, and what of the room is left there.
+
+    bins: (source, bin, words); rooms: (__room_source, room), the room over 0.
+    """
+    run = Window.partitionBy("source").orderBy("bin")
+    before = bins.withColumn("before", F.sum("words").over(run) - F.col("words"))
+    inside = (F.col("room") > 0) & (F.col("before") <= F.col("room")) & (F.col("room") < F.col("before") + F.col("words"))
+    return before.join(rooms, F.col("source").eqNullSafe(F.col("__room_source"))).where(inside).select("source", F.col("bin").alias("edge"), (F.col("room") - F.col("before")).alias("room"))
+
+
 def source_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """One row per source: target, whole repetitions, and where the fractional one ends."""
     light = stored(_keyed(docs, seed).select("source", "__mix_size", "__mix_u", "__mix_id", "__mix_bin"), "mix-sizes")
-    bins = light.groupBy("source", "__mix_bin").agg(F.sum("__mix_size").alias("words"))
+    coarse = F.shiftright("__mix_bin", BITS)
+    bins = light.groupBy("source", coarse.alias("bin")).agg(F.sum("__mix_size").alias("words"))
     targets = water_fill(bins.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, max_epochs)
     plan = targets.withColumn("whole", F.floor(F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)) + F.lit(1e-12)).cast("int")).withColumn(
         "rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))
     )
-    run = Window.partitionBy("source").orderBy("__mix_bin")
-    edges = (
-        bins.withColumn("before", F.sum("words").over(run) - F.col("words"))
-        .withColumnRenamed("source", "__mix_source")
-        .join(plan.select("source", "rest"), F.col("__mix_source").eqNullSafe(F.col("source")))
-        .where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words")))
-        .select("source", F.col("__mix_bin").alias("edge"), (F.col("rest") - F.col("before")).alias("room"))
-    )
-    plan = stored(plan.withColumnRenamed("source", "__mix_source").join(edges, F.col("__mix_source").eqNullSafe(F.col("source")), "left").drop("source").withColumnRenamed("__mix_source", "source"), "mix-plan")
+    first = stored(_edges(bins, plan.select(F.col("source").alias("__room_source"), F.col("rest").alias("room"))), "mix-edges")
+    # the range in which the threshold falls, in as many finer ones
+    near = light.join(first.select(F.col("source").alias("__room_source"), "edge"), F.col("source").eqNullSafe(F.col("__room_source")) & (coarse == F.col("edge")))
+    fine = near.groupBy("source", F.col("__mix_bin").alias("bin")).agg(F.sum("__mix_size").alias("words"))
+    edges = _edges(fine, first.select(F.col("source").alias("__room_source"), F.nullif("room", F.lit(0.0)).alias("room")))
+    # words that fill the coarse range's beginning exactly: nothing of it is taken
+    exact = first.where("room = 0").select("source", F.shiftleft("edge", BITS).alias("edge"), "room")
+    edges = edges.unionAll(exact).withColumnRenamed("source", "__room_source")
+    plan = stored(plan.join(edges, F.col("source").eqNullSafe(F.col("__room_source")), "left").drop("__room_source"), "mix-plan")
     order = Window.partitionBy("source").orderBy("__mix_u", "__mix_id")
     last = (
         light.withColumnRenamed("source", "__mix_source")
         .join(plan.select("source", "edge", "room"), F.col("__mix_source").eqNullSafe(F.col("source")) & (F.col("__mix_bin") == F.col("edge")))
         .withColumn("sum", F.sum("__mix_size").over(order))
-        .where(F.col("sum") - F.col("__mix_size") / 2 <= F.col("room"))
+        .where((F.col("room") > 0) & (F.col("sum") - F.col("__mix_size") / 2 <= F.col("room")))
         .groupBy("source")
         .agg(F.max(F.struct("__mix_u", "__mix_id")).alias("last"))
         .withColumnRenamed("source", "__mix_source")

@@ -116,7 +116,7 @@ def _fingerprints(words: int):
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp): a 64-bit SimHash over shingles of ``words`` words, repeats included."""
-    small_batches(docs.sparkSession, rows=1000)
+    small_batches(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_fingerprints(words), "doc_id long, fp long")
 
 
@@ -190,7 +190,7 @@ def _postings(distinct: DataFrame, masks: list[int]) -> DataFrame:
 
 def links(distinct: DataFrame, max_bits: int = 2, cap: int = CAP) -> DataFrame:
     """Links (a, b) that connect all pairs of distinct fingerprints within ``max_bits`` bits."""
-    small_batches(distinct.sparkSession, rows=2000)
+    small_batches(distinct.sparkSession)
     posts = _postings(distinct, block_masks(max_bits))
     sizes = stored(posts.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-sizes")
     gather = lambda p: p.groupBy("mask", "key").agg(F.collect_list("fp").alias("members")).where("size(members) > 1").select("mask", "members")

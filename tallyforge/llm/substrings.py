@@ -142,8 +142,9 @@ class Index:
         found = stored(packed.groupBy("bucket").applyInArrow(bucket, anchors.FOUND), "word-runs")
         fs, root = pafs.FileSystem.from_uri(self.base)
         if compact:
-            for r in runs:
-                fs.delete_dir(f"{root}/{r}")
+            for r in runs:  # a batch without windows has left none
+                if fs.get_file_info(f"{root}/{r}").type == pafs.FileType.Directory:
+                    fs.delete_dir(f"{root}/{r}")
             self.runs = []
         self.runs.append(own)
         self.made += 1

@@ -15,7 +15,8 @@ of the counts that the writing tasks report (one row each). Files get their
 names by a rename once they are complete, so a retried task leaves whole
 files. Readers map the files into memory where the file system is local.
 
-Encoding: a byte-level BPE with this kind of split pattern never joins a
+Encoding gives what the library gives for the whole text without special
+tokens around it; an added token that occurs in a text is that token. A byte-level BPE with this kind of split pattern never joins a
 non-space character and a following single space. So texts are cut before
 single spaces between other characters, and each distinct cut is encoded once
 by the library, many to a call; a bounded cache keeps the ids as bytes.
@@ -61,10 +62,12 @@ class CutEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.known: dict[str, bytes] = {}
+        # a text that holds an added token goes to the library whole
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         # a byte-level model names bytes by printable characters: its own where it has one, else the next free
         names = [b if 33 <= b <= 126 or 161 <= b <= 255 and b != 173 else None for b in range(256)]
         spare = iter(range(256, 512))
@@ -78,10 +81,9 @@ class CutEncoder:
             self.direct = Tokenizer(self.tokenizer.model)
             self.direct.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\t")
 
-    @staticmethod
-    def plain(text: str) -> bool:
+    def plain(self, text: str) -> bool:
         """Whether every space of a text is the place of a cut."""
-        return text[:1] != " " and text[-1:] != " " and "  " not in text and "\n " not in text and " \n" not in text and not WHITE.search(text)
+        return text[:1] != " " and text[-1:] != " " and "  " not in text and "\n " not in text and " \n" not in text and not WHITE.search(text) and not self.added.search(text)
 
     def _each(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []

@@ -1,9 +1,10 @@
 """WARC archives compressed record by record with a dictionary of their own.
 
 Each archive (``.warc.zst``) starts with a skippable frame that holds a
-Zstandard dictionary, trained on the first ``TRAIN_MB`` of that archive's own
-records; after it every record is one Zstandard frame, so that any record can
-be read alone given the dictionary. A payload of at least ``MIN_REVISIT``
+Zstandard dictionary, trained on ``TRAIN_MB`` of that archive's own records;
+after it every record is one Zstandard frame, so that any record can be read
+alone given the dictionary. Records lie in the order of their payload digests,
+so those trained on are a sample that hangs on nothing else. A payload of at least ``MIN_REVISIT``
 bytes is stored once, as the response with the largest page id; the others
 with the same payload digest are revisit records that name it.
 
@@ -144,7 +145,7 @@ def with_references(pages: DataFrame) -> DataFrame:
     light = stored(light, "warc-digests")
     # one response per digest, whatever number of rows has it
     first = light.groupBy("digest").agg(F.max("page_id").alias("holder"), F.count("*").alias("copies")).where("copies > 1")
-    own = F.concat_ws(":", F.col("page_id").cast("string"), "digest")  # a null id is left out
+    own = F.concat_ws(":", "digest", F.col("page_id").cast("string"))  # a null id is left out
     refers = light.join(first, "digest").groupBy(own.alias("__ref")).agg(F.max("holder").alias("holder"))
     by_id = keyed.withColumn("__own", own).join(refers, F.col("__own") == F.col("__ref"), "left")
     # of rows with the holder's id and payload one is the response
@@ -175,7 +176,7 @@ def _writer(base: str):
 
 def write_warc(pages: DataFrame, base: str) -> DataFrame:
     """Write the archives; gives (path, n) per archive."""
-    small_batches(pages.sparkSession, rows=500)
+    small_batches(pages.sparkSession)
     return stored(with_references(pages).mapInArrow(_writer(base), "path string, n long"), "warc-files")
 
 

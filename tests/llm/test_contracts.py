@@ -219,6 +219,43 @@ def test_mixing(spark, docs, empty, odd):
     assert mixing.mix(empty).count() == 0 and mixing.mix(odd).count() > 0
 
 
+def test_mixing_again_and_without_words(spark, docs):
+    """Reruns over other partitions agree; nothing is taken more than twice, documents without words included."""
+    def of(df):
+        return sorted(((r.doc_id, r["__mix_copies"]) for r in mixing.assign(df, mixing.source_plan(df)).collect()), key=repr)
+
+    rows = [(k, "one two three" if k % 3 else None, "few" if k < 9 else "many") for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first = of(df)
+    assert first == of(df.repartition(7)) and max(c for _, c in first) == 2
+    assert {c for i, c in first if i < 9} == {2}  # a source at its cap: every row twice, without words or not
+    assert of(docs) == of(docs.repartition(5, "text"))
+
+
+def test_mixing_thresholds_at_any_level(spark, monkeypatch):
+    """Few wide ranges or many narrow ones: the documents taken are the same."""
+    rows = [(k, "w " * (1 + k % 5), f"s{k % 3}") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = []
+    for bits in (1, 3, 10):
+        monkeypatch.setattr(mixing, "BITS", bits)
+        got.append(sorted((r.doc_id, r["__mix_copies"]) for r in mixing.assign(df, mixing.source_plan(df)).collect()))
+    assert got[0] == got[1] == got[2]
+
+
+def test_ids_over_the_whole_range(spark):
+    """Ids that span 64 bits, one repeated, one null."""
+    low, high = -(2**63), 2**63 - 1
+    rows = [(high, LONG), (low, LONG + " a"), (high, "other text"), (None, LONG), (0, None), (high, LONG)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for op in (suffixes, substrings):
+        got = collections.Counter((r.doc_id, r.n_removed > 0) for r in op.deduplicate(df, texts=False).collect())
+        assert got == {(high, True): 2, (low, True): 1, (high, False): 1, (None, False): 1, (0, False): 1}
+
+
+LONG = " ".join(f"word{k}" for k in range(40))
+
+
 def test_water_fill_moves_the_excess(spark):
     df = spark.createDataFrame([("a", 10), ("b", 100), ("c", 1000)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.water_fill(df, (5, 2, 1), 1.5, 2.0).collect()}
@@ -232,9 +269,14 @@ def test_token_ids(spark, docs, empty, odd, tmp_path):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     base = f"file://{tmp_path}/ids"
     got = {r.doc_id: r for r in tokenids.read_token_ids(tokenids.write_token_ids(docs, base, path, parts=3), base).collect()}
+    added = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>\n y <|endoftext| > <|endoftext|>z"]
+    more = f"file://{tmp_path}/added"
+    with_added = spark.createDataFrame([(k, t) for k, t in enumerate(added)], "doc_id long, text string")
+    for r in tokenids.read_token_ids(tokenids.write_token_ids(with_added, more, path), more).collect():
+        ids = [*plain.encode(added[r.doc_id], add_special_tokens=False).ids, 2]
+        assert 50256 in ids and (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
     start = 0
     for i, t in sorted(texts().items()):
         ids = np.array([*plain.encode(t, add_special_tokens=False).ids, 2], "<u4")
