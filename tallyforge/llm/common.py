@@ -99,10 +99,13 @@ def partitions(spark: SparkSession) -> int:
 def shares(df: DataFrame, mb: int = 64) -> int:
     """Into how many parts to deal ``df``: as many as the session's shuffles have, or more where it is large.
 
-    By the planner's estimate of its bytes, so that a part stays of one size as the data grow.
+    By the bytes of the files it is read from, as the planner knows them, so that a part stays of
+    one size as the data grow; a table that is in no file has no known size.
     """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
-    return max(partitions(df.sparkSession), -(-size // (mb << 20)))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size())]
+    known = sum(x for x in sizes if x < 1 << 60)
+    return max(partitions(df.sparkSession), -(-known // (mb << 20)))
 
 
 def n_words(text: Column) -> Column:

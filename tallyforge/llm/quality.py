@@ -1,13 +1,22 @@
 """Quality rules: a linear-chain conditional random field over the lines of a text.
 
 Every line that has a word gets a vector of shares (symbols, capitals, digits,
-marks, words that repeat, and so on). Emission weights and transitions between
-the two labels, content and boilerplate, are fitted by the conditional
-likelihood of labelled documents: at most ``TRAIN_DOCS`` of them, in the order
-of a hash of their id; the lines of a good one are content, those of a bad one
-boilerplate. Viterbi decoding labels the lines of every document, over all
-documents of a batch at once. A document is kept if the words of its content
-lines are at least ``CONTENT_SHARE`` of its words and no base rule fails it.
+marks, words that repeat, and so on). Viterbi decoding labels each line content
+or boilerplate, over all documents of a batch at once. A document is kept if
+the words of its content lines are at least ``CONTENT_SHARE`` of its words and
+no base rule fails it.
+
+Labels are given per document only, so those of its lines are latent. The fit
+goes back and forth between them and the weights (hard EM): a line that several
+different documents of the sample have, or that repeats within its document, is
+boilerplate; the others take the label that the field finds likelier given
+their neighbours, but for as many of the most likely ones as it takes that half
+the words of a good document are content and half of a bad one's are not. So
+emission weights and transitions are learned from documents that hold both.
+
+The sample is bounded: at most ``TRAIN_DOCS`` labelled documents in the order
+of a hash of their id, and of each at most ``TRAIN_LINES`` successive lines
+from a place that a hash gives. Only feature vectors reach the driver.
 
 Defined cases: null, empty and blank texts have no words and fail the base
 rule; where no labelled document exists the fixed weights ``PRIOR`` decide;
@@ -28,6 +37,9 @@ from . import rolling
 from .common import small_batches, table, utf8
 
 TRAIN_DOCS = 2000
+TRAIN_LINES = 256
+COMMON = 3  # different documents of the sample that have a line of boilerplate
+ROUNDS = (150, 60, 60)  # steps of the fit after each labelling of the lines
 CONTENT_SHARE = 0.5
 CHUNK = 1 << 21
 FEATURES = ("one", "log_words", "symbols", "bars", "capitals", "digits", "marks", "repeated", "duplicate", "long_words", "stop_end", "other_bytes")
@@ -73,6 +85,7 @@ class Lines:
         first, last = edges[has], edges[has + 1]
         self.line_doc = np.searchsorted(docs, first, "right") - 1
         self.line_words = line_words[has + 1] - line_words[has]
+        self.line_hash = rolling.Hashes(rolling.byte_values(buf, 3))(first, np.maximum(first, last - 1))
         duplicate = np.zeros(len(has), bool)
         whole, seen, now = buf.tobytes(), set(), -1
         for k, (d, a, z) in enumerate(zip(self.line_doc.tolist(), first.tolist(), last.tolist(), strict=True)):
@@ -135,52 +148,73 @@ class LineField:
         return cls(np.stack([-PRIOR / 2, PRIOR / 2]), np.array([[0.4, -0.4], [-0.4, 0.4]]))
 
     @classmethod
-    def fit(cls, documents: list[tuple[np.ndarray, int]], rounds: int = 150, rate: float = 0.08, ridge: float = 1e-3) -> LineField:
-        """documents: feature vectors of the lines, and the label of them all."""
+    def fit(cls, documents: list[tuple[np.ndarray, np.ndarray | int]], rounds: int = 150, rate: float = 0.08, ridge: float = 1e-3, start: LineField | None = None) -> LineField:
+        """By the conditional likelihood. documents: feature vectors of the lines, and the label of each or of all."""
         documents = sorted((d for d in documents if len(d[0])), key=lambda d: -len(d[0]))
-        if len({label for _, label in documents}) < 2:
+        line_label = np.concatenate([np.zeros(0, np.int64), *(np.broadcast_to(y, len(x)) for x, y in documents)]).astype(np.int64)
+        if len(set(line_label.tolist())) < 2:
             return cls.prior()
-        # a document's lines share a label, so long ones would outweigh all others
-        width = max(len(x) for x, _ in documents)
+        # long documents would outweigh all others
         size = np.array([len(x) for x, _ in documents])
-        label = np.array([y for _, y in documents])
         rows = np.concatenate([x for x, _ in documents])
-        place = np.cumsum(size) - size
-        weight = 1.0 / size
-        weights, moves = np.zeros((2, rows.shape[1])), np.zeros((2, 2))
-        params = [weights, moves]
+        place, end = np.cumsum(size) - size, np.cumsum(size) - 1
+        line_weight = np.repeat(1.0 / size, size)
+        params = [start.weights.copy(), start.moves.copy()] if start else [np.zeros((2, rows.shape[1])), np.zeros((2, 2))]
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        line_label, line_weight = np.repeat(label, size), np.repeat(weight, size)
-        alive = [int((size > t).sum()) for t in range(width)]
+        pair = np.ones(len(rows), bool)
+        pair[place] = False
+        k = np.flatnonzero(pair)
+        own = np.zeros((2, 2))
+        np.add.at(own, (line_label[k - 1], line_label[k]), line_weight[k])
+        wanted = np.eye(2)[line_label]
         for step in range(1, rounds + 1):
-            emit = rows @ weights.T
-            alpha, beta = np.empty((len(rows), 2)), np.zeros((len(rows), 2))
-            alpha[place] = emit[place]
-            for t in range(1, width):
-                k = place[: alive[t]] + t
-                alpha[k] = emit[k] + np.logaddexp(alpha[k - 1, :1] + moves[0], alpha[k - 1, 1:] + moves[1])
-            for t in range(width - 1, 0, -1):
-                k = place[: alive[t]] + t
-                ahead = emit[k] + beta[k]
-                beta[k - 1] = np.logaddexp(moves[:, 0] + ahead[:, :1], moves[:, 1] + ahead[:, 1:])
-            end = place + size - 1
+            field = cls(*params)
+            emit, alpha, beta = field._passes(rows, size)
             total = np.logaddexp(alpha[end, 0], alpha[end, 1])
             near = np.exp(alpha + beta - np.repeat(total, size)[:, None])
-            wanted = np.eye(2)[line_label]
-            slope = ((wanted - near) * line_weight[:, None]).T @ rows / len(documents) - ridge * weights
-            pair = np.ones(len(rows), bool)
-            pair[place] = False
-            k = np.flatnonzero(pair)
-            joint = alpha[k - 1][:, :, None] + moves + (emit[k] + beta[k])[:, None, :]
+            slope = ((wanted - near) * line_weight[:, None]).T @ rows / len(documents) - ridge * params[0]
+            joint = alpha[k - 1][:, :, None] + params[1] + (emit[k] + beta[k])[:, None, :]
             joint = np.exp(joint - np.repeat(total, size)[k][:, None, None]) * line_weight[k][:, None, None]
-            own = np.zeros((2, 2))
-            np.add.at(own, (line_label[k], line_label[k]), line_weight[k])
-            steep = (own - joint.sum(0)) / len(documents) - ridge * moves
+            steep = (own - joint.sum(0)) / len(documents) - ridge * params[1]
             for p, g, m, v in zip(params, (slope, steep), first, second, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 p += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        return cls(weights, moves)
+        return cls(*params)
+
+    @classmethod
+    def fit_latent(cls, documents: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], rounds: tuple[int, ...] = ROUNDS) -> LineField:
+        """documents: vectors, words and marks of weak boilerplate per line, and the document's label."""
+        documents = sorted((d for d in documents if len(d[0])), key=lambda d: -len(d[0]))
+        field = cls.prior()
+        if len({d[3] for d in documents}) < 2:
+            return field
+        rows, size = np.concatenate([d[0] for d in documents]), np.array([len(d[0]) for d in documents])
+        cuts = np.concatenate([[0], np.cumsum(size)])
+        # first: the document's label, but for lines that are plainly of the other kind
+        lean = np.clip((rows @ (field.weights[1] - field.weights[0])), -4, 4) + np.repeat([6.0 * d[3] - 3.0 for d in documents], size)
+        for k in rounds:
+            labels = [constrained(lean[a:z], words, weak, y) for (_, words, weak, y), a, z in zip(documents, cuts[:-1], cuts[1:], strict=True)]
+            field = cls.fit([(d[0], x) for d, x in zip(documents, labels, strict=True)], k, start=None if k == rounds[0] else field)
+            _, alpha, beta = field._passes(rows, size)
+            lean = (alpha + beta) @ np.array([-1.0, 1.0])
+        return field
+
+    def _passes(self, rows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Emissions and the forward and backward sums of documents, the longest first."""
+        emit = rows @ self.weights.T
+        alpha, beta = np.empty((len(rows), 2)), np.zeros((len(rows), 2))
+        place, width = np.cumsum(size) - size, int(size[0])
+        alpha[place] = emit[place]
+        alive = np.searchsorted(-size, -np.arange(1, width + 1), "right")
+        for t in range(1, width):
+            k = place[: alive[t]] + t
+            alpha[k] = emit[k] + np.logaddexp(alpha[k - 1, :1] + self.moves[0], alpha[k - 1, 1:] + self.moves[1])
+        for t in range(width - 1, 0, -1):
+            k = place[: alive[t]] + t
+            ahead = emit[k] + beta[k]
+            beta[k - 1] = np.logaddexp(self.moves[:, 0] + ahead[:, :1], self.moves[:, 1] + ahead[:, 1:])
+        return emit, alpha, beta
 
     def decode(self, vectors: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The most likely labels of the lines; ``counts`` lines per document."""
@@ -206,14 +240,40 @@ class LineField:
         return label
 
 
+def constrained(lean: np.ndarray, words: np.ndarray, weak: np.ndarray, label: int) -> np.ndarray:
+    """Labels of a document's lines: by ``lean`` (over 0: content), weak boilerplate first, and half the words as the document's label."""
+    if 2 * words[weak].sum() > words.sum():
+        weak = np.zeros(len(weak), bool)  # a copy of other documents rather than lines that many share
+    lean = np.where(weak, -np.inf, lean)
+    out = lean > 0
+    order = np.argsort(-lean if label else lean, kind="stable")
+    need = np.searchsorted(2 * np.cumsum(words[order]), words.sum()) + 1
+    out[order[:need]] = bool(label)
+    return out.astype(np.int64)
+
+
+def common_lines(hashes: list[np.ndarray]) -> list[np.ndarray]:
+    """Marks the lines that ``COMMON`` different documents have; copies of a document are one."""
+    distinct = {x.tobytes(): np.unique(x) for x in hashes}
+    lines, many = np.unique(np.concatenate([np.zeros(0, np.uint64), *distinct.values()]), return_counts=True)
+    known = lines[many >= COMMON]
+    return [np.isin(x, known) for x in hashes]
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = utf8(b.column("text"))
         for at, to in rolling.chunks([len(x) for x in texts], CHUNK):
             lines = Lines(texts[at:to])
             cuts = np.concatenate([[0], np.cumsum(lines.counts)])
-            packed = [lines.vectors[a:z].astype("<f4").tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), b.column("quality").slice(at, to - at)], names=["lines", "quality"])
+            out = []
+            for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if z - a > TRAIN_LINES:
+                    a += int(lines.line_hash[a] % np.uint64(z - a - TRAIN_LINES + 1))
+                    z = a + TRAIN_LINES
+                out.append((lines.vectors[a:z].astype("<f4").tobytes(), lines.line_words[a:z].astype("<i8").tobytes(), lines.line_hash[a:z].tobytes()))
+            columns = [pa.array(c, pa.binary()) for c in zip(*out, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, b.column("quality").slice(at, to - at)], names=["lines", "words", "hashes", "quality"])
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> LineField:
@@ -223,9 +283,15 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> LineFie
     chosen = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("__label_id")).agg(F.max("quality").cast("int").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("__label_id")).limit(most)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__label_id"))
-    rows = sample.select("text", "quality").mapInArrow(_features, "lines binary, quality int").collect()
-    vectors = sorted((bytes(r.lines), r.quality) for r in rows)  # the fit doesn't hang on the order of rows
-    return LineField.fit([(np.frombuffer(x, "<f4").reshape(-1, len(FEATURES)).astype(float), int(y > 0)) for x, y in vectors])
+    rows = sample.select("text", "quality").mapInArrow(_features, "lines binary, words binary, hashes binary, quality int").collect()
+    rows = sorted((bytes(r.hashes), bytes(r.lines), bytes(r.words), int(r.quality > 0)) for r in rows)  # the fit doesn't hang on the order of rows
+    hashes = [np.frombuffer(h, np.uint64) for h, _, _, _ in rows]
+    again = FEATURES.index("duplicate")
+    found = []
+    for common, (_, x, words, y) in zip(common_lines(hashes), rows, strict=True):
+        vectors = np.frombuffer(x, "<f4").reshape(-1, len(FEATURES)).astype(float)
+        found.append((vectors, np.frombuffer(words, "<i8"), common | (vectors[:, again] > 0), y))
+    return LineField.fit_latent(found)
 
 
 def judge(texts: list[bytes], field: LineField) -> dict[str, np.ndarray]:

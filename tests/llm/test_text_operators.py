@@ -192,6 +192,55 @@ def test_field_learns_and_decodes():
     assert (quality.LineField.fit([]).weights == quality.LineField.prior().weights).all()
 
 
+def mixed_pages(n, rng):
+    """Pages of prose and boilerplate in stretches; label: whether prose has most words. Gives (text, line labels, label)."""
+    words = ["river", "stone", "walked", "the", "of", "and", "slowly", "evening", "over", "a", "house", "remembered", "light", "under", "they"]
+    shared = ["Home | About | Contact | Login", "© ALL RIGHTS RESERVED ***", "SHARE >> TWEET >> PIN", "Menu | Search | Help | Cart"]
+    for k in range(n):
+        lines, labels, label = [], [], k % 2
+        while len(lines) < 14:
+            content = rng.random() < (0.7 if label else 0.15)
+            for _ in range(int(rng.integers(2, 5))):
+                if content:
+                    text = " ".join(rng.choice(words, int(rng.integers(8, 16)))).capitalize() + "."
+                else:
+                    own = " | ".join(w.upper() for w in rng.choice(words, int(rng.integers(3, 9)))) + f" {'*' * int(rng.integers(1, 4))} {rng.integers(10**6)}"
+                    text = str(rng.choice(shared)) if rng.random() < 0.4 else own
+                lines.append(text)
+                labels.append(int(content))
+        many = [len(x.split()) for x in lines]
+        yield "\n".join(lines), labels, int(2 * np.dot(many, labels) >= sum(many))
+
+
+def test_lines_of_mixed_documents(spark):
+    """Only documents are labelled; most have lines of both kinds, which the field tells apart on held-out pages."""
+    rng = np.random.default_rng(11)
+    pages = list(mixed_pages(300, rng))
+    docs = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(pages[:200])], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, (_, _, y) in enumerate(pages[:200])], "doc_id long, quality int")
+    field = quality.train(docs, labels)
+    held = pages[200:]
+    lines = quality.Lines([t.encode() for t, _, _ in held])
+    got, want = field.decode(lines.vectors, lines.counts), np.concatenate([x for _, x, _ in held])
+    cuts = np.concatenate([[0], np.cumsum(lines.counts)])
+    mixed = [0 < np.mean(got[a:z]) < 1 for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+    assert np.mean(got == want) > 0.95 and np.mean(mixed) > 0.6
+    kept = quality.judge([t.encode() for t, _, _ in held], field)["content_share"] >= quality.CONTENT_SHARE
+    assert np.mean(kept == [y for _, _, y in held]) > 0.9
+    assert field.moves[0, 0] + field.moves[1, 1] > field.moves[0, 1] + field.moves[1, 0]  # stretches are learned
+
+
+def test_line_labels_under_the_document():
+    lean, words, none = np.array([3.0, -1.0, 2.0, -5.0]), np.array([1, 10, 1, 4]), np.zeros(4, bool)
+    assert quality.constrained(lean, words, none, 1).tolist() == [1, 1, 1, 0]
+    assert quality.constrained(lean, words, none, 0).tolist() == [1, 0, 1, 0]
+    assert quality.constrained(lean, words, np.array([True, False, False, False]), 1).tolist() == [0, 1, 1, 0]
+    assert quality.constrained(lean, words, np.ones(4, bool), 1).tolist() == [1, 1, 1, 0]
+    a, b = np.array([1, 2, 3], np.uint64), np.array([1, 5], np.uint64)
+    assert [m.tolist() for m in quality.common_lines([a, a, a, b])] == [[False] * 3] * 3 + [[False] * 2]
+    assert [m.tolist() for m in quality.common_lines([a, b, b[:1]])] == [[True, False, False], [True, False], [True]]
+
+
 def test_held_out_quality(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     field = quality.train(docs, labels.where("doc_id % 2 = 0"))
