@@ -1,21 +1,23 @@
 """Duplicate submissions: exact by content hash, else fuzzy by name and amount.
 
-Arrival order is an explicit ``seq``. The exact stage is one window. The fuzzy
-stage works on distinct (name, amount) pairs: those of the history with their
+Arrival order is an explicit ``seq``. The exact stage aggregates the earliest
+row per hash, map side first, and joins it back. The fuzzy stage works on distinct (name, amount) pairs: those of the history with their
 earliest row, those of the probes, joined by a band on the amount. The band is
 an equi-join on amount buckets (the history's side is listed in its own and
-both neighbouring buckets) with the exact band and the similarity as residual
-conditions. Per probe pair and similarity only the earliest prior row can win,
+both neighbouring buckets) and on a word of the name: a similarity at the threshold
+needs a common one, and of a pair's common words the least is the key. The exact
+band and the similarity are residual conditions. Per probe pair and similarity only the earliest prior row can win,
 so a probe row meets a handful of candidates however often its name and amount
 recur.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from ..functions.sequence import sequence_similarity
 from ..functions.similarity import name_tokens, token_similarity
 from ..functions.text import present
 from ..schema import signal
@@ -34,9 +36,8 @@ def exact_matches(df: DataFrame, prior: Column | None = None) -> DataFrame:
 
     prior: which rows count as history; all by default.
     """
-    before = Window.partitionBy("content_hash").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    own = F.col("invoice_id") if prior is None else F.when(prior, F.col("invoice_id"))
-    return df.withColumn("exact_match", F.when(F.col("content_hash").isNotNull(), F.first(own, ignorenulls=True).over(before)))
+    past = df if prior is None else df.where(prior)
+    return exact_in_history(df, past.select("seq", "invoice_id", "content_hash"))
 
 
 def usable(df: DataFrame) -> DataFrame:
@@ -44,29 +45,45 @@ def usable(df: DataFrame) -> DataFrame:
     return df.where(present(F.col("vendor_name")) & F.col("total").isNotNull() & ~F.isnan("total"))
 
 
-def _bucketed(df: DataFrame, config: Config) -> DataFrame:
-    return df.withColumn("bucket", F.floor(F.col("total") / config.bucket_width)).withColumn("tokens", name_tokens(F.col("vendor_name")))
+def _keyed(df: DataFrame, config: Config) -> DataFrame:
+    """``df`` with its amount's bucket and its name's words, a row for each word that may be shared."""
+    df = df.withColumn("bucket", F.floor(F.col("total") / config.bucket_width)).withColumn("tokens", name_tokens(F.col("vendor_name")))
+    if config.name_similarity != "tokens" or config.vendor_threshold <= 0:
+        return df.withColumn("token", F.lit(""))  # names without a common word may be similar
+    return df.withColumn("token", F.explode(F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))))
 
 
 def band_join(probes: DataFrame, history: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Pairs within the amount band and at the similarity threshold; the history's columns start with prior_."""
-    b = _bucketed(history, config)
+    b = _keyed(history, config)
     b = b.select(*[F.col(c).alias(f"prior_{c}") for c in b.columns]).withColumn("bucket", F.explode(F.array(*[F.col("prior_bucket") + d for d in (-1, 0, 1)])))
-    pairs = _bucketed(probes, config).join(b, "bucket").where(amounts_close(F.col("total"), F.col("prior_total"), config))
-    sim = token_similarity(F.col("vendor_name"), F.col("prior_vendor_name"), F.col("tokens"), F.col("prior_tokens"))
+    pairs = _keyed(probes, config).join(b.withColumnRenamed("prior_token", "token"), ["bucket", "token"]).where(amounts_close(F.col("total"), F.col("prior_total"), config))
+    pairs = pairs.where((F.col("token") == "") | (F.col("token") == F.array_min(F.array_intersect("tokens", "prior_tokens")))).drop("token")
+    if config.name_similarity == "sequence":
+        sim = sequence_similarity(F.col("vendor_name"), F.col("prior_vendor_name"))
+    else:
+        sim = token_similarity(F.col("vendor_name"), F.col("prior_vendor_name"), F.col("tokens"), F.col("prior_tokens"))
     return pairs.withColumn("similarity", sim).where(F.col("similarity") >= config.vendor_threshold)
 
 
-def fuzzy_pairs(probes: DataFrame, history: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Every pair of a row and an earlier one that match; names and amounts are compared once per distinct pair."""
-    columns, kind = ("seq", "invoice_id", "vendor_name", "total", "invoice_date"), ("vendor_name", "total")
-    own, past = usable(probes).select(*columns), usable(history).select(*columns)
-    near = band_join(own.select(*kind).distinct(), past.select(*kind).distinct(), config)
-    near = near.select(F.col("vendor_name").alias("__name"), F.col("total").alias("__total"), F.col("prior_vendor_name").alias("__prior_name"), F.col("prior_total").alias("__prior_total"), "similarity")
-    past = past.select(*[F.col(c).alias(f"prior_{c}") for c in columns])
-    met = own.join(near, (F.col("vendor_name") == F.col("__name")) & (F.col("total") == F.col("__total")))
-    met = met.join(past, (F.col("prior_vendor_name") == F.col("__prior_name")) & (F.col("prior_total") == F.col("__prior_total")))
-    return met.where("prior_seq < seq").drop("__name", "__total", "__prior_name", "__prior_total")
+def fuzzy_pair_counts(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(similarity, date_match, n): how many pairs of rows match, of each similarity, with close dates or without.
+
+    Rows of one name, amount and date are counted first and pairs of such groups
+    are compared, so no pair of rows is made. ``seq`` tells rows apart: of two
+    rows one is the earlier, so a pair counts once whichever it is.
+    """
+    kind = ("vendor_name", "total", "invoice_date")
+    groups = usable(df).groupBy(*kind).agg(F.count("*").alias("n"))
+    near = band_join(groups.select("vendor_name", "total").distinct(), groups.select("vendor_name", "total").distinct(), config)
+    near = near.select(F.col("vendor_name").alias("__name"), F.col("total").alias("__total"), "prior_vendor_name", "prior_total", "similarity")
+    own = groups.join(near, (F.col("vendor_name") == F.col("__name")) & (F.col("total") == F.col("__total"))).drop("__name", "__total")
+    other = groups.select(*[F.col(c).alias(f"__{c}") for c in groups.columns])
+    met = own.join(other, (F.col("prior_vendor_name") == F.col("__vendor_name")) & (F.col("prior_total") == F.col("__total")))
+    itself = (F.col("vendor_name") == F.col("__vendor_name")) & (F.col("total") == F.col("__total")) & F.col("invoice_date").eqNullSafe(F.col("__invoice_date"))
+    ordered = F.col("n") * F.col("__n") - F.when(itself, F.col("n")).otherwise(F.lit(0))
+    counts = met.groupBy("similarity", dates_close(F.col("invoice_date"), F.col("__invoice_date"), config).alias("date_match")).agg(F.sum(ordered).alias("twice"))
+    return counts.where("twice > 0").select("similarity", "date_match", F.floor(F.col("twice") / 2).cast("long").alias("n"))
 
 
 def fuzzy_matches(probes: DataFrame, history: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -84,9 +101,8 @@ def fuzzy_matches(probes: DataFrame, history: DataFrame, config: Config = DEFAUL
 
 
 def exact_in_history(df: DataFrame, history: DataFrame) -> DataFrame:
-    """``df`` with exact_match from a table of earlier rows: the earliest with the same hash."""
-    seen = history.join(df.select("content_hash").distinct(), "content_hash", "left_semi")
-    first = seen.groupBy(F.col("content_hash").alias("__hash")).agg(F.min_by("invoice_id", "seq").alias("__id"), F.min("seq").alias("__first"))
+    """``df`` with exact_match from a table of earlier rows: the earliest with the same hash, if it is earlier than the row."""
+    first = history.where("content_hash is not null").groupBy(F.col("content_hash").alias("__hash")).agg(F.min_by("invoice_id", "seq").alias("__id"), F.min("seq").alias("__first"))
     joined = df.join(first, F.col("content_hash") == F.col("__hash"), "left")
     return joined.withColumn("exact_match", F.when(F.col("__first") < F.col("seq"), F.col("__id"))).drop("__hash", "__id", "__first")
 

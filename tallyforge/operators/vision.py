@@ -5,17 +5,59 @@ Anything malformed gives no findings; invalid elements are skipped one by one.
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import DETECTORS, EVIDENCE_FIELDS, EVIDENCE_TYPE, ORD_STEP, SIGNALS, VISION_CODES, clamp01, no_signals
 
 
+def with_answers(df: DataFrame, client: Callable[[list[str]], list[str]] | None, image: str = "data_url", out: str = "vision", batch: int = 8, per_minute: float | None = None) -> DataFrame:
+    """``df`` with a vision model's JSON answers, and ``vision_warning`` and ``vision_error``.
+
+    client: takes some images (data URLs) and gives an answer for each; a plain
+    function that holds the model's name and settings, called on the executors with
+    up to ``batch`` images at a time, and at most ``per_minute`` images a minute in
+    each task. Without one the answers are null: no findings. Where it raises
+    RuntimeError (it isn't available), its images have no answer and a warning;
+    any other failure is the error of its rows.
+    """
+    if client is None:
+        return df.withColumns({c: F.lit(None).cast("string") for c in (out, "vision_warning", "vision_error")})
+
+    @F.pandas_udf("answer string, warning string, error string")
+    def ask(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        free = 0.0
+        for images in frames:
+            rows, known = [(None, None, None)] * len(images), [k for k, x in enumerate(images) if x is not None]
+            for at in range(0, len(known), batch):
+                some = known[at : at + batch]
+                if per_minute:
+                    time.sleep(max(0.0, free - time.monotonic()))
+                    free = time.monotonic() + 60 * len(some) / per_minute
+                try:
+                    answers = client([images.iloc[k] for k in some])
+                    got = [(a, None, None) for _, a in zip(some, answers, strict=True)]
+                except RuntimeError as e:
+                    got = [(None, f"{type(e).__name__}: {e}", None)] * len(some)
+                except Exception as e:
+                    got = [(None, None, f"{type(e).__name__}: {e}")] * len(some)
+                for k, row in zip(some, got, strict=True):
+                    rows[k] = row
+            yield pd.DataFrame(rows, columns=["answer", "warning", "error"], dtype="object")
+
+    named = {out: "answer", "vision_warning": "warning", "vision_error": "error"}
+    return df.withColumn("__asked", ask(F.col(image))).withColumns({k: F.col(f"__asked.{v}") for k, v in named.items()}).drop("__asked")
+
+
 def vision_findings(df: DataFrame, key: str, content: str) -> DataFrame:
     """(key, pos, code, description, confidence, weight, score) of the valid findings of each answer."""
     parsed = df.select(F.col(key), F.try_variant_get(F.try_parse_json(content), "$.findings", "variant").alias("__f"))
-    parsed.where(F.schema_of_variant("__f").startswith("ARRAY")).createOrReplaceTempView("__vision")
-    rows = df.sparkSession.sql(f"select `{key}`, pos, value from __vision, lateral variant_explode(__f)")
+    found = parsed.where(F.schema_of_variant("__f").startswith("ARRAY")).select(F.col(key), F.col("__f").cast("array<variant>").alias("__list"))
+    rows = found.select(key, F.posexplode("__list").alias("pos", "value"))
     kind = lambda name: F.schema_of_variant(F.try_variant_get("value", f"$.{name}", "variant"))
     is_object = F.schema_of_variant("value").startswith("OBJECT")
     number = kind("confidence")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scoring import level
-from ..functions.similarity import token_similarity
+from ..functions.similarity import name_tokens, token_similarity
 from ..functions.text import lines, present
 from ..operators import duplicates, evaluate, extract, imaging, risk, vendor, vision
 from ..sources.directory import directory_of
@@ -26,6 +26,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores where its scan has fewer tasks than that; a large scan stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _r(name: str):
     return F.round(name, 6).alias(name)
 
@@ -96,8 +102,7 @@ def dup_exact_documents(spark, sf_dir):
 
 def dup_fuzzy_pairs(spark, sf_dir):
     df = view.invoices(spark, sf_dir)
-    close = duplicates.dates_close(F.col("invoice_date"), F.col("prior_invoice_date"))
-    return duplicates.fuzzy_pairs(df, df).groupBy(F.col("similarity").cast("int").alias("similarity"), close.alias("date_match")).agg(F.count("*").alias("n"))
+    return duplicates.fuzzy_pair_counts(df).withColumn("similarity", F.col("similarity").cast("int"))
 
 
 def dup_fuzzy_best(spark, sf_dir):
@@ -123,9 +128,12 @@ def date_proximity(spark, sf_dir):
 
 
 def name_similarity(spark, sf_dir):
+    """Pairs of names that have a word in common, which a similarity over 0 needs."""
     names = view.invoices(spark, sf_dir).where(present(F.col("vendor_name"))).select("vendor_name").distinct()
-    a, b = names.withColumnRenamed("vendor_name", "a"), names.withColumnRenamed("vendor_name", "b")
-    return a.join(b, F.col("a") <= F.col("b")).select("a", "b", token_similarity(F.col("a"), F.col("b")).cast("int").alias("similarity"))
+    words = names.withColumn("word", F.explode(name_tokens(F.col("vendor_name"))))
+    a, b = words.withColumnRenamed("vendor_name", "a"), words.withColumnRenamed("vendor_name", "b")
+    pairs = a.join(b, "word").where(F.col("a") <= F.col("b")).select("a", "b").distinct()
+    return pairs.select("a", "b", token_similarity(F.col("a"), F.col("b")).cast("int").alias("similarity"))
 
 
 def currency_documents(spark, sf_dir):
@@ -148,13 +156,14 @@ def _invoice_text():
 
 def extract_fields(spark, sf_dir):
     df = view.invoices(spark, sf_dir).select("invoice_id", _invoice_text().alias("raw_text"))
+    df = _spread(df)
     out = extract.extract(df)
     names = ("vendor_name", "vendor_address", "vendor_tax_id", "invoice_number", "invoice_date", "due_date", "subtotal", "tax", "total", "currency")
     return out.select("invoice_id", *[F.col(f"fields.{n}").alias(n) for n in names])
 
 
 def extract_documents(spark, sf_dir):
-    out = extract.extract(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    out = extract.extract(_spread(_table(spark, sf_dir, "documents").select("doc_id", "text")), "text")
     names = ("vendor_name", "vendor_address", "vendor_tax_id", "invoice_number", "invoice_date", "due_date", "subtotal", "tax", "total", "currency")
     return out.select("doc_id", *[F.col(f"fields.{n}").alias(n) for n in names])
 
@@ -247,9 +256,9 @@ def stream_history(spark, sf_dir):
 
     folder = shared_folder(spark, "stream")
     df = view.invoices(spark, sf_dir)
-    third = [int(x) for x in df.agg(F.percentile("seq", [1 / 3, 2 / 3])).first()[0]]
+    third = [int(x) for x in df.agg(F.percentile_approx("seq", [1 / 3, 2 / 3])).first()[0]]
     for part in (df.where(F.col("seq") <= third[0]), df.where((F.col("seq") > third[0]) & (F.col("seq") <= third[1])), df.where(F.col("seq") > third[1])):
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        part.write.mode("append").parquet(f"{folder}/in")
         stream = spark.readStream.schema(df.schema).parquet(f"{folder}/in")
         ingest(stream, f"{folder}/history", f"{folder}/reports", f"{folder}/offsets").awaitTermination()
     found = spark.read.parquet(f"{folder}/reports").select("invoice_id", F.explode("signals").alias("s")).where("s.source = 'duplicate'")
@@ -300,7 +309,7 @@ ORACLE_SQL = {
     "stream_history": f"WITH {view.SQL}, {view.NAMES_SQL}, {_PAIRS}, {_BEST}, {_EXACT}, {_DUP} SELECT invoice_id, code, matched_invoice_id, round(weight * confidence, 6) AS score FROM dup",
     "full_risk": f"WITH {view.SQL}, {view.SIGNALS_SQL}, {view.NAMES_SQL}, {_PAIRS}, {_BEST}, {_EXACT}, {_DUP}, every AS (SELECT invoice_id, weight, confidence FROM sig UNION ALL SELECT invoice_id, weight, confidence FROM dup), risk AS (SELECT inv.invoice_id, count(e.weight) AS n_signals, coalesce(1 - product(1 - e.weight * e.confidence), 0) AS risk_score FROM inv LEFT JOIN every e USING (invoice_id) GROUP BY ALL) SELECT invoice_id, n_signals, round(risk_score, 12) AS risk_score, {_LEVEL} AS risk_level FROM risk",
     "date_proximity": f"WITH {view.SQL}, {_EXACT} SELECT e.invoice_id, {_CLOSE.format(a='p.invoice_date', b='e.invoice_date')} AS date_match FROM exact e JOIN inv p ON p.invoice_id = e.first_id WHERE e.nth > 1",
-    "name_similarity": f"WITH {view.SQL}, {view.NAMES_SQL} SELECT a, b, similarity FROM sim WHERE a <= b",
+    "name_similarity": f"WITH {view.SQL}, {view.NAMES_SQL} SELECT a, b, similarity FROM sim WHERE a <= b AND similarity > 0",
     "currency_documents": "SELECT doc_id, CASE WHEN contains(text, '$') OR contains(text, 'USD') THEN 'USD' WHEN contains(text, '€') OR contains(text, 'EUR') THEN 'EUR' WHEN contains(text, '£') OR contains(text, 'GBP') THEN 'GBP' END AS currency FROM documents",
     "first_line_documents": "SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '\\r\\n|[\\n\\x0b\\x0c\\r\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]'), lambda x: regexp_replace(x, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')), lambda x: length(x) >= 3 AND NOT starts_with(lower(x), 'invoice') AND NOT starts_with(lower(x), 'bill') AND regexp_matches(x, '\\p{L}'))[1] AS first_line FROM documents",
     "extract_fields": f"""WITH {view.SQL}, txt AS (SELECT *, 'ID: ' || coalesce(vendor_tax_id, '-') || chr(10) || 'Invoice #: N-' || seq || coalesce(chr(10) || 'Invoice Date: ' || strftime(invoice_date, '%Y-%m-%d'), '')

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Config
 from ..operators.duplicates import duplicate_signals
 from ..operators.extract import extract
-from ..operators.imaging import ela_signals, ela_stats
+from ..operators.imaging import data_urls, ela_signals, ela_stats
 from ..operators.risk import all_signals, with_risk
 from ..operators.vendor import vendor_signals
-from ..operators.vision import vision_signals
+from ..operators.vision import vision_signals, with_answers
+from ..sources.files import Provider, with_ids, with_pages, with_text, with_token_text
 
 
 def analyse(df: DataFrame, directory: DataFrame | None = None, prior: Column | None = None, history: DataFrame | None = None, config: Config = DEFAULT) -> DataFrame:
@@ -38,6 +39,33 @@ def analyse(df: DataFrame, directory: DataFrame | None = None, prior: Column | N
     return with_risk(df, all_signals(*[F.col(a) for a in arrays]), config).drop(*arrays)
 
 
+def analyse_files(
+    files: DataFrame, directory: DataFrame | None = None, text: Provider | None = None, tokens: Provider | None = None, pages=None, client=None,
+    history: DataFrame | None = None, config: Config = DEFAULT,
+) -> DataFrame:
+    """From scanned files (``scan_files``) to reports: path, invoice_id, risk_level, risk_score, signals, warnings, error.
+
+    text and tokens: providers of text, the second for files without any; pages:
+    a decoder of PDF pages and images; client: a vision model's. All are plain
+    functions. A file that was not read, or whose page or answer failed, is a row
+    with an ``error`` and nothing else, and is no history for others; a provider
+    that isn't there or fails costs its text or findings only and leaves a warning.
+    Files arrive in the order of their paths.
+    """
+    df = with_pages(files, pages).select("*", "page.height", "page.width", "page.pixels") if pages else files
+    failed = F.when(F.col("status") != "ok", F.col("status"))
+    df = df.withColumn("error", F.coalesce(failed, F.col("page.error")) if pages else failed)
+    if pages:
+        df = with_answers(data_urls(df), client).withColumn("error", F.coalesce("error", "vision_error"))
+    df = with_token_text(with_text(df, text, warning="__text"), tokens, warning="__tokens")
+    warnings = F.array_compact(F.array("__text", "__tokens", *(["vision_warning"] if pages else [])))
+    df = df.withColumn("warnings", warnings).repartitionByRange("path").sortWithinPartitions("path").withColumn("seq", F.monotonically_increasing_id())
+    df = with_ids(df).drop("content", "page", "data_url")
+    names = ("path", "invoice_id", "risk_level", "risk_score", "signals", "warnings", "error")
+    reports = analyse(df.where("error is null"), directory, history=history, config=config).select(*names)
+    return reports.unionByName(df.where("error is not null").select("path", "error"), allowMissingColumns=True)
+
+
 def evaluate(scenarios: DataFrame, directory: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """(label, risk_level, ...) of labelled scenarios. Only clean rows become history, and a
     row's content hash stands for its vendor and total."""

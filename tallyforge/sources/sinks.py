@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.evaluate import confusion, distribution, quality
+from ..operators.imaging import data_urls
+
 HISTORY = ("seq", "invoice_id", "content_hash", "vendor_name", "total", "invoice_date")
 
 
 def shared_folder(spark: SparkSession, tag: str) -> str:
-    """A new folder under the one that the cluster shares; under /tmp where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/tallyforge"
+    """A new folder under the one that the cluster shares; only a local session that names none takes one under /tmp."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file:///tmp/checkpoints/tallyforge"
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
@@ -40,5 +48,26 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     metrics.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_evaluation(scored: DataFrame, path: str, seed: int | None = None) -> dict:
+    """The evaluation of labelled rows (label, risk_level) as one JSON file: n, seed, label_distribution, results.
+
+    Only the few rows of metrics come to the driver; the file is written by Spark, so the path may be in any store.
+    """
+    counts = confusion(scored)
+    labels = {r.label: {"n": r.n, "percent": r.percent} for r in distribution(scored).orderBy("label").collect()}
+    results = {r.label: {k: v for k, v in r.asDict().items() if k != "label"} for r in quality(counts).orderBy("label").collect()}
+    out = {"n": sum(x["n"] for x in labels.values()), "seed": seed, "label_distribution": labels, "results": results}
+    spark = scored.sparkSession
+    spark.createDataFrame([(json.dumps(out, indent=2),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return out
+
+
+def write_images(df: DataFrame, path: str, saved: int = 95) -> None:
+    """Images (image_id, height, width, pixels) as JPEG, one row each; those whose size doesn't fit have none."""
+    jpeg = F.unbase64(F.regexp_replace("__url", "^data:image/jpeg;base64,", ""))
+    encoded = data_urls(df.select("image_id", "height", "width", "pixels"), out="__url", most=1 << 16, quality=saved)
+    encoded.select("image_id", jpeg.alias("jpeg")).write.mode("overwrite").parquet(path)
+
+
 def write_heatmaps(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)

@@ -25,8 +25,16 @@ def read_history(spark: SparkSession, path: str, before: int | None = None) -> D
 
 
 def analyse_batch(batch: DataFrame, batch_id: int, history_path: str, report_path: str, directory: DataFrame | None = None, config: Config = DEFAULT) -> None:
-    """Analyse a batch against history and itself, write reports, then add it to the history."""
+    """Analyse a batch against history and itself, write reports, then add it to the history.
+
+    Rows with an ``error`` (where the batch has that column) give an error row under
+    ``<report_path>-errors``, and are neither analysed nor recorded.
+    """
     spark = batch.sparkSession
+    if "error" in batch.columns:
+        failed = batch.where("error is not null").select("seq", "invoice_id", "error")
+        failed.write.mode("overwrite").parquet(f"{report_path.rstrip('/')}-errors/batch={batch_id}")
+        batch = batch.where("error is null").drop("error")
     past = read_history(spark, history_path, batch_id).drop("batch")
     reports = analyse(batch, directory, history=past, config=config)
     reports.write.mode("overwrite").parquet(f"{report_path}/batch={batch_id}")

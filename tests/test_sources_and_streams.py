@@ -65,3 +65,136 @@ def test_ids_and_fallback_text(spark):
     df = spark.createDataFrame([(3, "abcdef0123", "", "t"), (4, "abcdef0123", None, None), (5, "ff", "own", "t")], "seq long, content_hash string, raw_text string, other string")
     assert [r.invoice_id for r in files.with_ids(df).collect()] == ["abcdef01-3", "abcdef01-4", "ff-5"]
     assert [r.raw_text for r in files.with_fallback(df, "raw_text", "other").collect()] == ["t", "", "own"]
+
+
+def test_uploads(spark):
+    columns = "request_id int, filename string, content binary"
+    rows = [(1, "a.pdf", b"abc"), (2, None, None), (3, "", b"x"), (4, "b", b"y" * 20), (5, "c", b"")]
+    got = {r.request_id: (r.status, r.length) for r in files.checked_uploads(spark.createDataFrame(rows, columns), Config(max_bytes=10)).collect()}
+    assert got == {1: ("ok", 3), 2: ("no file field", None), 3: ("empty file name", 1), 4: ("too large", 20), 5: ("ok", 0)}
+    rows = [(1, "a", b"a"), (1, "", b"b"), (1, "c", b"c"), (2, "", b"d"), (2, None, None), (3, "e", b"y" * 20)]
+    got = files.checked_batches(spark.createDataFrame(rows, columns), Config(max_bytes=10))
+    assert sorted((r.request_id, r.path or "", r.status) for r in got.collect()) == [(1, "a", "ok"), (1, "c", "ok"), (2, "", "no files"), (3, "e", "too large")]
+    assert got.columns == ["request_id", "path", "content", "length", "content_hash", "status"]
+
+
+def test_images_that_do_not_decode_are_error_rows(spark, tmp_path):
+    import numpy as np
+
+    from tallyforge.operators.jpeg import encode
+
+    (tmp_path / "good.jpg").write_bytes(encode(np.full((8, 8, 3), 200, np.uint8)))
+    (tmp_path / "bad.jpg").write_bytes(b"no image")
+    good, bad = sinks.split_errors(files.scan_images(spark, str(tmp_path)))
+    assert [(r.height, r.width, len(r.pixels)) for r in good.collect()] == [(8, 8, 192)]
+    (row,) = bad.collect()
+    assert row.path.endswith("bad.jpg") and row.error == "not an image"
+
+
+def test_pages_and_texts_of_providers(spark):
+    df = spark.createDataFrame([(b"2", "a.PDF"), (b"0", "b.pdf"), (b"9", "c.txt")], "content binary, path string")
+    pages = lambda content, path: ((1, 1, bytes([k] * 3)) for k in range(int(content)))
+    got = {r.path: r.page for r in files.with_pages(df, pages, suffix=".pdf").collect()}
+    assert bytes(got["a.PDF"].pixels) == bytes(3) and got["b.pdf"].error == "ValueError: no pages" and got["c.txt"] is None
+    assert bytes(files.with_pages(df, pages, limit=2).where("path = 'a.PDF'").first().page.pixels) == bytes([1] * 3)
+
+    def ocr(content, path):
+        if path == "b.pdf":
+            raise RuntimeError("no such program")
+        return "" if path == "c.txt" else "seen"
+
+    def tokens(content, path):
+        assert path != "a.PDF"  # only rows without text
+        return f"tokens {path}"
+
+    out = files.with_token_text(files.with_text(df, ocr, warning="w"), tokens)
+    assert {r.path: (r.raw_text, r.w) for r in out.collect()} == {"a.PDF": ("seen", None), "b.pdf": ("tokens b.pdf", "RuntimeError: no such program"), "c.txt": ("tokens c.txt", None)}
+    assert {r.raw_text for r in files.with_token_text(files.with_text(df, None), None).collect()} == {""} and out.columns == ["content", "path", "raw_text", "w"]
+
+
+def test_vision_client(spark):
+    import time
+
+    from tallyforge.operators.vision import vision_signals, with_answers
+
+    answer = json.dumps({"findings": [{"code": "LOGO_QUALITY", "description": "blurred", "confidence": 0.5}]})
+
+    def client(images):
+        assert len(images) <= 2
+        if "down" in images:
+            raise RuntimeError("not installed")
+        if "bad" in images:
+            raise OSError("refused")
+        return [answer for _ in images]
+
+    rows = [(1, "x"), (2, "y"), (3, "down"), (4, None), (5, "bad")]
+    df = spark.createDataFrame(rows, "id int, data_url string").coalesce(1)
+    got = {r.id: r for r in vision_signals(with_answers(df, client, batch=1), "id", "vision").collect()}
+    assert [[s.code for s in got[k].vision_signals] for k in range(1, 6)] == [["LOGO_QUALITY"], ["LOGO_QUALITY"], [], [], []]
+    assert got[3].vision_warning == "RuntimeError: not installed" and got[3].vision_error is None
+    assert got[5].vision_error == "OSError: refused" and got[4].vision_warning is got[4].vision_error is None
+    assert with_answers(df, None).where("vision is null").count() == 5
+    start = time.monotonic()
+    with_answers(df.where("id < 3"), client, batch=1, per_minute=60).collect()
+    assert time.monotonic() - start >= 1.0
+
+
+def test_files_to_reports(spark, tmp_path):
+    from tallyforge.plans.pipeline import analyse_files
+
+    folder = tmp_path / "files"
+    folder.mkdir()
+    (folder / "1.txt").write_text(PAGE)
+    (folder / "2.txt").write_text(PAGE)
+    (folder / "3.txt").write_text("x" * 5000)
+    (folder / "4.txt").write_text("scan")
+    (folder / "5.txt").write_text("fails")
+
+    def text(content, path):
+        if content == b"scan":
+            raise OSError("no text layer")
+        return content.decode()
+
+    def pages(content, path):
+        return None if content == b"fails" else (8, 8, bytes([200]) * 192)
+
+    def client(images):
+        raise RuntimeError("not installed")
+
+    scanned = files.scan_files(spark, str(folder), config=Config(max_bytes=1000))
+    out = analyse_files(scanned, directory_of(spark), text=text, pages=pages, client=client)
+    got = {r.path[-5:]: r for r in out.collect()}
+    assert [s.code for s in got["2.txt"].signals] == ["DUP_EXACT_FILE_HASH"] and got["1.txt"].signals == [] and got["1.txt"].risk_level == "LOW"
+    assert got["3.txt"].error == "too large" and got["3.txt"].risk_level is None and got["5.txt"].error.startswith("TypeError")
+    assert got["4.txt"].warnings == ["OSError: no text layer", "RuntimeError: not installed"] and got["4.txt"].error is None
+    assert len(analyse_files(scanned, directory_of(spark), text=text).where("error is null").collect()) == 4
+
+
+def test_failed_rows_stay_out_of_history_and_batches_replay(spark, tmp_path):
+    from tallyforge.streaming.ingest import analyse_batch
+
+    columns = "seq long, invoice_id string, content_hash string, vendor_name string, vendor_address string, vendor_tax_id string, total double, invoice_date date, error string"
+    row = lambda k, h, e=None: (k, f"i{k}", h, "Acme Corporation", "500 Technology Dr", "12-3456780", float(k), None, e)
+    history, reports = str(tmp_path / "history"), str(tmp_path / "reports")
+    first, second = [row(1, "a"), row(2, "b", "no pages")], [row(3, "a"), row(4, "b")]
+    for number, part in ((0, first), (1, second), (0, first), (1, second)):  # both come again
+        analyse_batch(spark.createDataFrame(part, columns), number, history, reports)
+    got = {r.seq: [s.code for s in r.signals if s.source == "duplicate"] for r in spark.read.parquet(reports).collect()}
+    assert got == {1: [], 3: ["DUP_EXACT_FILE_HASH"], 4: []}
+    assert sorted(r.seq for r in spark.read.schema(HISTORY_TYPES).parquet(history).collect()) == [1, 3, 4]
+    assert [tuple(r) for r in spark.read.parquet(f"{reports}-errors").select("seq", "error").collect()] == [(2, "no pages")]
+
+
+def test_evaluation_file_and_images(spark, tmp_path):
+    import numpy as np
+
+    rows = [("clean", "LOW"), ("clean", "HIGH"), ("duplicate", "HIGH"), ("tampered", "LOW")]
+    out = sinks.write_evaluation(spark.createDataFrame(rows, "label string, risk_level string"), str(tmp_path / "eval"), seed=42)
+    (part,) = (tmp_path / "eval").glob("part-*")
+    assert json.loads(part.read_text()) == out and (out["n"], out["seed"]) == (4, 42)
+    assert out["label_distribution"]["clean"] == {"n": 2, "percent": 50.0} and (out["results"]["overall"]["tp"], out["results"]["overall"]["fp"]) == (1, 1)
+    image = np.full((8, 8, 3), 90, np.uint8).tobytes()
+    df = spark.createDataFrame([(1, 8, 8, image), (2, 9, 9, image)], "image_id int, height int, width int, pixels binary")
+    sinks.write_images(df, str(tmp_path / "images"))
+    got = {r.image_id: r.jpeg for r in spark.read.parquet(str(tmp_path / "images")).collect()}
+    assert bytes(got[1][:2]) == b"\xff\xd8" and got[2] is None
