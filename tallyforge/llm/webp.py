@@ -1,15 +1,13 @@
-"""Lossless WebP: a decoder of the whole format and an encoder for media columns.
-
-The decoder reads any VP8L image: prefix codes, meta prefix codes, back
-references, the colour cache, and it inverts the predictor, cross-colour,
-subtract-green and palette transforms. Where an image has one group of prefix
-codes, no cache, codes of one length per channel and literals alone, all its
-pixels lie at a fixed stride; these are unpacked as one array. All else goes
-symbol by symbol.
-
-The encoder writes three bytes a pixel, ``ROW`` bytes a row, opaque, each
-channel with a prefix code of the shortest length that holds the values it
-has. A long payload gets wider rows, so that no image passes 16384 rows.
+"""Lossless WebP, one image at a time: a decoder of the whole format.
+
+It reads any VP8L image: prefix codes, meta prefix codes, back references, the
+colour cache, and it inverts the predictor, cross-colour, subtract-green and
+palette transforms. Where an image has one group of prefix codes, no cache,
+codes of one length per channel and literals alone, all its pixels lie at a
+fixed stride; these are unpacked as one array. All else goes symbol by symbol.
+
+``lanes`` reads and writes many images at once and takes containers, transforms
+and their small images from here.
 """
 
 from __future__ import annotations
@@ -19,7 +17,6 @@ import struct
 import numpy as np
 
 ROW = 192
-MOST = 16384
 # Fixed values of the format: the order in which code length codes are stored.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 #: The 120 near positions, by distance, then by column, right before left.
@@ -210,45 +207,50 @@ def _packed(c: np.ndarray) -> np.ndarray:
     return (c[..., 0] << 24) | (c[..., 1] << 16) | (c[..., 2] << 8) | c[..., 3]
 
 
-def _predict(mode: int, left, up, corner, right) -> list[int]:
-    """Prediction of a pixel's four channels from its neighbours' (left, above, above left, above right)."""
-    half = lambda p, q: [(a + b) >> 1 for a, b in zip(p, q, strict=True)]
-    clip = lambda v: max(0, min(255, v))
-    if mode == 11:  # the one that is closer to left + up - corner
-        to_left = sum(abs(u - c) for u, c in zip(up, corner, strict=True))
-        to_up = sum(abs(p - c) for p, c in zip(left, corner, strict=True))
-        return left if to_left < to_up else up
-    if mode == 12:
-        return [clip(a + b - c) for a, b, c in zip(left, up, corner, strict=True)]
-    if mode == 13:
-        return [clip(m + int((m - c) / 2)) for m, c in zip(half(left, up), corner, strict=True)]
-    if mode in (0, 14, 15):
-        return [255, 0, 0, 0]
-    return {
-        1: lambda: left, 2: lambda: up, 3: lambda: right, 4: lambda: corner, 5: lambda: half(half(left, right), up), 6: lambda: half(left, corner),
-        7: lambda: half(left, up), 8: lambda: half(corner, up), 9: lambda: half(up, right), 10: lambda: half(half(left, corner), half(up, right)),
-    }[mode]()
+def _predict(mode: np.ndarray, left: np.ndarray, up: np.ndarray, corner: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Predictions (n, 4) of pixels from their neighbours' channels (left, above, above left, above right), by mode."""
+    half = lambda p, q: (p + q) >> 1
+    out = np.empty_like(left)
+    for m in np.unique(mode).tolist():
+        k = mode == m
+        p, u, c, r = left[k], up[k], corner[k], right[k]
+        if m == 11:  # the one that is closer to left + up - corner
+            out[k] = np.where((np.abs(u - c).sum(1) < np.abs(p - c).sum(1))[:, None], p, u)
+        elif m == 12:
+            out[k] = np.clip(p + u - c, 0, 255)
+        elif m == 13:
+            mean = half(p, u)
+            out[k] = np.clip(mean + np.trunc((mean - c) / 2).astype(np.int64), 0, 255)
+        elif m in (0, 14, 15):
+            out[k] = (255, 0, 0, 0)
+        else:
+            out[k] = {
+                1: lambda p, u, c, r: p, 2: lambda p, u, c, r: u, 3: lambda p, u, c, r: r, 4: lambda p, u, c, r: c, 5: lambda p, u, c, r: half(half(p, r), u),
+                6: lambda p, u, c, r: half(p, c), 7: lambda p, u, c, r: half(p, u), 8: lambda p, u, c, r: half(c, u), 9: lambda p, u, c, r: half(u, r),
+                10: lambda p, u, c, r: half(half(p, c), half(u, r)),
+            }[m](p, u, c, r)
+    return out
 
 
 def _undo_predictor(argb: np.ndarray, width: int, height: int, shift: int, modes: np.ndarray) -> np.ndarray:
+    """A pixel hangs on the one before it and on three in the row above, up to one place to the right.
+
+    So row by row, each two places behind the one above, all pixels of a wave are independent.
+    """
     wide = -(-width >> shift)
-    rest = _channels(argb).tolist()
-    out: list[list[int]] = []
-    for y in range(height):
-        for x in range(width):
-            k = y * width + x
-            if not k:
-                guess = [255, 0, 0, 0]
-            elif not y:
-                guess = out[k - 1]
-            elif not x:
-                guess = out[k - width]
-            else:
-                mode = int(modes[(y >> shift) * wide + (x >> shift)] >> 8) & 15
-                # right of the last column lies the first pixel of this row
-                guess = _predict(mode, out[k - 1], out[k - width], out[k - width - 1], out[k - width + 1])
-            out.append([(a + b) & 255 for a, b in zip(rest[k], guess, strict=True)])
-    return _packed(np.array(out, np.int64))
+    out = _channels(argb)
+    out[0] = (out[0] + (255, 0, 0, 0)) & 255
+    out[:width] = np.cumsum(out[:width], 0) & 255  # the first row hangs on the left
+    out[::width] = np.cumsum(out[::width], 0) & 255  # the first column on what is above
+    every = (modes >> 8).astype(np.int64) & 15
+    for wave in range(3, width + 2 * height):
+        y = np.arange(max(1, (wave - width + 2) // 2), min(height - 1, (wave - 1) // 2) + 1)
+        x = wave - 2 * y
+        k = y * width + x
+        # right of the last column lies the first pixel of this row
+        guess = _predict(every[(y >> shift) * wide + (x >> shift)], out[k - 1], out[k - width], out[k - width - 1], out[k - width + 1])
+        out[k] = (out[k] + guess) & 255
+    return _packed(out)
 
 
 def _signed(v: np.ndarray) -> np.ndarray:
@@ -280,18 +282,33 @@ def _undo_palette(argb: np.ndarray, width: int, height: int, packed: int, palett
     return full[index]
 
 
-def decode_argb(data: bytes) -> np.ndarray:
-    """ARGB pixels (height, width) of a lossless WebP file."""
-    if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
-        raise ValueError("not a WebP file")
-    at = 12
-    while data[at : at + 4] != b"VP8L":
-        if at + 8 > len(data):
-            raise ValueError("no lossless image in the file")
-        size = struct.unpack("<I", data[at + 4 : at + 8])[0]
-        at += 8 + size + (size & 1)
-    size = struct.unpack("<I", data[at + 4 : at + 8])[0]
-    bits = Bits(data[at + 8 : at + 8 + size])
+class Head:
+    """A VP8L stream up to its main image: sizes, transforms, and the reader that stands there."""
+
+    def __init__(self, bits: Bits, width: int, height: int, opaque: bool, inner: int, steps: list):
+        self.bits, self.width, self.height, self.opaque, self.inner, self.steps = bits, width, height, opaque, inner, steps
+
+    @property
+    def meta(self) -> bool:
+        """Whether the main image has more than one group of prefix codes."""
+        ahead = self.bits.peek()
+        return bool(ahead >> (5 if ahead & 1 else 1) & 1)
+
+    def finish(self, out: np.ndarray) -> np.ndarray:
+        """The image (height, width) from the pixels of the main image: the transforms are undone, the last first."""
+        for undo, w, shift, extra in reversed(self.steps):
+            if undo:
+                out = undo(out, w, self.height, shift, extra)
+            else:
+                c = _channels(out)
+                c[:, 1] += c[:, 2]
+                c[:, 3] += c[:, 2]
+                out = _packed(c)
+        return ((out | np.uint32(0xFF000000)) if self.opaque else out).reshape(self.height, self.width)
+
+
+def read_head(stream: bytes) -> Head:
+    bits = Bits(stream)
     if bits.take(8) != 0x2F:
         raise ValueError("not a VP8L stream")
     width, height = bits.take(14) + 1, bits.take(14) + 1
@@ -316,25 +333,22 @@ def decode_argb(data: bytes) -> np.ndarray:
             packed = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
             steps.append((_undo_palette, wide, packed, palette))
             wide = -(-wide >> packed)
-    out = _read_pixels(bits, wide, height, True)
-    for undo, w, shift, extra in reversed(steps):
-        if undo:
-            out = undo(out, w, height, shift, extra)
-        else:
-            c = _channels(out)
-            c[:, 1] += c[:, 2]
-            c[:, 3] += c[:, 2]
-            out = _packed(c)
-    return ((out | np.uint32(0xFF000000)) if opaque else out).reshape(height, width)
-
-
-def decode(data: bytes) -> np.ndarray:
-    """Red, green and blue samples (height, width, 3) of a lossless WebP file."""
-    argb = decode_argb(data)
-    out = np.empty((*argb.shape, 3), np.uint8)
-    for k, s in enumerate((16, 8, 0)):
-        out[..., k] = (argb >> s) & 255
-    return out
+    return Head(bits, width, height, opaque, wide, steps)
+
+
+def decode_argb(data: bytes) -> np.ndarray:
+    """ARGB pixels (height, width) of a lossless WebP file of one image."""
+    if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
+        raise ValueError("not a WebP file")
+    at = 12
+    while data[at : at + 4] != b"VP8L":
+        if at + 8 > len(data):
+            raise ValueError("no lossless image in the file")
+        size = struct.unpack("<I", data[at + 4 : at + 8])[0]
+        at += 8 + size + (size & 1)
+    size = struct.unpack("<I", data[at + 4 : at + 8])[0]
+    head = read_head(data[at + 8 : at + 8 + size])
+    return head.finish(_read_pixels(head.bits, head.inner, head.height, True))
 
 
 class BitWriter:
@@ -387,44 +401,3 @@ def _put_code(out: BitWriter, symbols: np.ndarray, size: int) -> None:
     for k, bit in enumerate(stream):
         value |= bit << k  # of the two lengths, the larger has code 1
     out.put(value, len(stream))
-
-
-def encode(samples: np.ndarray) -> bytes:
-    """A lossless WebP file of samples (height, width, 3)."""
-    height, width, _ = samples.shape
-    flat = samples.reshape(-1, 3)
-    head = BitWriter()
-    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (0, 1), (0, 3), (0, 1), (0, 1), (0, 1)):
-        head.put(value, n)
-    columns, sizes = [], []
-    for k in (1, 0, 2):  # green, red, blue
-        present = np.zeros(256, bool)
-        present[flat[:, k]] = True
-        symbols, size = _even_code(present)
-        _put_code(head, symbols, size)
-        if size:
-            place = np.zeros(256, np.uint8)
-            place[symbols] = np.arange(len(symbols)) << (8 - size)
-            columns.append(place[flat[:, k]])
-            sizes.append(size)
-    _put_code(head, np.array([255]), 0)
-    _put_code(head, np.array([0]), 0)
-    first = np.frombuffer(head.value.to_bytes((head.n + 7) >> 3, "little"), np.uint8)
-    parts = [np.unpackbits(first, bitorder="little")[: head.n]]
-    if columns:
-        planes = np.unpackbits(np.stack(columns, 1), axis=1).reshape(len(flat), len(columns), 8)
-        keep = np.concatenate([np.arange(8) < s for s in sizes])
-        parts.append(planes.reshape(len(flat), -1)[:, keep].ravel())
-    body = np.packbits(np.concatenate(parts), bitorder="little").tobytes()
-    pad = len(body) & 1
-    return b"RIFF" + struct.pack("<I", 12 + len(body) + pad) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body + bytes(pad)
-
-
-def pixels_of(payload: bytes) -> np.ndarray:
-    """A payload of whole rows of ``ROW`` bytes as samples; wider rows if it is very long."""
-    n = len(payload) // ROW
-    fold = next(k for k in range(1, n + 1) if n % k == 0 and n // k <= MOST)
-    width = ROW // 3 * fold
-    if width > MOST:
-        raise ValueError("the payload doesn't fit an image")
-    return np.frombuffer(payload, np.uint8).reshape(n // fold, width, 3)
