@@ -28,6 +28,7 @@ from . import rolling, webp
 ROW = webp.ROW
 WIDTH = ROW // 3
 FRAME = 32  # rows of one frame
+CHUNK = 4 << 20  # bytes of pixels that are encoded or decoded side by side
 CACHE_BITS = 8
 CACHE_LEAST = 24  # pixels that the cache must hold
 MODES = (1, 2, 11)  # predictors that are tried
@@ -78,7 +79,7 @@ def code_lengths(counts: np.ndarray) -> np.ndarray:
 
     Shannon's lengths leave room in the code; it goes, level by level, to symbols
     that become one bit shorter, until nothing is left. Frequent symbols get the
-    short ones. A frame with a single symbol has length 1 there.
+    short ones. A frame with a single symbol has length 1 there. Counts sum to 2^15 at most, so no length passes 15.
     """
     frames, symbols = counts.shape
     total, used = counts.sum(1), (counts > 0).sum(1)
@@ -192,30 +193,42 @@ def near_codes(width: int) -> np.ndarray:
     return _near[width]
 
 
-def _bits(own: np.ndarray, values: np.ndarray, frames: int, size: np.ndarray) -> np.ndarray:
-    """Entropy of byte values per frame, in bits."""
-    c = np.bincount(own * 256 + values, minlength=frames * 256).reshape(frames, 256).astype(float)
+def _bits(base: np.ndarray, values: np.ndarray, frames: int, size: np.ndarray) -> np.ndarray:
+    """Entropy of byte values per frame, in bits. base: 256 times each value's frame."""
+    c = np.bincount(base + values, minlength=frames * 256).reshape(frames, 256).astype(float)
     return size * np.log2(np.maximum(size, 1)) - (c * np.log2(np.maximum(c, 1))).sum(1)
 
 
-def _shifted(px: np.ndarray, by: int, fill: int) -> np.ndarray:
-    out = np.full_like(px, fill)
-    out[by:] = px[:-by] if by else px
+def residues(rgb: list[np.ndarray], place: np.ndarray, mode: int) -> list[np.ndarray]:
+    """Channels less their predictions. rgb: bytes of each channel of opaque frames of ``WIDTH``; place: of each pixel in its frame."""
+
+    def shifted(c: np.ndarray, by: int) -> np.ndarray:
+        out = np.zeros_like(c)
+        out[by:] = c[:-by]
+        return out
+
+    left = [shifted(c, 1) for c in rgb]
+    if mode == 1:
+        guess = [p.copy() for p in left]
+    else:
+        guess = [shifted(c, WIDTH) for c in rgb]
+    if mode == 11:
+        corner = [shifted(c, WIDTH + 1) for c in rgb]
+        gap = lambda p, q: sum((np.maximum(x, y) - np.minimum(x, y)).astype(np.int16) for x, y in zip(p, q, strict=True))
+        closer = gap(guess, corner) < gap(left, corner)
+        guess = [np.where(closer, p, u) for p, u in zip(left, guess, strict=True)]
+    first_row, first_column = place < WIDTH, np.flatnonzero((place % WIDTH == 0) & (place > 0))
+    out = []
+    for c, p, q in zip(rgb, left, guess, strict=True):
+        q[first_row] = p[first_row]
+        q[first_column] = c[first_column - WIDTH]
+        q[place == 0] = 0
+        out.append(c - q)
     return out
 
 
-def residues(px: np.ndarray, place: np.ndarray, width: int, mode: int) -> np.ndarray:
-    """Opaque pixels less their predictions, channel by channel. place: of each pixel in its frame."""
-    left, up, corner = (webp._channels(_shifted(px, k, 0)) for k in (1, width, width + 1))
-    own = webp._channels(px)
-    guess = {1: left, 2: up, 11: None}[mode]
-    if guess is None:
-        to_left, to_up = np.abs(up - corner).sum(1), np.abs(left - corner).sum(1)
-        guess = np.where((to_left < to_up)[:, None], left, up)
-    guess = np.where((place % width == 0)[:, None], up, guess)
-    guess = np.where((place < width)[:, None], left, guess)
-    guess[place == 0] = (255, 0, 0, 0)
-    return webp._packed(own - guess)
+def _argb(r: np.ndarray, g: np.ndarray, b: np.ndarray, alpha: int = 0) -> np.ndarray:
+    return np.uint32(alpha << 24) | r.astype(np.uint32) << np.uint32(16) | g.astype(np.uint32) << np.uint32(8) | b
 
 
 def _grid(value: int) -> tuple[int, int]:
@@ -260,18 +273,17 @@ def transformed(px: np.ndarray, own: np.ndarray, size: np.ndarray) -> tuple[np.n
     """(pixels, their frames, widths, header fields, names) after the transform that makes each frame smallest."""
     frames = len(size)
     start = np.cumsum(size) - size
-    place = np.arange(len(px)) - start[own]
-    r, g, b = ((px >> k & 255).astype(np.int64) for k in (16, 8, 0))
-    bits = lambda v: _bits(own, v, frames, size)
+    place, base = np.arange(len(px)) - start[own], own * 256
+    r, g, b = ((px >> np.uint32(k)).astype(np.uint8) for k in (16, 8, 0))
+    bits = lambda v: _bits(base, v, frames, size)
     red, green, blue = bits(r), bits(g), bits(b)
-    red_green, blue_green, blue_red = bits((r - g) & 255), bits((b - g) & 255), bits((b - r) & 255)
+    red_green, blue_green, blue_red = bits(r - g), bits(b - g), bits(b - r)
     cost = {"plain": red + green + blue, "green": green + red_green + blue_green + 3}
     cost["cross"] = green + np.minimum(red, red_green) + np.minimum(blue, np.minimum(blue_green, blue_red)) + 62
-    rest = {}
-    for mode in MODES:
-        rest[mode] = residues(px, place, WIDTH, mode)
-        cost[f"predictor {mode}"] = sum(bits((rest[mode] >> k & 255).astype(np.int64)) for k in (16, 8, 0)) + 62
-    order = np.lexsort((px, own))
+    rest = {mode: residues([r, g, b], place, mode) for mode in MODES}
+    for mode, channels in rest.items():
+        cost[f"predictor {mode}"] = sum(map(bits, channels)) + 62
+    order = np.argsort((own << 24) + (px & np.uint32(0xFFFFFF)))
     new = np.ones(len(px), bool)
     new[1:] = (px[order][1:] != px[order][:-1]) | (own[order][1:] != own[order][:-1])
     colours = np.bincount(own[order][new], minlength=frames)
@@ -287,13 +299,12 @@ def transformed(px: np.ndarray, own: np.ndarray, size: np.ndarray) -> tuple[np.n
     out, widths, heads = px.copy(), np.full(frames, WIDTH), [[(0, 1)] for _ in range(frames)]
     kind = choice[own]
     here = kind == names.index("green")
-    if here.any():
-        out[here] = webp._packed(np.stack([np.full(here.sum(), 255), (r - g)[here], g[here], (b - g)[here]], 1))
-    for mode in MODES:
+    out[here] = _argb((r - g)[here], g[here], (b - g)[here], 255)
+    for mode, channels in rest.items():
         here = kind == names.index(f"predictor {mode}")
-        out[here] = rest[mode][here]
+        out[here] = _argb(*(c[here] for c in channels))  # alpha is what is predicted
     distinct = px[order][new]
-    pieces, bundled = {}, False
+    pieces = {}
     for f in np.flatnonzero((choice > 0)).tolist():
         a, z = int(start[f]), int(start[f] + size[f])
         if chosen[f] == "green":
@@ -302,9 +313,9 @@ def transformed(px: np.ndarray, own: np.ndarray, size: np.ndarray) -> tuple[np.n
             to_red = 32 if red_green[f] < red[f] else 0
             best = min((blue[f], 0, 0), (blue_green[f], 32, 0), (blue_red[f], 0, 32))
             heads[f] = [(0b011, 3), (7, 3), *_wide(*_grid(best[2] << 16 | best[1] << 8 | to_red)), (0, 1)]
-            own_red = (r - (g if to_red else 0))[a:z]
-            own_blue = (b - (g if best[1] else r if best[2] else 0))[a:z]
-            out[a:z] = webp._packed(np.stack([np.full(z - a, 255), own_red, g[a:z], own_blue], 1))
+            own_red = r[a:z] - g[a:z] if to_red else r[a:z]
+            own_blue = b[a:z] - (g if best[1] else r)[a:z] if best[1] or best[2] else b[a:z]
+            out[a:z] = _argb(own_red, g[a:z], own_blue, 255)
         elif chosen[f] == "palette":
             at = int(np.searchsorted(own[order][new], f))
             n = int(colours[f])
@@ -313,7 +324,6 @@ def transformed(px: np.ndarray, own: np.ndarray, size: np.ndarray) -> tuple[np.n
             v = index[a:z].reshape(-1, WIDTH // per, per) << (8 // per * np.arange(per))
             pieces[f] = (v.sum(2).ravel().astype(np.uint32) << np.uint32(8)) | np.uint32(0xFF000000)
             widths[f] = WIDTH // per
-            bundled = bundled or per > 1
             heads[f] = [(1, 1), *_wide(*_palette_bits(distinct[at : at + n])), (0, 1)]
         else:
             mode = int(chosen[f].split()[1])
@@ -445,9 +455,12 @@ def encode(payloads: list[bytes], features: Counter | None = None) -> list[bytes
             raise ValueError("a payload is not whole rows, or too many")
         frames += [np.frombuffer(p, np.uint8, min(FRAME, rows - at) * ROW, at * ROW) for at in range(0, rows, FRAME)]
         counts.append(-(-rows // FRAME))
-    streams, seen = encode_frames(frames) if frames else ([], Counter())
-    if features is not None:
-        features += seen
+    streams = []
+    for a, z in rolling.chunks([len(f) for f in frames], CHUNK):
+        some, seen = encode_frames(frames[a:z])
+        streams += some
+        if features is not None:
+            features += seen
     out, at = [], 0
     for p, n in zip(payloads, counts, strict=True):
         own, rows = streams[at : at + n], len(p) // ROW
@@ -600,7 +613,7 @@ class _Lanes:
                 b, n2 = blue.read(a, bits)
                 x, n3 = alpha.read(a, bits >> n2.astype(np.uint64))
                 self.at[a] += n1 + n2 + n3
-                px = ((x << 24) | (r << 16) | (s[literal] << 8) | b).astype(np.uint32)
+                px = ((x << 24) | (r << 16) | ((s[literal] if len(a) < len(now) else s) << 8) | b).astype(np.uint32)
                 out[base[a] + at[a]] = px
                 at[a] += 1
                 if any_cache:
@@ -652,6 +665,9 @@ class _Codes:
         lanes, symbols = lengths.shape
         self.fast = fast
         used = (lengths > 0).sum(1)
+        self.only = lengths.argmax(1) if (used == 1).all() else None
+        if self.only is not None:
+            return
         share = np.where(lengths > 0, 1 << (15 - lengths), 0).sum(1)
         if ((used > 1) & (share != 1 << 15)).any() or (used == 0).any():
             raise ValueError("a prefix code is not complete")
@@ -678,6 +694,8 @@ class _Codes:
 
     def read(self, lanes: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(symbol, length) from the next bits of some lanes."""
+        if self.only is not None:
+            return self.only[lanes], np.zeros(len(lanes), np.int64)
         found = self.table[(lanes << self.fast) + TURNED[self.fast][(bits & np.uint64((1 << self.fast) - 1)).astype(np.int64)]]
         symbol, n = (found >> 4).astype(np.int64), (found & 15).astype(np.int64)
         if self.long and (found < 0).any():
@@ -693,6 +711,12 @@ class _Codes:
 
 def decode_streams(streams: list[bytes]) -> list[np.ndarray]:
     """ARGB pixels (height, width) of VP8L streams."""
+    size = [int.from_bytes(s[1:5], "little") for s in streams]
+    pixels = [((v & 0x3FFF) + 1) * ((v >> 14 & 0x3FFF) + 1) for v in size]
+    return [p for a, z in rolling.chunks([3 * n for n in pixels], CHUNK) for p in _side_by_side(streams[a:z])]
+
+
+def _side_by_side(streams: list[bytes]) -> list[np.ndarray]:
     heads, out = [webp.read_head(s) for s in streams], [None] * len(streams)
     # an image with meta codes chooses among codes pixel by pixel: those go one by one
     simple = [k for k, h in enumerate(heads) if not h.meta]

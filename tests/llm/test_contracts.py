@@ -5,11 +5,12 @@ import hashlib
 import re
 import zlib
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallyforge.llm import media, mixing, quality, simhash, substrings, suffixes, tokenids, webp
+from tallyforge.llm import lanes, media, mixing, quality, simhash, substrings, suffixes, tokenids
 
 from .data import SCHEMA, documents, odd_documents
 
@@ -296,8 +297,23 @@ def test_media(spark, docs, empty, odd):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(t), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
     assert media.from_media(media.to_media(empty)).count() == 0
     assert media.from_media(media.to_media(odd)).count() == len(odd_documents())
+    assert [r.doc_id for r in media.from_media(media.to_media(odd)).where("doc_id is null").collect()] == [None, None]
     long = b"q" * (192 * 16385)
-    assert webp.decode(media.image_of(long)).tobytes()[: len(long)] == long
+    (file,) = lanes.encode([long])
+    assert lanes.decode([file])[0].tobytes() == long
+    shown = {r.doc_id: r for r in media.to_pixels(media.to_media(docs)).collect()}
+    for i, t in texts().items():
+        r = shown[i]
+        assert (r.height * 192, r.width) == (got[i].payload_bytes, 64) and bytes(r.pixels) == t.encode().ljust(r.height * 192)
+    features = {i: tuple(map(int, r.feature.split(","))) for i, r in got.items()}
+    for i in (0, 12, 15):  # mean and spread of each channel and the mean step, from the padded bytes
+        p = np.frombuffer(texts()[i].encode().ljust(got[i].payload_bytes), np.uint8).astype(float)
+        want = [*(p[k::3].mean() for k in range(3)), *(p[k::3].std() for k in range(3)), np.abs(np.diff(p)).mean()]
+        assert np.abs(np.array(features[i]) - 1000 * np.array(want)).max() <= 1
+    files = {r.doc_id: bytes(r.media) for r in media.to_media(docs).collect()}
+    assert all((got[i].media_bytes, got[i].media_sha256) == (len(f), hashlib.sha256(f).hexdigest()) for i, f in files.items())
+    nothing = spark.createDataFrame([(1, None)], "doc_id long, media binary")
+    assert tuple(media.to_pixels(nothing).first()) == (1, None, None, None)
 
 
 def test_files_are_published_again_and_purged(spark, tmp_path):

@@ -3,10 +3,13 @@
 import random
 import struct
 
+import random
+from collections import Counter
+
 import numpy as np
 import pytest
 
-from tallyforge.llm import webp
+from tallyforge.llm import lanes, webp
 
 
 class Writer(webp.BitWriter):
@@ -282,18 +285,91 @@ def test_length_codes_with_repeats():
     assert code.symbols.tolist() == [20, 21, 22, 23] and code.even == 2
 
 
-@pytest.mark.parametrize("alphabet", [1, 2, 3, 17, 100, 200, 256])
-def test_encoder_round_trip(alphabet):
-    rng = np.random.default_rng(alphabet)
-    for height in (1, 7):
-        samples = rng.integers(256 - alphabet, 256, (height, 64, 3)).astype(np.uint8)
-        assert (webp.decode(webp.encode(samples)) == samples).all()
+ROW = lanes.ROW
+
+
+def payloads():
+    rng = random.Random(1)
+    same = lambda make: bytes(x for _ in range(64 * 9) for x in make())
+    return {
+        "spaces": b" " * ROW, "one colour": b"a" * ROW * 3, "period": (b"abcabcabd" * 5000)[: ROW * 40], "letters": bytes(rng.choice(b"abcdefgh ") for _ in range(ROW * 70)),
+        "bytes": bytes(rng.randrange(256) for _ in range(ROW * 5)), "ramp": bytes((7 * k + 3 * j + j * j % 3) % 256 for k in range(20) for j in range(ROW)),
+        "grey": same(lambda: [rng.randrange(30, 200)] * 3), "red is green": same(lambda: [v := rng.randrange(256), v, rng.randrange(8)]),
+        "blue is red": same(lambda: [v := rng.randrange(256), rng.randrange(8), v]), "blue is green": same(lambda: [rng.randrange(8), v := rng.randrange(256), v]),
+        "walk": np.cumsum(np.random.default_rng(2).integers(-1, 2, (64 * 16, 3)), 0).astype(np.uint8).tobytes(),
+        "rows": np.cumsum(np.random.default_rng(3).integers(-1, 2, (16, ROW)) + np.arange(ROW) * 37 * (np.arange(16) == 0)[:, None], 0).astype(np.uint8).tobytes(),
+        "words": b" ".join(rng.choice([b"lorem", b"ipsum", b"dolor", b"sit", b"amet"]) for _ in range(9000))[: ROW * 33],
+        "long codes": b"".join(bytes([k]) * (1 << max(0, 11 - k)) for k in range(60))[: ROW * 21],
+    }
+
+
+def test_encoder_features_and_both_decoders():
+    """Every feature occurs, and what the lanes read is what the decoder of single images reads."""
+    own = payloads()
+    features = Counter()
+    files = lanes.encode(list(own.values()), features)
+    assert {"copies", "near", "cache", "palette", "predictor", "cross", "green", "plain"} <= set(features)
+    for (name, payload), data, got in zip(own.items(), files, lanes.decode(files), strict=True):
+        assert got.tobytes() == payload, name
+        if len(payload) <= lanes.FRAME * ROW:
+            argb = webp.decode_argb(data)
+            assert np.stack([argb >> 16 & 255, argb >> 8 & 255, argb & 255], -1).astype(np.uint8).tobytes() == payload, name
+    assert [lanes.encode([p])[0] for p in own.values()] == files  # a file hangs on its payload alone
+
+
+def test_each_transform_is_taken_where_it_shrinks():
+    own = payloads()
+    for name, feature in (("grey", "green"), ("red is green", "cross"), ("blue is red", "cross"), ("blue is green", "cross"), ("walk", "predictor"), ("rows", "predictor"), ("words", "palette")):
+        seen = Counter()
+        lanes.encode([own[name][: lanes.FRAME * ROW]], seen)
+        assert seen[feature] == 1, name
+
+
+def test_lanes_read_what_others_write():
+    """Files of the writer above: uneven codes, copies, a cache; alone and beside others."""
+    rng = np.random.default_rng(5)
+    tokens = noise(60, 3, 40)
+    first = image(10, 6, lambda w: plain(w, tokens))
+    groups = lanes.encode([bytes(rng.integers(97, 123, ROW * 4, np.uint8))])
+    got = lanes.decode([first, *groups])
+    argb = webp.decode_argb(first)
+    assert (got[0] == np.stack([argb >> 16 & 255, argb >> 8 & 255, argb & 255], -1)).all()
+
+
+def test_codes_are_complete_and_fit_the_counts():
+    rng = np.random.default_rng(6)
+    counts = rng.integers(0, 100, (50, 300)) * (rng.random((50, 300)) < rng.random((50, 1)))
+    counts[0], counts[1, :] = 0, 0
+    counts[1, 7] = 5
+    lengths = lanes.code_lengths(counts)
+    assert ((lengths > 0) == (counts > 0)).all() and lengths[1, 7] == 1
+    busy = (counts > 0).sum(1) > 1
+    counts, lengths = counts[busy], lengths[busy]
+    assert len(counts) > 40 and (np.where(lengths > 0, 0.5**lengths, 0).sum(1) == 1).all() and lengths.max() <= 15
+    p = counts / counts.sum(1, keepdims=True)
+    entropy = -(p * np.log2(np.maximum(p, 1e-12))).sum(1)
+    assert ((lengths * p).sum(1) <= entropy + 1).all()
+    assert (0.5 ** lanes.LENGTH_CODE[lanes.LENGTH_CODE > 0].astype(float)).sum() == 1
+
+
+def test_features_occur_in_documents(sf_dir):
+    import pyarrow.parquet as pq
+
+    texts = [(t or "").encode() for t in pq.read_table(f"{sf_dir}/documents.parquet").column("text").to_pylist()]
+    seen = Counter()
+    own = [t + b" " * (-len(t) % ROW or (0 if t else ROW)) for t in texts]
+    files = lanes.encode(own, seen)
+    assert [x.tobytes() for x in lanes.decode(files)] == own
+    assert seen["copies"] > 0.9 * seen["frames"] and seen["near"] > 0 and seen["cache"] > 0.5 * seen["frames"] and seen["palette"] > 0
+    assert sum(map(len, files)) < 0.6 * sum(map(len, own))
 
 
 def test_broken_images():
-    good = webp.encode(np.zeros((2, 64, 3), np.uint8))
-    for bad in (b"", b"x" * 40, good[:-6] + bytes(2), good[:20]):
-        with pytest.raises((ValueError, struct.error, IndexError)):
-            webp.decode(bad[:12] + bad[12:] if bad else bad)
+    good = lanes.encode([b"some text " * 19 + b"  "])[0]
+    for bad in (good[:30], good[:-8], b"RIFF" + good[4:8] + b"WAVE" + good[12:], b""):
+        with pytest.raises((ValueError, IndexError)):
+            lanes.decode([bad[:4] + len(bad).to_bytes(4, "little") + bad[8:] if bad else bad])
+    with pytest.raises(ValueError):
+        lanes.encode([b"x" * 100])
     with pytest.raises(ValueError):
         webp.Code(np.array([1, 1, 1], np.int8))
