@@ -3,8 +3,10 @@
 Entities: e-mail addresses, phone numbers, IPv4 and MAC addresses, payment
 cards (issuer prefix, length and check digit must hold), social security
 numbers, IBANs (check digits must hold), secrets that are assigned to a name
-such as token or password, and person names (a known first name, or a title,
-before a capitalised word).
+such as token or password, and person names (a known first name, a title or a
+phrase such as "my name is" before capitalised words). Where a text names a
+person, the parts of that name are entities wherever else the text has them as
+words of their own, before or after.
 
 A surrogate is the entity's image under a keyed one-to-one map of all strings
 of its format: digits stay digits, hexadecimal stays hexadecimal, letters keep
@@ -21,8 +23,12 @@ first names move within their list of one gender and script. So
 entities and gives the surrogates that two of them share. ``checked_key`` takes
 the next derived key until there is none.
 
+Names that neither a known first name, nor a title, nor a phrase announces
+anywhere in the text are not found.
+
 Defined cases: null text stays null; a text without entities is unchanged byte
-for byte; formats with a single string stay as they are; repeated rows get
+for byte; formats with a single string stay as they are, and so do letters of
+scripts that ``LETTERS`` and ``SCRIPTS`` don't have; repeated rows get
 equal results; an empty table gives an empty result; other columns are passed
 on by ``replace_pii``.
 """
@@ -45,14 +51,20 @@ KINDS = ("email", "phone", "ip", "mac", "card", "ssn", "iban", "secret", "person
 
 # First names by gender and script.
 NAMES = {
-    "female latin": "Alice Amelia Andrea Angela Anita Barbara Beatrice Carmen Caroline Catherine Charlotte Christine Claudia Deborah Diana Eleanor Elizabeth Emily Emma Helen Ingrid Isabella Jennifer Jessica Julia Karen Katharina Laura Linda Lisa Margaret Maria Martha Michelle Monika Nancy Nicole Olivia Patricia Rachel Rebecca Sabine Sandra Sarah Sofia Stephanie Susan Teresa Ursula Victoria".split(),
-    "male latin": "Albert Alexander Andrew Anthony Antonio Benjamin Bernard Carlos Charles Christopher Daniel David Dominic Edward Fernando Francis Frederick George Gregory Hans Henry Jacob James Javier Jeffrey Johann John Jonathan Joseph Jürgen Kenneth Kevin Klaus Lawrence Matthew Michael Miguel Nicholas Oliver Patrick Paul Peter Philippe Richard Robert Stephen Thomas Timothy Walter William".split(),
+    "female latin": "Alice Amelia Andrea Angela Anita Barbara Beatrice Carmen Caroline Catherine Charlotte Christine Claudia Deborah Diana Eleanor Elizabeth Emily Emma Helen Ingrid Isabella Jennifer Jessica Julia Karen Katharina Laura Linda Lisa Margaret Maria Martha Michelle Monika Nancy Nicole Olivia Patricia Rachel Rebecca Sabine Sandra Sarah Sofia Stephanie Susan Teresa Ursula Victoria Aisha Amina Ayşe Chiara Elif Fatima Giulia Hana Ioana Ingeborg Keiko Layla Leila Mei Miriam Nadia Naomi Priya Sakura Soo-jin Svetlana Xin Yasmin Yuki Zeynep".split(),
+    "male latin": "Albert Alexander Andrew Anthony Antonio Benjamin Bernard Carlos Charles Christopher Daniel David Dominic Edward Fernando Francis Frederick George Gregory Hans Henry Jacob James Javier Jeffrey Johann John Jonathan Joseph Jürgen Kenneth Kevin Klaus Lawrence Matthew Michael Miguel Nicholas Oliver Patrick Paul Peter Philippe Richard Robert Stephen Thomas Timothy Walter William Abdul Ahmed Ali Chen Diego Emre Enrique Giovanni Hassan Hiroshi Ibrahim Ivan Jin Kenji Khalid Luca Mario Mehmet Mohammed Mustafa Omar Pablo Raj Sanjay Takashi Vladimir Wei Yusuf".split(),
     "female cyrillic": "Анастасия Анна Валентина Вера Галина Дарья Екатерина Елена Ирина Ксения Лариса Людмила Марина Мария Наталья Ольга Светлана София Татьяна Юлия".split(),
     "male cyrillic": "Александр Алексей Андрей Борис Виктор Владимир Григорий Дмитрий Евгений Иван Константин Максим Михаил Николай Олег Павел Роман Сергей Степан Фёдор".split(),
 }
 TITLES = {"Mr": "male", "Mrs": "female", "Ms": "female", "Miss": "female", "Sir": "male", "Dr": "", "Prof": "", "Herr": "male", "Frau": "female", "Señor": "male", "Señora": "female", "Madame": "female", "Monsieur": "male"}
+PHRASES = ("my name is", "name is", "named", "called", "signed", "sincerely,", "regards,", "contact person:", "contact:", "full name:", "name:", "attn:", "dear")
 # Letter classes that surrogates keep.
-LETTERS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "äöüáéíóúàèìòùâêîôû", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ")
+LETTERS = (
+    "aeiou", "bcdfghjklmnpqrstvwxyz", "äöüáéíóúàèìòùâêîôûãõåøæœëïÿýąęőűūāēīō", "çñßćčďłńňřśšťźžżğşțđð",
+    "аеиоуыэюяёіїє", "бвгджзклмнпрстфхцчшщйґ", "ьъ", "αεηιουω", "άέήίόύώϊϋ", "βγδζθκλμνξπρστφχψς",
+)
+#: First and last letters of scripts without case, and of Armenian in both cases.
+SCRIPTS = (("ա", "ֆ"), ("Ա", "Ֆ"), ("א", "ת"), ("ؠ", "غ"), ("ف", "ي"), ("अ", "ह"), ("ก", "ฮ"), ("ა", "ჰ"), ("ぁ", "ゖ"), ("ァ", "ヺ"), ("一", "龥"), ("가", "힣"))
 ENDINGS = ("ова", "ева", "ина", "ская", "ов", "ев", "ин", "ский")  # of surnames, by gender
 _FIRST = {name: kind for kind, names in NAMES.items() for name in names}
 
@@ -71,11 +83,13 @@ PATTERN = re.compile(
     re.X,
 )
 SECRET = re.compile(r"(?i:token|secret|passw(?:or)?d|passphrase|api[_-]?key|access[_-]?key)[ \t]*[=:][ \t]*([\"']?)(?P<secret>[\w+/=.~-]{12,}+)\1")
-PERSON = re.compile(r"(?:(?P<title>%s)\.? )?(?P<first>(?:%s) )?(?P<last>[^\W\d_][^\W\d_]+(?:-[^\W\d_]+)?)" % ("|".join(sorted(TITLES, key=len, reverse=True)), "|".join(sorted(_FIRST, key=len, reverse=True))))
-LEAD = re.compile("(?:%s)" % "|".join([*(f"{t}\\.? " for t in sorted(TITLES, key=len, reverse=True)), *(f"{n} " for n in sorted(_FIRST, key=len, reverse=True))]))
+_WORD = r"[^\W\d_][^\W\d_]+(?:-[^\W\d_]+)?"
+_TITLE, _FIRST_NAME = ("|".join(sorted(x, key=len, reverse=True)) for x in (TITLES, _FIRST))
+PERSON = re.compile(rf"(?:(?P<title>{_TITLE})\.? )?(?:(?P<first>{_FIRST_NAME})(?![\w-]) ?)?(?P<one>{_WORD})?(?: (?P<two>{_WORD}))?")
+LEAD = re.compile(rf"(?<![\w'-])(?:(?P<phrase>(?i:{'|'.join(map(re.escape, PHRASES))})\s+)|(?:{_TITLE})\.? |(?:{_FIRST_NAME}) )")
 DIGIT = re.compile("[0-9]")
 BLOCK = 512  # characters that are mapped as one number
-MAPPABLE = "[0-9%s]" % "".join(a + a.upper() for a in LETTERS)  # strings without such a character stay as they are
+MAPPABLE = "[0-9%s%s]" % ("".join(a + a.upper() for a in LETTERS), "".join(f"{a}-{z}" for a, z in SCRIPTS))  # strings without such a character stay as they are
 
 
 def _number(data: bytes, key: bytes, tweak: str, width: int) -> int:
@@ -130,6 +144,15 @@ def _shift(text: str, alphabets: list[str | None], key: bytes, tweak: str) -> st
     return "".join(reversed(out))
 
 
+@lru_cache(maxsize=1000)
+def _script(c: str) -> str | None:
+    """The letters of a character's script, where ``SCRIPTS`` has it."""
+    for a, z in SCRIPTS:
+        if a <= c <= z:
+            return "".join(x for x in map(chr, range(ord(a), ord(z) + 1)) if x.isalpha())
+    return None
+
+
 def _classes(text: str) -> list[str | None]:
     """The alphabet of each character: digits, or letters of its script, case and class."""
     out: list[str | None] = []
@@ -138,7 +161,9 @@ def _classes(text: str) -> list[str | None]:
             out.append("0123456789")
             continue
         kind = next((a for a in LETTERS if c.lower() in a), None)
-        out.append(kind.upper() if kind and c.isupper() else kind)
+        if kind and c.isupper():
+            kind = kind.upper().replace("SS", "")  # ß has no capital of one letter
+        out.append(kind or _script(c))
     return out
 
 
@@ -210,10 +235,47 @@ def surrogate(kind: str, text: str, key: bytes = KEY) -> str:
     return _shift(text, _classes(text), key, kind)
 
 
+def _is_name(word: str | None) -> bool:
+    """Whether a word is written as a name: a capital and small letters, on both sides of a hyphen, or a script without case."""
+    if not word or len(word) < (3 if word[0].upper() != word[0].lower() else 2):
+        return False
+    if all(c.upper() == c.lower() for c in word if c != "-"):
+        return True
+    return all(len(p) > 1 and p[0].isupper() and p[1:] == p[1:].lower() for p in word.split("-"))
+
+
+def persons(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, "first" or "last", string) of the parts of names: where they are announced, and wherever else they stand."""
+    found, parts = [], {}
+    for lead in LEAD.finditer(text):
+        m = PERSON.match(text, lead.end() if lead["phrase"] else lead.start())
+        if not m or not (m["title"] or m["first"] or lead["phrase"]):
+            continue
+        one, two = (m[k] if _is_name(m[k]) else None for k in ("one", "two"))
+        if m["first"] and m["one"] and text[m.end("first")] != " ":
+            one = two = None
+        if m["first"]:
+            if one is None and not m["title"] and not lead["phrase"]:
+                continue
+            two = None  # the surname follows the first name
+        elif not m["title"] and (one is None or two is None):
+            continue  # a phrase announces whole names only
+        if m["first"]:
+            found.append((*m.span("first"), "first", m["first"]))
+        for name, own in (("one", one), ("two", two if one else None)):
+            if own:
+                found.append((*m.span(name), "last", own))
+    parts = {s: kind for _, _, kind, s in found}
+    if parts:
+        again = re.compile(r"(?<![\w'-])(?:%s)(?![\w-])" % "|".join(map(re.escape, sorted(parts, key=len, reverse=True))))
+        found += [(*m.span(), parts[m.group()], m.group()) for m in again.finditer(text)]
+    return found
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, string) of the entities of a text, in order, without overlaps.
 
-    A person gives one entry per part of the name, "first" and "last".
+    A person gives one entry per part of the name, "first" and "last"; a given name that isn't known is a "last".
     """
     found = []
     if "=" in text or ":" in text:
@@ -224,17 +286,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             if kind == "card" and not is_card(s) or kind == "iban" and not is_iban(s):
                 continue
             found.append((*m.span(), kind, s))
-    for lead in LEAD.finditer(text):
-        at = lead.start()
-        if at and (text[at - 1].isalnum() or text[at - 1] in "_-'"):
-            continue
-        m = PERSON.match(text, at)
-        last = m and m["last"]
-        if not last or not (m["title"] or m["first"]) or not (last[0].isupper() and last[1:] == last[1:].lower() or "-" in last and last.istitle()) or len(last) < 3:
-            continue
-        if m["first"]:
-            found.append((*(m.start("first"), m.end("first") - 1), "first", m["first"][:-1]))
-        found.append((*m.span("last"), "last", last))
+    found += persons(text)
     found.sort(key=lambda x: (x[0], -x[1]))
     out, end = [], 0
     for x in found:
