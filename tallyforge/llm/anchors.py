@@ -9,13 +9,15 @@ may share some windows; only these go on to an exact comparison of their text.
 
 Runs travel packed, as one row of arrays per task and bucket of g. Before that
 each task settles the repeats among its own runs, so a passage that a third of
-all documents contain is sent once per task.
+all documents contain is sent once per task. A repeat carries the place where
+its windows stand first, so that ``with_checked`` can compare the texts.
 
 Token positions are bytes or words, as the caller says.
 """
 
 from __future__ import annotations
 
+import bisect
 import gc
 import hashlib
 from collections.abc import Callable, Iterator
@@ -26,15 +28,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import ranked, utf8
+from .common import ranked, stored, utf8
 
 CHUNK = (1 << 19) - 1024  # bytes of text hashed at once
 HELD = 400_000  # runs held by a task before they are sent
-PACKED = "bucket long, n long, g binary, c binary, doc binary, lo binary, len binary, off binary"
-FIELDS = {"g": "<u4", "c": "<u8", "doc": "<i8", "lo": "<u4", "len": "<u2", "off": "<u2"}
+PART = 500  # ranges that one copy of a document's text is asked for
+PACKED = "bucket long, n long, g binary, c binary, doc binary, lo binary, len binary, off binary, src binary, at binary"
+FIELDS = {"g": "<u8", "c": "<u8", "doc": "<i8", "lo": "<u4", "len": "<u2", "off": "<u2"}
 RUN = np.dtype([("bucket", "<i8"), *FIELDS.items()])
+#: Windows that repeat: ``len`` from ``lo`` in ``doc`` on are those from ``at`` in ``src`` on.
+REPEAT = np.dtype([(k, "<i8") for k in ("doc", "lo", "len", "src", "at")])
 #: What the buckets give: kind 0 is a repeat, kind 1 a run to compare by its text.
-FOUND = "kind long, g long, doc long, lo long, len long, off long"
+FOUND = "kind long, g long, doc long, lo long, len long, off long, src long, at long"
 
 
 def release(spark: SparkSession) -> None:
@@ -80,50 +85,56 @@ def runs_of(tokens: np.ndarray, docs: np.ndarray, doc_ids: np.ndarray, n: int, k
     whole = rolling.Hashes(tokens ^ np.uint64(0xA0761D6478BD642F), rolling.BASES[1])
     place = ((own[first] - lo) << 20 | count).astype(np.uint64)
     out["bucket"] = (gram >> np.uint64(33)).astype(np.int64) % buckets
-    out["g"] = gram & np.uint64(0xFFFFFFFF)
+    out["g"] = gram
     out["c"] = rolling.mix(whole(lo, lo + count + n - 1) ^ rolling.mix(place))
     out["doc"], out["lo"] = doc_ids[doc], lo - docs[doc]
     out["len"], out["off"] = count, own[first] - lo
     return out
 
 
-def settle(runs: np.ndarray, within: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Order runs by (bucket, g, c, doc, lo); marks those that repeat an earlier one.
+def settle(runs: np.ndarray, within: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order runs by (g, c, doc, lo); which of them repeat an earlier one, and where the first like each is.
 
     ``within``: an earlier place in the same document counts too.
     """
-    runs = runs[np.lexsort((runs["lo"], runs["doc"], runs["c"], runs["g"], runs["bucket"]))]
+    runs = runs[np.lexsort((runs["lo"], runs["doc"], runs["c"], runs["g"]))]
     if not len(runs):
-        return runs, np.zeros(0, bool)
+        return runs, np.zeros(0, bool), np.zeros(0, np.int64)
     new = np.ones(len(runs), bool)
-    new[1:] = (runs["c"][1:] != runs["c"][:-1]) | (runs["g"][1:] != runs["g"][:-1]) | (runs["bucket"][1:] != runs["bucket"][:-1])
-    if within:
-        return runs, ~new
+    new[1:] = (runs["c"][1:] != runs["c"][:-1]) | (runs["g"][1:] != runs["g"][:-1])
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    return runs, runs["doc"] != runs["doc"][first]
+    return runs, ~new if within else runs["doc"] != runs["doc"][first], first
 
 
-def merged(runs: np.ndarray) -> np.ndarray:
-    """Repeats with adjoining or overlapping starts in a document as one."""
-    runs = runs[np.lexsort((runs["lo"], runs["doc"]))]
-    if not len(runs):
-        return runs
-    lo, end = runs["lo"].astype(np.int64), runs["lo"].astype(np.int64) + runs["len"]
-    new = np.ones(len(runs), bool)
-    new[1:] = (runs["doc"][1:] != runs["doc"][:-1]) | (lo[1:] > end[:-1])
+def repeats_of(runs: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Runs as repeats of others, one each."""
+    out = np.zeros(len(runs), REPEAT)
+    for k in ("doc", "lo", "len"):
+        out[k] = runs[k]
+    out["src"], out["at"] = firsts["doc"], firsts["lo"]
+    return out
+
+
+def merged(known: np.ndarray) -> np.ndarray:
+    """Repeats whose places, here and there, adjoin or overlap as one."""
+    known = known[np.lexsort((known["lo"], known["lo"] - known["at"], known["src"], known["doc"]))]
+    if not len(known):
+        return known
+    end = known["lo"] + known["len"]
+    new = np.ones(len(known), bool)
+    new[1:] = (known["doc"][1:] != known["doc"][:-1]) | (known["src"][1:] != known["src"][:-1]) | ((known["lo"] - known["at"])[1:] != (known["lo"] - known["at"])[:-1]) | (known["lo"][1:] > end[:-1])
     at = np.flatnonzero(new)
-    last = np.append(at[1:], len(runs)) - 1
-    out = runs[at].astype([*((k, v) for k, v in RUN.descr if k != "len"), ("len", "<u4")])
-    out["len"] = end[last] - lo[at]
+    out = known[at]
+    out["len"] = np.maximum.reduceat(end, at) - out["lo"]
     return out
 
 
-def _pack(bucket: int, part: np.ndarray) -> dict:
-    return {"bucket": bucket, "n": len(part), **{k: part[k].astype(kind if k != "len" or bucket >= 0 else "<u4").tobytes() for k, kind in FIELDS.items()}}
+def _pack(bucket: int, part: np.ndarray, fields: dict[str, str]) -> dict:
+    return {"bucket": bucket, "n": len(part), **dict.fromkeys((*FIELDS, "src", "at"), b""), **{k: part[k].astype(kind).tobytes() for k, kind in fields.items()}}
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
-    kinds = pa.schema([("bucket", pa.int64()), ("n", pa.int64()), *((k, pa.binary()) for k in FIELDS)])
+    kinds = pa.schema([("bucket", pa.int64()), ("n", pa.int64()), *((k, pa.binary()) for k in (*FIELDS, "src", "at"))])
     return pa.RecordBatch.from_pylist(rows, schema=kinds)
 
 
@@ -143,14 +154,15 @@ def word_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def packed(held: list[np.ndarray], within: bool, buckets: int, known: np.ndarray | None = None) -> pa.RecordBatch:
     """Rows of ``PACKED``: runs by bucket, after the repeats among them are settled; ``known`` are repeats already."""
-    runs, repeat = settle(np.concatenate(held), within)
-    known = merged(runs[repeat] if known is None else np.concatenate([runs[repeat], known]))
+    runs, repeat, first = settle(np.concatenate(held), within)
+    own = repeats_of(runs[repeat], runs[first[repeat]])
+    known = merged(own if known is None else np.concatenate([own, known]))
     runs = runs[~repeat]
     runs = runs[np.lexsort((runs["lo"], runs["doc"], runs["bucket"]))]  # near alike: it packs better
     cuts = np.append(np.flatnonzero(np.diff(runs["bucket"], prepend=-1)), len(runs))
-    rows = [_pack(int(runs["bucket"][a]), runs[a:z]) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+    rows = [_pack(int(runs["bucket"][a]), runs[a:z], FIELDS) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
     for at in range(0, len(known), 100_000):
-        rows.append(_pack(-1 - (int(known["doc"][at]) + at) % buckets, known[at : at + 100_000]))
+        rows.append(_pack(-1 - (int(known["doc"][at]) + at) % buckets, known[at : at + 100_000], dict.fromkeys(REPEAT.names, "<i8")))
     return _batch(rows)
 
 
@@ -160,7 +172,7 @@ def window_runs(parts: list[tuple[int, int, list[bytes]]], buckets: int) -> np.n
     digest = b"".join(hashlib.blake2b(w, digest_size=16).digest() for _, _, x in parts for w in x)
     halves = np.frombuffer(digest, "<u8").reshape(-1, 2)
     out["bucket"] = (halves[:, 0] >> np.uint64(33)).astype(np.int64) % buckets
-    out["g"], out["c"] = halves[:, 0] & np.uint64(0xFFFFFFFF), halves[:, 1]
+    out["g"], out["c"] = halves[:, 0], halves[:, 1]
     out["doc"] = np.repeat([d for d, _, _ in parts], [len(x) for _, _, x in parts])
     out["lo"] = [lo + k for _, lo, x in parts for k in range(len(x))]
     out["len"] = 1
@@ -190,19 +202,18 @@ def scan(keyed: DataFrame, tokens: Tokens, n: int, k: int, buckets: int, within:
     return keyed.select("key", "text").mapInArrow(_scan(tokens, n, k, buckets, within), PACKED)
 
 
-def unpack(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The runs of a bucket's rows, and the settled repeats among them as (doc, lo, len)."""
-    runs, known = [np.zeros(0, RUN)], []
+def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of a bucket's rows, and the settled repeats among them."""
+    runs, known = [np.zeros(0, RUN)], [np.zeros(0, REPEAT)]
     for row in table.to_pylist():
-        if row["bucket"] < 0:
-            known.append(np.stack([np.frombuffer(row["doc"], "<i8"), np.frombuffer(row["lo"], "<u4").astype(np.int64), np.frombuffer(row["len"], "<u4").astype(np.int64)]))
-            continue
-        part = np.zeros(row["n"], RUN)
-        part["bucket"] = row["bucket"]
-        for k, kind in FIELDS.items():
+        settled = row["bucket"] < 0
+        part = np.zeros(row["n"], REPEAT if settled else RUN)
+        for k, kind in (dict.fromkeys(REPEAT.names, "<i8") if settled else FIELDS).items():
             part[k] = np.frombuffer(row[k], kind)
-        runs.append(part)
-    return np.concatenate(runs), known
+        if not settled:
+            part["bucket"] = row["bucket"]
+        (known if settled else runs).append(part)
+    return np.concatenate(runs), np.concatenate(known)
 
 
 def to_compare(runs: np.ndarray) -> np.ndarray:
@@ -210,7 +221,7 @@ def to_compare(runs: np.ndarray) -> np.ndarray:
     if not len(runs):
         return np.zeros(0, bool)
     new_g = np.ones(len(runs), bool)
-    new_g[1:] = (runs["g"][1:] != runs["g"][:-1]) | (runs["bucket"][1:] != runs["bucket"][:-1])
+    new_g[1:] = runs["g"][1:] != runs["g"][:-1]
     new_c = np.ones(len(runs), bool)
     new_c[1:] = new_g[1:] | (runs["c"][1:] != runs["c"][:-1])
     group = np.cumsum(new_g) - 1
@@ -218,35 +229,25 @@ def to_compare(runs: np.ndarray) -> np.ndarray:
 
 
 def found(repeats: list[np.ndarray], compare: np.ndarray) -> pa.Table:
-    """Rows of ``FOUND``. repeats: (doc, lo, len) arrays."""
-    known = np.concatenate([np.zeros((3, 0), np.int64), *repeats], 1)
-    nil = np.zeros(known.shape[1], np.int64)
-    columns = {
-        "kind": (nil, np.ones(len(compare), np.int64)), "g": (nil, (compare["g"].astype(np.int64) << 24) + compare["bucket"]), "doc": (known[0], compare["doc"]),
-        "lo": (known[1], compare["lo"].astype(np.int64)), "len": (known[2], compare["len"].astype(np.int64)), "off": (nil, compare["off"].astype(np.int64)),
-    }
-    return pa.table({k: np.concatenate(v) for k, v in columns.items()})
-
-
-def as_repeats(runs: np.ndarray) -> np.ndarray:
-    return np.stack([runs["doc"], runs["lo"].astype(np.int64), runs["len"].astype(np.int64)])
+    """Rows of ``FOUND`` from repeats and runs to compare."""
+    known = np.concatenate([np.zeros(0, REPEAT), *repeats])
+    nil, none = np.zeros(len(known), np.int64), np.zeros(len(compare), np.int64)
+    columns = {"kind": (nil, none + 1), "g": (nil, compare["g"].view("<i8") if len(compare) else none), "off": (nil, compare["off"].astype(np.int64))}
+    columns |= {k: (known[k], compare[k].astype(np.int64)) for k in ("doc", "lo", "len")} | {k: (known[k], none) for k in ("src", "at")}
+    order = [c.split()[0] for c in FOUND.split(", ")]
+    return pa.table({k: np.concatenate(columns[k]) for k in order})
 
 
 def matched(rows: DataFrame, within: bool) -> DataFrame:
     """Rows of ``FOUND`` from packed rows: the repeats of each bucket and the runs to compare."""
-    return rows.groupBy("bucket").applyInArrow(match_bucket(within), FOUND)
-
-
-def match_bucket(within: bool):
-    """For groupBy("bucket").applyInArrow: the repeats of a bucket and the runs to compare."""
 
     def run(table: pa.Table) -> pa.Table:
         runs, known = unpack(table)
-        runs, repeat = settle(runs, within)
+        runs, repeat, first = settle(runs, within)
         kept = runs[~repeat]
-        return found([*known, as_repeats(runs[repeat])], kept[to_compare(kept)])
+        return found([known, repeats_of(runs[repeat], runs[first[repeat]])], kept[to_compare(kept)])
 
-    return run
+    return rows.groupBy("bucket").applyInArrow(run, FOUND)
 
 
 KEY = "__doc_key"
@@ -313,3 +314,55 @@ def with_repeats(rows: DataFrame, repeats: DataFrame) -> DataFrame:
     """rows (doc_id, key, text) with ``starts``: the (lo, len) ranges of repeated windows, or null."""
     lists = repeats.groupBy("doc").agg(F.collect_list(F.struct("lo", "len")).alias("starts"))
     return rows.join(lists, rows.key == lists.doc, "left").select("doc_id", "text", "starts")
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = [np.zeros(0, REPEAT)]
+        for doc, rows in zip(b.column("doc").to_pylist(), b.column("rows"), strict=True):
+            own = np.zeros(len(rows), REPEAT)
+            own["doc"] = doc
+            for k in ("lo", "len", "src", "at"):
+                own[k] = rows.values.field(k)
+            own = merged(own)
+            # the longest ranges first: what lies in one of them needs no text of its own
+            order = np.argsort(-own["len"], kind="stable")
+            own, keep, taken = own[order], [], []
+            for k, (a, z) in enumerate(zip(own["lo"].tolist(), (own["lo"] + own["len"]).tolist(), strict=True)):
+                at = bisect.bisect_right(taken, (a, float("inf"))) - 1
+                if at < 0 or taken[at][1] < z:
+                    keep.append(k)
+                    bisect.insort(taken, (a, z))
+            out.append(own[keep])
+        flat = np.concatenate(out)
+        yield pa.RecordBatch.from_arrays([pa.array(flat[k]) for k in REPEAT.names], names=list(REPEAT.names))
+
+
+def with_checked(rows: DataFrame, documents: DataFrame, repeats: DataFrame, cut: Callable[[bytes, list[tuple[int, int]]], list[bytes]], n: int, tag: str) -> DataFrame:
+    """rows (doc_id, key, text) with ``starts``: the (lo, len, piece) ranges of repeated windows, or null.
+
+    ``piece`` is the text of the range's first occurrence, for the caller to compare with. Ranges
+    asked of one document are dealt out by ``PART`` to copies of its text, however many ask.
+    """
+    lists = repeats.groupBy("doc").agg(F.collect_list(F.struct("lo", "len", "src", "at")).alias("rows"))
+    segments = stored(lists.mapInArrow(_segments, "doc long, lo long, len long, src long, at long"), f"{tag}-segments")
+    release(rows.sparkSession)
+    parts = segments.groupBy(F.col("src").alias("__src")).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    dealt = segments.join(parts, F.col("src") == F.col("__src")).withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")))
+    asked = dealt.groupBy("src", "part").agg(F.collect_list(F.struct("doc", "lo", "len", "at")).alias("asked"))
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for text, want in zip(utf8(b.column("text")), b.column("asked").to_pylist(), strict=True):
+                cuts = cut(text, [(x["at"], x["at"] + x["len"] + n - 1) for x in want])
+                out += [(x["doc"], x["lo"], x["len"], p) for x, p in zip(want, cuts, strict=True)]
+            for at in range(0, len(out), 1000):
+                columns = zip(*out[at : at + 1000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(),) * 3 + (pa.binary(),), strict=True)], names=["doc", "lo", "len", "piece"])
+
+    given = documents.join(asked, documents.key == asked.src).select("text", "asked").mapInArrow(pieces, "doc long, lo long, len long, piece binary")
+    given = stored(given, f"{tag}-pieces")
+    release(rows.sparkSession)
+    own = given.groupBy("doc").agg(F.collect_list(F.struct("lo", "len", "piece")).alias("starts"))
+    return rows.join(own, rows.key == own.doc, "left").select("doc_id", "text", "starts")

@@ -1,17 +1,26 @@
 """Substring deduplication over a log-structured index of window fingerprints.
 
-Documents come in batches of ascending id. The index holds what earlier batches
-had, as sorted immutable runs: per run and bucket one file of fingerprints in
-the order of their hash, each with the place where it first occurred. For a new
-batch every bucket is one merge join of the batch's sorted fingerprints with
-the sorted files of that bucket; what is new becomes the batch's own run. Once
-there are ``FANIN`` runs, the bucket's task writes their merge along with the
-new fingerprints as one run instead, and the old ones go (compaction).
+Documents come in batches of ascending keys. The index holds what earlier
+batches had, as sorted immutable runs: per run and bucket one file of
+fingerprints in the order of their hash, each with the place where it first
+occurred. For a new batch every bucket is one merge join of the batch's sorted
+fingerprints with the sorted files of that bucket; what is new becomes the
+batch's own run. Once there are ``FANIN`` runs, the bucket's task writes their
+merge along with the new fingerprints as one run instead, and the old ones go
+(compaction).
+
+The index is a folder with a manifest, the last one written whole, that names
+the runs, the parameters, the last key and where the texts are; ``Index.open``
+goes on from it in another session, and what a broken job left beside it is
+not read. A batch's texts are kept in the folder, unless the caller says that
+they can be had elsewhere.
 
 The index doesn't list all windows: a fingerprint stands for the run of windows
 that share an anchor (see ``anchors``), a fifth of the words. Equal
-fingerprints settle all windows of their runs. Where only the anchor's hash is
-equal, the windows are verified one by one on the words themselves.
+fingerprints make all windows of their runs candidates; where only the anchor's
+hash is equal, the windows are candidates one by one. Every candidate range is
+verified on the words: those at the place where it first occurred travel to the
+document, and a word goes only where they are its own.
 
 A word goes if it lies in a window of ``WORDS`` words whose sequence also
 starts in a document with a smaller id.
@@ -19,12 +28,15 @@ starts in a document with a smaller id.
 Defined cases: null text has no words; texts of fewer words than a window lose
 nothing; rows with equal id and text are one document, rows with equal id and
 different text are ordered by a hash of the text, a null id comes first; an
-empty table gives an empty result; extra columns are ignored.
+empty table or batch gives an empty result; a batch with keys up to the last
+one of the index raises; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import fresh_path, partitions, publish, small_batches, stored, table, utf8
+from .common import fresh_path, publish, shares, small_batches, stored, table, utf8
 
 WORDS = 13
 GRAM = 6
@@ -72,84 +84,149 @@ def read_run(fs, path: str, bucket: int) -> np.ndarray:
 
 
 def _key(runs: np.ndarray) -> np.ndarray:
-    """g and the upper half of c: the order of a run's file is this order."""
-    return (runs["g"].astype(np.uint64) << np.uint64(32)) | (runs["c"] >> np.uint64(32))
+    """(g, c) as 16 bytes in the order of a run's file."""
+    both = np.empty((len(runs), 2), ">u8")
+    both[:, 0], both[:, 1] = runs["g"], runs["c"]
+    return both.view("S16").ravel()
 
 
 def known_in(old: np.ndarray, new: np.ndarray) -> np.ndarray:
-    """Merge join of sorted runs: which of ``new`` have an equal (g, c) in ``old``."""
+    """Merge join of sorted runs: for each of ``new`` the place of its equal (g, c) in ``old``, or -1."""
+    if not len(old):
+        return np.full(len(new), -1)
     a, b = _key(old), _key(new)
-    at = np.searchsorted(a, b)
-    out = np.zeros(len(new), bool)
-    left = np.arange(len(new))
-    while len(left):  # almost always one step; more where only the lower half of c differs
-        left = left[(at[left] < len(a))]
-        left = left[a[at[left]] == b[left]]
-        out[left] |= old["c"][at[left]] == new["c"][left]
-        left = left[~out[left]]
-        at[left] += 1
-    return out
+    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    return np.where(a[at] == b, at, -1)
 
 
 def anchored_in(old: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of ``new`` and of ``old`` share g with the other."""
-    both = np.intersect1d(old["g"], new["g"])
-    return np.isin(new["g"], both), np.isin(old["g"], both)
+    """Which of ``new`` and of ``old`` share g with the other; both sorted."""
+    if not len(old) or not len(new):
+        return np.zeros(len(new), bool), np.zeros(len(old), bool)
+    here = old["g"][np.minimum(np.searchsorted(old["g"], new["g"]), len(old) - 1)] == new["g"]
+    there = new["g"][np.minimum(np.searchsorted(new["g"], old["g"]), len(new) - 1)] == old["g"]
+    return here, there
+
+
+def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Two sorted runs as one: each entry goes to its place among the other's."""
+    at = np.searchsorted(_key(a), _key(b), "right") + np.arange(len(b)) if len(a) else np.arange(len(b))
+    out = np.empty(len(a) + len(b), anchors.RUN)
+    own = np.ones(len(out), bool)
+    own[at] = False
+    out[at], out[own] = b, a
+    return out
 
 
 class Index:
-    """The runs of an index and where they are."""
-
-    def __init__(self, base: str, buckets: int):
-        self.base, self.buckets, self.runs, self.made = base, buckets, [], 0
+    """A persistent index: its folder and what the manifest says."""
+
+    def __init__(self, spark: SparkSession, base: str, state: dict):
+        self.spark, self.base, self.state = spark, base.rstrip("/"), state
+
+    @classmethod
+    def create(cls, spark: SparkSession, base: str, buckets: int, n: int = WORDS, k: int = GRAM) -> Index:
+        """A new index in a folder that the driver and all executors share."""
+        index = cls(spark, base, {"buckets": buckets, "n": n, "k": k, "made": 0, "runs": [], "texts": [], "last": None})
+        index._commit()
+        return index
+
+    @classmethod
+    def open(cls, spark: SparkSession, base: str) -> Index:
+        """The index that a folder holds, as its last whole manifest has it."""
+        fs, root = pafs.FileSystem.from_uri(base.rstrip("/"))
+        names = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(root)) if f.base_name.startswith("manifest-"))
+        if not names:
+            raise ValueError(f"{base} holds no index")
+        with fs.open_input_stream(names[-1]) as f:
+            return cls(spark, base, json.loads(f.read()))
+
+    def _commit(self) -> None:
+        """A new manifest under its own number; then the one before the last goes."""
+        fs, root = pafs.FileSystem.from_uri(self.base)
+        fs.create_dir(root, recursive=True)
+        made = self.state["made"]
+        temp = f"{root}/.manifest-{uuid.uuid4().hex}"
+        with fs.open_output_stream(temp) as f:
+            f.write(json.dumps(self.state).encode())
+        publish(fs, temp, f"{root}/manifest-{made:05d}.json")
+        old = f"{root}/manifest-{made - 2:05d}.json"
+        if made > 1 and fs.get_file_info(old).type == pafs.FileType.File:
+            fs.delete_file(old)
+
+    def add(self, batch: DataFrame, keep_texts: bool = True) -> DataFrame:
+        """Match a batch (key, text) with the index and put it in; gives rows of ``anchors.FOUND`` for ``confirmed``."""
+        last, (low, high) = self.state["last"], batch.agg(F.min("key"), F.max("key")).first()
+        if low is not None and last is not None and low <= last:
+            raise ValueError("a batch must have keys over those of the index")
+        number = self.state["made"]
+        texts = list(self.state["texts"])
+        if keep_texts:
+            texts.append(f"{self.base}/texts-{number:05d}-{uuid.uuid4().hex[:8]}")
+            batch.select("key", "text").write.option("compression", "zstd").parquet(texts[-1])
+        packed = anchors.scan(batch, anchors.word_tokens, self.state["n"], self.state["k"], self.state["buckets"], False)
+        runs, own = list(self.state["runs"]), f"run-{number:05d}-{uuid.uuid4().hex[:8]}"
+        found = self._match(packed, runs, own)
+        compacted = len(runs) >= FANIN
+        self.state = {**self.state, "made": number + 1, "runs": [own] if compacted else [*runs, own], "texts": texts, "last": high if high is not None else last}
+        self._commit()
+        if compacted:
+            fs, root = pafs.FileSystem.from_uri(self.base)
+            for r in runs:  # a batch without windows has left none
+                if fs.get_file_info(f"{root}/{r}").type == pafs.FileType.Directory:
+                    fs.delete_dir(f"{root}/{r}")
+        anchors.release(self.spark)
+        return found
 
-    def match(self, packed: DataFrame) -> DataFrame:
-        """Settle one batch against the index and add it; gives rows of ``anchors.FOUND``."""
-        base, runs, own = self.base, list(self.runs), f"run-{self.made:05d}"
-        compact = len(runs) >= FANIN
+    def _match(self, packed: DataFrame, runs: list[str], own: str) -> DataFrame:
+        base, compact = self.base, len(runs) >= FANIN
 
         def bucket(rows: pa.Table) -> pa.Table:
             number = rows.column("bucket")[0].as_py()
             new, known = anchors.unpack(rows)
             if number < 0:
-                return anchors.found(known, np.zeros(0, anchors.RUN))
+                return anchors.found([known], np.zeros(0, anchors.RUN))
             fs, root = pafs.FileSystem.from_uri(base)
-            new, repeat = anchors.settle(new, False)
-            known.append(anchors.as_repeats(new[repeat]))
+            new, repeat, first = anchors.settle(new, False)
+            settled = [known, anchors.repeats_of(new[repeat], new[first[repeat]])]
             new = new[~repeat]
             history = [read_run(fs, f"{root}/{r}/{number:05d}", number) for r in runs]
             seen, near, partners = np.zeros(len(new), bool), anchors.to_compare(new), []
             for old in history:
-                seen |= known_in(old, new)
+                at = known_in(old, new)
+                hit = (at >= 0) & ~seen
+                settled.append(anchors.repeats_of(new[hit], old[at[hit]]))
+                seen |= hit
                 here, there = anchored_in(old, new)
                 near |= here
                 partners.append(old[there])
-            known.append(anchors.as_repeats(new[seen]))
             fresh = new[~seen]
             fs.create_dir(f"{root}/{own}", recursive=True)
-            keep = np.concatenate([*history, fresh]) if compact else fresh
-            keep = keep[np.lexsort((keep["lo"], keep["doc"], keep["c"], keep["g"]))]
+            keep = fresh
+            for old in history if compact else ():
+                keep = merge(old, keep)
             write_run(fs, f"{root}/{own}/{number:05d}", keep)
             # partners matter where something new shares their anchor
             asked = np.isin(new["g"], fresh["g"][near[~seen]])
             partners = [p[np.isin(p["g"], fresh["g"])] for p in partners]
-            return anchors.found(known, np.concatenate([new[asked & ~seen], *partners]))
+            return anchors.found(settled, np.concatenate([new[asked & ~seen], *partners]))
 
         if compact:  # a bucket that gets nothing new must still carry its history over
-            spark = packed.sparkSession
-            every = spark.range(self.buckets).select(F.col("id").alias("bucket"), F.lit(0).cast("long").alias("n"), *[F.lit(b"").alias(k) for k in anchors.FIELDS])
-            packed = packed.unionByName(every)
-        found = stored(packed.groupBy("bucket").applyInArrow(bucket, anchors.FOUND), "word-runs")
-        fs, root = pafs.FileSystem.from_uri(self.base)
-        if compact:
-            for r in runs:  # a batch without windows has left none
-                if fs.get_file_info(f"{root}/{r}").type == pafs.FileType.Directory:
-                    fs.delete_dir(f"{root}/{r}")
-            self.runs = []
-        self.runs.append(own)
-        self.made += 1
-        anchors.release(packed.sparkSession)
-        return found
+            every = self.spark.range(self.state["buckets"])
+            nothing = [F.lit(b"").alias(k) for k in (*anchors.FIELDS, "src", "at")]
+            packed = packed.unionByName(every.select(F.col("id").alias("bucket"), F.lit(0).cast("long").alias("n"), *nothing))
+        return stored(packed.groupBy("bucket").applyInArrow(bucket, anchors.FOUND), "word-runs")
+
+    def texts(self) -> DataFrame:
+        """(key, text) of all batches whose texts the index keeps."""
+        return self.spark.read.schema("key long, text string").parquet(*self.state["texts"])
+
+    def confirmed(self, found: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+        """Candidates (doc, lo, len, src, at) from what ``add`` gave; documents: (key, text) of all batches, if the index has no texts."""
+        documents = self.texts() if documents is None else documents
+        more = stored(compared(documents, found.where("kind = 1"), self.state["n"], self.state["buckets"]), "word-windows")
+        anchors.release(self.spark)
+        return found.unionAll(more).where("kind = 0").select("doc", "lo", "len", "src", "at")
 
     def drop(self) -> None:
         fs, root = pafs.FileSystem.from_uri(self.base)
@@ -183,9 +260,8 @@ def _windows(n: int, buckets: int):
     return run
 
 
-def verified(documents: DataFrame, compare: DataFrame, n: int = WORDS) -> DataFrame:
-    """Rows of ``anchors.FOUND``: the windows of compared runs whose words occur in an earlier document."""
-    buckets = partitions(documents.sparkSession)
+def compared(documents: DataFrame, compare: DataFrame, n: int, buckets: int) -> DataFrame:
+    """Rows of ``anchors.FOUND``: the windows of compared runs that occur in an earlier document too."""
     windows = anchors.snippets(documents, compare, _cut, n).mapInArrow(_windows(n, buckets), anchors.PACKED)
     return anchors.matched(windows, False)
 
@@ -197,35 +273,16 @@ def cuts_of(documents: DataFrame, batches: int) -> list[tuple[int | None, int |
     return list(zip(edges[:-1], edges[1:], strict=True))
 
 
-def repeats(documents: DataFrame, n: int = WORDS, k: int = GRAM, batches: int = BATCHES) -> DataFrame:
-    """(doc, lo, len): starts of all windows that an earlier document has."""
-    spark = documents.sparkSession
-    small_batches(spark)
-    index, parts = Index(fresh_path(spark, "substring-index"), partitions(spark)), []
-    for above, upto in cuts_of(documents, batches):
-        batch = documents
-        if above is not None:
-            batch = batch.where(F.col("key") > above)
-        if upto is not None:
-            batch = batch.where(F.col("key") <= upto)
-        parts.append(index.match(anchors.scan(batch, anchors.word_tokens, n, k, index.buckets, False)))
-    index.drop()
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionAll(p)
-    more = stored(verified(documents, found.where("kind = 1"), n), "word-verified")
-    anchors.release(spark)
-    return found.unionAll(more).where("kind = 0").select("doc", "lo", "len")
-
-
 def _apply(n: int, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[] for _ in range(4)]
             for text, starts in zip(utf8(b.column("text")), b.column("starts").to_pylist(), strict=True):
                 words = text.split()
+                # the words decide: a range that isn't what stands at its first place is no repeat
+                same = [(s["lo"], s["len"]) for s in starts or () if b" ".join(words[s["lo"] : s["lo"] + s["len"] + n - 1]) == s["piece"]]
                 kept, at = [], 0
-                for a, z in anchors.covered([(s["lo"], s["len"]) for s in starts or ()], n, len(words)):
+                for a, z in anchors.covered(same, n, len(words)):
                     kept += words[at:a]
                     at = z
                 kept += words[at:]
@@ -239,10 +296,46 @@ def _apply(n: int, texts: bool):
     return run
 
 
+def without(rows: DataFrame, documents: DataFrame, candidates: DataFrame, n: int, texts: bool) -> DataFrame:
+    """rows (doc_id, key, text) less the words of verified candidates."""
+    return anchors.with_checked(rows, documents, candidates, _cut, n, "word").mapInArrow(_apply(n, texts), COLUMNS)
+
+
 def deduplicate(docs: DataFrame, n: int = WORDS, k: int = GRAM, batches: int = BATCHES, texts: bool = True) -> DataFrame:
-    """Per row: doc_id, n_words, n_removed, kept_sha256 and, if asked for, the words left as ``text``."""
+    """Per row: doc_id, n_words, n_removed, kept_sha256 and, if asked for, the words left as ``text``.
+
+    The table goes through an index of its own, batch by batch; candidates are verified together.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
     rows, documents = anchors.keyed(docs)
-    return anchors.with_repeats(rows, repeats(documents, n, k, batches)).mapInArrow(_apply(n, texts), COLUMNS)
+    index = Index.create(spark, fresh_path(spark, "substring-index"), shares(docs), n, k)
+    found = None
+    for above, upto in cuts_of(documents, batches):
+        batch = documents
+        if above is not None:
+            batch = batch.where(F.col("key") > above)
+        if upto is not None:
+            batch = batch.where(F.col("key") <= upto)
+        part = index.add(batch, keep_texts=False)
+        found = part if found is None else found.unionAll(part)
+    candidates = index.confirmed(found, documents)
+    index.drop()
+    return without(rows, documents, candidates, n, texts)
+
+
+def deduplicate_batch(index: Index, docs: DataFrame, texts: bool = True) -> DataFrame:
+    """The same for one more batch (doc_id, text) of an index: against all before it, in this session or others.
+
+    Ids must be unique and over those of the index; they are the keys.
+    """
+    small_batches(index.spark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("doc_id").cast("long").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    last = index.state["last"]
+    candidates = index.confirmed(index.add(rows.select("key", "text")))
+    if last is not None:  # windows of earlier documents were compared along
+        candidates = candidates.where(F.col("doc") > last)
+    return without(rows, index.texts(), candidates, index.state["n"], texts)
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

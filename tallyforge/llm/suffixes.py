@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import anchors
-from .common import partitions, small_batches, stored, table, utf8
+from .common import shares, small_batches, stored, table, utf8
 
 LENGTH = 100
 GRAM = 36
@@ -92,8 +92,8 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     return out
 
 
-def repeated_windows(parts: list[bytes], windows: list[int], places: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
-    """Places of the windows that equal one at an earlier place.
+def repeated_windows(parts: list[bytes], windows: list[int], places: list[tuple[int, int]], n: int) -> np.ndarray:
+    """The windows that equal one at an earlier place, as ``anchors.REPEAT``.
 
     parts: texts; windows: how many windows of n bytes count in each, from its
     start; places: (document, position) of each text.
@@ -117,7 +117,9 @@ def repeated_windows(parts: list[bytes], windows: list[int], places: list[tuple[
     # the earliest place of each class; a window may be listed twice
     lead = first[new][group]
     later = (doc > doc[lead]) | ((doc == doc[lead]) & (pos > pos[lead]))
-    return list(zip(doc[later].tolist(), pos[later].tolist(), strict=True))
+    out = np.zeros(int(later.sum()), anchors.REPEAT)
+    out["doc"], out["lo"], out["len"], out["src"], out["at"] = doc[later], pos[later], 1, doc[lead[later]], pos[lead[later]]
+    return out
 
 
 def _cut(text: bytes, ranges: list[tuple[int, int]]) -> list[bytes]:
@@ -155,10 +157,7 @@ def _compare(n: int, buckets: int):
     """
 
     def answer(rows: list[tuple]) -> np.ndarray:
-        hit = np.array(repeated_windows([r[4] for r in rows], [r[3] for r in rows], [(r[1], r[2]) for r in rows], n), np.int64).reshape(-1, 2)
-        out = np.zeros(len(hit), anchors.RUN)
-        out["doc"], out["lo"], out["len"] = hit[:, 0], hit[:, 1], 1
-        return out
+        return repeated_windows([r[4] for r in rows], [r[3] for r in rows], [(r[1], r[2]) for r in rows], n)
 
     def singles(rows: list[tuple]) -> np.ndarray:
         return anchors.window_runs([(r[1], r[2], [r[4][k : k + n] for k in range(r[3])]) for r in rows], buckets)
@@ -198,7 +197,7 @@ def repeats(rows: DataFrame, documents: DataFrame, n: int = LENGTH, k: int = GRA
     """(doc, lo, len): starts of all repeated windows of n bytes."""
     spark = documents.sparkSession
     small_batches(spark)
-    buckets = partitions(spark)
+    buckets = shares(documents)
     packed = anchors.scan(documents, anchors.byte_tokens, n, k, buckets, True)
     found = stored(anchors.matched(packed, True), "byte-runs")
     anchors.release(spark)

@@ -160,12 +160,84 @@ def test_index_compacts_and_keeps_runs_sorted(tmp_path):
     rng = np.random.default_rng(0)
     runs = np.zeros(500, anchors.RUN)
     runs["g"], runs["c"] = rng.integers(0, 50, 500), rng.integers(0, 2**63, 500)
-    runs, _ = anchors.settle(runs, False)
+    runs, repeat, first = anchors.settle(runs, False)
+    assert (runs["c"][first] == runs["c"]).all() and (repeat == (runs["doc"] != runs["doc"][first])).all()
     fs = pafs.LocalFileSystem()
     substrings.write_run(fs, str(tmp_path / "r"), runs)
     assert (substrings.read_run(fs, str(tmp_path / "r"), 0) == runs).all()
     assert len(substrings.read_run(fs, str(tmp_path / "none"), 0)) == 0
-    assert substrings.known_in(runs[::2], runs)[::2].all() and not substrings.known_in(runs[::2], runs[1::2]).any()
+    known = substrings.known_in(runs[::2], runs)
+    assert (known[::2] == np.arange(250)).all() and (substrings.known_in(runs[::2], runs[1::2]) == -1).all() and len(substrings.known_in(runs[:0], runs)) == 500
+    assert (substrings.merge(runs[::3], np.delete(runs, np.s_[::3])) == runs).all() and (substrings.merge(runs[:0], runs) == runs).all()
+    here, there = substrings.anchored_in(runs[:40], runs[40:])
+    assert here.sum() == np.isin(runs["g"][40:], runs["g"][:40]).sum() and there.sum() == np.isin(runs["g"][:40], runs["g"][40:]).sum()
+
+
+def brute_words(docs, n=13):
+    """(id, text) in order to the words left of each."""
+    seen, out = {}, {}
+    for i, t in docs:
+        w = WORD.findall(t)
+        mark = [0] * len(w)
+        for k in range(len(w) - n + 1):
+            if seen.setdefault(tuple(w[k : k + n]), i) < i:
+                mark[k : k + n] = [1] * n
+        out[i] = " ".join(x for x, m in zip(w, mark, strict=True) if not m)
+    return out
+
+
+def test_index_goes_on_in_other_sessions(spark, tmp_path):
+    """Batches added by newly opened indexes, in sessions of their own, give what one pass over all gives."""
+    base, want = f"file://{tmp_path}/index", brute_words(sorted(texts().items()))
+    rows = sorted(texts().items())
+    cuts = [0, 7, 20, 21, 33, 50, len(rows)]
+    substrings.Index.create(spark, base, 4)
+    got, runs = {}, []
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+        session = spark.newSession()
+        index = substrings.Index.open(session, base)
+        batch = session.createDataFrame(rows[a:z], "doc_id long, text string")
+        got |= {r.doc_id: r.text for r in substrings.deduplicate_batch(index, batch).collect()}
+        runs.append(len(index.state["runs"]))
+    assert got == want and max(runs) == substrings.FANIN and runs[substrings.FANIN] == 1  # compacted
+    index = substrings.Index.open(spark, base)
+    assert substrings.deduplicate_batch(index, spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    with pytest.raises(ValueError):
+        index.add(spark.createDataFrame(rows[:2], "key long, text string"))
+    with pytest.raises(ValueError):
+        substrings.Index.open(spark, f"file://{tmp_path}")
+
+
+def test_equal_hashes_of_different_words_remove_nothing(spark):
+    """All runs get one fingerprint: what the words don't confirm stays, and real copies of the first text go."""
+    from tallyforge.llm import anchors
+
+    def blind(values, docs, ids, n, k, buckets):
+        out = real(values, docs, ids, n, k, buckets)
+        out["g"], out["c"], out["bucket"], out["len"], out["lo"] = 1, 1, 0, 1, 0
+        return out
+
+    real = anchors.runs_of
+    rows = [(1, LONG), (2, " ".join(f"other{k}" for k in range(40))), (3, LONG)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    batch = [(i, t.encode()) for i, t in rows]
+    values, cuts = anchors.word_tokens([t for _, t in batch])
+    fake = blind(values, cuts, np.array([i for i, _ in batch]), 13, 6, 1)
+    fake, repeat, first = anchors.settle(fake, False)
+    known = anchors.merged(anchors.repeats_of(fake[repeat], fake[first[repeat]]))
+    candidates = spark.createDataFrame([tuple(map(int, r)) for r in known.tolist()], "doc long, lo long, len long, src long, at long")
+    keyed_rows, documents = anchors.keyed(df)
+    got = {r.doc_id: r.n_removed for r in substrings.without(keyed_rows, documents, candidates, 13, False).collect()}
+    assert {r[0] for r in known.tolist()} == {2, 3} and got == {1: 0, 2: 0, 3: 13}
+
+
+def test_one_document_asked_by_very_many(spark, monkeypatch):
+    from tallyforge.llm import anchors
+
+    monkeypatch.setattr(anchors, "PART", 3)
+    rows = [(k, LONG + f" end{k}") for k in range(40)]
+    got = substrings.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in got.collect()} == {k: f"{LONG} end0" if k == 0 else f"end{k}" for k in range(40)}
 
 
 def test_quality_counts(spark, docs, empty, odd):
