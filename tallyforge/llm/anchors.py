@@ -310,21 +310,17 @@ def covered(starts: list[tuple[int, int]], n: int, size: int) -> list[tuple[int,
     return [(a, z) for a, z in out]
 
 
-def with_repeats(rows: DataFrame, repeats: DataFrame) -> DataFrame:
-    """rows (doc_id, key, text) with ``starts``: the (lo, len) ranges of repeated windows, or null."""
-    lists = repeats.groupBy("doc").agg(F.collect_list(F.struct("lo", "len")).alias("starts"))
-    return rows.join(lists, rows.key == lists.doc, "left").select("doc_id", "text", "starts")
-
-
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = [np.zeros(0, REPEAT)]
-        for doc, rows in zip(b.column("doc").to_pylist(), b.column("rows"), strict=True):
-            own = np.zeros(len(rows), REPEAT)
-            own["doc"] = doc
-            for k in ("lo", "len", "src", "at"):
-                own[k] = rows.values.field(k)
-            own = merged(own)
+        lists = b.column("rows")
+        flat, cuts = lists.flatten(), (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+        whole = np.zeros(len(flat), REPEAT)
+        whole["doc"] = np.repeat(np.asarray(b.column("doc")), np.diff(cuts))
+        for k in ("lo", "len", "src", "at"):
+            whole[k] = np.asarray(flat.field(k))
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            own = merged(whole[a:z])
             # the longest ranges first: what lies in one of them needs no text of its own
             order = np.argsort(-own["len"], kind="stable")
             own, keep, taken = own[order], [], []

@@ -4,7 +4,7 @@ Removes each byte that lies in a string of ``LENGTH`` bytes that also starts
 earlier in the corpus: in a document with a smaller id, or earlier in the same
 one. Strings are judged on the input and never cross documents.
 
-Runs of windows that are equal as a whole are settled by their hashes (see
+Runs of windows that are equal as a whole are found by their hashes (see
 ``anchors``); the runs that share an anchor and differ, at the edges of
 repeated passages, are compared by their text: each bucket of them becomes a
 suffix array by two-stage sorting. Suffixes smaller than their successors are
@@ -12,6 +12,9 @@ sorted directly; one scan over the buckets induces all others; then the common
 prefixes of neighbours tell which windows are equal, and all but the earliest
 of each class are repeats.
 
+What either way finds is verified: the bytes at the place where a range first
+occurred travel to the document, and only bytes that are its own go.
+
 An anchor may occur in very many different surroundings (a common line). So
 the compared runs are dealt out by the anchor together with a hash of the
 bytes before or after it that each half of a run's windows must contain.
@@ -57,25 +60,41 @@ def suffix_array(text: bytes, depth: int) -> np.ndarray:
     # buckets by first byte: induced suffixes come before the directly sorted ones
     total = np.bincount(t, minlength=256)
     end = np.cumsum(total)
-    head = (end - total).tolist()
-    out = [-1] * n
-    at = (end - np.bincount(t[rises], minlength=256)).tolist()
-    for i in direct:
-        c = text[i]
-        out[at[c]] = i
-        at[c] += 1
-    falls = (~rises).tolist()
-    last = n - 1
-    if falls[last]:
-        out[head[text[last]]] = last
-        head[text[last]] += 1
-    for k in range(n):
-        j = out[k] - 1
-        if j >= 0 and falls[j]:
-            c = text[j]
-            out[head[c]] = j
-            head[c] += 1
-    return np.array(out, np.int64)
+    head, tail = end - total, end - np.bincount(t[rises], minlength=256)
+    out = np.empty(n, np.int64)
+    direct = np.array(direct, np.int64)
+    out[tail[t[direct]] + _nth(t[direct])] = direct
+    falls = ~rises
+    if falls[n - 1]:
+        out[head[t[n - 1]]] = n - 1
+        head[t[n - 1]] += 1
+    for c in np.flatnonzero(total).tolist():
+        # the induced part of this bucket grows while it is scanned: by suffixes that begin with the same byte again
+        at = end[c] - total[c]
+        while True:
+            if at < head[c]:
+                now, at = out[at : head[c]], head[c]
+            elif at < end[c]:
+                now, at = out[tail[c] : end[c]], end[c]
+            else:
+                break
+            before = now[now > 0] - 1
+            before = before[falls[before]]
+            if len(before):
+                first = t[before]
+                out[head[first] + _nth(first)] = before
+                head += np.bincount(first, minlength=256)
+    return out
+
+
+def _nth(values: np.ndarray) -> np.ndarray:
+    """How many equal values come before each."""
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    first = np.flatnonzero(np.diff(ordered.astype(np.int64), prepend=-1) if len(ordered) else ordered)
+    out = np.empty(len(values), np.int64)
+    out[order] = np.arange(len(values)) - np.repeat(first, np.diff(np.append(first, len(values))))
+    return out
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
@@ -193,11 +212,11 @@ def _compare(n: int, buckets: int):
     return run
 
 
-def repeats(rows: DataFrame, documents: DataFrame, n: int = LENGTH, k: int = GRAM) -> DataFrame:
-    """(doc, lo, len): starts of all repeated windows of n bytes."""
+def repeats(documents: DataFrame, n: int = LENGTH, k: int = GRAM) -> DataFrame:
+    """Candidates (doc, lo, len, src, at): starts of repeated windows of n bytes, and where they stand first."""
     spark = documents.sparkSession
     small_batches(spark)
-    buckets = shares(documents)
+    buckets = shares(documents, 32)
     packed = anchors.scan(documents, anchors.byte_tokens, n, k, buckets, True)
     found = stored(anchors.matched(packed, True), "byte-runs")
     anchors.release(spark)
@@ -205,7 +224,7 @@ def repeats(rows: DataFrame, documents: DataFrame, n: int = LENGTH, k: int = GRA
     dealt = compare.repartition(buckets, "key").sortWithinPartitions("key")
     more = stored(anchors.matched(dealt.mapInArrow(_compare(n, buckets), anchors.PACKED), True), "byte-windows")
     anchors.release(spark)
-    return found.unionAll(more).where("kind = 0").select("doc", "lo", "len")
+    return found.unionAll(more).where("kind = 0").select("doc", "lo", "len", "src", "at")
 
 
 def _apply(n: int, texts: bool):
@@ -213,7 +232,8 @@ def _apply(n: int, texts: bool):
         for b in batches:
             out: list[list] = [[] for _ in range(5)]
             for text, starts in zip(utf8(b.column("text")), b.column("starts").to_pylist(), strict=True):
-                spans = anchors.covered([(s["lo"], s["len"]) for s in starts or ()], n, len(text))
+                same = [(s["lo"], s["len"]) for s in starts or () if text[s["lo"] : s["lo"] + s["len"] + n - 1] == s["piece"]]
+                spans = anchors.covered(same, n, len(text))
                 kept, at = [], 0
                 for a, z in spans:
                     kept.append(text[at:a])
@@ -230,7 +250,7 @@ def _apply(n: int, texts: bool):
 def deduplicate(docs: DataFrame, n: int = LENGTH, k: int = GRAM, texts: bool = True) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the bytes left as ``text``."""
     rows, documents = anchors.keyed(docs)
-    return anchors.with_repeats(rows, repeats(rows, documents, n, k)).mapInArrow(_apply(n, texts), COLUMNS)
+    return anchors.with_checked(rows, documents, repeats(documents, n, k), _cut, n, "byte").mapInArrow(_apply(n, texts), COLUMNS)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
