@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import ranked, stored, utf8
+from .common import ranked, shares, stored, utf8
 
 CHUNK = (1 << 19) - 1024  # bytes of text hashed at once
 HELD = 400_000  # runs held by a task before they are sent
@@ -344,8 +344,16 @@ def with_checked(rows: DataFrame, documents: DataFrame, repeats: DataFrame, cut:
     segments = stored(lists.mapInArrow(_segments, "doc long, lo long, len long, src long, at long"), f"{tag}-segments")
     release(rows.sparkSession)
     parts = segments.groupBy(F.col("src").alias("__src")).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    dealt = segments.join(parts, F.col("src") == F.col("__src")).withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")))
-    asked = dealt.groupBy("src", "part").agg(F.collect_list(F.struct("doc", "lo", "len", "at")).alias("asked"))
+    hot = stored(parts.where("parts > 1"), f"{tag}-hot")
+    ask = F.collect_list(F.struct("doc", "lo", "len", "at")).alias("asked")
+    asked = segments.join(hot, F.col("src") == F.col("__src"), "left_anti").groupBy("src").agg(ask)
+    usual = documents.join(asked, documents.key == asked.src).select("text", "asked")
+    # each part of what is asked of one document meets a copy of its text in a task of its own
+    split = segments.join(hot, F.col("src") == F.col("__src")).withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")))
+    split = split.groupBy("src", "part").agg(ask)
+    copied = documents.join(hot, documents.key == hot["__src"]).select("key", "text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("__part"))
+    dealt = [d.repartition(shares(documents), *d.columns[:1], p) for d, p in ((copied.select("key", "__part", "text"), "__part"), (split, "part"))]
+    often = dealt[0].join(dealt[1], (F.col("key") == F.col("src")) & (F.col("__part") == F.col("part"))).select("text", "asked")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -357,8 +365,7 @@ def with_checked(rows: DataFrame, documents: DataFrame, repeats: DataFrame, cut:
                 columns = zip(*out[at : at + 1000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(),) * 3 + (pa.binary(),), strict=True)], names=["doc", "lo", "len", "piece"])
 
-    given = documents.join(asked, documents.key == asked.src).select("text", "asked").mapInArrow(pieces, "doc long, lo long, len long, piece binary")
-    given = stored(given, f"{tag}-pieces")
+    given = stored(usual.unionAll(often).mapInArrow(pieces, "doc long, lo long, len long, piece binary"), f"{tag}-pieces")
     release(rows.sparkSession)
     own = given.groupBy("doc").agg(F.collect_list(F.struct("lo", "len", "piece")).alias("starts"))
     return rows.join(own, rows.key == own.doc, "left").select("doc_id", "text", "starts")

@@ -63,6 +63,18 @@ def scratch(spark: SparkSession) -> Iterator[set[str]]:
     _made[first:] = [p for p in _made[first:] if p in keep]
 
 
+def last_path() -> str:
+    """Where the last thing was stored that is still there."""
+    return _made[-1]
+
+
+def discard(spark: SparkSession, path: str | None) -> None:
+    """Delete what was stored there."""
+    if path in _made:
+        _made.remove(path)
+        _delete(spark, path)
+
+
 def publish(fs, temp: str, name: str) -> None:
     """Give a whole file its name; a retried task replaces what an earlier try has left."""
     from pyarrow.fs import FileType

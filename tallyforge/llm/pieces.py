@@ -20,14 +20,16 @@ value left after k samples is the threshold of the inclusion scores
 
 All noise is a hash of the row's key, the sample's rank and the place, so a row
 has the same samples wherever it is computed. Lattices are built for distinct
-words only, over arrays: pieces don't cross a space, and none mixes letters with
-other characters, so a text's lattice is a chain of small ones.
+words only, over arrays: a text is cut before spaces and between letters and
+other characters, so its lattice is a chain of small ones. The pieces of several
+spaces and the few that mix letters with other characters (such as a raised two
+and a full stop) lie across cuts and aren't used; every text can be written
+without them.
 
 Defined cases: null and empty text have one segmentation, without pieces; a null
 id is keyed by the text; rows that repeat id and text get equal samples; texts
 with fewer than k segmentations give all they have, with inclusion score 1; an
-empty table gives an empty result; extra columns are ignored. Each space starts
-a new chain link, so pieces of several spaces aren't used.
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

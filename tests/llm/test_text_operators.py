@@ -166,6 +166,18 @@ def test_round_trips_and_best(voc):
     assert tuple(pieces.encode_best(voc, [word])[0].tolist()) == max(exact, key=exact.get)
 
 
+def test_the_library_decodes_the_same(voc):
+    import public_tokenizers
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts = [r[1] or "" for r in documents()] + ["x².5 m²", "a  b   c", "naïve 日本語 😀 ﬁ"]
+    found = pieces.sample(pieces.Corpus(voc, texts), pieces.rolling.mix(np.arange(len(texts), dtype=np.uint64)), 2)
+    for f, best in zip(found, pieces.encode_best(voc, texts), strict=True):
+        for ids in (best, *(s[1] for s in f)):
+            assert library.decode(ids.tolist()) == voc.decode(ids)
+
+
 def test_samples_hang_on_the_row_alone(spark, voc):
     import public_tokenizers
 
