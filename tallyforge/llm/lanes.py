@@ -28,7 +28,8 @@ from . import rolling, webp
 ROW = webp.ROW
 WIDTH = ROW // 3
 FRAME = 32  # rows of one frame
-CHUNK = 4 << 20  # bytes of pixels that are encoded or decoded side by side
+CHUNK = 8 << 20  # bytes of pixels that are decoded side by side
+SOME = 1 << 19  # and encoded: arrays that stay in the processor's cache
 CACHE_BITS = 8
 CACHE_LEAST = 24  # pixels that the cache must hold
 MODES = (1, 2, 11)  # predictors that are tried
@@ -269,6 +270,11 @@ def _wide(value: int, n: int) -> list[tuple[int, int]]:
     return [(value >> at & 0xFFFFFFFF, min(32, n - at)) for at in range(0, n, 32)]
 
 
+def _slots(px: np.ndarray) -> np.ndarray:
+    """Each pixel's place in the colour cache."""
+    return ((px * np.uint32(webp.CACHE_MULTIPLIER)) >> np.uint32(32 - CACHE_BITS)).astype(np.int64)
+
+
 def transformed(px: np.ndarray, own: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[tuple[int, int]]], list[str]]:
     """(pixels, their frames, widths, header fields, names) after the transform that makes each frame smallest."""
     frames = len(size)
@@ -280,29 +286,47 @@ def transformed(px: np.ndarray, own: np.ndarray, size: np.ndarray) -> tuple[np.n
     red_green, blue_green, blue_red = bits(r - g), bits(b - g), bits(b - r)
     cost = {"plain": red + green + blue, "green": green + red_green + blue_green + 3}
     cost["cross"] = green + np.minimum(red, red_green) + np.minimum(blue, np.minimum(blue_green, blue_red)) + 62
-    rest = {mode: residues([r, g, b], place, mode) for mode in MODES}
-    for mode, channels in rest.items():
-        cost[f"predictor {mode}"] = sum(map(bits, channels)) + 62
-    order = np.argsort((own << 24) + (px & np.uint32(0xFFFFFF)))
-    new = np.ones(len(px), bool)
+    # a predictor is tried where it makes the green of some frame smaller, and the one that chooses where another is
+    rest, better = {}, np.zeros(frames, bool)
+    for mode in MODES:
+        if mode == MODES[-1] and not better.any():
+            break
+        tried = residues([g], place, mode) if mode != MODES[-1] else []
+        some = bits(tried[0]) < green if tried else better
+        better |= some
+        cost[f"predictor {mode}"] = np.full(frames, np.inf)
+        if some.any():
+            at = np.flatnonzero(some[own])
+            part = residues([c[at] for c in (r, g, b)], place[at], mode)
+            rest[mode] = at, part
+            cost[f"predictor {mode}"][some] = sum(_bits(base[at], c, frames, size) for c in part)[some] + 62
+    # colours that share a place in the cache are at least as many as the places
+    places = _bits(base, _slots(px), frames, size)
+    taken = (np.bincount(base + _slots(px), minlength=256 * frames).reshape(frames, 256) > 0).sum(1)
+    low = places + 24 * taken + 90 < np.minimum.reduce([cost[k] for k in cost])
+    at = np.flatnonzero(low[own])
+    order = at[np.argsort((own[at] << 24) + (px[at] & np.uint32(0xFFFFFF)))]
+    new = np.ones(len(order), bool)
     new[1:] = (px[order][1:] != px[order][:-1]) | (own[order][1:] != own[order][:-1])
     colours = np.bincount(own[order][new], minlength=frames)
     group = np.cumsum(new) - 1
-    many = np.bincount(group)
-    spent = np.bincount(own[order][new], many * np.log2(many), frames)
+    many = np.bincount(group, minlength=1)
+    spent = np.bincount(own[order][new], (many * np.log2(np.maximum(many, 1)))[: int(new.sum())], frames)
     index = np.empty(len(px), np.int64)
     index[order] = group - (np.cumsum(colours) - colours)[own[order]]
-    cost["palette"] = np.where(colours <= 256, size * np.log2(np.maximum(size, 1)) - spent + 24 * colours + 90, np.inf)
+    cost["palette"] = np.where(low & (colours <= 256), size * np.log2(np.maximum(size, 1)) - spent + 24 * colours + 90, np.inf)
     names = list(cost)
     choice = np.argmin(np.stack([cost[k] for k in names]), 0)
     chosen = [names[k] for k in choice.tolist()]
     out, widths, heads = px.copy(), np.full(frames, WIDTH), [[(0, 1)] for _ in range(frames)]
+    if not choice.any():
+        return out, own, widths, heads, chosen
     kind = choice[own]
     here = kind == names.index("green")
     out[here] = _argb((r - g)[here], g[here], (b - g)[here], 255)
-    for mode, channels in rest.items():
-        here = kind == names.index(f"predictor {mode}")
-        out[here] = _argb(*(c[here] for c in channels))  # alpha is what is predicted
+    for mode, (at, channels) in rest.items():
+        mine = kind[at] == names.index(f"predictor {mode}")
+        out[at[mine]] = _argb(*(c[mine] for c in channels))  # alpha is what is predicted
     distinct = px[order][new]
     pieces = {}
     for f in np.flatnonzero((choice > 0)).tolist():
@@ -379,8 +403,8 @@ def encode_frames(frames: list[np.ndarray]) -> tuple[list[bytes], Counter]:
     np.add.at(covered, begin + many, -1)
     free = np.cumsum(covered[:-1]) == 0
     # the cache holds every pixel before; the last in its place counts
-    slot = ((px.astype(np.uint64) * MULTIPLIER) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - CACHE_BITS)
-    order = np.argsort(own << CACHE_BITS | slot.astype(np.int64), kind="stable")
+    slot = _slots(px)
+    order = np.argsort(own << CACHE_BITS | slot, kind="stable")
     held = np.zeros(len(px), bool)
     held[order[1:]] = (px[order[1:]] == px[order[:-1]]) & (own[order[1:]] == own[order[:-1]])
     held &= free
@@ -394,7 +418,7 @@ def encode_frames(frames: list[np.ndarray]) -> tuple[list[bytes], Counter]:
     at = np.flatnonzero(token)
     kind, frame = token[at], own[at]
     symbol = (px[at] >> 8 & 255).astype(np.int64)
-    symbol[kind == 2] = GREEN + LENGTHS + slot[at[kind == 2]].astype(np.int64)
+    symbol[kind == 2] = GREEN + LENGTHS + slot[at[kind == 2]]
     length, length_extra, length_more = spread(many)
     distance = back + 120
     for w in np.unique(widths[own[begin]]).tolist():
@@ -456,7 +480,7 @@ def encode(payloads: list[bytes], features: Counter | None = None) -> list[bytes
         frames += [np.frombuffer(p, np.uint8, min(FRAME, rows - at) * ROW, at * ROW) for at in range(0, rows, FRAME)]
         counts.append(-(-rows // FRAME))
     streams = []
-    for a, z in rolling.chunks([len(f) for f in frames], CHUNK):
+    for a, z in rolling.chunks([len(f) for f in frames], SOME):
         some, seen = encode_frames(frames[a:z])
         streams += some
         if features is not None:
@@ -516,14 +540,13 @@ class _Lanes:
 
     def peek(self, lanes: np.ndarray) -> np.ndarray:
         at = self.at[lanes]
-        return self.view[at >> 3] >> (at & 7).astype(np.uint64)
+        return self.view[at >> 3] >> (at & 7).view(np.uint64)
 
     def take(self, lanes: np.ndarray, n) -> np.ndarray:
         """The next n bits, at most 32 and the same for all or one each."""
-        n = np.broadcast_to(np.asarray(n), lanes.shape)
-        out = self.peek(lanes) & ((np.uint64(1) << n.astype(np.uint64)) - np.uint64(1))
+        out = self.peek(lanes).view(np.int64) & ((1 << n) - 1)
         self.at[lanes] += n
-        return out.astype(np.int64)
+        return out
 
     def check(self) -> None:
         if (self.at > self.end).any():
@@ -587,62 +610,76 @@ class _Lanes:
             raise ValueError("the colour cache is too large, or there are meta codes")
         sizes = (GREEN + LENGTHS + np.where(cache_bits > 0, 1 << cache_bits, 0), *(np.full(len(every), s) for s in (256, 256, 256, DISTANCES)))
         green, red, blue, alpha, far = (_Codes(self.lengths(s)) for s in sizes)
-        cache = np.zeros((len(every), 1 << int(cache_bits.max())), np.uint32)
-        shift = (32 - cache_bits).astype(np.uint64)
-        base = np.cumsum(self.n) - self.n
+        cache = np.zeros((len(every), 2 << int(cache_bits.max())), np.uint32)
+        begin = np.cumsum(self.n) - self.n
+        spot, stop = begin.copy(), begin + self.n
         out = np.zeros(int(self.n.sum()), np.uint32)
-        at = np.zeros(len(every), np.int64)
-        any_cache = bool(cache_bits.any())
+        any_cache, short = bool(cache_bits.any()), green.most + red.most + blue.most + alpha.most <= 56
+        sizes = np.unique(cache_bits[cache_bits > 0])
+        # lanes without a cache write theirs, too, and never read it
+        shift = np.uint32(32 - int(sizes[0])) if len(sizes) == 1 else np.where(cache_bits > 0, 32 - cache_bits, 31).astype(np.uint32)
 
         def remember(lanes: np.ndarray, px: np.ndarray) -> None:
-            slot = ((px.astype(np.uint64) * MULTIPLIER) & np.uint64(0xFFFFFFFF)) >> shift[lanes]
-            cache[lanes, np.where(cache_bits[lanes] > 0, slot.astype(np.int64), 0)] = px
+            own = shift if len(sizes) == 1 else shift[lanes]
+            cache[lanes, (px * np.uint32(webp.CACHE_MULTIPLIER)) >> own] = px
 
         now = every
         while len(now):
-            if self.at[now].max() > self.end[-1]:
-                self.check()
-            s, n = green.read(now, self.peek(now))
+            bits = self.peek(now)
+            s, n = green.read(now, bits)
             self.at[now] += n
             literal = s < GREEN
-            a = now[literal] if not literal.all() else now
+            whole = bool(literal.all())
+            a = now if whole else now[literal]
             if len(a):
-                bits = self.peek(a)
+                if short:  # all four lie within the bits at hand
+                    bits = bits >> n.view(np.uint64)
+                    bits = bits if whole else bits[literal]
+                else:
+                    bits = self.peek(a)
                 r, n1 = red.read(a, bits)
-                bits = bits >> n1.astype(np.uint64)
+                bits = bits >> n1.view(np.uint64)
                 b, n2 = blue.read(a, bits)
-                x, n3 = alpha.read(a, bits >> n2.astype(np.uint64))
-                self.at[a] += n1 + n2 + n3
-                px = ((x << 24) | (r << 16) | ((s[literal] if len(a) < len(now) else s) << 8) | b).astype(np.uint32)
-                out[base[a] + at[a]] = px
-                at[a] += 1
+                n1 += n2
+                if alpha.only is None:
+                    x, n3 = alpha.read(a, bits >> n2.view(np.uint64))
+                    n1 += n3
+                else:
+                    x = alpha.only[a]
+                self.at[a] += n1
+                px = ((x << 24) | (r << 16) | ((s if whole else s[literal]) << 8) | b).astype(np.uint32)
+                out[spot[a]] = px
+                spot[a] += 1
                 if any_cache:
                     remember(a, px)
-            if len(a) < len(now):
+            if not whole:
                 held = s >= GREEN + LENGTHS
                 c = now[held]
                 if len(c):
-                    out[base[c] + at[c]] = cache[c, s[held] - GREEN - LENGTHS]
-                    at[c] += 1
+                    out[spot[c]] = cache[c, s[held] - GREEN - LENGTHS]
+                    spot[c] += 1
                 copy = ~literal & ~held
                 c = now[copy]
                 if len(c):
-                    length, back = self._spread(c, s[copy] - GREEN), None
+                    length = self._spread(c, s[copy] - GREEN)
                     f, n = far.read(c, self.peek(c))
                     self.at[c] += n
                     back = self._distance(self._spread(c, f), self.width[c])
-                    if (back > at[c]).any() or (at[c] + length > self.n[c]).any():
+                    at = spot[c]
+                    if (back > at - begin[c]).any() or (at + length > stop[c]).any():
                         raise ValueError("a back reference leaves the image")
                     nth = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-                    whole = np.repeat(base[c] + at[c], length)
-                    px = out[whole - np.repeat(back, length) + nth % np.repeat(back, length)]
-                    out[whole + nth] = px
+                    place, step = np.repeat(at, length), np.repeat(back, length)
+                    px = out[place - step + nth % step]
+                    out[place + nth] = px
                     if any_cache:
                         remember(np.repeat(c, length), px)
-                    at[c] += length
-            now = now[at[now] < self.n[now]]
-        self.check()
-        return [out[a : a + n] for a, n in zip(base.tolist(), self.n.tolist(), strict=True)]
+                    spot[c] += length
+            left = spot[now] < stop[now]
+            if not left.all():
+                now = now[left]
+                self.check()
+        return [out[a : a + n] for a, n in zip(begin.tolist(), self.n.tolist(), strict=True)]
 
     def _spread(self, lanes: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         more = np.where(symbol < 4, 0, (symbol - 2) >> 1)
@@ -665,7 +702,7 @@ class _Codes:
         lanes, symbols = lengths.shape
         self.fast = fast
         used = (lengths > 0).sum(1)
-        self.only = lengths.argmax(1) if (used == 1).all() else None
+        self.only, self.most = (lengths.argmax(1) if (used == 1).all() else None), int(lengths.max())
         if self.only is not None:
             return
         share = np.where(lengths > 0, 1 << (15 - lengths), 0).sum(1)
@@ -696,8 +733,8 @@ class _Codes:
         """(symbol, length) from the next bits of some lanes."""
         if self.only is not None:
             return self.only[lanes], np.zeros(len(lanes), np.int64)
-        found = self.table[(lanes << self.fast) + TURNED[self.fast][(bits & np.uint64((1 << self.fast) - 1)).astype(np.int64)]]
-        symbol, n = (found >> 4).astype(np.int64), (found & 15).astype(np.int64)
+        found = self.table[(lanes << self.fast) + TURNED[self.fast][bits.view(np.int64) & ((1 << self.fast) - 1)]].astype(np.int64)
+        symbol, n = found >> 4, found & 15
         if self.long and (found < 0).any():
             for k in np.flatnonzero(found < 0).tolist():
                 lane, whole = int(lanes[k]), int(TURNED[15][int(bits[k]) & 0x7FFF])
