@@ -38,6 +38,7 @@ MULTIPLIER = np.uint64(webp.CACHE_MULTIPLIER)
 #: The code in which code lengths are written: bits of each of its 19 symbols. It is complete.
 LENGTH_CODE = np.array([3, 7, 7, 7, 4, 3, 3, 3, 3, 3, 4, 7, 7, 7, 7, 7, 0, 5, 5])
 FAST = 10  # bits looked up at once
+WORD = np.uint64(0xFFFFFFFF)
 TURNED = {n: np.array([int(f"{k:0{n}b}"[::-1], 2) for k in range(1 << n)], np.uint16) for n in (7, FAST, 15)}
 
 
@@ -57,22 +58,25 @@ class Items:
         total = np.sum(sizes, axis=0)
         width = (total + 7) >> 3
         first = np.cumsum(width) - width
-        out = np.zeros(int(width.sum()) + 8, np.uint8)
+        out = np.zeros(int(width.sum()) // 4 + 4, np.uint32)
         at = first * 8
         for (frame, value, bits), size in zip(self.sections, sizes, strict=True):
             ends = np.cumsum(bits)
             before = ends - bits
             begin = np.cumsum(size) - size
             place = at[frame] + before - begin[frame]
-            value = value << (place & 7).astype(np.uint64)
-            place >>= 3
-            low = int(place[0]) if len(place) else 0
-            for k in range(8 if len(place) else 0):
-                part = (value >> np.uint64(8 * k)) & np.uint64(255)
-                some = np.bincount(place - low, part.astype(float)).astype(np.uint8)
-                out[low + k : low + k + len(some)] += some
+            if len(place):  # a field lies in three words at most; fields share words, but no bits
+                shift = (place & 31).astype(np.uint64)
+                word = (place >> 5) - int(place[0] >> 5)
+                low, high = (value & WORD) << shift, (value >> np.uint64(32)) << shift
+                for k, part in enumerate((low & WORD, (low >> np.uint64(32)) + (high & WORD), high >> np.uint64(32))):
+                    if part.any():
+                        some = np.bincount(word, part.astype(float)).astype(np.uint32)
+                        a = int(place[0] >> 5) + k
+                        out[a : a + len(some)] += some
             at = at + size
-        return [out[a : a + n].tobytes() for a, n in zip(first.tolist(), width.tolist(), strict=True)]
+        whole = out.astype("<u4").tobytes()
+        return [whole[a : a + n] for a, n in zip(first.tolist(), width.tolist(), strict=True)]
 
 
 def code_lengths(counts: np.ndarray) -> np.ndarray:
@@ -369,9 +373,11 @@ def copies(px: np.ndarray, own: np.ndarray, left: np.ndarray) -> tuple[np.ndarra
     if len(px) < 4:
         return nil, nil, nil
     v = rolling.mix(px.astype(np.uint64) + np.uint64(1))
-    key = rolling.mix(v[:-2] + np.uint64(3) * v[1:-1] + np.uint64(5) * v[2:] + own[:-2].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    at = np.flatnonzero(left[:-2] >= 3)
-    order = at[np.argsort(key[at], kind="stable")]
+    # 32 bits by halves, which numpy sorts by counting; frames follow each other, so those of a key do, too
+    key = rolling.mix(v[:-2] + np.uint64(3) * v[1:-1] + np.uint64(5) * v[2:])
+    order = np.flatnonzero(left[:-2] >= 3)
+    for half in (0, 16):
+        order = order[np.argsort((key[order] >> np.uint64(half)).astype(np.uint16), kind="stable")]
     a, b = order[:-1], order[1:]
     same = (own[a] == own[b]) & (px[a] == px[b]) & (px[a + 1] == px[b + 1]) & (px[a + 2] == px[b + 2])
     back = np.zeros(len(px) + 1, np.int64)
@@ -404,7 +410,7 @@ def encode_frames(frames: list[np.ndarray]) -> tuple[list[bytes], Counter]:
     free = np.cumsum(covered[:-1]) == 0
     # the cache holds every pixel before; the last in its place counts
     slot = _slots(px)
-    order = np.argsort(own << CACHE_BITS | slot, kind="stable")
+    order = np.argsort(slot.astype(np.uint8), kind="stable")  # and by frame, as they follow each other
     held = np.zeros(len(px), bool)
     held[order[1:]] = (px[order[1:]] == px[order[:-1]]) & (own[order[1:]] == own[order[:-1]])
     held &= free
@@ -427,34 +433,34 @@ def encode_frames(frames: list[np.ndarray]) -> tuple[list[bytes], Counter]:
         distance = np.where(mine & (close > 0), close, distance)
     far, far_extra, far_more = spread(distance)
     symbol[kind == 3] = GREEN + length
-    literal, copy = kind == 1, kind == 3
-    red, blue, alpha = ((px[at] >> k & 255).astype(np.int64) for k in (16, 0, 24))
+    literal, copy = np.flatnonzero(kind == 1), np.flatnonzero(kind == 3)
 
-    def counted(own: np.ndarray, values: np.ndarray, symbols: int) -> np.ndarray:
-        return np.bincount(own * symbols + values, minlength=n * symbols).reshape(n, symbols)
+    def counted(keys: np.ndarray, symbols: int) -> np.ndarray:
+        return code_lengths(np.bincount(keys, minlength=n * symbols).reshape(n, symbols))
 
-    alphabet = GREEN + LENGTHS + (1 << CACHE_BITS)
-    lengths = [code_lengths(counted(frame, symbol, alphabet))]
-    lengths += [code_lengths(counted(frame[literal], v[literal], 256)) for v in (red, blue, alpha)]
-    lengths.append(code_lengths(counted(frame[copy], far, DISTANCES)))
+    # keys: of each token's symbol among all frames' symbols
+    alphabet, plain, own_frame = GREEN + LENGTHS + (1 << CACHE_BITS), px[at[literal]], frame[literal] << 8
+    keys = [frame * alphabet + symbol, *(own_frame + (plain >> np.uint32(k) & np.uint32(255)) for k in (16, 0, 24)), frame[copy] * DISTANCES + far]
+    lengths = [counted(k, symbols) for k, symbols in zip(keys, (alphabet, 256, 256, 256, DISTANCES), strict=True)]
     items, every = Items(n), np.arange(n)
     items.add(every, 0x2F | (WIDTH - 1) << 8 | (heights - 1) << 22, np.full(n, 40))
     fields = [(f, v, b) for f, head in enumerate(heads) for v, b in head]
     items.add(*(np.array(c) for c in zip(*fields, strict=True)))
     items.add(every, np.where(cached, 1 | CACHE_BITS << 1, 0), np.where(cached, 6, 2))  # the cache; no meta codes
-    codes = [codes_of(x) for x in lengths]
-    used = [put_codes(items, x) for x in lengths]
-    values, bits = codes[0][frame, symbol] * (used[0][frame, symbol] > 0), used[0][frame, symbol]
+    codes = [codes_of(x).ravel() for x in lengths]
+    used = [put_codes(items, x).ravel() for x in lengths]
+    bits = used[0][keys[0]]
+    values = codes[0][keys[0]] * (bits > 0)
 
     def more(where: np.ndarray, value: np.ndarray, size: np.ndarray) -> None:
-        values[where] |= (value & ((1 << size) - 1)) << bits[where]
-        bits[where] += size
+        before = bits[where]
+        values[where] |= (value & ((1 << size) - 1)) << before
+        bits[where] = before + size
 
-    for v, k in ((red, 1), (blue, 2), (alpha, 3)):
-        own_frame, own_value = frame[literal], v[literal]
-        more(literal, codes[k][own_frame, own_value], used[k][own_frame, own_value])
+    for k in (1, 2, 3):
+        more(literal, codes[k][keys[k]], used[k][keys[k]])
     more(copy, length_extra, length_more)
-    more(copy, codes[4][frame[copy], far], used[4][frame[copy], far])
+    more(copy, codes[4][keys[4]], used[4][keys[4]])
     more(copy, far_extra, far_more)
     items.add(frame, values, bits)
     seen = Counter(c.split()[0] for c in chosen)
