@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import media, mixing, pieces, pii, quality, simhash, substrings, suffixes, tokenids, warc
+from . import kdfilter, linededup, media, merkle, mixing, pieces, pii, quality, simhash, substrings, suffixes, tokenids, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -17,6 +17,16 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_token_ids": tokenids.op9_token_ids,
     "op10_media": media.op10_media,
+    "op11_line_dedup": linededup.op11_line_dedup,
+    "op12_merkle": merkle.op12_merkle,
+    "op13_clusters": kdfilter.op13_clusters,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL = {"op2_suffix_dedup": suffixes.ORACLE_SQL, "op5_substrings": substrings.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL}
+ORACLE_SQL = {
+    "op2_suffix_dedup": suffixes.ORACLE_SQL,
+    "op5_substrings": substrings.ORACLE_SQL,
+    "op7_warc": warc.ORACLE_SQL,
+    "op11_line_dedup": linededup.ORACLE_SQL,
+    "op12_merkle": merkle.ORACLE_SQL,
+    "op13_clusters": kdfilter.ORACLE_SQL,
+}

@@ -21,4 +21,4 @@ def test_other_queries_give_every_row(spark, sf_dir, name):
 def test_all_are_registered():
     import __spark_entry__
 
-    assert set(registry.QUERIES) <= set(__spark_entry__.queries()) and {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in registry.QUERIES if k != "pipeline"}
+    assert set(registry.QUERIES) <= set(__spark_entry__.queries()) and {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in registry.QUERIES if k != "pipeline"}
