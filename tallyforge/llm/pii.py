@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches, stored, table
 
 KEY = b"tallyforge surrogate key"
 KINDS = ("email", "phone", "ip", "mac", "card", "ssn", "iban", "secret", "person")
@@ -83,13 +83,19 @@ PATTERN = re.compile(
     re.X,
 )
 SECRET = re.compile(r"(?i:token|secret|passw(?:or)?d|passphrase|api[_-]?key|access[_-]?key)[ \t]*[=:][ \t]*([\"']?)(?P<secret>[\w+/=.~-]{12,}+)\1")
+SECRET_WORDS = ("token", "secret", "passw", "passphrase", "key")  # one of them is in what ``SECRET`` finds
 _WORD = r"[^\W\d_][^\W\d_]+(?:-[^\W\d_]+)?"
 _TITLE, _FIRST_NAME = ("|".join(sorted(x, key=len, reverse=True)) for x in (TITLES, _FIRST))
 PERSON = re.compile(rf"(?:(?P<title>{_TITLE})\.? )?(?:(?P<first>{_FIRST_NAME})(?![\w-]) ?)?(?P<one>{_WORD})?(?: (?P<two>{_WORD}))?")
 LEAD = re.compile(rf"(?<![\w'-])(?:(?P<phrase>(?i:{'|'.join(map(re.escape, PHRASES))})\s+)|(?:{_TITLE})\.? |(?:{_FIRST_NAME}) )")
 DIGIT = re.compile("[0-9]")
 BLOCK = 512  # characters that are mapped as one number
-MAPPABLE = "[0-9%s%s]" % ("".join(a + a.upper() for a in LETTERS), "".join(f"{a}-{z}" for a, z in SCRIPTS))  # strings without such a character stay as they are
+#: The same classes as capitals: the distinct capitals of one letter that belong to their small letters.
+CAPITALS = tuple("".join(dict.fromkeys(c.upper() for c in a if len(c.upper()) == 1 and c.upper() != c)) for a in LETTERS)
+_ALPHABETS = {c: a for a in ("0123456789", *LETTERS, *CAPITALS) for c in a}
+MAPPABLE = "[%s%s]" % ("".join(_ALPHABETS), "".join(f"{a}-{z}" for a, z in SCRIPTS))  # strings without such a character stay as they are
+_LEADS = (*_FIRST, *TITLES, *(f"{t}." for t in TITLES))
+_LEAD_SET = frozenset(_LEADS)
 
 
 def _number(data: bytes, key: bytes, tweak: str, width: int) -> int:
@@ -154,17 +160,8 @@ def _script(c: str) -> str | None:
 
 
 def _classes(text: str) -> list[str | None]:
-    """The alphabet of each character: digits, or letters of its script, case and class."""
-    out: list[str | None] = []
-    for c in text:
-        if "0" <= c <= "9":
-            out.append("0123456789")
-            continue
-        kind = next((a for a in LETTERS if c.lower() in a), None)
-        if kind and c.isupper():
-            kind = kind.upper().replace("SS", "")  # ß has no capital of one letter
-        out.append(kind or _script(c))
-    return out
+    """The alphabet of each character: digits, or letters of its script, case and class; a character without one stays."""
+    return [_ALPHABETS.get(c) or _script(c) for c in text]
 
 
 def _luhn(digits: str) -> int:
@@ -244,10 +241,24 @@ def _is_name(word: str | None) -> bool:
     return all(len(p) > 1 and p[0].isupper() and p[1:] == p[1:].lower() for p in word.split("-"))
 
 
+def _folded(text: str) -> str:
+    """For a look for small ASCII letters in any case, as regular expressions see it."""
+    return text.replace("İ", "i").replace("ı", "i").casefold()
+
+
+def _announced(text: str) -> bool:
+    """Whether ``LEAD`` may find something: a part before a space that ends with a name or title, or a phrase in any case."""
+    parts = set(text.split(" "))
+    if not parts.isdisjoint(_LEAD_SET) or any(x.endswith(_LEADS) for x in parts if not x.isalpha()):
+        return True
+    folded = _folded(text)
+    return any(x in folded for x in PHRASES)
+
+
 def persons(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, "first" or "last", string) of the parts of names: where they are announced, and wherever else they stand."""
     found, parts = [], {}
-    for lead in LEAD.finditer(text):
+    for lead in LEAD.finditer(text) if _announced(text) else ():
         m = PERSON.match(text, lead.end() if lead["phrase"] else lead.start())
         if not m or not (m["title"] or m["first"] or lead["phrase"]):
             continue
@@ -277,8 +288,8 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
 
     A person gives one entry per part of the name, "first" and "last"; a given name that isn't known is a "last".
     """
-    found = []
-    if "=" in text or ":" in text:
+    found, folded = [], _folded(text)
+    if ("=" in text or ":" in text) and any(x in folded for x in SECRET_WORDS):
         found += [(*m.span("secret"), "secret", m["secret"]) for m in SECRET.finditer(text)]
     if "@" in text or DIGIT.search(text):
         for m in PATTERN.finditer(text):
@@ -307,19 +318,32 @@ def redact(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str, str, str]]
     return ("".join([*parts, text[at:]]) if used else text), used
 
 
-def _listed(key: bytes):
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        seen = {(kind, s) for t in b.column("text").to_pylist() if t for _, _, kind, s in entities(t)}
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in seen], pa.string()) for k in range(2)], names=["kind", "entity"])
+
+
+def entity_list(docs: DataFrame) -> DataFrame:
+    """Distinct (kind, entity) of the corpus."""
+    small_batches(docs.sparkSession)
+    return docs.select("text").mapInArrow(_listed, "kind string, entity string").distinct()
+
+
+def with_surrogates(found: DataFrame, key: bytes = KEY) -> DataFrame:
+    """(kind, entity, surrogate) for each (kind, entity)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen = {x for t in b.column("text").to_pylist() if t for x in redact(t, key)[1]}
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in seen], pa.string()) for k in range(3)], names=["kind", "entity", "surrogate"])
+            new = [surrogate(kind, s, key) for kind, s in zip(b.column("kind").to_pylist(), b.column("entity").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(new, pa.string())], names=["kind", "entity", "surrogate"])
 
-    return run
+    return found.mapInArrow(run, "kind string, entity string, surrogate string")
 
 
 def entity_table(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """Distinct (kind, entity, surrogate) of the corpus."""
-    small_batches(docs.sparkSession)
-    return docs.select("text").mapInArrow(_listed(key), "kind string, entity string, surrogate string").distinct()
+    return with_surrogates(entity_list(docs), key)
 
 
 def collisions(found: DataFrame) -> DataFrame:
@@ -329,10 +353,14 @@ def collisions(found: DataFrame) -> DataFrame:
 
 
 def checked_key(docs: DataFrame, key: bytes = KEY, tries: int = 8) -> bytes:
-    """The key, or the first key derived from it, under which no surrogates collide."""
+    """The key, or the first key derived from it, under which no surrogates collide.
+
+    The corpus is read once, for its distinct entities; every key is tried on these.
+    """
+    found = stored(entity_list(docs), "entities")
     for k in range(tries):
         own = key if not k else hashlib.blake2b(bytes([k]), key=key[:64]).digest()
-        if collisions(entity_table(docs, own)).isEmpty():
+        if collisions(with_surrogates(found, own)).isEmpty():
             return own
     raise ValueError("surrogates collide under every key tried")
 

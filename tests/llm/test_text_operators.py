@@ -3,7 +3,9 @@
 import collections
 import hashlib
 import io
+import itertools
 import math
+import random
 
 import numpy as np
 import pytest
@@ -398,3 +400,42 @@ def test_pii_distinct_by_brute_force():
             assert all(shape(a) == shape(b) for a, b in new.items()), kind
         if kind not in ("last", "secret"):
             assert all([(k, s) for _, _, k, s in pii.entities(f"x {b} y")] == [(kind, b)] for b in new.values()), kind
+
+
+def test_pii_alphabets_hold_every_code_point_they_are_given_for():
+    every = (*pii.LETTERS, *pii.CAPITALS)
+    assert len({c for a in every for c in a}) == sum(map(len, every))  # no letter twice
+    for k in range(0x110000):
+        c = chr(k)
+        a = pii._classes(c)[0]
+        assert a is None or c in a and len(set(a)) == len(a)
+    for c in "\u1e9e\u03f4\u2126\u212a\u212b\u0130\u0131\u017f\u03c2":
+        text = f"password: STRA{c}ENBAHN12x"
+        assert c in pii.redact(text)[0] or pii._classes(c)[0]
+        assert pii.redact(text)[0] != text and len(pii.redact(text)[0]) == len(text)
+
+
+@pytest.mark.parametrize("letters", [*pii.CAPITALS[4:], "ΣΩΑΒ", "σςωα"])
+def test_pii_capitals_map_one_to_one(letters):
+    words = ["".join(w) for w in itertools.product(letters, repeat=2)]
+    new = [pii.surrogate("last", w) for w in words]
+    assert len(set(new)) == len(words) and (len(words) < 4 or not any(a == b for a, b in zip(words, new, strict=True)))
+
+
+def test_pii_greek_names_and_odd_letters_over_a_table(spark):
+    rng = random.Random(4)
+    stems = ["Παπαδόπουλος", "Γεωργίου", "Νικολάου", "Σαββίδης", "Ιωάννου"]
+    names = sorted({s[:k] + rng.choice("αεο") + s[k:] for s in stems for k in range(2, len(s))} | {s.upper() for s in stems})
+    texts = [f"my name is Maria {n}" for n in names] + [f"password: STRA{c}ENBAHN12x" for c in "\u1e9e\u03f4\u2126\u212a\u212b"] + ["a" * 5 + "\u1e9e@x.org mail \u212a@example.org"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    key = pii.checked_key(docs)
+    assert pii.report(docs, key).count() == len(texts) and pii.collisions(pii.entity_table(docs, key)).isEmpty()
+
+
+def test_pii_leads_are_not_missed():
+    """The quick look for names and phrases agrees with the pattern."""
+    rng = random.Random(8)
+    bits = [*pii._LEADS[:40], *pii._LEADS[-30:], "Mr", "Dr.", "name:", "NAME IS", "\u017figned", "S\u0131ncerely,", "dear", " ", "  ", "\n", "(", "'", "-", ",", "x", "Keller", "é"]
+    for _ in range(4000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(9)))
+        assert pii._announced(text) or not pii.LEAD.search(text)
