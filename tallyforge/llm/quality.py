@@ -283,6 +283,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> LineFie
     chosen = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("__label_id")).agg(F.max("quality").cast("int").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("__label_id")).limit(most)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__label_id"))
+    # of rows that share an id one is taken, so no more rows than labels come to the driver
+    sample = sample.groupBy("__label_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "quality")).alias("one")).select("one.text", "one.quality")
     rows = sample.select("text", "quality").mapInArrow(_features, "lines binary, words binary, hashes binary, quality int").collect()
     rows = sorted((bytes(r.hashes), bytes(r.lines), bytes(r.words), int(r.quality > 0)) for r in rows)  # the fit doesn't hang on the order of rows
     hashes = [np.frombuffer(h, np.uint64) for h, _, _, _ in rows]

@@ -263,6 +263,18 @@ def test_quality_counts(spark, docs, empty, odd):
     assert kept_rows.columns == docs.columns and {r.doc_id for r in kept_rows.collect()} == {i for i, r in got.items() if r.kept}
 
 
+def test_quality_trains_on_one_row_an_id(spark, monkeypatch):
+    """A labelled id on very many rows sends one of them to the driver, and which doesn't hang on their order."""
+    seen = []
+    monkeypatch.setattr(quality.LineField, "fit_latent", classmethod(lambda cls, found: seen.append(found)))
+    rows = [(5, f"text of row {k} with some words in it") for k in range(3000)] + [(5, None), (6, "another"), (None, "no id")]
+    labels = spark.createDataFrame([(5, 1), (6, 0), (6, 1), (None, 1)], "doc_id long, quality int")
+    for parts in (1, 6):
+        quality.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), labels)
+    assert [len(f) for f in seen] == [2, 2]
+    assert all((a[0] == b[0]).all() and a[3] == b[3] for a, b in zip(*seen, strict=True))
+
+
 def test_mixing(spark, docs, empty, odd):
     plan = mixing.source_plan(docs)
     rows = mixing.assign(docs, plan).select("source", F.col("__mix_total").alias("total"), F.col("__mix_target").alias("target"), (F.col("__mix_copies")).alias("copies"), "text", "doc_id").collect()
@@ -305,6 +317,26 @@ def test_mixing_again_and_without_words(spark, docs):
     assert of(docs) == of(docs.repartition(5, "text"))
 
 
+@pytest.mark.parametrize("nulls", [0.0, 0.4, 1.0])
+@pytest.mark.parametrize("kind", ["null", "one id", "equal rows"])
+def test_mixing_meets_its_target_whatever_the_ids(spark, nulls, kind):
+    """A source of 20,000 words whose target is 30,000, of which a share has no id, or one id, or is one row repeated."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(1000):
+        odd = rng.random() < nulls
+        text = "w " * 20 if odd and kind == "equal rows" else f"v{k} " + "w " * 19
+        rows.append((None if odd and kind == "null" else 7 if odd else k * 3, text, "s", f"row {k}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra string").repartition(4)
+    got = mixing.assign(df, mixing.source_plan(df)).collect()
+    taken = sum(r["__mix_size"] * r["__mix_copies"] for r in got)
+    assert len(got) == 1000 and {r["__mix_target"] for r in got} == {30000.0} and abs(taken - 30000) <= 20
+    assert {r["__mix_copies"] for r in got} == {1, 2}
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns and abs(mixed.count() - 1500) <= 1
+    assert len({r.extra for r in mixed.collect()}) == 1000
+
+
 def test_mixing_thresholds_at_any_level(spark, monkeypatch):
     """Few wide ranges or many narrow ones: the documents taken are the same."""
     rows = [(k, "w " * (1 + k % 5), f"s{k % 3}") for k in range(300)]
