@@ -5,9 +5,10 @@ batches had, as sorted immutable runs: per run and bucket one file of
 fingerprints in the order of their hash, each with the place where it first
 occurred. For a new batch every bucket is one merge join of the batch's sorted
 fingerprints with the sorted files of that bucket; what is new becomes the
-batch's own run. Once there are ``FANIN`` runs, the bucket's task writes their
-merge along with the new fingerprints as one run instead, and the old ones go
-(compaction).
+batch's own run, of level 0. Once there are ``FANIN`` runs of a level, the
+bucket's task writes their merge along with the new fingerprints as one run of
+the next level instead, and the old ones go (compaction). So a fingerprint is
+rewritten once a level, as often as the logarithm of the number of batches.
 
 The index is a folder with a manifest, the last one written whole, that names
 the runs, the parameters, the last key and where the texts are; ``Index.open``
@@ -28,8 +29,8 @@ starts in a document with a smaller id.
 Defined cases: null text has no words; texts of fewer words than a window lose
 nothing; rows with equal id and text are one document, rows with equal id and
 different text are ordered by a hash of the text, a null id comes first; an
-empty table or batch gives an empty result; a batch with keys up to the last
-one of the index raises; extra columns are ignored.
+empty table or batch gives an empty result; a batch for an index with keys up
+to its last one, or without a key, raises; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -127,7 +128,7 @@ class Index:
     @classmethod
     def create(cls, spark: SparkSession, base: str, buckets: int, n: int = WORDS, k: int = GRAM) -> Index:
         """A new index in a folder that the driver and all executors share."""
-        index = cls(spark, base, {"buckets": buckets, "n": n, "k": k, "made": 0, "runs": [], "texts": [], "last": None})
+        index = cls(spark, base, {"buckets": buckets, "n": n, "k": k, "made": 0, "runs": [], "levels": {}, "texts": [], "last": None})
         index._commit()
         return index
 
@@ -156,7 +157,15 @@ class Index:
 
     def add(self, batch: DataFrame, keep_texts: bool = True) -> DataFrame:
         """Match a batch (key, text) with the index and put it in; gives rows of ``anchors.FOUND`` for ``confirmed``."""
-        last, (low, high) = self.state["last"], batch.agg(F.min("key"), F.max("key")).first()
+        found, state = self._prepared(batch, keep_texts)
+        self._adopt(state)
+        return found
+
+    def _prepared(self, batch: DataFrame, keep_texts: bool) -> tuple[DataFrame, dict]:
+        """What ``add`` gives, and the state with the batch in it: its files are written, but no manifest names them yet."""
+        last, (low, high, nulls) = self.state["last"], batch.agg(F.min("key"), F.max("key"), F.count_if(F.col("key").isNull())).first()
+        if nulls:
+            raise ValueError("a batch must have a key in every row")
         if low is not None and last is not None and low <= last:
             raise ValueError("a batch must have keys over those of the index")
         number = self.state["made"]
@@ -166,20 +175,28 @@ class Index:
             batch.select("key", "text").write.option("compression", "zstd").parquet(texts[-1])
         packed = anchors.scan(batch, anchors.word_tokens, self.state["n"], self.state["k"], self.state["buckets"], False)
         runs, own = list(self.state["runs"]), f"run-{number:05d}-{uuid.uuid4().hex[:8]}"
-        found = self._match(packed, runs, own)
-        compacted = len(runs) >= FANIN
-        self.state = {**self.state, "made": number + 1, "runs": [own] if compacted else [*runs, own], "texts": texts, "last": high if high is not None else last}
-        self._commit()
-        if compacted:
-            fs, root = pafs.FileSystem.from_uri(self.base)
-            for r in runs:  # a batch without windows has left none
-                if fs.get_file_info(f"{root}/{r}").type == pafs.FileType.Directory:
-                    fs.delete_dir(f"{root}/{r}")
+        level, gone = 0, []
+        while len(full := [r for r in runs if self.state["levels"][r] == level]) >= FANIN:
+            level, gone = level + 1, [*gone, *full]
+        found = self._match(packed, runs, gone, own)
         anchors.release(self.spark)
-        return found
+        runs = [r for r in [*runs, own] if r not in gone]
+        levels = {r: self.state["levels"].get(r, level) for r in runs}
+        return found, {**self.state, "made": number + 1, "runs": runs, "levels": levels, "texts": texts, "last": high if high is not None else last}
+
+    def _adopt(self, state: dict) -> None:
+        """Commit a prepared batch; runs that it has merged go."""
+        gone = [r for r in self.state["runs"] if r not in state["runs"]]
+        self.state = state
+        self._commit()
+        fs, root = pafs.FileSystem.from_uri(self.base)
+        for r in gone:  # a batch without windows has left none
+            if fs.get_file_info(f"{root}/{r}").type == pafs.FileType.Directory:
+                fs.delete_dir(f"{root}/{r}")
 
-    def _match(self, packed: DataFrame, runs: list[str], own: str) -> DataFrame:
-        base, compact = self.base, len(runs) >= FANIN
+    def _match(self, packed: DataFrame, runs: list[str], gone: list[str], own: str) -> DataFrame:
+        """Match with all runs and write the batch's own, into which those that go are merged."""
+        base, compact = self.base, bool(gone)
 
         def bucket(rows: pa.Table) -> pa.Table:
             number = rows.column("bucket")[0].as_py()
@@ -203,8 +220,9 @@ class Index:
             fresh = new[~seen]
             fs.create_dir(f"{root}/{own}", recursive=True)
             keep = fresh
-            for old in history if compact else ():
-                keep = merge(old, keep)
+            for r, old in zip(runs, history, strict=True):
+                if r in gone:
+                    keep = merge(old, keep)
             write_run(fs, f"{root}/{own}/{number:05d}", keep)
             # partners matter where something new shares their anchor
             asked = np.isin(new["g"], fresh["g"][near[~seen]])
@@ -217,9 +235,9 @@ class Index:
             packed = packed.unionByName(every.select(F.col("id").alias("bucket"), F.lit(0).cast("long").alias("n"), *nothing))
         return stored(packed.groupBy("bucket").applyInArrow(bucket, anchors.FOUND), "word-runs")
 
-    def texts(self) -> DataFrame:
-        """(key, text) of all batches whose texts the index keeps."""
-        return self.spark.read.schema("key long, text string").parquet(*self.state["texts"])
+    def texts(self, state: dict | None = None) -> DataFrame:
+        """(key, text) of all batches whose texts the index keeps, as its state or another has it."""
+        return self.spark.read.schema("key long, text string").parquet(*(state or self.state)["texts"])
 
     def confirmed(self, found: DataFrame, documents: DataFrame | None = None) -> DataFrame:
         """Candidates (doc, lo, len, src, at) from what ``add`` gave; documents: (key, text) of all batches, if the index has no texts."""
@@ -327,15 +345,21 @@ def deduplicate(docs: DataFrame, n: int = WORDS, k: int = GRAM, batches: int = B
 def deduplicate_batch(index: Index, docs: DataFrame, texts: bool = True) -> DataFrame:
     """The same for one more batch (doc_id, text) of an index: against all before it, in this session or others.
 
-    Ids must be unique and over those of the index; they are the keys.
+    Ids must be unique, there, and over those of the index; they are the keys. The
+    result is stored before the manifest names the batch, so one that fails
+    anywhere can be given again.
     """
     small_batches(index.spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("doc_id").cast("long").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     last = index.state["last"]
-    candidates = index.confirmed(index.add(rows.select("key", "text")))
+    found, state = index._prepared(rows.select("key", "text"), keep_texts=True)
+    documents = index.texts(state)
+    candidates = index.confirmed(found, documents)
     if last is not None:  # windows of earlier documents were compared along
         candidates = candidates.where(F.col("doc") > last)
-    return without(rows, index.texts(), candidates, index.state["n"], texts)
+    out = stored(without(rows, documents, candidates, index.state["n"], texts), "word-batch")
+    index._adopt(state)
+    return out
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,21 +46,23 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 COLUMNS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def urn(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'page:{page_id}')}>"
+def urn(page_id: int | None, digest: str, number: str = "") -> str:
+    """A record's id; the one response that others revisit has no number."""
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'page:{page_id}:{digest}:{number}')}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC/1.1 record, headers and block."""
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, number: str = "") -> bytes:
+    """One WARC/1.1 record, headers and block. number: tells records of one page and payload apart."""
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    own = number if revisit or len(payload) < MIN_REVISIT else ""
     head = [
-        ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", urn(page_id)), ("WARC-Date", DATE),
+        ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", urn(page_id, digest, own)), ("WARC-Date", DATE),
         ("WARC-Target-URI", (url or "").replace("\r", "%0D").replace("\n", "%0A")), ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("X-Page-Id", "" if page_id is None else str(page_id)), ("X-Payload-Length", str(len(payload))),
     ]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     if revisit:
-        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", urn(refers_to)), ("X-Refers-To-Page", str(refers_to))]
+        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", urn(refers_to, digest)), ("X-Refers-To-Page", "" if refers_to is None else str(refers_to))]
     block = http if revisit else http + payload
     head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     text = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head) + "\r\n"
@@ -146,11 +148,11 @@ def with_references(pages: DataFrame) -> DataFrame:
     # one response per digest, whatever number of rows has it
     first = light.groupBy("digest").agg(F.max("page_id").alias("holder"), F.count("*").alias("copies")).where("copies > 1")
     own = F.concat_ws(":", "digest", F.col("page_id").cast("string"))  # a null id is left out
-    refers = light.join(first, "digest").groupBy(own.alias("__ref")).agg(F.max("holder").alias("holder"))
+    refers = light.join(first, "digest").groupBy(own.alias("__ref")).agg(F.max("holder").alias("holder"), F.lit(True).alias("__copied"))
     by_id = keyed.withColumn("__own", own).join(refers, F.col("__own") == F.col("__ref"), "left")
     # of rows with the holder's id and payload one is the response
     by_id = by_id.withColumn("__nth", F.row_number().over(Window.partitionBy("__own").orderBy("url")))
-    revisits = F.coalesce((~F.col("page_id").eqNullSafe(F.col("holder")) | (F.col("__nth") > 1)) & F.col("holder").isNotNull(), F.lit(False))
+    revisits = F.coalesce((~F.col("page_id").eqNullSafe(F.col("holder")) | (F.col("__nth") > 1)) & F.col("__copied"), F.lit(False))
     return by_id.select("page_id", "url", "html", revisits.alias("revisit"), F.when(revisits, F.col("holder")).alias("refers_to"))
 
 
@@ -165,7 +167,7 @@ def _writer(base: str):
             for b in batches:
                 columns = [b.column(k).to_pylist() for k in ("page_id", "url", "html", "refers_to", "revisit")]
                 for row in zip(*columns, strict=True):
-                    archive.add(record(*row))
+                    archive.add(record(*row, number=f"{part}.{n}"))
                     n += 1
             archive.close()
         publish(fs, temp, name)
@@ -198,7 +200,7 @@ def _reader(base: str):
                             n = len(payload)
                             if hashlib.sha1(payload).hexdigest() != digest:
                                 raise ValueError(f"a payload in {path} doesn't match its digest")
-                        rows.append((int(x) if (x := head["X-Page-Id"]) else None, n, digest, head["WARC-Type"], int(head["X-Refers-To-Page"]) if revisit else None))
+                        rows.append((int(x) if (x := head["X-Page-Id"]) else None, n, digest, head["WARC-Type"], int(x) if revisit and (x := head["X-Refers-To-Page"]) else None))
                         if len(rows) >= 4096:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)
                             rows = []

@@ -208,6 +208,35 @@ def test_index_goes_on_in_other_sessions(spark, tmp_path):
         substrings.Index.open(spark, f"file://{tmp_path}")
 
 
+def test_index_batch_that_fails_can_be_given_again(spark, tmp_path, monkeypatch):
+    """A job lost after the runs are written leaves the manifest as it was."""
+    base, rows = f"file://{tmp_path}/index", sorted(texts().items())
+    want = brute_words(rows)
+    index = substrings.Index.create(spark, base, 4)
+    first, second = (spark.createDataFrame(r, "doc_id long, text string") for r in (rows[:30], rows[30:]))
+    got = {r.doc_id: r.text for r in substrings.deduplicate_batch(index, first).collect()}
+    before = dict(index.state)
+    with monkeypatch.context() as m:
+        m.setattr(substrings, "without", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            substrings.deduplicate_batch(index, second)
+    assert index.state == before == substrings.Index.open(spark, base).state
+    got |= {r.doc_id: r.text for r in substrings.deduplicate_batch(substrings.Index.open(spark, base), second).collect()}
+    assert got == want
+    with pytest.raises(ValueError, match="key in every row"):
+        substrings.deduplicate_batch(substrings.Index.open(spark, base), spark.createDataFrame([(10**6, "a"), (None, "b")], "doc_id long, text string"))
+
+
+def test_index_levels(spark, tmp_path):
+    """Runs of a level are merged into one of the next, and only they: levels stay under FANIN + 1 runs each."""
+    index = substrings.Index.create(spark, f"file://{tmp_path}/index", 1)
+    shapes = []
+    for k in range(3 * (substrings.FANIN + 1) + 2):
+        substrings.deduplicate_batch(index, spark.createDataFrame([(k, LONG if k % 2 else f"{LONG} {k}")], "doc_id long, text string"))
+        shapes.append(sorted(index.state["levels"].values(), reverse=True))
+    assert shapes[:5] == [[0], [0, 0], [0, 0, 0], [1], [1, 0]] and shapes[7] == [1, 1] and shapes[11] == [1, 1, 1] and shapes[13] == [1, 1, 1, 0, 0]
+
+
 def test_equal_hashes_of_different_words_remove_nothing(spark):
     """All runs get one fingerprint: what the words don't confirm stays, and real copies of the first text go."""
     from tallyforge.llm import anchors

@@ -335,6 +335,25 @@ def test_warc_repeated_ids(spark, tmp_path):
     assert found == sorted(want, key=repr)
 
 
+def test_warc_null_holders_and_record_ids(spark, tmp_path):
+    """All but one of equal payloads revisit it, ids or none; no two records share their id."""
+    x, y = "x" * 1500, "y" * 1500
+    rows = [(None, "a", x, None), (None, "b", x, None), (None, "b", x, None), (4, "c", y, None), (None, "d", y, None), (4, "c", y, None), (4, "e", "short", None), (4, "e", "short", None), (None, None, None, None), (None, None, None, None)]
+    base = f"file://{tmp_path}/nulls"
+    files = warc.write_warc(spark.createDataFrame(rows, PAGES).repartition(3), base)
+    got = collections.Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_warc(files, base).collect())
+    want = {(None, 1500, "response", None): 1, (None, 1500, "revisit", None): 2, (4, 1500, "response", None): 1, (4, 1500, "revisit", 4): 1, (None, 1500, "revisit", 4): 1, (4, 5, "response", None): 2, (None, 0, "response", None): 2}
+    assert got == want
+    heads = []
+    for r in files.collect():
+        with open(r.path, "rb") as f:
+            heads += [head for head, _ in warc.read_archive(f)]
+    ids = [h["WARC-Record-ID"] for h in heads]
+    assert len(set(ids)) == len(rows)
+    responses = {h["WARC-Record-ID"] for h in heads if h["WARC-Type"] == "response"}
+    assert all(h["WARC-Refers-To"] in responses for h in heads if h["WARC-Type"] == "revisit")
+
+
 def test_pii_later_mentions_and_scripts():
     text = "Keller wrote. Maria Keller, born in Kiel, met Dr. Yuki Tanaka; Tanaka-San and Keller's friend Maria left. Kellerman and Marian stayed. My name is Ngozi Okafor. Okafor said so."
     out, used = pii.redact(text)
