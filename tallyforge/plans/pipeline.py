@@ -12,7 +12,9 @@ from ..operators.imaging import data_urls, ela_signals, ela_stats
 from ..operators.risk import all_signals, with_risk
 from ..operators.vendor import vendor_signals
 from ..operators.vision import vision_signals, with_answers
-from ..sources.files import Provider, with_ids, with_pages, with_text, with_token_text
+from ..sources.files import Provider, with_fallback, with_ids, with_pages, with_text
+from ..sources.results import Results
+from ..sources.sinks import shared_folder
 
 
 def analyse(df: DataFrame, directory: DataFrame | None = None, prior: Column | None = None, history: DataFrame | None = None, config: Config = DEFAULT) -> DataFrame:
@@ -39,28 +41,66 @@ def analyse(df: DataFrame, directory: DataFrame | None = None, prior: Column | N
     return with_risk(df, all_signals(*[F.col(a) for a in arrays]), config).drop(*arrays)
 
 
+def answered_files(files: DataFrame, text: Provider | None = None, tokens: Provider | None = None, pages=None, client=None, results: str | None = None, limit: int = 1) -> DataFrame:
+    """Scanned files with what the providers say of them, stored: path, seq, invoice_id, content_hash, raw_text, warnings, error; with pages also height, width, pixels and vision.
+
+    results: the folder of the providers' answers (``Results``). Every distinct file is
+    handed to the text and page providers once, every distinct image to the model
+    once, and none that the folder has an answer for. Without a folder a new one is
+    taken, so that is so within this call only.
+    """
+    spark = files.sparkSession
+    base = results or shared_folder(spark, "answers")
+    bad = F.col("status") != "ok"
+    light = files.select("path", "content_hash", "status")
+    content = files.where(~bad).select("content_hash", "content", "path")
+    if pages:
+        page = Results(spark, base, "pages").ensure(content, "content_hash", lambda d: with_pages(d, pages, limit=limit), F.col("page.error").isNotNull())
+        digest = F.sha2(F.concat(F.concat_ws("x", "page.height", "page.width", F.lit("")).cast("binary"), F.col("page.pixels")), 256)
+        page = page.select(F.col("content_hash").alias("__page"), "page.*", digest.alias("__image"))
+        images = page.select("__image", "height", "width", "pixels")
+        ask = lambda d: with_answers(data_urls(d), client).drop("data_url")
+        seen = ask(images.where("__image is not null")).drop("height", "width", "pixels").dropDuplicates(["__image"]) if client is None else Results(spark, base, "vision").ensure(images, "__image", ask, F.col("vision_warning").isNotNull() | F.col("vision_error").isNotNull())
+        page = page.join(seen.withColumnRenamed("__image", "__seen"), F.col("__image") == F.col("__seen"), "left").drop("__image", "__seen").withColumnRenamed("error", "__page_error")
+        light = light.join(page, F.col("content_hash") == F.col("__page"), "left").drop("__page")
+    said = _texts(content, text, Results(spark, base, "text"), "raw_text", "__text")
+    if tokens is not None:
+        blank = said.where(F.col("raw_text") == "").select("content_hash")
+        more = _texts(content.join(blank, "content_hash", "left_semi"), tokens, Results(spark, base, "tokens"), "__other", "__tokens")
+        said = with_fallback(said.join(more, "content_hash", "left"), "raw_text", "__other").drop("__other")
+    light = light.join(said.withColumnRenamed("content_hash", "__said"), F.col("content_hash") == F.col("__said"), "left").drop("__said")
+    errors = [F.when(bad, F.col("status")), *([F.col("__page_error"), F.col("vision_error")] if pages else [])]
+    warnings = ["__text", *(["__tokens"] if tokens is not None else []), *(["vision_warning"] if pages else [])]
+    df = light.withColumns({"error": F.coalesce(*errors), "warnings": F.array_compact(F.array(*warnings)), "raw_text": F.coalesce("raw_text", F.lit(""))})
+    df = df.drop("status", *warnings, "__page_error", "vision_error")
+    # numbered once: what is stored doesn't change when a branch of a plan reads it again
+    df = df.repartitionByRange("path").sortWithinPartitions("path").withColumn("seq", F.monotonically_increasing_id())
+    folder = shared_folder(spark, "answered-files")
+    with_ids(df).write.parquet(folder)
+    return spark.read.schema(with_ids(df).schema).parquet(folder)
+
+
+def _texts(content: DataFrame, provider: Provider | None, results: Results, out: str, warning: str) -> DataFrame:
+    if provider is None:
+        return content.select("content_hash", F.lit("").alias(out), F.lit(None).cast("string").alias(warning)).dropDuplicates(["content_hash"])
+    return results.ensure(content, "content_hash", lambda d: with_text(d, provider, out, warning), F.col(warning).isNotNull())
+
+
 def analyse_files(
     files: DataFrame, directory: DataFrame | None = None, text: Provider | None = None, tokens: Provider | None = None, pages=None, client=None,
-    history: DataFrame | None = None, config: Config = DEFAULT,
+    history: DataFrame | None = None, config: Config = DEFAULT, results: str | None = None,
 ) -> DataFrame:
     """From scanned files (``scan_files``) to reports: path, invoice_id, risk_level, risk_score, signals, warnings, error.
 
     text and tokens: providers of text, the second for files without any; pages:
     a decoder of PDF pages and images; client: a vision model's. All are plain
-    functions. A file that was not read, or whose page or answer failed, is a row
-    with an ``error`` and nothing else, and is no history for others; a provider
-    that isn't there or fails costs its text or findings only and leaves a warning.
-    Files arrive in the order of their paths.
+    functions, and are asked once for each distinct content (``answered_files``).
+    A file that was not read, or whose page or answer failed, is a row with an
+    ``error`` and nothing else, and is no history for others; a provider that isn't
+    there or fails costs its text or findings only and leaves a warning. Files
+    arrive in the order of their paths.
     """
-    df = with_pages(files, pages).select("*", "page.height", "page.width", "page.pixels") if pages else files
-    failed = F.when(F.col("status") != "ok", F.col("status"))
-    df = df.withColumn("error", F.coalesce(failed, F.col("page.error")) if pages else failed)
-    if pages:
-        df = with_answers(data_urls(df), client).withColumn("error", F.coalesce("error", "vision_error"))
-    df = with_token_text(with_text(df, text, warning="__text"), tokens, warning="__tokens")
-    warnings = F.array_compact(F.array("__text", "__tokens", *(["vision_warning"] if pages else [])))
-    df = df.withColumn("warnings", warnings).repartitionByRange("path").sortWithinPartitions("path").withColumn("seq", F.monotonically_increasing_id())
-    df = with_ids(df).drop("content", "page", "data_url")
+    df = answered_files(files, text, tokens, pages, client, results)
     names = ("path", "invoice_id", "risk_level", "risk_score", "signals", "warnings", "error")
     reports = analyse(df.where("error is null"), directory, history=history, config=config).select(*names)
     return reports.unionByName(df.where("error is not null").select("path", "error"), allowMissingColumns=True)
