@@ -17,6 +17,12 @@ def name_tokens(x: Column) -> Column:
     return F.array_distinct(F.array_except(words, F.array(*[F.lit(s) for s in LEGAL_SUFFIXES])))
 
 
+def name_keys(x: Column) -> Column:
+    """What two names of a similarity over 0 have in common: one of their words, or the whole of a name without any."""
+    words = name_tokens(x)
+    return F.when(F.size(words) > 0, words).otherwise(F.array(F.concat(F.lit("= "), F.lower(strip(x)))))
+
+
 def token_similarity(a: Column, b: Column, a_tokens: Column | None = None, b_tokens: Column | None = None) -> Column:
     """Share of common words in percent; at least 70 where one name's words are all in the other.
 

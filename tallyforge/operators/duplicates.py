@@ -1,19 +1,27 @@
 """Duplicate submissions: exact by content hash, else fuzzy by name and amount.
 
 Arrival order is an explicit ``seq``. The exact stage aggregates the earliest
-row per hash, map side first, and joins it back. The fuzzy stage works on distinct (name, amount) pairs: those of the history with their
-earliest row, those of the probes, joined by a band on the amount. The band is
-an equi-join on amount buckets (the history's side is listed in its own and
-both neighbouring buckets) and on a word of the name: a similarity at the threshold
-needs a common one, and of a pair's common words the least is the key. The exact
-band and the similarity are residual conditions. Per probe pair and similarity only the earliest prior row can win,
-so a probe row meets a handful of candidates however often its name and amount
-recur.
+row per hash, map side first, and joins back only what can be a match: within
+one table, hashes that recur. The fuzzy stage works on distinct (name, amount)
+pairs: those of the history with their earliest row, those of the probes, joined
+by a band on the amount. The band is an equi-join on amount buckets (the
+history's side is listed in its own and both neighbouring buckets) and on a word
+of the name.
+
+Which words: a pair at the threshold either has all words of one name in the
+other, or shares nearly all. In an order of words from rare to frequent, one of
+the very first words of one name is then among the first few of the other; the
+threshold bounds both numbers. So a name is looked up by its rarest words (its
+lead: a single one up to six words) and listed under its first few (its body), in
+either direction, and names that have only a frequent word in common never meet,
+however many there are at one amount.
+Per probe pair and similarity only the earliest prior row can win, so a probe row
+meets a handful of candidates however often its name and amount recur.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
@@ -22,6 +30,8 @@ from ..functions.similarity import name_tokens, token_similarity
 from ..functions.text import present
 from ..schema import signal
 
+MATCHES = ("exact_match", "matched_invoice_id", "similarity", "date_match")
+
 
 def amounts_close(a: Column, b: Column, config: Config = DEFAULT) -> Column:
     return F.coalesce(F.abs(a - b) <= F.lit(config.amount_tolerance), F.lit(False))
@@ -37,7 +47,7 @@ def exact_matches(df: DataFrame, prior: Column | None = None) -> DataFrame:
     prior: which rows count as history; all by default.
     """
     past = df if prior is None else df.where(prior)
-    return exact_in_history(df, past.select("seq", "invoice_id", "content_hash"))
+    return exact_in_history(df, past.select("seq", "invoice_id", "content_hash"), least=1 if prior is not None else 2)
 
 
 def usable(df: DataFrame) -> DataFrame:
@@ -45,20 +55,52 @@ def usable(df: DataFrame) -> DataFrame:
     return df.where(present(F.col("vendor_name")) & F.col("total").isNotNull() & ~F.isnan("total"))
 
 
-def _keyed(df: DataFrame, config: Config) -> DataFrame:
-    """``df`` with its amount's bucket and its name's words, a row for each word that may be shared."""
-    df = df.withColumn("bucket", F.floor(F.col("total") / config.bucket_width)).withColumn("tokens", name_tokens(F.col("vendor_name")))
-    if config.name_similarity != "tokens" or config.vendor_threshold <= 0:
-        return df.withColumn("token", F.lit(""))  # names without a common word may be similar
-    return df.withColumn("token", F.explode(F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))))
+def rare_first(names: DataFrame) -> DataFrame:
+    """(vendor_name, tokens) of distinct names, the words in the order of how many names have them, ties by the word."""
+    words = names.select("vendor_name", F.explode(name_tokens(F.col("vendor_name"))).alias("word"))
+    often = words.groupBy(F.col("word").alias("__word")).agg(F.count("*").alias("often"))
+    listed = words.join(often, F.col("word") == F.col("__word")).groupBy("vendor_name").agg(F.sort_array(F.collect_list(F.struct("often", "word"))).alias("words"))
+    return names.join(listed, "vendor_name", "left").select("vendor_name", F.coalesce(F.col("words.word"), F.array().cast("array<string>")).alias("tokens"))
+
+
+def prefix_sizes(n: Column, config: Config = DEFAULT) -> tuple[Column, Column]:
+    """How many of a name's n words are its lead and its body.
+
+    Of sets that share a part p of their union, the first n - p n + 1 words of either meet. A name
+    inside another needs a part of (threshold - 70) / 30, two others the threshold itself.
+    """
+    inside, crossed = max(0.0, min(1.0, (config.vendor_threshold - 70) / 30)), min(1.0, config.vendor_threshold / 100)
+    size = lambda part: F.greatest(F.lit(1), n - F.ceil(n * F.lit(part) - F.lit(1e-9)) + 1).cast("int")
+    return size(crossed), size(min(inside, crossed))
+
+
+def _keyed(df: DataFrame, names: DataFrame | None, config: Config) -> DataFrame:
+    """``df`` with its amount's bucket, its name's words from rare to frequent, its lead, and its body."""
+    df = df.withColumn("bucket", F.floor(F.col("total") / config.bucket_width))
+    if names is None:  # names without a common word may be similar
+        return df.withColumns({"tokens": name_tokens(F.col("vendor_name")), "lead": F.array(F.lit("")), "body": F.array(F.lit(""))})
+    df = df.join(names, "vendor_name")
+    lead, body = (F.when(F.size("tokens") > 0, F.slice("tokens", F.lit(1), k)).otherwise(F.array(F.lit(""))) for k in prefix_sizes(F.size("tokens"), config))
+    return df.withColumns({"lead": lead, "body": body})
 
 
 def band_join(probes: DataFrame, history: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Pairs within the amount band and at the similarity threshold; the history's columns start with prior_."""
-    b = _keyed(history, config)
-    b = b.select(*[F.col(c).alias(f"prior_{c}") for c in b.columns]).withColumn("bucket", F.explode(F.array(*[F.col("prior_bucket") + d for d in (-1, 0, 1)])))
-    pairs = _keyed(probes, config).join(b.withColumnRenamed("prior_token", "token"), ["bucket", "token"]).where(amounts_close(F.col("total"), F.col("prior_total"), config))
-    pairs = pairs.where((F.col("token") == "") | (F.col("token") == F.array_min(F.array_intersect("tokens", "prior_tokens")))).drop("token")
+    """Pairs within the amount band and at the similarity threshold, each once; the history's columns start with prior_."""
+    worded = config.name_similarity == "tokens" and config.vendor_threshold > 0
+    names = rare_first(probes.select("vendor_name").unionByName(history.select("vendor_name")).distinct()) if worded else None
+    a, b = _keyed(probes, names, config), _keyed(history, names, config)
+    b = b.select(*[F.col(c).alias(f"prior_{c}") for c in b.columns])
+    around = F.explode(F.array(*[F.col("prior_bucket") + d for d in (-1, 0, 1)]))
+
+    def met(own: str, other: str) -> DataFrame:
+        """Pairs that share a word of these prefixes, by the first that they share."""
+        pairs = a.withColumn("token", F.explode(own)).join(b.withColumn("token", F.explode(other)).withColumn("bucket", around), ["bucket", "token"])
+        return pairs.where(F.col("token") == F.get(F.array_intersect(own, other), 0))
+
+    pairs = met("lead", "prior_body")
+    if worded:  # what the first join has is left out of the second
+        pairs = pairs.unionByName(met("body", "prior_lead").where(~F.arrays_overlap("lead", "prior_body")))
+    pairs = pairs.where(amounts_close(F.col("total"), F.col("prior_total"), config)).drop("token", "lead", "body", "prior_lead", "prior_body")
     if config.name_similarity == "sequence":
         sim = sequence_similarity(F.col("vendor_name"), F.col("prior_vendor_name"))
     else:
@@ -69,20 +111,34 @@ def band_join(probes: DataFrame, history: DataFrame, config: Config = DEFAULT) -
 def fuzzy_pair_counts(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """(similarity, date_match, n): how many pairs of rows match, of each similarity, with close dates or without.
 
-    Rows of one name, amount and date are counted first and pairs of such groups
-    are compared, so no pair of rows is made. ``seq`` tells rows apart: of two
-    rows one is the earlier, so a pair counts once whichever it is.
+    Rows of one name and amount are a kind, with a count for each day. What a kind
+    meets at one similarity is added up by day, over all kinds; a sum over a frame
+    of the days around each of its own days then gives the close pairs. So neither
+    rows nor dates are paired. ``seq`` tells rows apart: of two rows one is the
+    earlier, so a pair counts once whichever it is.
     """
-    kind = ("vendor_name", "total", "invoice_date")
-    groups = usable(df).groupBy(*kind).agg(F.count("*").alias("n"))
-    near = band_join(groups.select("vendor_name", "total").distinct(), groups.select("vendor_name", "total").distinct(), config)
-    near = near.select(F.col("vendor_name").alias("__name"), F.col("total").alias("__total"), "prior_vendor_name", "prior_total", "similarity")
-    own = groups.join(near, (F.col("vendor_name") == F.col("__name")) & (F.col("total") == F.col("__total"))).drop("__name", "__total")
-    other = groups.select(*[F.col(c).alias(f"__{c}") for c in groups.columns])
-    met = own.join(other, (F.col("prior_vendor_name") == F.col("__vendor_name")) & (F.col("prior_total") == F.col("__total")))
-    itself = (F.col("vendor_name") == F.col("__vendor_name")) & (F.col("total") == F.col("__total")) & F.col("invoice_date").eqNullSafe(F.col("__invoice_date"))
-    ordered = F.col("n") * F.col("__n") - F.when(itself, F.col("n")).otherwise(F.lit(0))
-    counts = met.groupBy("similarity", dates_close(F.col("invoice_date"), F.col("__invoice_date"), config).alias("date_match")).agg(F.sum(ordered).alias("twice"))
+    kind = ("vendor_name", "total")
+    days = usable(df).groupBy(*kind, F.unix_date("invoice_date").alias("day")).agg(F.count("*").alias("n"))
+    kinds = days.select(*kind).distinct()
+    near = band_join(kinds, kinds, config).select(*kind, F.col("prior_vendor_name").alias("__name"), F.col("prior_total").alias("__total"), "similarity")
+    met = near.join(days.select(F.col("vendor_name").alias("__name"), F.col("total").alias("__total"), "day", "n"), ["__name", "__total"])
+    met = met.groupBy(*kind, "similarity", "day").agg(F.sum("n").alias("met"))
+    own = near.select(*kind, "similarity").distinct().join(days, [*kind])
+    every = met.select(*kind, "similarity", "day", "met", F.lit(0).cast("long").alias("n")).unionByName(own.select(*kind, "similarity", "day", F.lit(0).cast("long").alias("met"), "n"))
+    # rows without a date are no neighbours of any day, and pair with all
+    by_day = every.groupBy(*kind, "similarity", "day").agg(F.sum("met").alias("met"), F.sum("n").alias("n"))
+    around = Window.partitionBy(*kind, "similarity").orderBy("day").rangeBetween(-config.date_window_days, config.date_window_days)
+    close = F.when(F.col("day").isNotNull(), F.sum("met").over(around)).otherwise(0)
+    # a row is not its own pair
+    alone = near.where((F.col("vendor_name") == F.col("__name")) & (F.col("total") == F.col("__total"))).select(*kind, "similarity", F.lit(True).alias("self"))
+    sums = by_day.withColumn("close", F.col("n") * close).groupBy(*kind, "similarity").agg(
+        F.sum("close").alias("close"), (F.sum("n") * F.sum("met")).alias("all"), F.sum("n").alias("rows"), F.sum(F.when(F.col("day").isNotNull(), F.col("n")).otherwise(0)).alias("dated")
+    )
+    sums = sums.join(alone, [*kind, "similarity"], "left")
+    less = lambda name: F.when(F.col("self"), F.col(name)).otherwise(0)
+    sums = sums.select("similarity", (F.col("close") - less("dated")).alias("close"), (F.col("all") - less("rows")).alias("all"))
+    both = F.array(F.struct(F.lit(True).alias("date_match"), F.col("close").alias("twice")), F.struct(F.lit(False).alias("date_match"), (F.col("all") - F.col("close")).alias("twice")))
+    counts = sums.select("similarity", F.inline(both)).groupBy("similarity", "date_match").agg(F.sum("twice").alias("twice"))
     return counts.where("twice > 0").select("similarity", "date_match", F.floor(F.col("twice") / 2).cast("long").alias("n"))
 
 
@@ -100,18 +156,19 @@ def fuzzy_matches(probes: DataFrame, history: DataFrame, config: Config = DEFAUL
     return best.select("seq", F.col("b.prior.seq").alias("prior_seq"), F.col("b.prior.invoice_id").alias("matched_invoice_id"), F.col("b.similarity").alias("similarity"), dates_close(F.col("b.invoice_date"), F.col("b.prior.invoice_date"), config).alias("date_match"))
 
 
-def exact_in_history(df: DataFrame, history: DataFrame) -> DataFrame:
-    """``df`` with exact_match from a table of earlier rows: the earliest with the same hash, if it is earlier than the row."""
-    first = history.where("content_hash is not null").groupBy(F.col("content_hash").alias("__hash")).agg(F.min_by("invoice_id", "seq").alias("__id"), F.min("seq").alias("__first"))
+def exact_in_history(df: DataFrame, history: DataFrame, least: int = 1) -> DataFrame:
+    """``df`` with exact_match from a table of earlier rows: the earliest with the same hash, if it is earlier than the row.
+
+    least: how many rows of the history must share a hash to be looked up; 2 where the history is ``df`` itself.
+    """
+    first = history.where("content_hash is not null").groupBy(F.col("content_hash").alias("__hash")).agg(F.min_by("invoice_id", "seq").alias("__id"), F.min("seq").alias("__first"), F.count("*").alias("__n"))
+    first = first.where(F.col("__n") >= least).drop("__n")
     joined = df.join(first, F.col("content_hash") == F.col("__hash"), "left")
     return joined.withColumn("exact_match", F.when(F.col("__first") < F.col("seq"), F.col("__id"))).drop("__hash", "__id", "__first")
 
 
-def duplicate_signals(df: DataFrame, prior: Column | None = None, history: DataFrame | None = None, out: str = "duplicate_signals", config: Config = DEFAULT) -> DataFrame:
-    """``df`` (with seq, invoice_id, content_hash, vendor_name, total, invoice_date) with one duplicate signal at most.
-
-    prior: which rows of ``df`` count as history; history: further earlier rows.
-    """
+def with_matches(df: DataFrame, prior: Column | None = None, history: DataFrame | None = None, config: Config = DEFAULT) -> DataFrame:
+    """``df`` with ``MATCHES``: an exact match, or the best fuzzy one, or nulls."""
     exact = exact_matches(df, prior)
     past = df if prior is None else df.where(prior)
     if history is not None:
@@ -120,7 +177,11 @@ def duplicate_signals(df: DataFrame, prior: Column | None = None, history: DataF
         columns = ("seq", "invoice_id", "vendor_name", "total", "invoice_date")
         past = past.select(*columns).unionByName(history.select(*columns))
     fuzzy = fuzzy_matches(exact.where("exact_match is null"), past, config).withColumnRenamed("seq", "__seq")
-    joined = exact.join(fuzzy, F.col("seq") == F.col("__seq"), "left")
+    return exact.join(fuzzy, F.col("seq") == F.col("__seq"), "left").drop("__seq", "prior_seq")
+
+
+def matched_signals(df: DataFrame, out: str = "duplicate_signals") -> DataFrame:
+    """``df`` with ``MATCHES`` turned into one duplicate signal at most."""
     near = F.when(F.col("date_match"), 0.90).otherwise(0.80)
     same = signal("DUP_EXACT_FILE_HASH", F.concat(F.lit("The same file came in as "), F.col("exact_match")), 0, matched_invoice_id=F.col("exact_match"))
     alike = signal(
@@ -128,4 +189,14 @@ def duplicate_signals(df: DataFrame, prior: Column | None = None, history: DataF
         matched_invoice_id=F.col("matched_invoice_id"), vendor_similarity_pct=F.col("similarity"), amount_match=F.lit(True), date_match=F.col("date_match"),
     )
     one = F.when(F.col("exact_match").isNotNull(), same).when(F.col("matched_invoice_id").isNotNull(), alike)
-    return joined.withColumn(out, F.array_compact(F.array(one))).drop("__seq", "prior_seq", "matched_invoice_id", "similarity", "date_match", "exact_match")
+    return df.withColumn(out, F.array_compact(F.array(one))).drop(*MATCHES)
+
+
+def duplicate_signals(df: DataFrame, prior: Column | None = None, history: DataFrame | None = None, out: str = "duplicate_signals", config: Config = DEFAULT) -> DataFrame:
+    """``df`` (with seq, invoice_id, content_hash, vendor_name, total, invoice_date) with one duplicate signal at most.
+
+    prior: which rows of ``df`` count as history; history: further earlier rows. Where
+    ``df`` has ``MATCHES`` already, these are taken and nothing is searched.
+    """
+    found = df if all(c in df.columns for c in MATCHES) else with_matches(df, prior, history, config)
+    return matched_signals(found, out)

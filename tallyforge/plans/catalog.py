@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scoring import level
-from ..functions.similarity import name_tokens, token_similarity
+from ..functions.similarity import name_keys, token_similarity
 from ..functions.text import lines, present
 from ..operators import duplicates, evaluate, extract, imaging, risk, vendor, vision
 from ..sources.directory import directory_of
@@ -128,9 +128,9 @@ def date_proximity(spark, sf_dir):
 
 
 def name_similarity(spark, sf_dir):
-    """Pairs of names that have a word in common, which a similarity over 0 needs."""
+    """Pairs of names that have a word in common, which a similarity over 0 needs; names of suffixes alone have their whole name as a word."""
     names = view.invoices(spark, sf_dir).where(present(F.col("vendor_name"))).select("vendor_name").distinct()
-    words = names.withColumn("word", F.explode(name_tokens(F.col("vendor_name"))))
+    words = names.withColumn("word", F.explode(name_keys(F.col("vendor_name"))))
     a, b = words.withColumnRenamed("vendor_name", "a"), words.withColumnRenamed("vendor_name", "b")
     pairs = a.join(b, "word").where(F.col("a") <= F.col("b")).select("a", "b").distinct()
     return pairs.select("a", "b", token_similarity(F.col("a"), F.col("b")).cast("int").alias("similarity"))
