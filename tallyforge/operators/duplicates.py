@@ -29,6 +29,7 @@ from ..functions.sequence import sequence_similarity
 from ..functions.similarity import name_tokens, token_similarity
 from ..functions.text import present
 from ..schema import signal
+from ..storage import stored
 
 MATCHES = ("exact_match", "matched_invoice_id", "similarity", "date_match")
 
@@ -87,7 +88,7 @@ def _keyed(df: DataFrame, names: DataFrame | None, config: Config) -> DataFrame:
 def band_join(probes: DataFrame, history: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Pairs within the amount band and at the similarity threshold, each once; the history's columns start with prior_."""
     worded = config.name_similarity == "tokens" and config.vendor_threshold > 0
-    names = rare_first(probes.select("vendor_name").unionByName(history.select("vendor_name")).distinct()) if worded else None
+    names = stored(rare_first(probes.select("vendor_name").unionByName(history.select("vendor_name")).distinct()), "names") if worded else None
     a, b = _keyed(probes, names, config), _keyed(history, names, config)
     b = b.select(*[F.col(c).alias(f"prior_{c}") for c in b.columns])
     around = F.explode(F.array(*[F.col("prior_bucket") + d for d in (-1, 0, 1)]))
@@ -118,9 +119,10 @@ def fuzzy_pair_counts(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
     earlier, so a pair counts once whichever it is.
     """
     kind = ("vendor_name", "total")
-    days = usable(df).groupBy(*kind, F.unix_date("invoice_date").alias("day")).agg(F.count("*").alias("n"))
-    kinds = days.select(*kind).distinct()
+    days = stored(usable(df).groupBy(*kind, F.unix_date("invoice_date").alias("day")).agg(F.count("*").alias("n")), "days")
+    kinds = stored(days.select(*kind).distinct(), "kinds")
     near = band_join(kinds, kinds, config).select(*kind, F.col("prior_vendor_name").alias("__name"), F.col("prior_total").alias("__total"), "similarity")
+    near = stored(near, "near-kinds")
     met = near.join(days.select(F.col("vendor_name").alias("__name"), F.col("total").alias("__total"), "day", "n"), ["__name", "__total"])
     met = met.groupBy(*kind, "similarity", "day").agg(F.sum("n").alias("met"))
     own = near.select(*kind, "similarity").distinct().join(days, [*kind])
@@ -146,8 +148,8 @@ def fuzzy_matches(probes: DataFrame, history: DataFrame, config: Config = DEFAUL
     """seq, prior_seq, matched_invoice_id, similarity and date_match: per probe the most similar, then earliest, prior row."""
     probes = usable(probes)
     row = F.struct("seq", "invoice_id", "invoice_date")
-    firsts = usable(history).groupBy("vendor_name", "total").agg(F.min_by(row, "seq").alias("row"))
-    kinds = probes.select("vendor_name", "total").distinct()
+    firsts = stored(usable(history).groupBy("vendor_name", "total").agg(F.min_by(row, "seq").alias("row")), "first-rows")
+    kinds = stored(probes.select("vendor_name", "total").distinct(), "kinds")
     near = band_join(kinds, firsts, config).groupBy("vendor_name", "total", "similarity").agg(F.min_by("prior_row", "prior_row.seq").alias("prior"))
     near = near.select(F.col("vendor_name").alias("__name"), F.col("total").alias("__total"), "similarity", "prior")
     own = probes.select("seq", "vendor_name", "total", "invoice_date")

@@ -250,9 +250,9 @@ def history_match(spark, sf_dir):
 
 
 def stream_history(spark, sf_dir):
-    """The invoices as a stream of three files, in the order of ``seq``; each batch is matched with all before it."""
-    from ..sources.sinks import shared_folder
-    from ..streaming.ingest import ingest
+    """The invoices as a stream of three files, in the order of ``seq``; each batch is matched with all before it, by keyed state."""
+    from ..storage import shared_folder
+    from ..streaming.ingest import ingest, read_reports
 
     folder = shared_folder(spark, "stream")
     df = view.invoices(spark, sf_dir)
@@ -260,8 +260,8 @@ def stream_history(spark, sf_dir):
     for part in (df.where(F.col("seq") <= third[0]), df.where((F.col("seq") > third[0]) & (F.col("seq") <= third[1])), df.where(F.col("seq") > third[1])):
         part.write.mode("append").parquet(f"{folder}/in")
         stream = spark.readStream.schema(df.schema).parquet(f"{folder}/in")
-        ingest(stream, f"{folder}/history", f"{folder}/reports", f"{folder}/offsets").awaitTermination()
-    found = spark.read.parquet(f"{folder}/reports").select("invoice_id", F.explode("signals").alias("s")).where("s.source = 'duplicate'")
+        ingest(stream, f"{folder}/ledger", f"{folder}/offsets").awaitTermination()
+    found = read_reports(spark, f"{folder}/ledger").select("invoice_id", F.explode("signals").alias("s")).where("s.source = 'duplicate'")
     return found.select("invoice_id", "s.code", F.col("s.evidence.matched_invoice_id").alias("matched_invoice_id"), F.round("s.score", 6).alias("score"))
 
 

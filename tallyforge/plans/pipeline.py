@@ -14,7 +14,7 @@ from ..operators.vendor import vendor_signals
 from ..operators.vision import vision_signals, with_answers
 from ..sources.files import Provider, with_fallback, with_ids, with_pages, with_text
 from ..sources.results import Results
-from ..sources.sinks import shared_folder
+from ..storage import shared_folder, stored
 
 
 def analyse(df: DataFrame, directory: DataFrame | None = None, prior: Column | None = None, history: DataFrame | None = None, config: Config = DEFAULT) -> DataFrame:
@@ -75,9 +75,7 @@ def answered_files(files: DataFrame, text: Provider | None = None, tokens: Provi
     df = df.drop("status", *warnings, "__page_error", "vision_error")
     # numbered once: what is stored doesn't change when a branch of a plan reads it again
     df = df.repartitionByRange("path").sortWithinPartitions("path").withColumn("seq", F.monotonically_increasing_id())
-    folder = shared_folder(spark, "answered-files")
-    with_ids(df).write.parquet(folder)
-    return spark.read.schema(with_ids(df).schema).parquet(folder)
+    return stored(with_ids(df), "answered-files")
 
 
 def _texts(content: DataFrame, provider: Provider | None, results: Results, out: str, warning: str) -> DataFrame:

@@ -1,12 +1,14 @@
 import json
+from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.config import Config
 from tallyforge.plans.pipeline import analyse
 from tallyforge.sources import files, sinks
 from tallyforge.sources.directory import directory_of
-from tallyforge.streaming.ingest import HISTORY_TYPES, ingest
+from tallyforge.streaming.ingest import analyse_batch, ingest, read_errors, read_history, read_reports
 
 PAGE = "Acme Corporation\n500 Technology Dr\nSeattle\nTax ID: 12-3456780\nInvoice #: A-1\nTotal: $1,000.00\n"
 
@@ -46,14 +48,14 @@ def test_texts_to_reports(spark, tmp_path):
 def test_stream_sees_history_and_its_own_batch(spark, tmp_path):
     columns = "seq long, invoice_id string, content_hash string, vendor_name string, vendor_address string, vendor_tax_id string, total double, invoice_date date"
     row = lambda k, h, total: (k, f"i{k}", h, "Acme Corporation", "500 Technology Dr", "12-3456780", total, None)
-    source, history, reports = (str(tmp_path / x) for x in ("in", "history", "reports"))
+    source, ledger = str(tmp_path / "in"), str(tmp_path / "ledger")
     for part in ([row(1, "a", 5.0), row(2, "a", 9.0)], [row(3, "b", 9.0), row(4, "a", 1.0)]):
         spark.createDataFrame(part, columns).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(columns).parquet(source)
-        ingest(stream, history, reports, str(tmp_path / "checkpoint"), directory_of(spark)).awaitTermination()
-    got = {r.seq: [s.code for s in r.signals] for r in spark.read.parquet(reports).collect()}
+        ingest(stream, ledger, str(tmp_path / "checkpoint"), directory_of(spark)).awaitTermination()
+    got = {r.seq: [s.code for s in r.signals] for r in read_reports(spark, ledger).collect()}
     assert got == {1: [], 2: ["DUP_EXACT_FILE_HASH"], 3: ["DUP_FUZZY_MATCH"], 4: ["DUP_EXACT_FILE_HASH"]}
-    assert spark.read.schema(HISTORY_TYPES).parquet(history).count() == 4
+    assert read_history(spark, ledger).count() == 4
 
 
 def test_images_come_as_rgb(spark):
@@ -170,19 +172,90 @@ def test_files_to_reports(spark, tmp_path):
     assert len(analyse_files(scanned, directory_of(spark), text=text).where("error is null").collect()) == 4
 
 
-def test_failed_rows_stay_out_of_history_and_batches_replay(spark, tmp_path):
-    from tallyforge.streaming.ingest import analyse_batch
+INVOICES = "seq long, invoice_id string, content_hash string, vendor_name string, vendor_address string, vendor_tax_id string, total double, invoice_date date"
+
 
-    columns = "seq long, invoice_id string, content_hash string, vendor_name string, vendor_address string, vendor_tax_id string, total double, invoice_date date, error string"
+def test_failed_rows_stay_out_of_history_and_batches_replay(spark, tmp_path):
     row = lambda k, h, e=None: (k, f"i{k}", h, "Acme Corporation", "500 Technology Dr", "12-3456780", float(k), None, e)
-    history, reports = str(tmp_path / "history"), str(tmp_path / "reports")
+    ledger = str(tmp_path / "ledger")
     first, second = [row(1, "a"), row(2, "b", "no pages")], [row(3, "a"), row(4, "b")]
     for number, part in ((0, first), (1, second), (0, first), (1, second)):  # both come again
-        analyse_batch(spark.createDataFrame(part, columns), number, history, reports)
-    got = {r.seq: [s.code for s in r.signals if s.source == "duplicate"] for r in spark.read.parquet(reports).collect()}
+        analyse_batch(spark.createDataFrame(part, f"{INVOICES}, error string"), number, ledger)
+    got = {r.seq: [s.code for s in r.signals if s.source == "duplicate"] for r in read_reports(spark, ledger).collect()}
     assert got == {1: [], 3: ["DUP_EXACT_FILE_HASH"], 4: []}
-    assert sorted(r.seq for r in spark.read.schema(HISTORY_TYPES).parquet(history).collect()) == [1, 3, 4]
-    assert [tuple(r) for r in spark.read.parquet(f"{reports}-errors").select("seq", "error").collect()] == [(2, "no pages")]
+    assert sorted(r.seq for r in read_history(spark, ledger).collect()) == [1, 3, 4]
+    assert [tuple(r)[::2] for r in read_errors(spark, ledger).collect()] == [(2, "no pages")]
+
+
+def test_a_batch_that_fails_midway_leaves_the_old_snapshot(spark, tmp_path, monkeypatch):
+    """Reports are written, then the history's part fails: neither is seen, and the batch can come again."""
+    from tallyforge.sources.ledger import Commit, Ledger
+
+    ledger = str(tmp_path / "ledger")
+    batch = lambda k: spark.createDataFrame([(k, f"i{k}", "same", "Acme", "500 Technology Dr", None, 1.0, None)], INVOICES)
+    analyse_batch(batch(1), 0, ledger)
+    write = Commit.add
+
+    def broken(self, table, df):
+        if table == "history":
+            raise OSError("disk is gone")
+        return write(self, table, df)
+
+    with monkeypatch.context() as m:
+        m.setattr(Commit, "add", broken)
+        with pytest.raises(OSError):
+            analyse_batch(batch(2), 1, ledger)
+    assert [r.seq for r in read_reports(spark, ledger).collect()] == [1] == [r.seq for r in read_history(spark, ledger).collect()]
+    analyse_batch(batch(2), 1, ledger)
+    assert sorted(r.seq for r in read_reports(spark, ledger).collect()) == [1, 2] == sorted(r.seq for r in read_history(spark, ledger).collect())
+    book = Ledger(spark, ledger)
+    assert book.compact("history") == 2 and book.vacuum(1) and sorted(r.seq for r in read_history(spark, ledger).collect()) == [1, 2]
+    analyse_batch(batch(3), 2, ledger)
+    assert {r.seq: r.signals[0].evidence.matched_invoice_id for r in read_reports(spark, ledger).where("seq > 1").collect()} == {2: "i1", 3: "i1"}
+
+
+def stream_rows(n, seed):
+    """Rows with repeated hashes, like names, amounts near each other and at edges of buckets, some without each."""
+    import random
+
+    rng = random.Random(seed)
+    names = ["Acme", "Acme Corp", "Acme Widgets", "Widgets Acme Tools", "Inc", "inc", None, "", "Beta Acme", "Globex", "GLOBEX llc"]
+    totals = [None, 10.0, 10.01, 10.02, 10.09, 10.1, 10.11, 10.2, 0.0, -3.0, -3.01, 1e9, 99.995, 100.005]
+    days = [None, date(2024, 1, 1), date(2024, 1, 31), date(2024, 2, 1)]
+    seqs = rng.sample(range(10 * n), n)
+    return [(k, f"i{k}", rng.choice([None, f"h{k}", f"h{k % 37}"]), rng.choice(names), None, None, rng.choice(totals), rng.choice(days)) for k in seqs]
+
+
+@pytest.mark.parametrize("kind", ["tokens", "sequence"])
+def test_state_finds_what_the_history_join_finds(spark, tmp_path, kind):
+    """Batches in any order of seq: the stream's reports are those of batches joined with the ledger's history."""
+    config = Config(name_similarity=kind)
+    rows, source = stream_rows(120, 4), str(tmp_path / "in")
+    for number, at in enumerate((0, 40, 80)):
+        part = spark.createDataFrame(rows[at : at + 40], INVOICES)
+        part.coalesce(1).write.mode("append").parquet(source)
+        ingest(spark.readStream.schema(INVOICES).parquet(source), str(tmp_path / "stream"), str(tmp_path / "checkpoint"), config=config).awaitTermination()
+        analyse_batch(part, number, str(tmp_path / "joined"), config=config)
+    found = lambda path: {r.seq: [(s.code, s.confidence, s.evidence.matched_invoice_id, s.evidence.vendor_similarity_pct) for s in r.signals if s.source == "duplicate"] for r in read_reports(spark, str(tmp_path / path)).collect()}
+    got = found("stream")
+    assert got == found("joined") and len(got) == 120 and sum(map(len, got.values())) > 30
+
+
+def test_state_keeps_what_a_batch_reads_flat(spark, tmp_path):
+    """Twenty batches of one size: the last read no more of the state than the first ones, and nothing else grows."""
+    source, read = str(tmp_path / "in"), []
+    for k in range(20):
+        rows = [(k * 50 + j, f"i{k * 50 + j}", f"h{k * 50 + j}", f"Vendor{k * 50 + j} Only", None, None, float(k * 50 + j), None) for j in range(50)]
+        spark.createDataFrame(rows, INVOICES).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(INVOICES).option("maxFilesPerTrigger", 1).parquet(source)
+    query = ingest(stream, str(tmp_path / "ledger"), str(tmp_path / "checkpoint"))
+    query.awaitTermination()
+    for p in query.recentProgress:
+        (state,) = p["stateOperators"]
+        read.append((p["numInputRows"], state["customMetrics"]["rocksdbTotalBytesRead"] if "rocksdbTotalBytesRead" in state["customMetrics"] else state["customMetrics"]["rocksdbGetCount"]))
+    assert len(read) == 20 and {n for n, _ in read} == {read[0][0]}
+    assert max(b for _, b in read[15:]) <= 1.5 * max(b for _, b in read[1:6]) + 4096, read
+    assert read_reports(spark, str(tmp_path / "ledger")).count() == 1000
 
 
 def test_evaluation_file_and_images(spark, tmp_path):
