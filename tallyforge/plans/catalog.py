@@ -16,7 +16,7 @@ from ..functions.similarity import name_keys, token_similarity
 from ..functions.text import lines, present
 from ..operators import duplicates, evaluate, extract, imaging, risk, vendor, vision
 from ..sources.directory import directory_of
-from ..sources.scenarios import KNOWN, scenarios
+from ..sources.scenarios import FAKE, KNOWN, scenarios, scenarios_of
 from . import invoices as view
 from .pipeline import analyse
 from .pipeline import evaluate as evaluated
@@ -235,6 +235,25 @@ def scenario_quality(spark, sf_dir):
     return evaluate.quality(evaluate.confusion(evaluated(scenarios(spark), known)))
 
 
+def _scenarios(spark, sf_dir) -> DataFrame:
+    """A labelled scenario for each order; their keys go from 0 without gaps. Stored, as an evaluation reads it several times."""
+    from ..storage import stored
+
+    return stored(scenarios_of(_spread(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq")))), "scenarios")
+
+
+def scenario_sources(spark, sf_dir):
+    """Each duplicate of the scenarios with the row that it copies."""
+    df = _scenarios(spark, sf_dir).where("label = 'duplicate'")
+    return df.select("seq", "source_seq", "vendor_name", "vendor_tax_id", "total", F.date_format("invoice_date", "yyyy-MM-dd").alias("invoice_date"))
+
+
+def scenario_scale(spark, sf_dir):
+    """The evaluation over one scenario for each order."""
+    known = directory_of(spark, [(n, t) for n, t, _ in KNOWN])
+    return evaluate.quality(evaluate.confusion(evaluated(_scenarios(spark, sf_dir).drop("source_seq"), known)))
+
+
 def report_json(spark, sf_dir):
     from ..sources.sinks import as_json
 
@@ -270,7 +289,7 @@ QUERIES = {
     for f in (
         vendor_signals, vendor_signal_counts, ein_validity, address_class, directory_anti_join, directory_mismatch, signal_scores, risk_scores, risk_level_counts, signal_ranking,
         dup_exact_orders, dup_exact_documents, dup_fuzzy_pairs, dup_fuzzy_best, duplicate_signals, full_risk, date_proximity, name_similarity, currency_documents, first_line_documents,
-        extract_fields, extract_documents, vision_findings, ela_stats, pixel_stats, confusion_by_label, confusion_overall, precision_recall_f1, label_distribution, scenario_quality, report_json, history_match, stream_history,
+        extract_fields, extract_documents, vision_findings, ela_stats, pixel_stats, confusion_by_label, confusion_overall, precision_recall_f1, label_distribution, scenario_quality, scenario_sources, scenario_scale, report_json, history_match, stream_history,
     )
 }
 
@@ -290,7 +309,38 @@ _LABELLED = """WITH m AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'clean' WHEN
  c AS (SELECT label, count_if(predicted AND actual) AS tp, count_if(predicted AND NOT actual) AS fp, count_if(NOT predicted AND NOT actual) AS tn, count_if(NOT predicted AND actual) AS fn FROM m GROUP BY label
   UNION ALL SELECT 'overall', count_if(predicted AND actual), count_if(predicted AND NOT actual), count_if(NOT predicted AND NOT actual), count_if(NOT predicted AND actual) FROM m) """
 
+# the scenarios again, with duplicates joined to the rows that they copy
+_DRAW = "CAST('0x' || substr(md5('42:{0}:' || {1}), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE"
+_OF = lambda values, u: f"([{', '.join('NULL' if v is None else repr(v) for v in values)}])[CAST(floor({u} * {len(values)}) AS INTEGER) + 1]"
+_SCENARIOS = f"""drawn AS (SELECT o_orderkey AS seq, {_DRAW.format('label', 'o_orderkey')} AS roll FROM orders),
+ tried AS (SELECT d.seq, k, CAST(floor({_DRAW.format('source', "(d.seq || '.' || k)")} * d.seq) AS BIGINT) AS j FROM drawn d, range(48) r(k) WHERE roll >= 0.85 AND d.seq > 0),
+ sources AS (SELECT t.seq, arg_min(t.j, t.k) AS source_seq FROM tried t JOIN drawn d ON d.seq = t.j WHERE d.roll < 0.5 GROUP BY t.seq),
+ labelled AS (SELECT d.seq, source_seq, CASE WHEN roll < 0.5 OR roll >= 0.85 AND source_seq IS NULL THEN 'clean' WHEN roll < 0.7 THEN 'synthetic_vendor' WHEN roll < 0.85 THEN 'tampered' ELSE 'duplicate' END AS label FROM drawn d LEFT JOIN sources s ON s.seq = d.seq),
+ facts AS (SELECT seq, {_DRAW.format('vendor', 'seq')} AS v, {_DRAW.format('total', 'seq')} AS t, {_DRAW.format('day', 'seq')} AS w FROM drawn),
+ sc AS (SELECT l.seq, l.label, l.source_seq, label = 'tampered' AND {_DRAW.format('variant', 'l.seq')} < 0.6 AS varied,
+   CASE WHEN label = 'synthetic_vendor' THEN {_OF([x[0] for x in FAKE], 'v')} ELSE {_OF([x[0] for x in KNOWN], 'v')} END AS name,
+   CASE WHEN label = 'synthetic_vendor' THEN {_OF([x[1] for x in FAKE], 'v')} ELSE {_OF([x[1] for x in KNOWN], 'v')} END AS tax,
+   CASE WHEN label = 'synthetic_vendor' THEN {_OF([x[2] for x in FAKE], 'v')} ELSE {_OF([x[2] for x in KNOWN], 'v')} END AS vendor_address,
+   CASE label WHEN 'tampered' THEN ([10000.0::DOUBLE, 50000, 100000])[CAST(floor(t * 3) AS INTEGER) + 1] WHEN 'synthetic_vendor' THEN (floor(t * 4900 * 100) + 10000) / 100.0::DOUBLE ELSE (floor(t * 49900 * 100) + 10000) / 100.0::DOUBLE END AS total,
+   CASE label WHEN 'clean' THEN DATE '2024-01-01' + CAST(floor(w * 336) AS INTEGER) WHEN 'duplicate' THEN DATE '2024-01-01' + CAST(floor(w * 336) AS INTEGER) + CAST(floor({_DRAW.format('later', 'l.seq')} * 20) AS INTEGER) + 1 END AS invoice_date
+   FROM labelled l JOIN facts f ON f.seq = coalesce(l.source_seq, l.seq)),
+ inv AS (SELECT seq, 's' || seq AS invoice_id, label, source_seq, CASE WHEN varied THEN replace(replace(name, 'Corporation', 'Corp.'), 'Inc.', '') ELSE name END AS vendor_name, vendor_address,
+   CASE WHEN NOT varied THEN tax END AS vendor_tax_id, total, invoice_date FROM sc)"""
+_KNOWN_SQL = "dir AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{t}')" for n, t, _ in KNOWN) + ") t(name, expected))"
+_SCALE = f"""{_SCENARIOS}, {_KNOWN_SQL}, {view.SIGNALS_SQL.removeprefix(view.DIRECTORY_SQL + ", ")}, {view.NAMES_SQL},
+ past AS (SELECT vendor_name, total, min(seq) AS first_seq FROM inv WHERE label = 'clean' GROUP BY ALL),
+ same AS (SELECT inv.seq FROM inv JOIN past p ON p.vendor_name = inv.vendor_name AND p.total = inv.total AND p.first_seq < inv.seq),
+ near AS (SELECT DISTINCT inv.seq, first_value({_CLOSE.format(a='inv.invoice_date', b='p.invoice_date')}) OVER (PARTITION BY inv.seq ORDER BY similarity DESC, p.seq) AS date_match
+   FROM inv JOIN inv p ON p.label = 'clean' AND p.seq < inv.seq AND abs(inv.total - p.total) <= 0.01::DOUBLE JOIN sim ON sim.a = inv.vendor_name AND sim.b = p.vendor_name WHERE similarity >= 85 AND inv.seq NOT IN (SELECT seq FROM same)),
+ every AS (SELECT seq, weight * confidence AS score FROM sig UNION ALL SELECT seq, 0.95::DOUBLE FROM same UNION ALL SELECT seq, CASE WHEN date_match THEN 0.85::DOUBLE * 0.90::DOUBLE ELSE 0.85::DOUBLE * 0.80::DOUBLE END FROM near),
+ m AS (SELECT inv.seq, any_value(label) AS label, coalesce(1 - product(1 - score), 0) >= 0.30 AS predicted, any_value(label) <> 'clean' AS actual FROM inv LEFT JOIN every USING (seq) GROUP BY inv.seq),
+ c AS (SELECT label, count_if(predicted AND actual) AS tp, count_if(predicted AND NOT actual) AS fp, count_if(NOT predicted AND NOT actual) AS tn, count_if(NOT predicted AND actual) AS fn FROM m GROUP BY label
+  UNION ALL SELECT 'overall', count_if(predicted AND actual), count_if(predicted AND NOT actual), count_if(NOT predicted AND NOT actual), count_if(NOT predicted AND actual) FROM m)"""
+_QUALITY = ", x AS (SELECT *, tp::DOUBLE / greatest(tp + fp, 1) AS p, tp::DOUBLE / greatest(tp + fn, 1) AS r FROM c) SELECT label, tp, fp, tn, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(2.0::DOUBLE * p * r / greatest(p + r, 1e-9::DOUBLE), 6) AS f1, round(fp::DOUBLE / greatest(fp + tn, 1), 6) AS fp_rate FROM x"
+
 ORACLE_SQL = {
+    "scenario_sources": f"WITH {_SCENARIOS} SELECT i.seq, i.source_seq, i.vendor_name, p.vendor_tax_id, p.total, strftime(i.invoice_date, '%Y-%m-%d') AS invoice_date FROM inv i JOIN inv p ON p.seq = i.source_seq AND p.label = 'clean' AND p.vendor_name = i.vendor_name WHERE i.label = 'duplicate' AND i.invoice_date - p.invoice_date BETWEEN 1 AND 20",
+    "scenario_scale": f"WITH {_SCALE}{_QUALITY}",
     "vendor_signals": _WITH + "SELECT invoice_id, code, weight, confidence, round(weight * confidence, 6) AS score FROM sig",
     "vendor_signal_counts": _WITH + "SELECT code, count(*) AS n, round(avg(round(weight * confidence, 6)), 6) AS mean_score FROM sig GROUP BY code",
     "ein_validity": _WITH + "SELECT ein_class, count(*) AS n FROM flags GROUP BY 1",
@@ -323,7 +373,7 @@ ORACLE_SQL = {
     "pixel_stats": "SELECT l_orderkey, max(v) AS max_intensity, round(avg(v), 6) AS mean_intensity, round(avg(CASE WHEN v >= 25 THEN 1.0::DOUBLE ELSE 0 END), 6) AS high_intensity_fraction FROM (SELECT l_orderkey, CAST(greatest(l_partkey % 256, l_suppkey % 256, l_linenumber * 20) AS INTEGER) AS v FROM lineitem) GROUP BY 1",
     "confusion_by_label": _LABELLED + "SELECT * FROM c WHERE label <> 'overall'",
     "confusion_overall": _LABELLED + "SELECT * FROM c WHERE label = 'overall'",
-    "precision_recall_f1": _LABELLED + ", x AS (SELECT *, tp::DOUBLE / greatest(tp + fp, 1) AS p, tp::DOUBLE / greatest(tp + fn, 1) AS r FROM c) SELECT label, tp, fp, tn, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(2.0::DOUBLE * p * r / greatest(p + r, 1e-9::DOUBLE), 6) AS f1, round(fp::DOUBLE / greatest(fp + tn, 1), 6) AS fp_rate FROM x",
+    "precision_recall_f1": _LABELLED + _QUALITY,
     "label_distribution": _LABELLED + "SELECT label, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS percent FROM m GROUP BY label",
     "history_match": f"WITH {view.SQL}, h AS (SELECT content_hash, min(seq) AS first_seq FROM inv WHERE seq % 4 <> 0 GROUP BY 1) SELECT i.invoice_id, CASE WHEN h.first_seq < i.seq THEN 'inv' || h.first_seq END AS exact_match FROM inv i LEFT JOIN h USING (content_hash) WHERE i.seq % 4 = 0",
 }

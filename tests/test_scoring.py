@@ -73,3 +73,24 @@ def test_scenarios_at_scale_have_the_same_shares(spark):
     assert all(abs(counts[k] - v) < 0.02 for k, v in SHARES)
     assert df.where("label = 'tampered' and vendor_tax_id is null").count() > 0
     assert list(itertools.islice(df.select("seq").toLocalIterator(), 2))
+
+
+def test_duplicates_at_scale_copy_an_earlier_clean_row(spark):
+    from tallyforge.plans.pipeline import evaluate
+    from tallyforge.sources.directory import directory_of
+    from tallyforge.sources.scenarios import KNOWN, scenarios_at_scale, scenarios_of
+
+    rows = {r.seq: r for r in scenarios_of(spark.range(4000).withColumnRenamed("id", "seq"), seed=7).collect()}
+    copies = [r for r in rows.values() if r.label == "duplicate"]
+    assert len(copies) > 400 and rows[0].label != "duplicate"
+    for r in copies:
+        s = rows[r.source_seq]
+        assert s.seq < r.seq and s.label == "clean" and (s.vendor_name, s.vendor_address, s.vendor_tax_id, s.total) == (r.vendor_name, r.vendor_address, r.vendor_tax_id, r.total)
+        assert 1 <= (r.invoice_date - s.invoice_date).days <= 20 and s.invoice_number != r.invoice_number
+    assert len({r.source_seq for r in copies}) > len(copies) / 2  # sources are spread over all earlier rows
+    assert all(r.source_seq is None for r in rows.values() if r.label != "duplicate")
+    # a row is the same whatever stands beside it
+    assert {r.seq: r for r in scenarios_of(spark.range(100, 200).withColumnRenamed("id", "seq"), seed=7).collect()} == {k: rows[k] for k in range(100, 200)}
+    known = directory_of(spark, [(n, t) for n, t, _ in KNOWN])
+    scored = evaluate(scenarios_at_scale(spark, 4000, seed=7), known)
+    assert scored.where("label = 'duplicate' and risk_level = 'LOW'").count() == 0
