@@ -28,6 +28,7 @@ CHROMINANCE = """
 17 18 24 47 99 99 99 99  18 21 26 66 99 99 99 99  24 26 56 99 99 99 99 99  47 66 99 99 99 99 99 99
 99 99 99 99 99 99 99 99  99 99 99 99 99 99 99 99  99 99 99 99 99 99 99 99  99 99 99 99 99 99 99 99
 """
+TOGETHER = 1 << 20  # bytes of pixels that are worked on at once
 STATS = "max_intensity int, mean_intensity double, high_intensity_fraction double, heatmap binary"
 
 
@@ -47,41 +48,53 @@ def _cosines() -> np.ndarray:
 COSINES = _cosines()
 
 
-def coefficients(plane: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    """Quantised cosine coefficients of a plane's tiles (rows, columns, 8, 8); the edge fills partial tiles."""
-    h, w = plane.shape
-    full = np.pad(plane, ((0, -h % 8), (0, -w % 8)), mode="edge") - 128
-    tiles = full.reshape(full.shape[0] // 8, 8, full.shape[1] // 8, 8).swapaxes(1, 2)
-    return np.round(COSINES @ tiles @ COSINES.T / steps)
+def _padded(planes: np.ndarray, side: int) -> np.ndarray:
+    """Planes (..., h, w) whose sides are multiples of ``side``; the edge is repeated."""
+    h, w = planes.shape[-2:]
+    return np.pad(planes, [(0, 0)] * (planes.ndim - 2) + [(0, -h % side), (0, -w % side)], mode="edge")
 
 
-def _plane(plane: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    h, w = plane.shape
-    kept = coefficients(plane, steps) * steps
-    rows, columns = kept.shape[:2]
-    return (COSINES.T @ kept @ COSINES).swapaxes(1, 2).reshape(8 * rows, 8 * columns)[:h, :w] + 128
+def _each_axis(tiles: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """matrix @ tile @ matrix.T for all tiles (..., 8, 8), as two products of long matrices."""
+    across = (tiles.reshape(-1, 8) @ matrix.T).reshape(-1, 8, 8).swapaxes(1, 2)
+    return (across.reshape(-1, 8) @ matrix.T).reshape(-1, 8, 8).swapaxes(1, 2).reshape(tiles.shape)
+
+
+def coefficients(planes: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Quantised cosine coefficients of the tiles of planes (..., h, w), as (..., rows, columns, 8, 8); the edge fills partial tiles."""
+    full = _padded(planes, 8) - 128
+    h, w = full.shape[-2:]
+    tiles = np.ascontiguousarray(full.reshape(*full.shape[:-2], h // 8, 8, w // 8, 8).swapaxes(-3, -2))
+    return np.round(_each_axis(tiles, COSINES) / steps)
+
+
+def _plane(planes: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    h, w = planes.shape[-2:]
+    tiles = _each_axis(coefficients(planes, steps) * steps, COSINES.T)
+    rows, columns = tiles.shape[-4:-2]
+    return tiles.swapaxes(-3, -2).reshape(*tiles.shape[:-4], 8 * rows, 8 * columns)[..., :h, :w] + 128
 
 
 def luma_and_chroma(rgb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Brightness, and blue and red differences at half the size."""
-    h, w, _ = rgb.shape
+    """Brightness, and blue and red differences at half the size, of images (..., h, w, 3)."""
     r, g, b = (rgb[..., k].astype(float) for k in range(3))
     y = 0.299 * r + 0.587 * g + 0.114 * b
     small = []
     for chroma in (128 + (b - y) * 0.564, 128 + (r - y) * 0.713):
-        even = np.pad(chroma, ((0, h % 2), (0, w % 2)), mode="edge")
-        small.append(even.reshape(even.shape[0] // 2, 2, even.shape[1] // 2, 2).mean((1, 3)))
+        even = _padded(chroma, 2)
+        h, w = even.shape[-2:]
+        small.append(even.reshape(*even.shape[:-2], h // 2, 2, w // 2, 2).mean((-3, -1)))
     return y, *small
 
 
 def jpeg_round_trip(rgb: np.ndarray, quality: int) -> np.ndarray:
-    """An image (height, width, 3) as it is after saving with this quality."""
-    h, w, _ = rgb.shape
+    """Images (..., height, width, 3) as they are after saving with this quality."""
+    h, w = rgb.shape[-3:-1]
     y, *chroma = luma_and_chroma(rgb)
     planes = [np.clip(np.round(_plane(y, quantisers(LUMINANCE, quality))), 0, 255)]
     for small in chroma:
         small = np.clip(np.round(_plane(small, quantisers(CHROMINANCE, quality))), 0, 255)
-        planes.append(small.repeat(2, 0).repeat(2, 1)[:h, :w] - 128)
+        planes.append(small.repeat(2, -2).repeat(2, -1)[..., :h, :w] - 128)
     y, cb, cr = planes
     out = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], -1)
     return np.clip(np.round(out), 0, 255).astype(np.uint8)
@@ -92,17 +105,28 @@ def difference(rgb: np.ndarray, quality: int) -> np.ndarray:
 
 
 def _stats(config: Config, heatmap: bool):
+    """Images of one size are one array, as many of them as ``TOGETHER`` bytes of pixels hold."""
+
+    def some(images: list[bytes], h: int, w: int) -> list[tuple]:
+        diff = difference(np.frombuffer(b"".join(images), np.uint8).reshape(-1, h, w, 3), config.resave_quality)
+        peak = diff.max(-1).reshape(len(images), -1)
+        bright = np.minimum(255, diff * config.amplification).astype(np.uint8) if heatmap else [None] * len(images)
+        numbers = zip(peak.max(1).tolist(), peak.mean(1).tolist(), (peak >= config.pixel_threshold).mean(1).tolist(), bright, strict=True)
+        return [(top, mean, part, None if x is None else x.tobytes()) for top, mean, part, x in numbers]
+
     def run(frames: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for pixels, heights, widths in frames:
-            rows = []
-            for data, h, w in zip(pixels, heights, widths, strict=True):
-                if data is None or not h or not w or len(data) != 3 * h * w:
-                    rows.append((None,) * 4)
-                    continue
-                diff = difference(np.frombuffer(data, np.uint8).reshape(int(h), int(w), 3), config.resave_quality)
-                peak = diff.max(-1)
-                bright = np.minimum(255, diff * config.amplification).astype(np.uint8).tobytes() if heatmap else None
-                rows.append((int(peak.max()), float(peak.mean()), float((peak >= config.pixel_threshold).mean()), bright))
+            rows, sizes = [(None,) * 4] * len(pixels), {}
+            data = pixels.tolist()
+            for k, (d, h, w) in enumerate(zip(data, heights, widths, strict=True)):
+                if d is not None and h and w and len(d) == 3 * h * w:
+                    sizes.setdefault((int(h), int(w)), []).append(k)
+            for (h, w), own in sizes.items():
+                step = max(1, TOGETHER // (3 * h * w))
+                for at in range(0, len(own), step):
+                    part = own[at : at + step]
+                    for k, row in zip(part, some([data[k] for k in part], h, w), strict=True):
+                        rows[k] = row
             yield pd.DataFrame(rows, columns=[p.split()[0] for p in STATS.split(", ")])
 
     return run

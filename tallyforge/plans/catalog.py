@@ -184,15 +184,19 @@ def ela_stats(spark, sf_dir):
     @F.pandas_udf("binary")
     def paint(keys: pd.Series) -> pd.Series:
         y, x = np.mgrid[:32, :48]
+        ramp = np.stack([x * 4 % 256, y * 6 % 256, x + y], -1)
         out = []
-        for k in keys:
-            a = np.stack([x * 4 % 256, y * 6 % 256, (x + y + k) % 256], -1).astype(np.uint8)
+        for k in keys.tolist():
+            a = ramp.copy()
+            a[..., 2] = (a[..., 2] + k) % 256
+            a = a.astype(np.uint8)
             if k % 3 == 0:
-                a[8:24, 8:40] = np.random.default_rng(int(k)).integers(0, 256, (16, 32, 3), np.uint8)
+                a[8:24, 8:40] = np.random.default_rng(k).integers(0, 256, (16, 32, 3), np.uint8)
             out.append(a.tobytes())
         return pd.Series(out)
 
-    df = _table(spark, sf_dir, "part").select("p_partkey", paint("p_partkey").alias("pixels"), F.lit(32).alias("height"), F.lit(48).alias("width"))
+    keys = _spread(_table(spark, sf_dir, "part").select("p_partkey"))
+    df = keys.select("p_partkey", paint("p_partkey").alias("pixels"), F.lit(32).alias("height"), F.lit(48).alias("width"))
     out = imaging.ela_signals(imaging.ela_stats(df))
     return out.select("p_partkey", "ela.max_intensity", F.round("ela.mean_intensity", 6).alias("mean_intensity"), F.round("ela.high_intensity_fraction", 6).alias("high_intensity_fraction"), F.size("ela_signals").alias("n_signals"))
 
