@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.config import Config
+from tallyforge.operators import vendor
 from tallyforge.operators.vendor import address_class, valid_ein, vendor_signals
 from tallyforge.sources.directory import directory_of
 
@@ -51,3 +52,24 @@ def test_strict_ein(spark):
 def test_address(spark, address, kind):
     df = spark.createDataFrame([(address,)], "a string")
     assert df.select(address_class(F.col("a"))).first()[0] == kind
+
+
+def test_a_directory_on_both_sides_of_its_bound(spark, monkeypatch):
+    """Small: broadcast. Large: cut down by a bitmap of the probed names, then shuffled; the same answers."""
+    rows = [(f"Vendor {k}", f"{k:02d}-{k:07d}" if k % 3 else None, k) for k in range(5000)] + [("vendor 7", "late", 9999), (None, "x", 1), ("VENDOR 8", None, -1)]
+    directory = spark.createDataFrame(rows, "vendor_name string, tax_id string, ord int")
+    probes = spark.createDataFrame([(k, n) for k, n in enumerate(["Vendor 7", " vendor 8 ", "Vendor 4999", "Nobody", None, ""])] + [(100 + k, f"Vendor {k * 61}") for k in range(200)], "k int, name string")
+    run = lambda: vendor.with_directory(probes, directory, F.col("name"))
+    small = run()
+    monkeypatch.setattr(vendor, "BROADCAST_BYTES", 1000)
+    large = run()
+    got = {r.k: (r["__known"], r["__expected"]) for r in large.collect()}
+    assert got == {r.k: (r["__known"], r["__expected"]) for r in small.collect()}
+    assert got[0] == (True, "07-0000007") and got[1] == (True, None) and got[3] == got[4] == got[5] == (False, None) and len(got) == 206
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(small) and "SortMergeJoin" not in plan(small)
+    assert "SortMergeJoin" in plan(large) and "bitmap_construct_agg" in plan(large)
+    keyed = directory.where("vendor_name is not null").withColumn("__key", F.lower("vendor_name"))
+    left = vendor.probed_only(keyed, probes.select(vendor.directory_key(F.col("name")).alias("__probe")).where("__probe is not null"))
+    wanted = {r.name.strip().lower() for r in probes.collect() if r.name}
+    assert {r["__key"] for r in left.collect()} == wanted & {r["__key"] for r in keyed.collect()}
