@@ -4,10 +4,17 @@ The largest of three scores, case sensitive: of the whole strings, of the
 shorter one against its best window in the longer one, and of the sorted word
 sets. A score is twice the longest common subsequence over the lengths. This
 runs in Arrow batches, as no built-in function gives it.
+
+Two strings at a threshold share pairs of neighbouring characters: what is left
+out of the shorter one breaks two of its pairs, what is put in breaks one. So of
+its pairs all but ``lost`` are pairs of the other too (``shape``), which is
+what a search for candidates goes by.
 """
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,6 +60,43 @@ def score(a: str | None, b: str | None) -> int:
     return int(max(whole(a, b), window(a, b), word_sets(a, b))) if a and b else 0
 
 
+def lost(n: int, threshold: int) -> int | None:
+    """How many character pairs of a string of n characters may be missing from a string at the threshold; None without a bound.
+
+    The other one, or its window, has m characters, and they share the c that the threshold asks for at least.
+    """
+    if threshold <= 66 or n > 2000:
+        return None
+    t, most = threshold / 100, 0
+    for m in range(max(1, math.floor(t * n / (2 - t))), math.ceil(n * (2 / t - 1)) + 1):
+        c = math.ceil(t * (n + m) / 2 - 1e-9)
+        if c <= min(n, m):
+            most = max(most, 2 * (n - c) + m - c)
+    return most
+
+
+def shape(a: str, threshold: int) -> tuple[list[str], list[str], int | None, int | None]:
+    """A string's pairs, those inside its words, and how many of either a match may lack; None where it may lack all."""
+    words = set(a.split())
+    pairs, inner = {a[k : k + 2] for k in range(len(a) - 1)}, {w[k : k + 2] for w in words for k in range(len(w) - 1)}
+    fewer = [lost(len(a), threshold), lost(len(" ".join(words)), threshold)]
+    out = [None if most is None or most >= len(own) else most for most, own in zip(fewer, (pairs, inner), strict=True)]
+    return sorted(pairs), sorted(inner), *out
+
+
+SHAPE = "pairs array<string>, inner array<string>, lost int, lost_inner int"
+
+
+def shapes(x: Column, threshold: int) -> Column:
+    """The ``shape`` of strings as a struct."""
+
+    @F.pandas_udf(SHAPE)
+    def run(names: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([shape(a, threshold) for a in names], columns=["pairs", "inner", "lost", "lost_inner"], dtype="object")
+
+    return run(x)
+
+
 def _scores(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([score(x, y) for x, y in zip(a, b, strict=True)])
 

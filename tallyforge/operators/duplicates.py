@@ -15,6 +15,9 @@ threshold bounds both numbers. So a name is looked up by its rarest words (its
 lead: a single one up to six words) and listed under its first few (its body), in
 either direction, and names that have only a frequent word in common never meet,
 however many there are at one amount.
+The similarity of character sequences goes by pairs of neighbouring characters in
+place of words: a name's rarest few, one more than a match may lack, are its
+lead, all of them its body; pairs of names that share too few are not compared.
 Per probe pair and similarity only the earliest prior row can win, so a probe row
 meets a handful of candidates however often its name and amount recur.
 """
@@ -25,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.sequence import sequence_similarity
+from ..functions.sequence import sequence_similarity, shapes
 from ..functions.similarity import name_tokens, token_similarity
 from ..functions.text import present
 from ..schema import signal
@@ -56,9 +59,9 @@ def usable(df: DataFrame) -> DataFrame:
     return df.where(present(F.col("vendor_name")) & F.col("total").isNotNull() & ~F.isnan("total"))
 
 
-def rare_first(names: DataFrame) -> DataFrame:
+def rare_first(names: DataFrame, words: Column | None = None) -> DataFrame:
     """(vendor_name, tokens) of distinct names, the words in the order of how many names have them, ties by the word."""
-    words = names.select("vendor_name", F.explode(name_tokens(F.col("vendor_name"))).alias("word"))
+    words = names.select("vendor_name", F.explode(name_tokens(F.col("vendor_name")) if words is None else words).alias("word"))
     often = words.groupBy(F.col("word").alias("__word")).agg(F.count("*").alias("often"))
     listed = words.join(often, F.col("word") == F.col("__word")).groupBy("vendor_name").agg(F.sort_array(F.collect_list(F.struct("often", "word"))).alias("words"))
     return names.join(listed, "vendor_name", "left").select("vendor_name", F.coalesce(F.col("words.word"), F.array().cast("array<string>")).alias("tokens"))
@@ -75,37 +78,62 @@ def prefix_sizes(n: Column, config: Config = DEFAULT) -> tuple[Column, Column]:
     return size(crossed), size(min(inside, crossed))
 
 
-def _keyed(df: DataFrame, names: DataFrame | None, config: Config) -> DataFrame:
-    """``df`` with its amount's bucket, its name's words from rare to frequent, its lead, and its body."""
-    df = df.withColumn("bucket", F.floor(F.col("total") / config.bucket_width))
-    if names is None:  # names without a common word may be similar
-        return df.withColumns({"tokens": name_tokens(F.col("vendor_name")), "lead": F.array(F.lit("")), "body": F.array(F.lit(""))})
-    df = df.join(names, "vendor_name")
-    lead, body = (F.when(F.size("tokens") > 0, F.slice("tokens", F.lit(1), k)).otherwise(F.array(F.lit(""))) for k in prefix_sizes(F.size("tokens"), config))
-    return df.withColumns({"lead": lead, "body": body})
+def word_keys(names: DataFrame, config: Config) -> DataFrame:
+    """(vendor_name, tokens, lead, body) of distinct names, by their words."""
+    some = F.size("tokens") > 0
+    lead, body = (F.when(some, F.slice("tokens", F.lit(1), k)).otherwise(F.array(F.lit(""))) for k in prefix_sizes(F.size("tokens"), config))
+    return rare_first(names).withColumns({"lead": lead, "body": body})
+
+
+def pair_keys(names: DataFrame, config: Config) -> DataFrame:
+    """(vendor_name, pairs, inner, least, least_inner, lead, body) of distinct names, by their pairs of characters.
+
+    least and least_inner: how many pairs, and pairs inside words, a match has in common with the
+    name. A name for which that may be none is led by "", which every body has.
+    """
+    shaped = stored(names.withColumn("s", shapes(F.col("vendor_name"), config.vendor_threshold)).select("vendor_name", "s.*"), "name-shapes")
+    order = rare_first(shaped, F.col("pairs")).withColumnRenamed("vendor_name", "__name")
+    df = shaped.join(order, F.col("vendor_name") == F.col("__name"))
+    first = lambda own, k: F.slice(F.filter("tokens", lambda x: F.array_contains(own, x)), F.lit(1), k + 1)
+    sure = F.col("lost").isNotNull() & F.col("lost_inner").isNotNull()
+    lead = F.when(sure, F.array_union(first("pairs", F.col("lost")), first("inner", F.col("lost_inner")))).otherwise(F.array(F.lit("")))
+    least = {"least": F.size("pairs") - F.col("lost"), "least_inner": F.size("inner") - F.col("lost_inner")}
+    return df.withColumns({"lead": lead, "body": F.array_append("tokens", F.lit("")), **{k: F.coalesce(v, F.lit(0)) for k, v in least.items()}}).drop("__name", "tokens", "lost", "lost_inner")
+
+
+def _enough() -> Column:
+    """Whether two names share as many pairs of characters as any of the three scores needs."""
+    shared = lambda c: F.size(F.array_intersect(c, f"prior_{c}"))
+    shorter = F.when(F.length("vendor_name") <= F.length("prior_vendor_name"), F.col("least")).otherwise(F.col("prior_least"))
+    shorter = F.when(F.length("vendor_name") == F.length("prior_vendor_name"), F.least("least", "prior_least")).otherwise(shorter)
+    return (shared("pairs") >= shorter) | (shared("inner") >= F.least("least_inner", "prior_least_inner"))
 
 
 def band_join(probes: DataFrame, history: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Pairs within the amount band and at the similarity threshold, each once; the history's columns start with prior_."""
-    worded = config.name_similarity == "tokens" and config.vendor_threshold > 0
-    names = stored(rare_first(probes.select("vendor_name").unionByName(history.select("vendor_name")).distinct()), "names") if worded else None
-    a, b = _keyed(probes, names, config), _keyed(history, names, config)
+    worded, some = config.name_similarity == "tokens", config.vendor_threshold > 0
+    every = probes.select("vendor_name").unionByName(history.select("vendor_name")).distinct()
+    names = stored((word_keys if worded else pair_keys)(every, config), "names")
+    if not some:  # names that have nothing in common may be similar
+        names = names.withColumns({"lead": F.array(F.lit("")), "body": F.array(F.lit(""))})
+    a, b = (df.withColumn("bucket", F.floor(F.col("total") / config.bucket_width)).join(names, "vendor_name") for df in (probes, history))
     b = b.select(*[F.col(c).alias(f"prior_{c}") for c in b.columns])
     around = F.explode(F.array(*[F.col("prior_bucket") + d for d in (-1, 0, 1)]))
 
     def met(own: str, other: str) -> DataFrame:
-        """Pairs that share a word of these prefixes, by the first that they share."""
+        """Pairs that share a key of these prefixes, by the first that they share."""
         pairs = a.withColumn("token", F.explode(own)).join(b.withColumn("token", F.explode(other)).withColumn("bucket", around), ["bucket", "token"])
         return pairs.where(F.col("token") == F.get(F.array_intersect(own, other), 0))
 
-    pairs = met("lead", "prior_body")
-    if worded:  # what the first join has is left out of the second
-        pairs = pairs.unionByName(met("body", "prior_lead").where(~F.arrays_overlap("lead", "prior_body")))
-    pairs = pairs.where(amounts_close(F.col("total"), F.col("prior_total"), config)).drop("token", "lead", "body", "prior_lead", "prior_body")
-    if config.name_similarity == "sequence":
-        sim = sequence_similarity(F.col("vendor_name"), F.col("prior_vendor_name"))
-    else:
+    # what the first join has is left out of the second
+    pairs = met("lead", "prior_body").unionByName(met("body", "prior_lead").where(~F.arrays_overlap("lead", "prior_body")))
+    pairs = pairs.where(amounts_close(F.col("total"), F.col("prior_total"), config))
+    if worded:
         sim = token_similarity(F.col("vendor_name"), F.col("prior_vendor_name"), F.col("tokens"), F.col("prior_tokens"))
+    else:
+        pairs, sim = pairs.where(_enough()) if some else pairs, sequence_similarity(F.col("vendor_name"), F.col("prior_vendor_name"))
+    own = [c for c in names.columns if c not in ("vendor_name", "tokens")]
+    pairs = pairs.drop("token", *own, *(f"prior_{c}" for c in own))
     return pairs.withColumn("similarity", sim).where(F.col("similarity") >= config.vendor_threshold)
 
 
