@@ -162,6 +162,37 @@ def extract_fields(spark, sf_dir):
     return out.select("invoice_id", *[F.col(f"fields.{n}").alias(n) for n in names])
 
 
+def _dated_text():
+    """A page with dates in many shapes and places, by what the order key leaves when divided by 12."""
+    d, k = F.col("invoice_date"), F.col("seq") % 12
+    iso, us = F.date_format(d, "yyyy-MM-dd"), F.date_format(d, "M/d/yyyy")
+    full, short = F.date_format(d, "MMMM d, yyyy"), F.date_format(d, "MMM d, yyyy")
+    due = F.date_add(d, 30)
+    far = F.lit(" " * 61)
+    text = (
+        F.when(k == 0, F.concat(F.lit("Invoice Date: "), iso, F.lit("\nDue Date: "), F.date_format(due, "M/d/yyyy")))
+        .when(k == 1, F.concat(F.lit("Date "), us, F.lit("\nPayment due by "), F.date_format(due, "MMMM d, yyyy")))
+        .when(k == 2, F.concat(F.lit("INVOICE DATE\n"), full))
+        .when(k == 3, F.concat(F.lit("Invoice date: "), short, F.lit("\ndate: "), iso))  # no format has short months, but May
+        .when(k == 4, F.concat(F.lit("Printed "), iso, F.lit("\nUpdated, no anchor")))
+        .when(k == 5, F.concat(F.lit("Due date"), far, iso, F.lit("\ndate "), us))  # out of the window
+        .when(k == 6, F.concat(F.lit("Date: 2024-13-45 or "), us))
+        .when(k == 7, F.concat(F.lit("date: 13/13/2023\ninvoice date "), F.lower(full)))
+        .when(k == 8, F.concat(F.lit("mandate "), iso, F.lit(" Due Date: "), F.regexp_replace(full, ",", "")))
+        .when(k == 9, F.concat(F.lit("Payment due "), F.date_format(due, "yyyy-MM-dd"), F.lit(" invoice date "), F.regexp_replace(full, " ", "  ")))
+        .when(k == 10, F.concat(us, F.lit(" "), iso, F.lit(" "), full))
+        .otherwise(F.lit("No date at all"))
+    )
+    return F.when(d.isNotNull(), text).otherwise("Invoice date: to come")
+
+
+def extract_dates(spark, sf_dir):
+    """Invoice and due dates from pages with dates in many shapes; what the pages say goes along."""
+    df = _spread(view.invoices(spark, sf_dir).select("invoice_id", _dated_text().alias("raw_text")))
+    out = extract.extract(df)
+    return out.select("invoice_id", "raw_text", "fields.invoice_date", "fields.due_date")
+
+
 def extract_documents(spark, sf_dir):
     out = extract.extract(_spread(_table(spark, sf_dir, "documents").select("doc_id", "text")), "text")
     names = ("vendor_name", "vendor_address", "vendor_tax_id", "invoice_number", "invoice_date", "due_date", "subtotal", "tax", "total", "currency")
@@ -265,6 +296,17 @@ def report_json(spark, sf_dir):
     return as_json(risk.report(df))
 
 
+def report_fields(spark, sf_dir):
+    """Reports read back from their JSON: how many signals, their codes in order, and the ids that they give as evidence."""
+    shape = "invoice_id string, risk_level string, risk_score double, signals array<struct<source:string,code:string,weight:double,confidence:double,score:double,evidence:struct<tax_id:string,expected_tax_id:string,actual_tax_id:string>>>"
+    df = report_json(spark, sf_dir).select(F.from_json("value", shape).alias("r")).select("r.*")
+    listed = lambda f: F.array_join(F.transform("signals", f), ",")
+    return df.select(
+        "invoice_id", "risk_level", F.size("signals").cast("long").alias("n_signals"), listed(lambda s: s.code).alias("codes"),
+        listed(lambda s: F.coalesce(s.evidence.tax_id, s.evidence.actual_tax_id, F.lit("-"))).alias("tax_ids"), listed(lambda s: F.coalesce(s.evidence.expected_tax_id, F.lit("-"))).alias("expected_tax_ids"),
+    )
+
+
 def history_match(spark, sf_dir):
     """Two halves of the invoices: the later one against the earlier one as stored history."""
     df = view.invoices(spark, sf_dir)
@@ -293,7 +335,7 @@ QUERIES = {
     for f in (
         vendor_signals, vendor_signal_counts, ein_validity, address_class, directory_anti_join, directory_mismatch, signal_scores, risk_scores, risk_level_counts, signal_ranking,
         dup_exact_orders, dup_exact_documents, dup_fuzzy_pairs, dup_fuzzy_best, duplicate_signals, full_risk, date_proximity, name_similarity, currency_documents, first_line_documents,
-        extract_fields, extract_documents, vision_findings, ela_stats, pixel_stats, confusion_by_label, confusion_overall, precision_recall_f1, label_distribution, scenario_quality, scenario_sources, scenario_scale, report_json, history_match, stream_history,
+        extract_fields, extract_dates, extract_documents, vision_findings, ela_stats, pixel_stats, confusion_by_label, confusion_overall, precision_recall_f1, label_distribution, scenario_quality, scenario_sources, scenario_scale, report_json, report_fields, history_match, stream_history,
     )
 }
 
@@ -342,7 +384,24 @@ _SCALE = f"""{_SCENARIOS}, {_KNOWN_SQL}, {view.SIGNALS_SQL.removeprefix(view.DIR
   UNION ALL SELECT 'overall', count_if(predicted AND actual), count_if(predicted AND NOT actual), count_if(NOT predicted AND NOT actual), count_if(NOT predicted AND actual) FROM m)"""
 _QUALITY = ", x AS (SELECT *, tp::DOUBLE / greatest(tp + fp, 1) AS p, tp::DOUBLE / greatest(tp + fn, 1) AS r FROM c) SELECT label, tp, fp, tn, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(2.0::DOUBLE * p * r / greatest(p + r, 1e-9::DOUBLE), 6) AS f1, round(fp::DOUBLE / greatest(fp + tn, 1), 6) AS fp_rate FROM x"
 
+# dates as the extraction looks for them: anchors in order, of each the window after its first place, patterns in order; then the whole page
+_PARSED = lambda x: f"coalesce(CAST(try_strptime(nullif(regexp_extract({x}, '(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1), ''), '%Y-%m-%d') AS DATE), CAST(try_strptime(nullif(regexp_extract({x}, '(\\d{{1,2}}/\\d{{1,2}}/\\d{{4}})', 1), ''), '%m/%d/%Y') AS DATE), CAST(try_strptime(regexp_replace(nullif(regexp_extract({x}, '(?i)((?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\\.?\\s+\\d{{1,2}},?\\s+\\d{{4}})', 1), ''), '\\s+', ' ', 'g'), '%B %d, %Y') AS DATE))"
+_WINDOW = lambda anchor: f"regexp_extract(raw_text, '(?i)\\b{anchor}\\b([\\s\\S]{{0,60}})', 1)"
+_FOUND = lambda *anchors: f"coalesce({', '.join(_PARSED(_WINDOW(a)) for a in anchors)}, {_PARSED('raw_text')})"
+_PAGES = """pages AS (SELECT invoice_id, CASE WHEN invoice_date IS NULL THEN 'Invoice date: to come' ELSE CASE seq % 12
+    WHEN 0 THEN 'Invoice Date: ' || iso || chr(10) || 'Due Date: ' || strftime(due, '%-m/%-d/%Y') WHEN 1 THEN 'Date ' || us || chr(10) || 'Payment due by ' || strftime(due, '%B %-d, %Y')
+    WHEN 2 THEN 'INVOICE DATE' || chr(10) || whole WHEN 3 THEN 'Invoice date: ' || strftime(invoice_date, '%b %-d, %Y') || chr(10) || 'date: ' || iso WHEN 4 THEN 'Printed ' || iso || chr(10) || 'Updated, no anchor'
+    WHEN 5 THEN 'Due date' || repeat(' ', 61) || iso || chr(10) || 'date ' || us WHEN 6 THEN 'Date: 2024-13-45 or ' || us WHEN 7 THEN 'date: 13/13/2023' || chr(10) || 'invoice date ' || lower(whole)
+    WHEN 8 THEN 'mandate ' || iso || ' Due Date: ' || replace(whole, ',', '') WHEN 9 THEN 'Payment due ' || strftime(due, '%Y-%m-%d') || ' invoice date ' || replace(whole, ' ', '  ')
+    WHEN 10 THEN us || ' ' || iso || ' ' || whole ELSE 'No date at all' END END AS raw_text
+  FROM (SELECT *, strftime(invoice_date, '%Y-%m-%d') AS iso, strftime(invoice_date, '%-m/%-d/%Y') AS us, strftime(invoice_date, '%B %-d, %Y') AS whole, invoice_date + 30 AS due FROM inv))"""
+
 ORACLE_SQL = {
+    "extract_dates": f"WITH {view.SQL}, {_PAGES} SELECT invoice_id, raw_text, {_FOUND('invoice date', 'date')} AS invoice_date, {_FOUND('due date', 'payment due')} AS due_date FROM pages",
+    "report_fields": _WITH + f"""SELECT r.invoice_id, {_LEVEL} AS risk_level, any_value(n_signals) AS n_signals, coalesce(string_agg(code, ',' ORDER BY weight * confidence DESC, ord) FILTER (WHERE code IS NOT NULL), '') AS codes,
+        coalesce(string_agg(CASE WHEN code IN ('VENDOR_INVALID_TAX_ID', 'VENDOR_TAX_ID_MISMATCH') THEN vendor_tax_id ELSE '-' END, ',' ORDER BY weight * confidence DESC, ord) FILTER (WHERE code IS NOT NULL), '') AS tax_ids,
+        coalesce(string_agg(CASE WHEN code = 'VENDOR_TAX_ID_MISMATCH' THEN expected ELSE '-' END, ',' ORDER BY weight * confidence DESC, ord) FILTER (WHERE code IS NOT NULL), '') AS expected_tax_ids
+        FROM risk r JOIN flags USING (invoice_id) LEFT JOIN sig USING (invoice_id) GROUP BY r.invoice_id, risk_score""",
     "scenario_sources": f"WITH {_SCENARIOS} SELECT i.seq, i.source_seq, i.vendor_name, p.vendor_tax_id, p.total, strftime(i.invoice_date, '%Y-%m-%d') AS invoice_date FROM inv i JOIN inv p ON p.seq = i.source_seq AND p.label = 'clean' AND p.vendor_name = i.vendor_name WHERE i.label = 'duplicate' AND i.invoice_date - p.invoice_date BETWEEN 1 AND 20",
     "scenario_scale": f"WITH {_SCALE}{_QUALITY}",
     "vendor_signals": _WITH + "SELECT invoice_id, code, weight, confidence, round(weight * confidence, 6) AS score FROM sig",
