@@ -10,6 +10,7 @@ import random
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from tallyforge.llm import pieces, pii, quality, warc
 
@@ -274,6 +275,49 @@ def test_pipeline(spark, sf_dir):
     assert now.columns == ["doc_id", "sample", "ids", "log_prob", "perturbed", "inclusion"] and now.count() > 0
 
 
+def test_pipeline_stages_on_odd_rows(spark, sf_dir):
+    """Null and repeated ids, null texts and clashing columns through all stages, each against what it must do to its input."""
+    import corpus_pipeline
+
+    odd = spark.createDataFrame(odd_documents(), SCHEMA).withColumn("doc_id", F.col("doc_id") + 1_000_000)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").unionByName(odd, allowMissingColumns=True).unionByName(odd.where("doc_id is null"), allowMissingColumns=True)
+    docs = spark.createDataFrame(docs.collect(), docs.schema).repartition(3)
+    of = lambda df: collections.Counter((r.doc_id, r.text, r.source, r["__mix_size"], r.key) for r in df.collect())
+    before = of(docs)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        out = spark.createDataFrame(out.collect(), docs.schema).repartition(3)
+        after = of(out)
+        if name == "quality_rules":  # a filter: rows of the input, none with fewer than ten words
+            assert after <= before and all(len((x[1] or "").split()) >= 10 for x in after) and sum(after.values()) > 100
+            rejected = [x for x in before - after if len(set((x[1] or "").split())) > 60]
+            assert len(rejected) < 0.8 * sum(before.values())
+        elif name == "near_duplicates":  # one row of each text at most, and every text has a near copy that stays
+            assert after <= before and max(collections.Counter(x[1] for x in after.elements()).values()) == 1
+            kept = [_shingles(x[1]) for x in after]
+            assert all(any(_near(_shingles(x[1]), k) for k in kept) for x in before if x not in after)
+        elif name == "pii":  # rows stay; texts change in place, and only by their entities
+            assert sorted(map(repr, ((x[0], x[2:]) for x in after.elements()))) == sorted(map(repr, ((x[0], x[2:]) for x in before.elements())))
+            plain = {x[1] for x in before if not pii.entities(x[1] or "")}
+            assert plain <= {x[1] for x in after}
+        else:  # whole copies of rows, two at most
+            assert set(after) <= set(before) and all(n <= 2 * before[x] for x, n in after.items())
+        docs, before = out, after
+    name, last = corpus_pipeline.STAGES[-1]
+    got = last(spark, docs, sf_dir)
+    assert {r.doc_id for r in got.select("doc_id").collect()} == {x[0] for x in before}
+
+
+def _shingles(text):
+    w = (text or "").split()
+    return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
+def _near(a, b):
+    return len(a & b) >= 0.5 * len(a | b)  # a class may link its ends by others at 0.8
+
+
 def test_pipeline_of_nothing(spark, sf_dir):
     import corpus_pipeline
 
