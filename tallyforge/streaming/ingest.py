@@ -73,10 +73,11 @@ def analyse_batch(batch: DataFrame, batch_id: int, path: str, directory: DataFra
 def ingest(stream: DataFrame, path: str, checkpoint: str, directory: DataFrame | None = None, config: Config = DEFAULT, **trigger):
     """Start the query that fills the ledger at ``path``; ``trigger`` as in writeStream.trigger, e.g. availableNow=True.
 
-    ``seq`` is unique and says which row is earlier. The state store is RocksDB's, which the session is set to.
+    ``seq`` is unique and says which row is earlier. The session is set to ``state.STORE``.
     """
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", state.PROVIDER)
+    for name, value in state.STORE.items():
+        spark.conf.set(name, value)
     rows, _ = _parted(stream)
     columns = stream.columns
     # rows and what the state says of them, in one batch; the source is read once for both

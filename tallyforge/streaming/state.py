@@ -33,7 +33,11 @@ SHARDS = 4096  # of hashes; a shard's map is read by its keys, never whole
 WIDTH = 0.2  # of a bucket of amounts; its edges lie between cents
 NEAR = "vendor_name string, words string, folded string, total double, seq long, invoice_id string, day int"
 FOUND = "seq long, exact_match string, similarity int, prior_seq long, prior_id string, prior_day int"
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The state store: one that reads by key, and whose checkpoints hold a batch's changes, not the whole state.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def events(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
