@@ -20,7 +20,7 @@ from __future__ import annotations
 import bisect
 import gc
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import ranked, shares, stored, utf8
+from .common import ranked, released, shares, stored, trimmed, utf8
 
 CHUNK = (1 << 19) - 1024  # bytes of text hashed at once
 HELD = 400_000  # runs held by a task before they are sent
 PART = 500  # ranges that one copy of a document's text is asked for
+SENT = 2 << 20  # bytes of text in a batch that a task sends on, but for its last range
 PACKED = "bucket long, n long, g binary, c binary, doc binary, lo binary, len binary, off binary, src binary, at binary"
 FIELDS = {"g": "<u8", "c": "<u8", "doc": "<i8", "lo": "<u4", "len": "<u2", "off": "<u2"}
 RUN = np.dtype([("bucket", "<i8"), *FIELDS.items()])
@@ -166,15 +167,23 @@ def packed(held: list[np.ndarray], within: bool, buckets: int, known: np.ndarray
     return _batch(rows)
 
 
-def window_runs(parts: list[tuple[int, int, list[bytes]]], buckets: int) -> np.ndarray:
-    """Single windows as runs of one, by a digest of their text. parts: (document, first start, texts)."""
-    out = np.zeros(sum(len(x) for _, _, x in parts), RUN)
-    digest = b"".join(hashlib.blake2b(w, digest_size=16).digest() for _, _, x in parts for w in x)
-    halves = np.frombuffer(digest, "<u8").reshape(-1, 2)
+def window_runs(parts: Iterable[tuple[int, int, Iterable[bytes]]], buckets: int) -> np.ndarray:
+    """Single windows as runs of one, by a digest of their text. parts: (document, first start, texts), taken one by one."""
+    digest, docs, starts, counts = bytearray(), [], [], []
+    for doc, lo, texts in parts:
+        before = len(digest)
+        for w in texts:
+            digest += hashlib.blake2b(w, digest_size=16).digest()
+        docs.append(doc)
+        starts.append(lo)
+        counts.append((len(digest) - before) // 16)
+    halves = np.frombuffer(bytes(digest), "<u8").reshape(-1, 2)
+    count = np.array(counts, np.int64)
+    out = np.zeros(len(halves), RUN)
     out["bucket"] = (halves[:, 0] >> np.uint64(33)).astype(np.int64) % buckets
     out["g"], out["c"] = halves[:, 0], halves[:, 1]
-    out["doc"] = np.repeat([d for d, _, _ in parts], [len(x) for _, _, x in parts])
-    out["lo"] = [lo + k for _, lo, x in parts for k in range(len(x))]
+    out["doc"] = np.repeat(np.array(docs, np.int64), count)
+    out["lo"] = np.arange(len(out)) + np.repeat(np.array(starts, np.int64) - (np.cumsum(count) - count), count)
     out["len"] = 1
     return out
 
@@ -199,7 +208,7 @@ def _scan(tokens: Tokens, n: int, k: int, buckets: int, within: bool):
 
 def scan(keyed: DataFrame, tokens: Tokens, n: int, k: int, buckets: int, within: bool) -> DataFrame:
     """Packed runs of documents (key, text) by bucket; negative buckets hold settled repeats."""
-    return keyed.select("key", "text").mapInArrow(_scan(tokens, n, k, buckets, within), PACKED)
+    return keyed.select("key", "text").mapInArrow(trimmed(_scan(tokens, n, k, buckets, within)), PACKED)
 
 
 def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -241,12 +250,17 @@ def found(repeats: list[np.ndarray], compare: np.ndarray) -> pa.Table:
 def matched(rows: DataFrame, within: bool) -> DataFrame:
     """Rows of ``FOUND`` from packed rows: the repeats of each bucket and the runs to compare."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def settled(table: pa.Table) -> pa.Table:
         runs, known = unpack(table)
         runs, repeat, first = settle(runs, within)
         kept = runs[~repeat]
         return found([known, repeats_of(runs[repeat], runs[first[repeat]])], kept[to_compare(kept)])
 
+    def run(table: pa.Table) -> pa.Table:
+        out = settled(table)
+        released()
+        return out
+
     return rows.groupBy("bucket").applyInArrow(run, FOUND)
 
 
@@ -277,25 +291,54 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, rows.dropDuplicates(["key"]) if shared else rows
 
 
-def snippets(documents: DataFrame, compare: DataFrame, cut: Callable[[bytes, list[tuple[int, int]]], list[bytes]], n: int) -> DataFrame:
-    """The runs of ``compare`` with their text: (g, doc, lo, len, off, text).
+Cut = Callable[[bytes, list[tuple[int, int]]], Iterable[bytes]]
 
-    cut: gives the texts of token ranges of a document.
+
+def pieces_of(cut: Cut, n: int, key: str | None, at: str, names: tuple[str, ...], out: str):
+    """From batches (text, asked) a row for each range asked for: its fields ``names``, and its text as ``out``.
+
+    key: the column, if any, that is repeated as ``doc``; at: the field that says where a range
+    starts. A batch sent on has about ``SENT`` bytes, however many ranges one text is asked for.
     """
-    asked = compare.groupBy("doc").agg(F.collect_set(F.struct("g", "lo", "len", "off")).alias("asked"))
+    columns = [*names, out]
+    kinds = [*(pa.int64() for _ in names), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple] = []
-            for doc, text, want in zip(b.column("key").to_pylist(), utf8(b.column("text")), b.column("asked").to_pylist(), strict=True):
-                parts = cut(text, [(x["lo"], x["lo"] + x["len"] + n - 1) for x in want])
-                out += [(x["g"], doc, x["lo"], x["len"], x["off"], p) for x, p in zip(want, parts, strict=True)]
-            kinds = (pa.int64(),) * 5 + (pa.binary(),)
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["g", "doc", "lo", "len", "off", "text"])
+            lists = b.column("asked")
+            flat, cuts = lists.flatten(), (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+            field = {k: np.asarray(flat.field(k)) for k in (*(c for c in names if c != "doc" or key is None), "len", at)}
+            if key is not None:
+                field["doc"] = np.repeat(np.asarray(b.column(key)), np.diff(cuts))
+
+            def batch(first: int, texts: list[bytes], field=field) -> pa.RecordBatch:
+                own = [pa.array(field[k][first : first + len(texts)]) for k in names]
+                return pa.RecordBatch.from_arrays([x.cast(t) for x, t in zip([*own, pa.array(texts, pa.binary())], kinds, strict=True)], names=columns)
+
+            held, size, first = [], 0, 0
+            for row, text in enumerate(b.column("text")):
+                a, z = cuts[row], cuts[row + 1]
+                start = field[at][a:z]
+                for p in cut((text.as_py() or "").encode(), list(zip(start.tolist(), (start + field["len"][a:z] + n - 1).tolist(), strict=True))):
+                    held.append(p)
+                    size += len(p) + 64
+                    if size >= SENT:
+                        yield batch(first, held)
+                        held, size, first = [], 0, first + len(held)
+            if held:
+                yield batch(first, held)
+
+    return trimmed(run)
+
+
+def snippets(documents: DataFrame, compare: DataFrame, cut: Cut, n: int) -> DataFrame:
+    """The runs of ``compare`` with their text: (g, doc, lo, len, off, text).
 
+    cut: gives the texts of token ranges of a document.
+    """
+    asked = compare.groupBy("doc").agg(F.collect_set(F.struct("g", "lo", "len", "off")).alias("asked"))
     both = documents.join(asked, documents.key == asked.doc).select("key", "text", "asked")
-    return both.mapInArrow(run, "g long, doc long, lo long, len long, off long, text binary")
+    return both.mapInArrow(pieces_of(cut, n, "key", "lo", ("g", "doc", "lo", "len", "off"), "text"), "g long, doc long, lo long, len long, off long, text binary")
 
 
 def covered(starts: list[tuple[int, int]], n: int, size: int) -> list[tuple[int, int]]:
@@ -334,14 +377,14 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(flat[k]) for k in REPEAT.names], names=list(REPEAT.names))
 
 
-def with_checked(rows: DataFrame, documents: DataFrame, repeats: DataFrame, cut: Callable[[bytes, list[tuple[int, int]]], list[bytes]], n: int, tag: str) -> DataFrame:
+def with_checked(rows: DataFrame, documents: DataFrame, repeats: DataFrame, cut: Cut, n: int, tag: str) -> DataFrame:
     """rows (doc_id, key, text) with ``starts``: the (lo, len, piece) ranges of repeated windows, or null.
 
     ``piece`` is the text of the range's first occurrence, for the caller to compare with. Ranges
     asked of one document are dealt out by ``PART`` to copies of its text, however many ask.
     """
     lists = repeats.groupBy("doc").agg(F.collect_list(F.struct("lo", "len", "src", "at")).alias("rows"))
-    segments = stored(lists.mapInArrow(_segments, "doc long, lo long, len long, src long, at long"), f"{tag}-segments")
+    segments = stored(lists.mapInArrow(trimmed(_segments), "doc long, lo long, len long, src long, at long"), f"{tag}-segments")
     release(rows.sparkSession)
     parts = segments.groupBy(F.col("src").alias("__src")).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     hot = stored(parts.where("parts > 1"), f"{tag}-hot")
@@ -355,17 +398,7 @@ def with_checked(rows: DataFrame, documents: DataFrame, repeats: DataFrame, cut:
     dealt = [d.repartition(shares(documents), *d.columns[:1], p) for d, p in ((copied.select("key", "__part", "text"), "__part"), (split, "part"))]
     often = dealt[0].join(dealt[1], (F.col("key") == F.col("src")) & (F.col("__part") == F.col("part"))).select("text", "asked")
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple] = []
-            for text, want in zip(utf8(b.column("text")), b.column("asked").to_pylist(), strict=True):
-                cuts = cut(text, [(x["at"], x["at"] + x["len"] + n - 1) for x in want])
-                out += [(x["doc"], x["lo"], x["len"], p) for x, p in zip(want, cuts, strict=True)]
-            for at in range(0, len(out), 1000):
-                columns = zip(*out[at : at + 1000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(),) * 3 + (pa.binary(),), strict=True)], names=["doc", "lo", "len", "piece"])
-
-    given = stored(usual.unionAll(often).mapInArrow(pieces, "doc long, lo long, len long, piece binary"), f"{tag}-pieces")
+    given = stored(usual.unionAll(often).mapInArrow(pieces_of(cut, n, None, "at", ("doc", "lo", "len"), "piece"), "doc long, lo long, len long, piece binary"), f"{tag}-pieces")
     release(rows.sparkSession)
     own = given.groupBy("doc").agg(F.collect_list(F.struct("lo", "len", "piece")).alias("starts"))
     return rows.join(own, rows.key == own.doc, "left").select("doc_id", "text", "starts")

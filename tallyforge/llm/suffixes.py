@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import anchors
-from .common import shares, small_batches, stored, table, utf8
+from .common import shares, small_batches, stored, table, trimmed, utf8
 
 LENGTH = 100
 GRAM = 36
@@ -141,8 +141,8 @@ def repeated_windows(parts: list[bytes], windows: list[int], places: list[tuple[
     return out
 
 
-def _cut(text: bytes, ranges: list[tuple[int, int]]) -> list[bytes]:
-    return [text[a:z] for a, z in ranges]
+def _cut(text: bytes, ranges: list[tuple[int, int]]) -> Iterator[bytes]:
+    return (text[a:z] for a, z in ranges)
 
 
 def _halves(n: int, k: int):
@@ -179,7 +179,7 @@ def _compare(n: int, buckets: int):
         return repeated_windows([r[4] for r in rows], [r[3] for r in rows], [(r[1], r[2]) for r in rows], n)
 
     def singles(rows: list[tuple]) -> np.ndarray:
-        return anchors.window_runs([(r[1], r[2], [r[4][k : k + n] for k in range(r[3])]) for r in rows], buckets)
+        return anchors.window_runs(((r[1], r[2], (r[4][k : k + n] for k in range(r[3]))) for r in rows), buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -216,13 +216,13 @@ def repeats(documents: DataFrame, n: int = LENGTH, k: int = GRAM) -> DataFrame:
     """Candidates (doc, lo, len, src, at): starts of repeated windows of n bytes, and where they stand first."""
     spark = documents.sparkSession
     small_batches(spark)
-    buckets = shares(documents, 32)
+    buckets = shares(documents, 4)
     packed = anchors.scan(documents, anchors.byte_tokens, n, k, buckets, True)
     found = stored(anchors.matched(packed, True), "byte-runs")
     anchors.release(spark)
-    compare = anchors.snippets(documents, found.where("kind = 1"), _cut, n).mapInArrow(_halves(n, k), "key long, doc long, lo long, len long, text binary")
+    compare = anchors.snippets(documents, found.where("kind = 1"), _cut, n).mapInArrow(trimmed(_halves(n, k)), "key long, doc long, lo long, len long, text binary")
     dealt = compare.repartition(buckets, "key").sortWithinPartitions("key")
-    more = stored(anchors.matched(dealt.mapInArrow(_compare(n, buckets), anchors.PACKED), True), "byte-windows")
+    more = stored(anchors.matched(dealt.mapInArrow(trimmed(_compare(n, buckets)), anchors.PACKED), True), "byte-windows")
     anchors.release(spark)
     return found.unionAll(more).where("kind = 0").select("doc", "lo", "len", "src", "at")
 
@@ -250,7 +250,7 @@ def _apply(n: int, texts: bool):
 def deduplicate(docs: DataFrame, n: int = LENGTH, k: int = GRAM, texts: bool = True) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the bytes left as ``text``."""
     rows, documents = anchors.keyed(docs)
-    return anchors.with_checked(rows, documents, repeats(documents, n, k), _cut, n, "byte").mapInArrow(_apply(n, texts), COLUMNS)
+    return anchors.with_checked(rows, documents, repeats(documents, n, k), _cut, n, "byte").mapInArrow(trimmed(_apply(n, texts)), COLUMNS)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,6 +116,44 @@ def test_suffix_dedup(spark, docs, size, monkeypatch):
         assert bytes(r.text) == left
 
 
+@pytest.mark.parametrize(("op", "text"), [(suffixes, "a" * 40_000), (substrings, "word " * 8_000)])
+def test_pieces_of_one_text_go_in_bounded_batches(op, text):
+    """However many ranges one text is asked for; each with its own place."""
+    import pyarrow as pa
+
+    from tallyforge.llm import anchors
+
+    want = [{"doc": k, "lo": k, "len": 7_000, "at": k % 50} for k in range(900)]
+    rows = pa.RecordBatch.from_arrays([pa.array(["", text]), pa.array([[], want])], names=["text", "asked"])
+    out = list(anchors.pieces_of(op._cut, 13, None, "at", ("doc", "lo", "len"), "piece")(iter([rows])))
+    assert max(b.nbytes for b in out) <= 2 * anchors.SENT < sum(b.nbytes for b in out)
+    got = [r for b in out for r in b.to_pylist()]
+    pieces = list(op._cut(text.encode(), [(k % 50, k % 50 + 7_012) for k in range(900)]))
+    assert got == [{"doc": k, "lo": k, "len": 7_000, "piece": p} for k, p in enumerate(pieces)]
+    asked = pa.array([[{"g": k, "lo": k, "len": 2, "off": 1} for k in range(5)]])
+    rows = pa.RecordBatch.from_arrays([pa.array([9]), pa.array([text]), asked], names=["key", "text", "asked"])
+    (one,) = anchors.pieces_of(op._cut, 13, "key", "lo", ("g", "doc", "lo", "len", "off"), "text")(iter([rows]))
+    assert one.column("doc").to_pylist() == [9] * 5 and one.column("g").to_pylist() == list(range(5))
+
+
+def test_windows_by_digest_are_taken_one_by_one():
+    from tallyforge.llm import anchors
+
+    live = []
+
+    def texts(many):
+        for k in range(many):
+            live.append(1)
+            yield b"%d" % (k % 7)
+            live.pop()
+            assert not live
+
+    out = anchors.window_runs(((d, 10 * d, texts(d)) for d in (0, 3, 9)), 4)
+    assert out["doc"].tolist() == [3] * 3 + [9] * 9 and out["lo"].tolist() == [*range(30, 33), *range(90, 99)]
+    assert len(set(out["g"].tolist())) == 7 and (out["len"] == 1).all() and len(anchors.window_runs([], 4)) == 0
+
+
+
 @pytest.mark.parametrize("batches", [1, 5])
 def test_substrings(spark, docs, batches):
     got = {r.doc_id: r for r in substrings.deduplicate(docs, batches=batches).collect()}
