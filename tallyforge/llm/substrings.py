@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import fresh_path, publish, shares, small_batches, stored, table, utf8
+from .common import fresh_path, publish, released, shares, small_batches, stored, table, trimmed, utf8
 
 WORDS = 13
 GRAM = 6
@@ -199,6 +199,11 @@ class Index:
         base, compact = self.base, bool(gone)
 
         def bucket(rows: pa.Table) -> pa.Table:
+            out = matched(rows)
+            released()
+            return out
+
+        def matched(rows: pa.Table) -> pa.Table:
             number = rows.column("bucket")[0].as_py()
             new, known = anchors.unpack(rows)
             if number < 0:
@@ -252,9 +257,13 @@ class Index:
             fs.delete_dir(root)
 
 
-def _cut(text: bytes, ranges: list[tuple[int, int]]) -> list[bytes]:
+def _cut(text: bytes, ranges: list[tuple[int, int]]) -> Iterator[bytes]:
     words = text.split()
-    return [b" ".join(words[a:z]) for a, z in ranges]
+    return (b" ".join(words[a:z]) for a, z in ranges)
+
+
+def _texts(words: list[bytes], n: int, many: int) -> Iterator[bytes]:
+    return (b" ".join(words[k : k + n]) for k in range(many))
 
 
 def _windows(n: int, buckets: int):
@@ -263,11 +272,8 @@ def _windows(n: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [np.zeros(0, anchors.RUN)], 0
         for b in batches:
-            parts = []
-            for doc, lo, many, text in zip(*(b.column(c).to_pylist() for c in ("doc", "lo", "len", "text")), strict=True):
-                words = text.split(b" ")
-                parts.append((doc, lo, [b" ".join(words[k : k + n]) for k in range(many)]))
-            held.append(anchors.window_runs(parts, buckets))
+            rows = zip(*(b.column(c).to_pylist() for c in ("doc", "lo", "len", "text")), strict=True)
+            held.append(anchors.window_runs(((doc, lo, _texts(text.split(b" "), n, many)) for doc, lo, many, text in rows), buckets))
             count += len(held[-1])
             if count >= anchors.HELD:
                 yield anchors.packed(held, False, buckets)
@@ -280,7 +286,7 @@ def _windows(n: int, buckets: int):
 
 def compared(documents: DataFrame, compare: DataFrame, n: int, buckets: int) -> DataFrame:
     """Rows of ``anchors.FOUND``: the windows of compared runs that occur in an earlier document too."""
-    windows = anchors.snippets(documents, compare, _cut, n).mapInArrow(_windows(n, buckets), anchors.PACKED)
+    windows = anchors.snippets(documents, compare, _cut, n).mapInArrow(trimmed(_windows(n, buckets)), anchors.PACKED)
     return anchors.matched(windows, False)
 
 
@@ -316,7 +322,7 @@ def _apply(n: int, texts: bool):
 
 def without(rows: DataFrame, documents: DataFrame, candidates: DataFrame, n: int, texts: bool) -> DataFrame:
     """rows (doc_id, key, text) less the words of verified candidates."""
-    return anchors.with_checked(rows, documents, candidates, _cut, n, "word").mapInArrow(_apply(n, texts), COLUMNS)
+    return anchors.with_checked(rows, documents, candidates, _cut, n, "word").mapInArrow(trimmed(_apply(n, texts)), COLUMNS)
 
 
 def deduplicate(docs: DataFrame, n: int = WORDS, k: int = GRAM, batches: int = BATCHES, texts: bool = True) -> DataFrame:
@@ -327,7 +333,7 @@ def deduplicate(docs: DataFrame, n: int = WORDS, k: int = GRAM, batches: int = B
     spark = docs.sparkSession
     small_batches(spark)
     rows, documents = anchors.keyed(docs)
-    index = Index.create(spark, fresh_path(spark, "substring-index"), shares(docs), n, k)
+    index = Index.create(spark, fresh_path(spark, "substring-index"), shares(docs, 4), n, k)
     found = None
     for above, upto in cuts_of(documents, batches):
         batch = documents
