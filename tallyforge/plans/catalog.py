@@ -26,10 +26,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SPREAD = 100_000  # rows of a task whose work goes by the row
+
+
 def _spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt to all cores where its scan has fewer tasks than that; a large scan stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """``df`` dealt to all cores, and to tasks of ``SPREAD`` rows where it has more, if its scan has fewer tasks than that.
+
+    Small rows pack well, so a scan cut by bytes may have millions in a task; the count is read from the files' footers.
+    """
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // SPREAD))
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
 
 
 def _r(name: str):

@@ -61,3 +61,19 @@ def test_import_without_the_training_data_operators(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'risk_scores' in q and not any(k.startswith('op') for k in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_tasks_of_heavy_rows_stay_of_one_size(spark, tmp_path, monkeypatch):
+    """A small file of many rows is dealt to more tasks than cores, so the longest one doesn't grow with the table."""
+    from tallyforge.plans import catalog
+
+    spark.range(0, 10_000, 1, 1).write.parquet(str(tmp_path / "keys"))
+    keys = spark.read.parquet(str(tmp_path / "keys"))
+    cores = spark.sparkContext.defaultParallelism
+    assert catalog._spread(keys).rdd.getNumPartitions() == cores
+    monkeypatch.setattr(catalog, "SPREAD", 500)
+    dealt = catalog._spread(keys)
+    sizes = dealt.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(sizes) == 20 > cores and max(sizes) <= 600 and sum(sizes) == 10_000
+    wide = spark.range(0, 10_000, 1, 32)
+    assert catalog._spread(wide).rdd.getNumPartitions() == 32
