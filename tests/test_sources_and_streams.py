@@ -258,6 +258,100 @@ def test_state_keeps_what_a_batch_reads_flat(spark, tmp_path):
     assert read_reports(spark, str(tmp_path / "ledger")).count() == 1000
 
 
+class Handle:
+    """A group's state in memory, which counts the calls to it."""
+
+    def __init__(self):
+        self.calls, self.map, self.list = 0, {}, []
+
+    def getMapState(self, *args):
+        return self
+
+    def getListState(self, *args):
+        return self
+
+    def _called(self, out=None):
+        self.calls += 1
+        return out
+
+    def exists(self):
+        return self._called(bool(self.map))
+
+    def getValue(self, key):
+        return self._called(self.map.get(key))
+
+    def updateValue(self, key, value):
+        self._called(self.map.__setitem__(key, value))
+
+    def get(self):
+        return self._called(iter(self.list))
+
+    def appendList(self, values):
+        self._called(self.list.extend(values))
+
+    def clear(self):
+        self._called(self.list.clear())
+
+
+def test_hashes_of_a_large_batch_go_in_few_calls(spark):
+    """Batches of many hashes and of few, in any order of seq: the answers are the first rows so far; only few hashes go one by one."""
+    import random
+
+    from pyspark.sql import Row
+
+    from tallyforge.streaming import state
+
+    rng, handle, matcher, first, seqs = random.Random(3), Handle(), state.Matcher(), {}, rng_seqs(6000, 5)
+    matcher.init(handle)
+    for n in (1000, 1, 300, 2000, 5, 2, 900, 40, 1):
+        rows = [(f"h{rng.randrange(2500)}", k, f"i{k}") for k in (seqs.pop() for _ in range(n))]
+        had, handle.calls = set(first), 0
+        for h, k, i in rows:
+            first[h] = min(first.get(h, (k, i)), (k, i))
+        events = [Row(hashes=[r[0] for r in part], seqs=[r[1] for r in part], ids=[r[2] for r in part]) for part in (rows[: n // 3], rows[n // 3 :]) if part]
+        got = {r.content_hash: (r.seq, r.invoice_id) for r in matcher.handleInputRows(("h|0",), iter(events), None)}
+        hashes = [r[0] for r in rows]
+        assert got == {h: first[h] for h in hashes if h in had or hashes.count(h) > 1}
+        if n == 1000 and not had:
+            assert handle.calls <= 5 and not handle.map
+        if n == 1:
+            assert len(handle.map) == len(first) and not handle.list
+    handle.calls = 0
+    list(matcher.handleInputRows(("h|0",), iter([Row(hashes=["new"], seqs=[1], ids=["i"])]), None))
+    assert handle.calls <= 4
+
+
+def rng_seqs(n, seed):
+    import random
+
+    return random.Random(seed).sample(range(10 * n), n)
+
+
+def test_events_go_by_names_and_shards_not_by_rows(spark, monkeypatch):
+    """A partition sends one event a word for a name and amount, and one for a shard's hashes; none is lost where it holds little."""
+    from tallyforge.streaming import state
+
+    rows = [(k, f"i{k}", f"h{k}", "Acme Widgets", None, None, 10.0 + k % 2, None if k % 3 else date(2024, 1, 1)) for k in range(2000)]
+    df = spark.createDataFrame(rows, INVOICES).coalesce(1)
+    monkeypatch.setattr(state, "SHARDS", 8)
+    got = state.events(df).collect()
+    near = [r for r in got if r.kind is not None]
+    assert sorted((r.seq, r.invoice_id, r.key, r.kind.total) for r in near) == sorted((k, f"i{k}", f"n|{at}|{word}", 10.0 + k) for k, at in ((0, 50), (1, 55)) for word in ("acme", "widgets"))
+    packs = [r for r in got if r.hashes is not None]
+    assert len(packs) == 8 and sorted(x for r in packs for x in zip(r.hashes, r.seqs, r.ids)) == sorted((f"h{k}", k, f"i{k}") for k in range(2000))
+
+    import pandas as pd
+    import pyarrow as pa
+
+    monkeypatch.setattr(state, "HELD", 20)
+    parts = [pd.DataFrame({"seq": [100 - k, k], "invoice_id": ["a", "b"], "vendor_name": [f"v{k % 30}", "same"], "total": [1.0, 2.0], "day": [None, k]}) for k in range(60)]
+    kept = pd.concat(state.first_rows(iter(parts)))
+    assert len(kept) < 120 and dict(kept.groupby("vendor_name")["seq"].min()) == {"same": 0} | {f"v{k}": 70 - k for k in range(30)}
+    batches = [pa.RecordBatch.from_pydict({"key": [f"h|{k % 2}"] * 15, "seq": [k] * 15, "invoice_id": ["a"] * 15, "content_hash": ["b"] * 15}) for k in range(5)]
+    out = [x for b in state.packed_rows(iter(batches)) for x in b.to_pylist()]
+    assert sorted((x["key"], len(x["hashes"])) for x in out) == [("h|0", 15), ("h|0", 15), ("h|0", 15), ("h|1", 15), ("h|1", 15)]
+
+
 def test_evaluation_file_and_images(spark, tmp_path):
     import numpy as np
 
